@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, chat, lines, neighbours, packing, sampling, simhash, toxicity, urls
+from graphloom.llm import bpe, chat, katz, lines, neighbours, packing, sampling, simhash, toxicity, urls
 from graphloom.llm.common import held_out, table
 
 
@@ -41,6 +41,10 @@ def op6_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(table(spark, d, "documents"))
 
 
+def op7_katz(spark: SparkSession, d: str) -> DataFrame:
+    return katz.fit_and_score(table(spark, d, "documents"), held_out(F.col("doc_id"), 5, 1))
+
+
 def op8_preference(spark: SparkSession, d: str) -> DataFrame:
     talks = chat.conversations(table(spark, d, "conversations"))
     return chat.preference(chat.with_last_of_partner(talks))
@@ -55,5 +59,5 @@ def op10_bpe(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_toxicity, op2_line_dedup, op3_url_filter, op4_neighbours, op5_simhash, op6_packing, op8_preference, op9_sampling, op10_bpe]
+    found = [op1_toxicity, op2_line_dedup, op3_url_filter, op4_neighbours, op5_simhash, op6_packing, op7_katz, op8_preference, op9_sampling, op10_bpe]
     return {f.__name__: f for f in found}

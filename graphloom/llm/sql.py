@@ -43,7 +43,7 @@ last AS (SELECT conv_id, text FROM ordered WHERE n = size),
 both_sides AS (SELECT o.conv_id, n, role, text AS c, text AS r, size FROM ordered o WHERE n < size
           UNION ALL SELECT o.conv_id, n, role, o.text, coalesce(p.text, ''), size FROM ordered o LEFT JOIN last p ON p.conv_id = xor(o.conv_id, 1) WHERE n = size),
 cut AS (SELECT conv_id, coalesce(min(n) FILTER (WHERE c <> r) - 1, max(size)) AS k FROM both_sides GROUP BY conv_id),
-shown AS (SELECT b.conv_id, b.n, b.n <= k AS head, k, role = 'assistant' AS own, length(role) + 4 AS h, '<|' || role || '|>' || chr(10) || c || '<|end|>' || chr(10) AS c,
+shown AS (SELECT b.conv_id, b.n, b.n <= k AS head, k, role = 'assistant' AS own, length(role) + 5 AS h, '<|' || role || '|>' || chr(10) || c || '<|end|>' || chr(10) AS c,
                  '<|' || role || '|>' || chr(10) || r || '<|end|>' || chr(10) AS r, length(c) AS cn, length(r) AS rn FROM both_sides b JOIN cut USING (conv_id)),
 placed AS (SELECT *, sum(CASE WHEN head THEN 0 ELSE length(c) END) OVER w - length(c) + h AS cs, sum(CASE WHEN head THEN 0 ELSE length(r) END) OVER w - length(r) + h AS rs
            FROM shown WINDOW w AS (PARTITION BY conv_id ORDER BY n))
