@@ -71,13 +71,13 @@ def preference(pairs: DataFrame) -> DataFrame:
         return F.transform(F.coalesce(c, none), lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
 
     kept = [c for c in pairs.columns if c not in ("chosen", "rejected", "prompt", "n_prompt_turns", "chosen_mask", "rejected_mask")]
-    cut = pairs.select(*kept, clean("chosen").alias("_c"), clean("rejected").alias("_r")).withColumn("n_prompt_turns", common_turns(F.col("_c"), F.col("_r")))
+    cut = pairs.select(F.struct(*(pairs[c] for c in kept)).alias("_row"), clean("chosen").alias("_c"), clean("rejected").alias("_r")).withColumn("n_prompt_turns", common_turns(F.col("_c"), F.col("_r")))
 
     def rest(c: str) -> Column:
         return F.slice(c, F.col("n_prompt_turns") + 1, F.greatest(F.size(c) - F.col("n_prompt_turns"), F.lit(0)))
 
     return cut.select(
-        *kept,
+        "_row.*",
         "n_prompt_turns",
         rendered(F.slice("_c", F.lit(1), F.col("n_prompt_turns"))).alias("prompt"),
         rendered(rest("_c")).alias("chosen"),

@@ -55,9 +55,10 @@ def repeated(docs: DataFrame, size: int = WINDOW) -> DataFrame:
 
 def dedupe(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text``."""
-    names = docs.columns
+    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"))  # no other column's name can clash
     gone = repeated(docs, size).select(F.col("_id").alias("_gone_id"), F.col("_t").alias("_gone_t"), "_at")
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.xxhash64("text") == F.col("_gone_t")), "left")
+    keyed = whole.select("_row", F.col("_row.text").alias("text"))
+    joined = keyed.join(gone, F.col("_row.doc_id").eqNullSafe(F.col("_gone_id")) & (F.xxhash64("text") == F.col("_gone_t")), "left")
     lines = F.split("text", "\n")
     filled = F.filter(F.transform(lines, lambda x, i: F.when(F.trim(x) != "", i)), lambda i: i.isNotNull())
     split = joined.withColumn("_split", F.when(F.col("_at").isNotNull(), lines)).withColumn("_filled", F.when(F.col("_at").isNotNull(), filled))
@@ -65,4 +66,4 @@ def dedupe(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     covered = F.array_distinct(F.flatten(F.transform("_at", lambda s: F.slice("_filled", s["a"] + 1, s["b"] - s["a"] + 1))))
     left = F.array_except(F.sequence(F.lit(0), F.size("_split") - 1), covered)
     kept = F.array_join(F.transform(left, lambda i: F.get("_split", i)), "\n")
-    return split.withColumn("text", F.when(F.col("_at").isNull(), F.col("text")).otherwise(kept)).select(*names)
+    return split.withColumn("_row", F.when(F.col("_at").isNull(), F.col("_row")).otherwise(F.col("_row").withField("text", kept))).select("_row.*")

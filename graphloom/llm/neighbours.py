@@ -46,8 +46,7 @@ class Forest:
         least = max(4, int(leaf * len(sample) / max(1, population)))
         for _ in range(trees):
             self.roots.append(self._grow(sample, np.arange(len(sample)), least, random))
-        dims = sample.shape[1] if sample.ndim == 2 else 0
-        self.plane = np.array(self.planes, dtype=np.float32).reshape(-1, dims)
+        self.plane = np.array(self.planes, dtype=np.float32).reshape(-1, sample.shape[1])
         self.cut = np.array(self.cuts, dtype=np.float32)
         self.child = np.array(self.children, dtype=np.int64).reshape(-1, 2)
 
@@ -126,7 +125,9 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, search: int = SEAR
     asked = stored(queries.join(kept.select("v", "rep"), "v").select("query_id", "rep"), "queries")
     population = kept.count()
     sample = kept.orderBy(F.xxhash64("v"), "rep").limit(SAMPLE).select("v").toPandas()  # SAMPLE rows at most
-    dims = len(sample["v"][0]) if len(sample) else 0
+    if not len(sample):
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    dims = len(sample["v"][0])
     forest = Forest(matrix(sample["v"], dims), population, trees)
     sent = spark.sparkContext.broadcast(forest)
 

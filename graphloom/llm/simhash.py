@@ -315,4 +315,4 @@ def keep_one_each(docs: DataFrame, shingle: int, most: int) -> DataFrame:
     """
     found = near_components(docs, shingle, most)
     gone = found.where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

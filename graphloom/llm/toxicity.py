@@ -188,10 +188,10 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
     """The rows of ``docs`` whose text scores below ``threshold``, with their columns as they are."""
     sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.leak))
 
-    def probabilities(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("double")
+    def probability(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(Model(*sent.value))
         for texts in batches:
             yield pd.Series([scorer.document(scorer.sentences(t or "")[0]) for t in texts], dtype=float)
 
-    probability = F.pandas_udf(probabilities, "double", F.PandasUDFType.SCALAR_ITER)
     return docs.where(probability(F.col("text").cast("string")) < threshold)

@@ -78,12 +78,7 @@ def judge(pages: DataFrame, rules=RULES, url: str = "url") -> DataFrame:
     hits = expressions.join(known, (F.col("_s") == F.col("short")) & (F.col("_d") == F.col("digest")))
     best = hits.groupBy("_u").agg(F.max(F.struct("size", "host_size", "rule", "verdict")).alias("_r"))
     found = best.select("_u", F.col("_r.rule").alias("rule"), F.col("_r.verdict").alias("verdict"))
-    keyed = base.withColumn("_link", link)
-    return (
-        keyed.join(found, F.col("_link") == F.col("_u"), "left")
-        .withColumn("host", host_of(F.col("_link")))
-        .withColumn("path", path_of(F.col("_link")))
-        .withColumn("verdict", F.coalesce("verdict", F.lit(DEFAULT)))
-        .drop("_u", "_link")
-        .select(*base.columns, *added)
-    )
+    keyed = base.select(F.struct(*(base[c] for c in base.columns)).alias("_row"), link.alias("_link"))  # no other column's name can clash
+    joined = keyed.join(found, F.col("_link") == F.col("_u"), "left")
+    own = [host_of(F.col("_link")), path_of(F.col("_link")), F.col("rule"), F.coalesce("verdict", F.lit(DEFAULT))]
+    return joined.select("_row.*", *(c.alias(n) for c, n in zip(own, added)))
