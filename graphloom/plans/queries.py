@@ -21,7 +21,8 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 # Fixed points of the star graph that exist at every scale.
-SUPPLIER, ORDER, CUSTOMER = "supply.N15.S0", "sales.orders.O8", "sales.C1"
+ORDER, CUSTOMER = "sales.orders.O8", "sales.C3"
+SUPPLIER = "type = 'SERVICE' AND name = 'S0'"
 
 
 def query(sql: str | None = None, name: str | None = None):
@@ -86,9 +87,9 @@ def hotspots_fan_out_types(spark, d):
     return degree.fan(graph(spark, d), "out", types_only=True)
 
 
-@query(_fan_sql("target_id", "AND starts_with(lower(n.qualified_name), 'supply.n15.')"))
+@query(_fan_sql("target_id", "AND starts_with(lower(n.qualified_name), 'catalog.brand4.')"))
 def hotspots_in_package(spark, d):
-    return degree.fan(graph(spark, d), "in", package="supply.N15")
+    return degree.fan(graph(spark, d), "in", package="catalog.Brand4")
 
 
 @query(_fan_sql("target_id", limit=""))
@@ -100,11 +101,11 @@ def fan_in_all(spark, d):
     O.with_graph(
         f"""SELECT edge_type, sum(n) AS total, sum(t) AS in_tests, array_to_string(list_sort(list(label || CASE WHEN n > 1 THEN ' ×' || n ELSE '' END))[1:8], ', ') AS labels FROM (
   SELECT e.type AS edge_type, CASE WHEN contains(e.source_id, '#') THEN regexp_extract(e.source_id, '([^.]*)$', 1) ELSE regexp_extract(e.source_id, '([^.]*)$', 1) END AS label, count(*) AS n, sum(CASE WHEN {O.UNDER_TEST} THEN 1 ELSE 0 END) AS t
-  FROM edges e LEFT JOIN nodes n ON e.source_id = n.id WHERE e.target_id = '{SUPPLIER}' GROUP BY 1, 2) GROUP BY edge_type"""
+  FROM edges e LEFT JOIN nodes n ON e.source_id = n.id WHERE e.target_id = '{CUSTOMER}' GROUP BY 1, 2) GROUP BY edge_type"""
     )
 )
 def neighbour_summary_in(spark, d):
-    return degree.neighbour_summary(graph(spark, d), SUPPLIER, "in")
+    return degree.neighbour_summary(graph(spark, d), CUSTOMER, "in")
 
 
 DEPENDENCIES = [(0, "catalog", "small ring", "1.0"), (1, "catalog", "red widget", "2.1"), (2, "absent", "nothing", "0")]
@@ -239,22 +240,22 @@ def top_coupled_of_file(spark, d):
 
 
 def _reach(name: str, start: str, depth: int, direction: str, leaf: bool = False):
-    sql = O.with_graph("SELECT id, depth FROM reached", *O.search_sql(f"SELECT '{start}' AS id", depth, direction, leaf))
+    sql = O.with_graph("SELECT id, depth FROM reached", *O.search_sql(f"SELECT id FROM nodes WHERE {start}", depth, direction, leaf))
 
     @query(sql, name)
     def run(spark, d):
         g = graph(spark, d)
-        return traverse.search(g, spark.createDataFrame([(start,)], "id string"), depth, direction, leaf)
+        return traverse.search(g, g.nodes.where(start).select("id"), depth, direction, leaf)
 
     return run
 
 
 for _d in (1, 2, 3):
     _reach(f"callers_d{_d}", SUPPLIER, _d, "in")
-    _reach(f"callees_d{_d}", ORDER, _d, "out")
+    _reach(f"callees_d{_d}", f"id = '{ORDER}'", _d, "out")
 for _d in (0, 1, 2):
-    _reach(f"impact_d{_d}", ORDER, _d, "both")
-_reach("related_libleaf", ORDER, 2, "both", True)
+    _reach(f"impact_d{_d}", f"id = '{ORDER}'", _d, "both")
+_reach("related_libleaf", f"id = '{ORDER}'", 2, "both", True)
 
 
 @query(
@@ -340,9 +341,9 @@ def resolve_symbol(spark, d):
     return graph(spark, d).resolve("s1")
 
 
-@query(O.with_graph("SELECT id, type, name, file_path FROM nodes WHERE type = 'METHOD' AND name = 'L1' AND starts_with(id, 'sales.orders.O8#')"))
+@query(O.with_graph("SELECT id, type, name, file_path FROM nodes WHERE type = 'METHOD' AND name = 'L1' AND starts_with(id, 'sales.orders.O24#')"))
 def resolve_method(spark, d):
-    return graph(spark, d).resolve_method("O8", "l1", "")
+    return graph(spark, d).resolve_method("O24", "l1", "")
 
 
 # --- export --------------------------------------------------------------------
