@@ -49,7 +49,7 @@ def extract_rows(files: DataFrame, tier: str) -> DataFrame:
         return pd.DataFrame(sql.fold(list(zip(group["file_path"], group["content"]))), columns=FIELDS).astype(object).where(lambda x: x.notna(), None)
 
     code = files.where(F.col("language").isin("java", *SCANNERS)).select("file_path", "language", "content").mapInPandas(run, ROWS)
-    schema = files.where("language = 'sql'").select("file_path", "content").groupBy(F.lit(1)).applyInPandas(fold, ROWS)
+    schema = files.where("language = 'sql'").groupBy("language").applyInPandas(fold, ROWS)
     return code.unionByName(schema)
 
 
