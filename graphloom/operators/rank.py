@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.sources.storage import stored
 
 DAMPING, ROUNDS = 0.85, 20
+STORE_EVERY = 5
 
 
 def weights(edges: DataFrame) -> DataFrame:
@@ -35,10 +36,16 @@ def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, rounds: int =
     sinks = ids.join(strength.select(F.col("a").alias("id")), "id", "left_anti")
     p = stored(seeds.groupBy("id").agg((F.sum("mass") / total).alias("p")).where("p > 0").join(ids, "id", "left_semi"), "seeds")
     lone = stored(p.join(sinks, "id", "left_semi").select("id"), "lone")  # only seeds can hold mass without an edge
+    losing = not lone.isEmpty()
     r = p.select("id", F.col("p").alias("r"))
-    for _ in range(rounds):
-        lost = r.join(lone, "id", "left_semi").agg(F.coalesce(F.sum("r"), F.lit(0.0)).alias("lost"))
-        base = p.crossJoin(F.broadcast(lost)).select("id", (F.col("p") * ((1 - damping) + damping * F.col("lost"))).alias("r"))  # one row on the other side
+    for k in range(1, rounds + 1):
+        if losing:
+            lost = r.join(lone, "id", "left_semi").agg(F.coalesce(F.sum("r"), F.lit(0.0)).alias("lost"))
+            base = p.crossJoin(F.broadcast(lost)).select("id", (F.col("p") * ((1 - damping) + damping * F.col("lost"))).alias("r"))  # one row on the other side
+        else:
+            base = p.select("id", (F.col("p") * (1 - damping)).alias("r"))
         moved = r.join(share, r["id"] == share["a"]).select(F.col("b").alias("id"), (damping * F.col("r") * F.col("share")).alias("r"))
-        r = stored(base.unionAll(moved).groupBy("id").agg(F.sum("r").alias("r")), "rank")
+        r = base.unionAll(moved).groupBy("id").agg(F.sum("r").alias("r"))
+        if losing or k % STORE_EVERY == 0 or k == rounds:  # a round that is read twice is stored at once
+            r = stored(r, "rank")
     return every.join(r, "id", "left").select("id", F.coalesce("r", F.lit(0.0)).alias("score"))
