@@ -2,44 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: ASCII blanks separate words: a space and the controls 9 to 13.
-WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from graphloom.sources.storage import shared_dir, stored, table
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+__all__ = ["WORD_PATTERN", "ascii_lower", "held_out", "shared_dir", "stored", "table"]
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) a temporary folder is made.
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    It cuts the lineage in a way that survives the loss of executors, and later
-    steps see one fixed copy of the rows.
-    """
-    path = f"{shared_dir(df.sparkSession)}/graphloom/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: ASCII blanks separate words: a space and the controls 9 to 13.
+WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
 def ascii_lower(c: Column) -> Column:

@@ -71,21 +71,21 @@ def train(docs: list[tuple[int, list[np.ndarray]]], rounds: int = 150, rate: flo
     weights[-2], weights[-1] = -4.0, -4.0
     if not docs:
         return Model(weights[:-2].astype(np.float32), -4.0, -4.0)
-    sentences = [s for _, ss in docs for s in ss]
     label = np.array([y for y, _ in docs], dtype=float)
-    of_doc = np.repeat(np.arange(len(docs)), [len(ss) for _, ss in docs])
-    lengths = np.array([len(s) for s in sentences], dtype=np.int64)
-    features = np.concatenate(sentences) if sentences else np.zeros(0, np.int32)
-    of_sentence = np.repeat(np.arange(len(sentences)), lengths)
     # only features whose share of toxic and of clean documents differs beyond chance have weights
-    seen = np.unique(of_doc[of_sentence] * (1 << BITS) + features)
-    cell, toxic_doc = seen & ((1 << BITS) - 1), label[seen >> BITS] == 1
-    in_toxic, in_all = np.bincount(cell[toxic_doc], minlength=1 << BITS), np.bincount(cell, minlength=1 << BITS)
+    in_toxic, in_all = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for y, ss in docs:
+        seen = np.unique(np.concatenate(ss)) if ss else np.zeros(0, np.int32)
+        in_all[seen] += 1
+        in_toxic[seen] += y
     n_toxic, n_clean = max(1.0, label.sum()), max(1.0, (1 - label).sum())
     share = in_all / len(docs)
     z = (in_toxic / n_toxic - (in_all - in_toxic) / n_clean) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n_toxic + 1 / n_clean))
     common = (in_all >= LEAST_DOCS) & (np.abs(z) >= LEAST_Z)
-    of_sentence, features = of_sentence[common[features]], features[common[features]]
+    sentences = [s[common[s]] for _, ss in docs for s in ss]
+    of_doc = np.repeat(np.arange(len(docs)), [len(ss) for _, ss in docs])
+    of_sentence = np.repeat(np.arange(len(sentences)), [len(s) for s in sentences])
+    features = np.concatenate([np.zeros(0, np.int32), *sentences])
     used, features = np.unique(features, return_inverse=True)
     scale = np.where(label == 1, 0.5 / max(1, label.sum()), 0.5 / max(1, (1 - label).sum())) * len(label)
     mean, square = np.zeros(len(used) + 2), np.zeros(len(used) + 2)
