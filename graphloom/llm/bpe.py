@@ -17,12 +17,12 @@ texts of any length are encoded whole; rows that repeat give repeated rows.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
 import re
 import struct
 import unicodedata
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -77,11 +77,11 @@ class Bpe:
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.end = model.get("end_of_word_suffix") or ""
-        self.rank: dict[tuple[int, int], int] = {}
+        self.rank: dict[int, int] = {}  # by the left symbol's id, shifted, with the right one's
         self.merged: list[int] = []
         for n, pair in enumerate(model["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
-            self.rank[self.vocab[left], self.vocab[right]] = n
+            self.rank[self.vocab[left] << 20 | self.vocab[right]] = n
             self.merged.append(self.vocab[left + right])
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.strings = {i: s for s, i in (self.vocab | self.special).items()}
@@ -99,26 +99,35 @@ class Bpe:
         symbols = [*map(self.inner.__getitem__, data[:-1]), self.final[data[-1]]]
         if None in symbols:
             symbols = [s for s in symbols if s is not None]
-        n, rank = len(symbols), self.rank.get
-        queue = [r << 32 | at for at, pair in enumerate(zip(symbols, symbols[1:])) if (r := rank(pair)) is not None]
+        n, rank, merged = len(symbols), self.rank.get, self.merged
+        queue = []
+        for at in range(n - 1):
+            r = rank(symbols[at] << 20 | symbols[at + 1])
+            if r is not None:
+                queue.append(r << 32 | at)
         if not queue:
             return symbols
-        heapq.heapify(queue)
+        heapify(queue)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while queue:
-            entry = heapq.heappop(queue)
-            at = entry & 0xFFFFFFFF
+            entry = heappop(queue)
+            at, r = entry & 0xFFFFFFFF, entry >> 32
             nxt = after[at]
-            if nxt >= n or rank((symbols[at], symbols[nxt])) != entry >> 32:
+            if nxt >= n or rank(symbols[at] << 20 | symbols[nxt]) != r:
                 continue  # stale: one of the two has been merged meanwhile
-            symbols[at], symbols[nxt] = self.merged[entry >> 32], -1
+            symbol = symbols[at] = merged[r]
+            symbols[nxt] = -1
             later = after[at] = after[nxt]
             if later < n:
                 before[later] = at
-                if (r := rank((symbols[at], symbols[later]))) is not None:
-                    heapq.heappush(queue, r << 32 | at)
-            if (prior := before[at]) >= 0 and (r := rank((symbols[prior], symbols[at]))) is not None:
-                heapq.heappush(queue, r << 32 | prior)
+                r = rank(symbol << 20 | symbols[later])
+                if r is not None:
+                    heappush(queue, r << 32 | at)
+            prior = before[at]
+            if prior >= 0:
+                r = rank(symbols[prior] << 20 | symbol)
+                if r is not None:
+                    heappush(queue, r << 32 | prior)
         return [s for s in symbols if s >= 0]
 
     def chunks(self, text: str) -> Iterator[tuple[int | None, list[str]]]:
@@ -139,6 +148,10 @@ class Bpe:
 
     def chunk_words(self, chunk: str) -> list[str]:
         """No word spans white space, so that each chunk can be cut alone."""
+        if chunk.isalpha():
+            return [chunk]
+        if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
+            return [chunk[:-1], chunk[-1]]
         return (self.near if FAR.search(chunk) is None else self.far())(chunk)
 
     def far(self):
