@@ -24,9 +24,11 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import ascii_lower
 
-SAMPLES = 32
+SAMPLES = 16
 NONE = 0xFFFFFFFF
 _BITS = 25
+#: Samples that one row of the aggregation holds: so few that its generated code stays small enough to be compiled well.
+TOGETHER = 16
 #: Cells of the id range that each bucket of the neighbour search has on average.
 CELLS = 16
 
@@ -35,9 +37,9 @@ def _uniform(h: Column, shift: int) -> Column:
     return (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << _BITS) - 1)).cast("double") + 0.5) * F.lit(2.0**-_BITS)
 
 
-def race(term: Column, log_weight: Column, sample: int) -> Column:
+def race(term: Column, log_weight: Column, sample: Column) -> Column:
     """The race value of a term in the high bits, its sample (term, t) in the low 32."""
-    a, b = F.xxhash64(term, F.lit(2 * sample)), F.xxhash64(term, F.lit(2 * sample + 1))
+    a, b = F.xxhash64(term, sample * 2), F.xxhash64(term, sample * 2 + 1)
     r = -F.log(_uniform(a, 0) * _uniform(a, _BITS))
     c = -F.log(_uniform(b, 0) * _uniform(b, _BITS))
     beta = (F.shiftrightunsigned(a, 50).bitwiseXOR(F.shiftleft(F.shiftrightunsigned(b, 50), 14)).cast("double") + 0.5) * F.lit(2.0**-28)
@@ -48,16 +50,30 @@ def race(term: Column, log_weight: Column, sample: int) -> Column:
     return high.bitwiseOR(low)
 
 
-def samples(texts: DataFrame, keys: list[str], text: str = "text", n: int = SAMPLES) -> DataFrame:
-    """(keys, _s array<long>): the samples of each row's text; ``keys`` name a row.
+def term_digests(text: Column) -> Column:
+    """The words of a text as sorted digests, repeats included; empty for a null text."""
+    words = F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.sort_array(F.transform(words, lambda w: F.xxhash64(w)))
+
 
-    The rows of a key must lie in one partition (of a hash on some of the keys) for this to add no shuffle.
+def samples(texts: DataFrame, keys: list[str], text: str = "text", n: int = SAMPLES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, carry, _s array<long>): the samples of each row's text; ``keys`` name a row, ``carry`` are numbers that it keeps.
+
+    Terms are counted within their row, as runs of its sorted digests, so that no
+    table of (row, term) pairs is ever held. The rows of a key must lie in one
+    partition (of a hash on some of the keys) for this to add no shuffle.
     """
-    words = F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    terms = texts.select(*keys, F.explode_outer(words).alias("_w")).select(*keys, F.xxhash64("_w").alias("_h"), F.col("_w").isNotNull().alias("_any"))
-    weighted = terms.groupBy(*keys, "_h", "_any").agg(F.count(F.lit(1)).alias("_n")).select(*keys, "_h", "_any", F.log(F.col("_n").cast("double")).alias("_l"))
-    raced = weighted.groupBy(*keys).agg(*(F.min(F.when(F.col("_any"), race(F.col("_h"), F.col("_l"), k))).alias(f"_{k}") for k in range(n)))
-    return raced.select(*keys, F.array(*(F.coalesce(F.col(f"_{k}").bitwiseAND(F.lit(NONE)), F.lit(NONE)) for k in range(n))).alias("_s"))
+    sorted_terms = texts.select(*keys, *carry, term_digests(F.col(text)).alias("_d"))
+    # a run starts where a digest differs from the one before
+    starts = sorted_terms.select("*", F.when(F.size("_d") > 0, F.filter(F.sequence(F.lit(0), F.size("_d") - 1), lambda i: (i == 0) | (F.get("_d", i) != F.get("_d", i - 1)))).alias("_b"))
+    runs = starts.select(*keys, *carry, F.zip_with("_b", F.concat(F.slice("_b", 2, F.size("_b")), F.array(F.size("_d"))), lambda a, b: F.struct(F.get("_d", a).alias("h"), (b - a).alias("n"))).alias("_r"))
+    groups = F.array(*(F.lit(g) for g in range(-(-n // TOGETHER))))
+    weighted = runs.select(*keys, *carry, F.explode_outer("_r").alias("_t")).select(*keys, *carry, F.col("_t.h").alias("_h"), F.log(F.col("_t.n").cast("double")).alias("_l"), (F.explode(groups) if n > TOGETHER else F.lit(0)).alias("_g"))
+    best = (F.min(F.when(F.col("_h").isNotNull(), race(F.col("_h"), F.col("_l"), F.col("_g") * TOGETHER + k))).alias(f"_{k}") for k in range(TOGETHER))
+    raced = weighted.groupBy(*keys, "_g").agg(*(F.max(c).alias(c) for c in carry), *best)
+    low = F.array(*(F.coalesce(F.col(f"_{k}").bitwiseAND(F.lit(NONE)), F.lit(NONE)) for k in range(TOGETHER)))
+    gathered = raced.select(*keys, *carry, F.struct("_g", low.alias("s")).alias("_x")).groupBy(*keys).agg(*(F.max(c).alias(c) for c in carry), F.sort_array(F.collect_list("_x")).alias("_x"))  # a row a group
+    return gathered.select(*keys, *carry, F.slice(F.flatten(F.transform("_x", lambda x: x["s"])), 1, n).alias("_s"))
 
 
 def hex_of(sampled: Column) -> Column:
@@ -120,13 +136,16 @@ def edited_fingerprints(docs: DataFrame, n: int = SAMPLES) -> DataFrame:
     size = F.length("text")
     third = F.floor(size / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), size - third), F.substring(F.coalesce("next", F.lit("")), F.lit(1), third))
-    texts = rows.withColumn("_edited", edited)
+    digest = F.sha2("_edited", 256)
+    quarters = [F.conv(F.substring(digest, 16 * k + 1, 16), 16, -10).cast("bigint").alias(f"_q{k}") for k in range(4)]  # as longs, which an aggregate keeps in place
+    texts = rows.withColumn("_edited", edited).select("_bucket", "_rn", "_ghost", "doc_id", "text", "_edited", size.cast("bigint").alias("n_chars"), *quarters)
     versions = F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("x")), F.struct(F.lit(1).alias("v"), F.col("_edited").alias("x")))
-    both = texts.select("_bucket", "_rn", F.explode(F.when(F.col("_ghost") == 0, versions).otherwise(F.slice(versions, 1, 1))).alias("_v")).select("_bucket", "_rn", F.col("_v.v").alias("_v"), F.col("_v.x").alias("text"))
-    sampled = samples(both, ["_bucket", "_rn", "_v"], n=n)
-    paired = sampled.groupBy("_bucket", "_rn").agg(F.sort_array(F.collect_list(F.struct("_v", "_s"))).alias("_p"))  # two rows
-    meta = texts.select("_bucket", "_rn", "_ghost", "doc_id", size.cast("bigint").alias("n_chars"), F.sha2("_edited", 256).alias("edited_sha256"))
-    joined = meta.join(paired, ["_bucket", "_rn"]).select("*", F.get("_p", 0)["_s"].alias("_own"), F.get("_p", 1)["_s"].alias("_other"))
+    carry = ("_ghost", "doc_id", "n_chars", "_q0", "_q1", "_q2", "_q3")
+    both = texts.select("_bucket", "_rn", *carry, F.explode(F.when(F.col("_ghost") == 0, versions).otherwise(F.slice(versions, 1, 1))).alias("_v")).select("_bucket", "_rn", *carry, F.col("_v.v").alias("_v"), F.col("_v.x").alias("text"))
+    sampled = samples(both, ["_bucket", "_rn", "_v"], n=n, carry=carry)
+    paired = sampled.groupBy("_bucket", "_rn").agg(*(F.max(c).alias(c) for c in carry), F.sort_array(F.collect_list(F.struct("_v", "_s"))).alias("_p"))  # two rows
+    sha = F.concat(*(F.lower(F.lpad(F.hex(f"_q{k}"), 16, "0")) for k in range(4)))
+    joined = paired.select("_bucket", "_rn", "_ghost", "doc_id", "n_chars", sha.alias("edited_sha256"), F.get("_p", 0)["_s"].alias("_own"), F.get("_p", 1)["_s"].alias("_other"))
     following = F.lead("_own").over(Window.partitionBy("_bucket").orderBy("_rn"))
     return (
         joined.withColumn("_next", following)
