@@ -44,8 +44,10 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import stored
 
 K = 5
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 2_000_000
 SPREAD = 8
+#: Bigrams whose probabilities are worked out at once.
+SLICE = 200_000
 END, START = xxhash.xxh64_intdigest(b"\nend"), xxhash.xxh64_intdigest(b"\nstart")  # no word holds a line feed
 LOW48 = np.uint64((1 << 48) - 1)
 
@@ -96,10 +98,14 @@ class Unigrams:
         return np.where(c > 0, self.d[np.minimum(c, K) * (c <= K)] * c / self.of, self.unknown)
 
 
-def conditional(c: np.ndarray, p1: np.ndarray, d: np.ndarray, total: np.ndarray, small: np.ndarray, seen_p1: np.ndarray, unknown: float) -> np.ndarray:
+def freed_mass(small: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """What the discounts free in each context, in events; ``small``: a row a context, how many followers have counts 1 to K."""
+    return small @ (np.arange(1, K + 1) * (1 - d[1 : K + 1]))
+
+
+def conditional(c: np.ndarray, p1: np.ndarray, d: np.ndarray, total: np.ndarray, freed: np.ndarray, seen_p1: np.ndarray, unknown: float) -> np.ndarray:
     """p(word | context) from the bigram's count, the word's unigram probability, and the context's sums:
-    its total, the numbers of its followers with counts 1 to K, and the unigram probabilities of all followers together."""
-    freed = (small * (np.arange(1, K + 1) * (1 - d[1 : K + 1]))).sum(axis=1)
+    its total, its freed mass, and the unigram probabilities of all followers together."""
     of = np.where(freed > 0, total, total + 1).astype(float)
     free = np.where(freed > 0, freed, 1.0) / np.maximum(of, 1)
     weight = free / np.maximum(1 - seen_p1, unknown)
@@ -120,10 +126,14 @@ class Block:
         before[1:] = tokens[:-1]
         before[np.cumsum(self.lens) - self.lens] = start
         pair = before * len(self.words) + tokens
-        self.doc = np.repeat(np.arange(len(self.lens)), self.lens)
-        self.tokens = tokens
-        self.pairs, self.inverse = np.unique(pair, return_inverse=True)
-        self.first, self.second = self.pairs // len(self.words), self.pairs % len(self.words)
+        del before
+        self.pairs, inverse = np.unique(pair, return_inverse=True)
+        del pair
+        self.inverse = inverse.astype(np.int32)
+        del inverse
+        self.doc = np.repeat(np.arange(len(self.lens), dtype=np.int32), self.lens)
+        self.tokens = tokens.astype(np.int32)
+        self.first, self.second = (self.pairs // len(self.words)).astype(np.int32), (self.pairs % len(self.words)).astype(np.int32)
         train = np.repeat(~np.array(row.held, dtype=bool), self.lens)
         self.trained = np.bincount(self.inverse[train], minlength=len(self.pairs)).astype(np.uint32)
         # a bigram with an unknown word was never seen in training; it still needs the sums of its context
@@ -337,9 +347,12 @@ def fit_and_score(docs: DataFrame, held: F.Column) -> DataFrame:
                 own = np.nonzero(np.isin(k.words, hot))[0]
                 at = np.searchsorted(hot, k.words[own])
                 totals["total"][own], totals["p1"][own], small[own] = hot_sums["total"][at], hot_sums["p1"][at], hot_sums["small"][at]
-                first = k.first
-                p = conditional(n, uni.p(counts[k.second]), d, totals["total"][first], small[first], totals["p1"][first], uni.unknown)
-                logs = np.log10(p)
+                freed = freed_mass(small, d)
+                logs = np.empty(m)
+                for at in range(0, m, SLICE):
+                    some = slice(at, at + SLICE)
+                    a = k.first[some]
+                    logs[some] = np.log10(conditional(n[some], uni.p(counts[k.second[some]]), d, totals["total"][a], freed[a], totals["p1"][a], uni.unknown))
                 tokens = counts[k.tokens]
                 docs = len(k.lens)
                 yield pd.DataFrame({
