@@ -3,9 +3,14 @@
 Each tree splits the vectors at the median of their projection on the line
 between two random ones. A query goes through all trees with one shared priority
 queue, always on to the node that lies nearest by the margins on its way, until
-the leaves reached hold SEARCH vectors; these candidates are then ranked by their
+the leaves reached hold a budget of vectors; these candidates are then ranked by their
 exact inner product in double precision.
 
+The budget is measured on the table itself: the exact neighbours of TRIED of the queries
+are found by brute force (one pass, linear in the table), and the budget is the
+least that reaches a share of RECALL of them, and SEARCH at least. So it grows with
+the table as far as the recall needs it.
+
 The forest is fitted on a bounded sample: the SAMPLE distinct vectors with the
 smallest hash. Every vector is indexed: it is routed to one leaf of each tree. The
 forest and the leaf sizes are what is broadcast (TREES * SAMPLE / LEAF nodes at
@@ -31,6 +36,8 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import stored
 
 TREES, LEAF, SAMPLE, SEARCH = 10, 128, 20_000, 12_000
+#: The share of the exact neighbours to be found, and the queries on which the budget for it is measured.
+RECALL, TRIED = 0.95, 200
 
 
 class Forest:
@@ -101,6 +108,13 @@ class Forest:
             held += sizes[-node - 1]
         return found
 
+    def needed(self, q: np.ndarray, sizes: np.ndarray, leaves: np.ndarray) -> np.ndarray:
+        """The least budget with which a search for ``q`` reaches each vector; ``leaves`` has its leaves, as of ``route``."""
+        order = np.array(self.search(q, sizes, int(sizes.sum()) + 1), dtype=np.int64)
+        before = np.zeros(len(sizes), dtype=np.int64)
+        before[order] = np.cumsum(sizes[order]) - sizes[order]
+        return before[leaves].min(axis=1) + 1
+
 
 def classes(vectors: DataFrame, keep: int, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(rep, ids, v): the distinct usable vectors with the ``keep`` smallest of their ids; rep is the smallest."""
@@ -117,8 +131,38 @@ def matrix(column: pd.Series, dims: int) -> np.ndarray:
     return np.concatenate(column.to_numpy()).astype(np.float32).reshape(-1, dims) if len(column) else np.zeros((0, dims), np.float32)
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, search: int = SEARCH, trees: int = TREES) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row whose vec_id is divisible by ``every``, its ``k`` nearest others."""
+def budget(kept: DataFrame, seekers: DataFrame, forest: Forest, sizes: np.ndarray, k: int, dims: int) -> int:
+    """The least search budget that reaches RECALL of the exact neighbours of TRIED of the ``seekers``."""
+    tried = seekers.orderBy(F.xxhash64("v", F.lit(1)), "rep").limit(TRIED).toPandas()  # TRIED rows at most
+    x, reps = matrix(tried["v"], dims), tried["rep"].to_numpy()
+    sent = kept.sparkSession.sparkContext.broadcast(x)
+
+    def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            y = matrix(b["v"], dims)
+            score = sent.value.astype(np.float64) @ y.astype(np.float64).T
+            score[reps[:, None] == b["rep"].to_numpy()[None, :]] = -np.inf
+            most = min(k, len(y))
+            near = np.argpartition(score, len(y) - most, axis=1)[:, len(y) - most :].ravel()
+            q = np.repeat(np.arange(len(score)), most)
+            yield pd.DataFrame({"q": q, "rep": b["rep"].to_numpy()[near], "score": score[q, near], "v": [y[i].tobytes() for i in near]})
+
+    found = kept.select("rep", "v").mapInPandas(exact, "q long, rep bigint, score double, v binary").where(F.col("score") > float("-inf"))
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "rep")
+    true = found.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).select("q", "v").toPandas()  # TRIED * k rows at most
+    if not len(true):
+        return 0
+    leaves = forest.route(np.frombuffer(b"".join(true["v"]), dtype=np.float32).reshape(-1, dims))
+    of = true["q"].to_numpy()
+    needs = np.sort(np.concatenate([forest.needed(x[q], sizes, leaves[of == q]) for q in np.unique(of)]))
+    return int(needs[int(np.ceil(RECALL * len(needs))) - 1])
+
+
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, search: int | None = None, trees: int = TREES) -> DataFrame:
+    """(query_id, rank, vec_id, score): for each row whose vec_id is divisible by ``every``, its ``k`` nearest others.
+
+    ``search`` is the budget of vectors to look at; it is measured if none is given.
+    """
     spark = vectors.sparkSession
     kept = stored(classes(vectors, k + 1), "vectors")
     queries = vectors.where(F.col("vec_id") % every == 0).select(F.col("vec_id").cast("bigint").alias("query_id"), F.col("embedding").cast("array<float>").alias("v")).distinct()
@@ -143,16 +187,17 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, search: int = SEAR
     for leaf, n in indexed.groupBy("leaf").count().collect():  # a row a leaf
         sizes[leaf] = n
     sized = spark.sparkContext.broadcast(sizes)
+    seekers = kept.join(asked.select("rep").distinct(), "rep", "left_semi").select("rep", "v")
+    wanted = max(SEARCH, budget(kept, seekers, forest, sizes, k, dims)) if search is None else search
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             x = matrix(b["v"], dims)
             for at in range(0, len(x), 500):
-                found = [sent.value.search(q, sized.value, search) for q in x[at : at + 500]]
+                found = [sent.value.search(q, sized.value, wanted) for q in x[at : at + 500]]
                 n = [len(f) for f in found]
                 yield pd.DataFrame({"leaf": np.concatenate([np.array(f, dtype=np.int64) for f in found]), "kind": 0, "rep": np.repeat(b["rep"].to_numpy()[at : at + 500], n), "v": [r.tobytes() for r, k in zip(x[at : at + 500], n) for _ in range(k)]})
 
-    seekers = kept.join(asked.select("rep").distinct(), "rep", "left_semi").select("rep", "v")
     probes = seekers.mapInPandas(probe, "leaf bigint, kind int, rep bigint, v binary")
 
     def rerank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
