@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import ascii_lower
 
-SAMPLES = 16
+SAMPLES = 32
 NONE = 0xFFFFFFFF
 _BITS = 25
 #: Samples that one row of the aggregation holds: so few that its generated code stays small enough to be compiled well.

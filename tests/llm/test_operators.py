@@ -334,6 +334,15 @@ def test_weighted_sampling_estimates_generalised_jaccard(spark):
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.07
 
 
+def test_production_samples_tell_half_alike_texts_from_near_ones(spark):
+    # pairs that share 20 of 30 words each: a Jaccard similarity of 0.5; the deviation is 0.125 with 16 samples, 0.088 with 32
+    pairs = [([f"p{n}s{k}" for k in range(20)], n) for n in range(600)]
+    rows = [(2 * n + side, " ".join(shared + [f"p{n}o{side}x{k}" for k in range(10)]), "x") for shared, n in pairs for side in (0, 1)]
+    got = {r.doc_id: r.fingerprint for r in sampling.fingerprints(spark.createDataFrame(rows, DOC)).collect()}
+    alike = [np.mean([got[2 * n][k : k + 8] == got[2 * n + 1][k : k + 8] for k in range(0, len(got[0]), 8)]) for n in range(600)]
+    assert abs(np.mean(alike) - 0.5) < 0.02 and np.sqrt(np.mean((np.array(alike) - 0.5) ** 2)) < 0.1
+
+
 def test_edited_fingerprints(spark, empty):
     rows = [(n, f"text {n} " + " ".join(f"w{(n * 7 + k) % 50}" for k in range(n % 60))) for n in range(0, 300, 3)] + [(7, None), (8, ""), (11, "ä" * 10)]
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], DOC)
