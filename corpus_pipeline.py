@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and works on all that the one before kept
 all but the last return the columns of ``documents``. The last returns a row a
 packed piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-Two stages have no SQL form (a trained score and SimHash), so that the whole is
+Two stages have no SQL form (a trained score and exact near copies), so that the whole is
 tested against brute force instead.
 """
 
@@ -12,11 +12,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import lines, packing, simhash, toxicity
+from graphloom.llm import lines, packing, similar, toxicity
 from graphloom.llm.common import stored, table
 
-#: The near-duplicate stage: words a shingle, and the differing bits of 64 up to which documents are copies.
-SHINGLE, BITS = 5, 7
+#: The near-duplicate stage: words a shingle, and the Jaccard similarity from which documents are copies.
+SHINGLE, SHARE = 5, 0.8
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one_each(docs, SHINGLE, BITS)
+    return similar.keep_one_each(docs, SHINGLE, SHARE)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

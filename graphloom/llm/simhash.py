@@ -45,19 +45,24 @@ SMALL = 32
 PROBE_COST = 4.0
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """Bit b is set if it is set in over half of the shingles' XXH64."""
+def hashes_of(text: str | None, shingle: int) -> np.ndarray:
+    """The XXH64 of each shingle of a text, repeats included."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)] if words else [], dtype=">u8")
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = [0, *ends[:-shingle].tolist()]
     stops = (ends[shingle - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops)], dtype=">u8")
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops)], dtype=">u8")
+
+
+def fingerprint(text: str | None, shingle: int) -> int:
+    """Bit b is set if it is set in over half of the shingles' XXH64."""
+    hashes = hashes_of(text, shingle)
+    if not len(hashes):
+        return 0
     counts = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 14):
         counts += np.unpackbits(hashes[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)

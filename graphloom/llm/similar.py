@@ -1,0 +1,126 @@
+"""Near copies by the exact Jaccard similarity of their shingle sets, none missed.
+
+Two sets with a similarity of at least ``share`` have a common shingle among the
+first n - ceil(share n) + 1 of each (n its size), in any one order of all shingles.
+The order puts shingles that are common in a sample last, so that boilerplate
+joins few. Documents are gathered by such common shingles into loose groups, which
+therefore no link leaves; within a group the similarity is computed exactly.
+
+Texts with equal sets are one node. Groups of over BLOCK nodes are cut into blocks,
+and each pair of blocks is a task of its own. What reaches the driver is bounded:
+SAMPLE texts' shingles are counted in Spark, and COMMON of them collected.
+
+Defined cases: null and empty texts have the empty set, alike among themselves; a
+null id takes no part.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from graphloom.llm.common import stored
+from graphloom.llm.components import components
+from graphloom.llm.simhash import hashes_of
+
+SAMPLE, COMMON, BLOCK = 20_000, 100_000, 256
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    return np.unique(hashes_of(text, shingle).astype(np.int64))
+
+
+def linked(sets: list[np.ndarray], share: float) -> list[tuple[int, int]]:
+    """Index pairs that connect what pairs with a similarity of at least ``share`` connect: a forest."""
+    if len(sets) < 2:
+        return []
+    sizes = np.array([len(x) for x in sets])
+    _, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[at] > 1
+    column, row = (np.cumsum(count > 1) - 1)[at[shared]], np.repeat(np.arange(len(sets)), sizes)[shared]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    common = np.zeros((len(sets), len(sets)))
+    for start in range(0, int((count > 1).sum()), 4096):
+        a, b = np.searchsorted(column, [start, start + 4096])
+        has = np.zeros((len(sets), 4096), dtype=np.float32)
+        has[row[a:b], column[a:b] - start] = 1
+        common += has @ has.T
+    near = common >= share * (sizes[:, None] + sizes[None, :] - common) - 1e-9
+    left, out = np.ones(len(sets), dtype=bool), []
+    for first in range(len(sets)):
+        frontier = [first] if left[first] else []
+        left[first] = False
+        while frontier:
+            i = frontier.pop()
+            new = np.nonzero(near[i] & left)[0].tolist()
+            left[new] = False
+            out += [(i, x) for x in new]
+            frontier += new
+    return out
+
+
+def keep_one_each(docs: DataFrame, shingle: int, share: float) -> DataFrame:
+    """``docs`` without those that links of at least ``share`` join to one of a smaller id; rows with a null id stay."""
+    spark = docs.sparkSession
+    known = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"doc_id": b["doc_id"], "d": [xxhash.xxh3_128_digest(shingle_set(t, shingle).tobytes()) for t in b["text"]]})
+
+    marked = stored(known.mapInPandas(digest, "doc_id bigint, d binary"), "shingle-sets")
+    first = stored(marked.groupBy("d").agg(F.min("doc_id").alias("node")), "set-nodes")
+    nodes = known.join(first.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text").distinct()
+
+    def every(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), 500):
+                yield pd.DataFrame({"h": np.concatenate([shingle_set(t, shingle) for t in b["text"][at : at + 500]])})
+
+    part = max(1, first.count() // SAMPLE)
+    counts = nodes.where(F.pmod(F.xxhash64("node"), F.lit(part)) == 0).select("text").mapInPandas(every, "h bigint").groupBy("h").count()
+    usual = counts.where("count >= 3").orderBy(F.desc("count"), "h").limit(COMMON).toPandas().sort_values("h")  # COMMON rows at most
+    sent = spark.sparkContext.broadcast((usual["h"].to_numpy(dtype=np.int64), usual["count"].to_numpy(dtype=np.int64)))
+
+    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, seen = sent.value
+        for b in batches:
+            found = []
+            for node, t in zip(b["node"], b["text"]):
+                s = shingle_set(t, shingle)
+                if len(names) and len(s):
+                    at = np.minimum(np.searchsorted(names, s), len(names) - 1)
+                    s = s[np.lexsort((s, np.where(names[at] == s, seen[at], 0)))]
+                if len(s):
+                    s = s[: len(s) - math.ceil(share * len(s) - 1e-9) + 1]
+                    found.append((s, np.full(len(s), node, dtype=np.int64)))
+            if found:
+                yield pd.DataFrame({"h": np.concatenate([x for x, _ in found]), "node": np.concatenate([x for _, x in found])})
+
+    keyed = stored(nodes.mapInPandas(prefixes, "h bigint, node bigint"), "set-prefixes")
+    shared = keyed.groupBy("h").agg(F.min("node").alias("b"), F.max("node").alias("_m")).where("b < _m").select("h", "b")
+    loose = components(keyed.join(shared, "h").where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "loose-groups")
+    sized = loose.join(loose.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k")), "root")
+    mine = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
+    blocked = sized.select("node", "root", "k", mine.alias("m"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o"))
+    dealt = blocked.select("node", "root", (F.least("m", "o") * F.col("k") + F.greatest("m", "o")).alias("block")).join(nodes, "node")
+
+    def verify(group: pd.DataFrame) -> pd.DataFrame:
+        node = group["node"].to_numpy()
+        sets = [shingle_set(t, shingle) for t in group["text"]]
+        some = [i for i, s in enumerate(sets) if len(s)]
+        pairs = linked([sets[i] for i in some], share)
+        return pd.DataFrame({"a": [node[some[x]] for x, _ in pairs], "b": [node[some[y]] for _, y in pairs]}, dtype="int64")
+
+    links = dealt.groupBy("root", "block").applyInPandas(verify, "a bigint, b bigint")
+    roots = components(links, "similar-links")
+    named = marked.join(first, "d").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("_root"))
+    gone = named.where("_root < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

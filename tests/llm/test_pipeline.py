@@ -64,3 +64,28 @@ def test_registered():
 
     names = entry.queries()
     assert {f"op{n}_" for n in range(1, 11)} <= {x.split("_")[0] + "_" for x in names} and "pipeline" in names
+
+
+def test_near_copies_are_those_of_brute_force(spark):
+    import corpus_pipeline as P
+
+    random = np.random.default_rng(12)
+    words = [f"w{i}" for i in range(3000)]
+    rows, n = [], 0
+    for _ in range(60):
+        base = random.choice(words, 120)
+        for edits in (0, 1, 2, 3, 4, 5):
+            copy = base.copy()
+            copy[random.choice(120, edits, replace=False)] = "new"
+            rows.append((n, " ".join(copy)))
+            n += 1
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(116)} for i, t in rows}
+    root = {i: i for i in sets}
+    for i in sets:
+        for j in range(i // 6 * 6, i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = {x: a if r == b else r for x, r in root.items()}
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = {r.doc_id for r in P.drop_near_copies(spark, docs, "").collect()}
+    assert kept == {i for i in root if root[i] == i} and 60 < len(kept) < 300
