@@ -16,20 +16,22 @@ texts of any length are encoded whole; rows that repeat give repeated rows.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
 import struct
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 from heapq import heapify, heappop, heappush
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Chunks of text whose pieces a worker remembers; when full the memory starts afresh.
-CACHE_WORDS = 800_000
+#: Chunks of text whose pieces a worker remembers in each of two generations; when one is full the older is let go.
+CACHE_WORDS = 600_000
 
 
 def default_path() -> str:
@@ -55,13 +57,31 @@ SEPARATORS = re.compile("[\x1c-\x1f]")
 WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
+# What the library's Unicode tables have and Python's unicodedata lacks, as ranges of code points.
+NEWER_LETTERS = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+NEWER_DIGITS = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
+#: Capitals of those tables: first, last, and the lower case of the first.
+NEWER_CAPITALS = (
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x0264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3),
+    (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x019B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
+)
+LOWER = {a + n: low + n for a, b, low in NEWER_CAPITALS for n in range(b - a + 1)} | {0x3A3: 0x3C3}  # the capital sigma has one lower case here
+HAS_CAPITAL = re.compile("[" + "".join(map(chr, LOWER)) + "]")
+
+
 def class_pattern(pattern: str, top: int) -> str:
-    """The pattern with its letter and number classes written as ranges, by unicodedata, and white space as above."""
+    """The pattern with its letter and number classes written as ranges, by unicodedata and the newer ones above, and white space as above."""
+    newer = {"L": NEWER_LETTERS, "N": NEWER_DIGITS}
 
     def ranges(kind: str) -> str:
+        more = {cp for a, b in newer[kind] for cp in range(a, b + 1)}
         found: list[list[int]] = []
         for cp in range(top):
-            if unicodedata.category(chr(cp))[0] == kind:
+            if unicodedata.category(chr(cp))[0] == kind or cp in more:
                 if found and found[-1][1] == cp - 1:
                     found[-1][1] = cp
                 else:
@@ -99,14 +119,16 @@ class Bpe:
         symbols = [*map(self.inner.__getitem__, data[:-1]), self.final[data[-1]]]
         if None in symbols:
             symbols = [s for s in symbols if s is not None]
-        n, rank, merged = len(symbols), self.rank.get, self.merged
-        queue = []
-        for at in range(n - 1):
-            r = rank(symbols[at] << 20 | symbols[at + 1])
+        rank, merged = self.rank.get, self.merged
+        queue, left = [], symbols[0] if symbols else -1
+        for at, right in enumerate(symbols[1:]):
+            r = rank(left << 20 | right)
             if r is not None:
                 queue.append(r << 32 | at)
+            left = right
         if not queue:
             return symbols
+        n = len(symbols)
         heapify(queue)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while queue:
@@ -142,7 +164,9 @@ class Bpe:
 
     def split(self, text: str) -> list[str]:
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # the capital sigma has one lower case here
+            text = unicodedata.normalize("NFC", text)
+            if HAS_CAPITAL.search(text):
+                text = text.translate(LOWER)
         text = text.lower()
         return [c for c in WHITE.split(text) if c] if SEPARATORS.search(text) else text.split()
 
@@ -173,26 +197,34 @@ class Bpe:
 
 
 class Remembered(dict):
-    """Chunk of text to whatever ``make`` derives from its ids, within CACHE_WORDS entries."""
+    """Chunk of text to whatever ``make`` derives from its ids; two generations of CACHE_WORDS entries, so that usual chunks stay."""
 
     def __init__(self, bpe: Bpe, make):
         super().__init__()
         self.bpe, self.make = bpe, make
-        self.short: dict[str, list[int]] = {}
+        self.older: dict = {}
+        self.short: dict[str, tuple[int, ...]] = {}
 
     def __missing__(self, chunk: str):
         if len(self) >= CACHE_WORDS:
+            self.older = dict(self)
             self.clear()
-        if len(self.short) >= CACHE_WORDS // 2:
+        made = self.older.get(chunk)
+        if made is None:
+            made = self.make(self.ids(chunk))
+        self[chunk] = made
+        return made
+
+    def ids(self, chunk: str) -> list[int]:
+        if len(self.short) >= CACHE_WORDS:
             self.short.clear()
-        ids: list[int] = []
+        out: list[int] = []
         for w in self.bpe.chunk_words(chunk):
             got = self.short.get(w)
             if got is None:
-                got = self.short[w] = self.bpe.word_ids(w)
-            ids += got
-        made = self[chunk] = self.make(ids)
-        return made
+                got = self.short[w] = tuple(self.bpe.word_ids(w))
+            out += got
+        return out
 
     def of(self, text: str | None) -> list:
         """What ``make`` gave for each chunk and special token of a text."""
@@ -210,16 +242,45 @@ def id_bytes(ids: list[int]) -> bytes:
 
 
 _models: dict[str, Bpe] = {}
+_remembered: dict[tuple[str, str], Remembered] = {}
+
+
+def key_of(definition: str) -> str:
+    return hashlib.sha1(definition.encode()).hexdigest()
 
 
 def model_of(definition: str) -> Bpe:
-    key = hashlib.sha1(definition.encode()).hexdigest()
+    key = key_of(definition)
     if key not in _models:
         _models.clear()
         _models[key] = Bpe(definition)
     return _models[key]
 
 
+def plain(bpe: Bpe, ids: list[int]) -> tuple[int, ...]:
+    return tuple(ids)
+
+
+def as_bytes(bpe: Bpe, ids: list[int]) -> bytes:
+    return id_bytes(ids)
+
+
+def as_strings(bpe: Bpe, ids: list[int]) -> tuple[str, str, int]:
+    return " ".join(map(str, ids)), bpe.decode(ids), len(ids)
+
+
+def remembered(definition: str, make: Callable[[Bpe, list[int]], object]) -> Remembered:
+    """The worker's memory for one of the forms above; it outlives a task, as the worker does."""
+    key = (key_of(definition), make.__name__)
+    if key not in _remembered:
+        _remembered.clear()
+        bpe = model_of(definition)
+        gc.freeze()  # the collector need not walk the tables and the memory again and again; nothing here is cyclic
+        gc.set_threshold(500_000, 20, 100)
+        _remembered[key] = Remembered(bpe, partial(make, bpe))
+    return _remembered[key]
+
+
 def published(spark, path: str | None):
     """The tokenizer's file as a broadcast of a fixed size (under 2 MB)."""
     with open(path or default_path(), encoding="utf-8") as f:
@@ -233,7 +294,7 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", path: str | No
     schema = out.withColumn(ids, F.expr("array(0)")).schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = Remembered(model_of(file.value), tuple)
+        words = remembered(file.value, plain)
         for b in batches:
             yield b.assign(**{ids: [[i for w in words.of(t) for i in w] for t in b[text]]})
 
@@ -259,8 +320,7 @@ def round_trip_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     file = published(docs.sparkSession, path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = model_of(file.value)
-        words = Remembered(bpe, lambda ids: (" ".join(map(str, ids)), bpe.decode(ids), len(ids)))
+        words = remembered(file.value, as_strings)
         for b in batches:
             rows = []
             for t in b["text"]:

@@ -27,12 +27,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.bpe import Remembered, id_bytes, model_of, published
+from graphloom.llm.bpe import as_bytes, id_bytes, published, remembered
 from graphloom.llm.common import stored
 
 CAPACITY = 4096
 #: Pieces of one length that are ranked in one task.
-RANK_BLOCK = 20_000
+RANK_BLOCK = 1_000
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
@@ -86,7 +86,7 @@ def tokenised_pieces(docs: DataFrame, path: str | None = None, capacity: int = C
     file = published(docs.sparkSession, path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = Remembered(model_of(file.value), id_bytes)
+        words = remembered(file.value, as_bytes)
         end, step = id_bytes([end_id]), 4 * capacity
         for b in batches:
             out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}

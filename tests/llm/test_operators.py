@@ -58,6 +58,18 @@ def test_bpe_matches_the_library(spark, docs):
         assert list(r.ids) == want and r.decoded == library.decode(want, skip_special_tokens=False)
 
 
+def test_bpe_cuts_all_kinds_of_code_points_as_the_library():
+    tokenizers = pytest.importorskip("tokenizers")
+    known = tokenizers.Tokenizer.from_file(bpe.default_path())
+    with open(bpe.default_path(), encoding="utf-8") as f:
+        own = bpe.Bpe(f.read())
+    newer = {c for a, b in (*bpe.NEWER_LETTERS, *bpe.NEWER_DIGITS) for c in (*range(a, min(b, a + 40) + 1), b)} | set(bpe.LOWER)
+    some = [c for c in sorted(newer | set(range(0, 0x3000)) | set(range(0x3000, 0x110000, 37))) if not 0xD800 <= c <= 0xDFFF]
+    texts = [f"a{chr(c)}b1{chr(c)} !{chr(c)}{chr(c)}" for c in some]
+    for text, expected in zip(texts, known.encode_batch(texts, add_special_tokens=False)):
+        assert own.encode(text) == expected.ids, text
+
+
 def test_bpe_digests(docs, empty):
     import hashlib
 
