@@ -1,27 +1,32 @@
-"""A Katz backoff bigram model: trained, stored in partitioned tables, and evaluated on every text.
+"""A Katz backoff model of any order: fitted, stored in partitioned tables, and evaluated on every text.
 
 Counts r up to K are discounted by Good-Turing, d_r = (r*/r - x) / (1 - x) with
-r* = (r + 1) n_(r+1) / n_r and x = (K + 1) n_(K+1) / n_1; a context keeps the
-mass that this frees for the words it has not seen, shared in proportion to their
-unigram probabilities, so that each distribution sums to one exactly: over all
-training words and one class of unknown words, whose probability is the mass
-that the unigram discounts free. A token is evaluated recursively: its bigram if
-that was seen, else the context's backoff weight times its unigram.
+r* = (r + 1) n_(r+1) / n_r and x = (K + 1) n_(K+1) / n_1, each order by its own counts of
+counts; a context keeps the mass that this frees for the words it has not seen, shared in
+proportion to their probabilities at the next lower order, so that each distribution sums to
+one exactly: over all training words and one class of unknown words, whose probability is the
+mass that the unigram discounts free. A token is evaluated recursively: its n-gram if that was
+seen, else the context's backoff weight times the token's probability one order below.
 
 Where counts of counts allow no such discounts K is lowered; where no K is left,
 0.5 is taken off each count up to 5. A context (or a whole table) without any
 discounted count gets one more event in its denominator, which is its free mass.
 
-How it runs: the corpus is tokenised once into blocks (tables of distinct word
-digests, and tokens as indexes into them), in buckets by block number. A block
-sends its distinct words, then its distinct bigrams, to the partitions that own
-them; an owner sums what all blocks send, stores its part of the table, and
-replies to each block with the counts in the order sent, so that no row a token
-is ever shuffled and the joins back are on whole blocks. The contexts that hold
-over 1 / (4 * partitions) of all tokens are spread over SPREAD partitions; only
-for them the sums are put together on the driver (4 * partitions contexts at most).
+The stored model is a trie: a row of level n holds, for one partition, the contexts (ids of
+grams of level n - 1), their followers (word ids) and counts, and each context's sums; a gram's
+id is its place. ``fit`` writes it, ``score`` reads it for texts of any kind, and ``fit_and_score``
+does both in one exchange for the corpus that it learns from.
 
-Words are held by their 64-bit XXH64; in a context its followers by 48 bits.
+How it runs: the corpus is tokenised once into blocks (distinct word digests, and tokens as
+indexes into them). Order by order, a block sends its distinct grams whose context is known to the
+partitions that own the contexts; an owner sums what all blocks send, stores its part of
+the level, and replies to each block with counts and ids in the order sent. So no row a token is
+shuffled, and the next order's contexts are single numbers. There are about TOKENS / PART_TOKENS
+partitions, and a block sends nothing to those that it has no gram for. Contexts that hold over
+1 / (4 * partitions) of all tokens are spread over SPREAD partitions; only their sums are
+put together on the driver (4 * partitions contexts at most).
+
+Words are held by their 64-bit XXH64.
 
 Defined cases: a null or empty text is one end token; an id that is null is
 scored and held out; with no training text every token is unknown (probability
@@ -30,26 +35,29 @@ one); rows that repeat count each; texts of any length are taken whole.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import stored
+from graphloom.llm.common import removed, session_settings, shared_dir, stored
 
 K = 5
-BLOCK_TOKENS = 2_000_000
+ORDER = 3
+BLOCK_TOKENS = 1_000_000
+PART_TOKENS = 2_000_000
 SPREAD = 8
-#: Bigrams whose probabilities are worked out at once.
-SLICE = 200_000
-END, START = xxhash.xxh64_intdigest(b"\nend"), xxhash.xxh64_intdigest(b"\nstart")  # no word holds a line feed
-LOW48 = np.uint64((1 << 48) - 1)
+END = xxhash.xxh64_intdigest(b"\nend")  # no word holds a line feed
+START_ID, UNKNOWN_ID, FIRST_ID = 0, 1, 2
+NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def packed(a: np.ndarray) -> bytes:
@@ -65,6 +73,14 @@ def unpacked(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(kind.itemsize, -1).T).view(kind).ravel() if len(raw) else np.zeros(0, kind)
 
 
+def packed_rising(a: np.ndarray) -> bytes:
+    return packed(np.diff(a.astype(np.uint64), prepend=np.uint64(0)))
+
+
+def unpacked_rising(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data, "<u8"), dtype=np.uint64)
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(20)
@@ -84,281 +100,522 @@ def discounts(n: np.ndarray, k: int = K) -> np.ndarray:
     return np.concatenate([[1.0], (r - 0.5) / r])
 
 
+def discounted(c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Counts less their discount."""
+    c = np.asarray(c, dtype=np.int64)
+    return np.where(c > K, 1.0, d[np.minimum(c, K)]) * c
+
+
+def freed_mass(small: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """What the discounts free in each context, in events; ``small``: a row a context, how many followers have counts 1 to K."""
+    return small @ (np.arange(1, K + 1) * (1 - d[1 : K + 1]))
+
+
+def counts_of_counts(c: np.ndarray) -> np.ndarray:
+    return np.bincount(np.minimum(c, K + 2), minlength=K + 3)[1 : K + 2]
+
+
 class Unigrams:
     """Probabilities by training count: ``p(c)``; c = 0 is the class of all unknown words."""
 
     def __init__(self, total: int, kinds: int, n: np.ndarray):
-        self.total, self.kinds, self.d = int(total), int(kinds), discounts(n)
-        freed = float((np.arange(1, K + 1) * n[:K] * (1 - self.d[1 : K + 1])).sum())
+        self.total, self.kinds, self.d = int(total), int(kinds), discounts(np.asarray(n))
+        freed = float((np.arange(1, K + 1) * np.asarray(n)[:K] * (1 - self.d[1 : K + 1])).sum())
         self.of = total if freed > 0 else total + 1
         self.unknown = (freed if freed > 0 else 1.0) / self.of
 
     def p(self, c: np.ndarray) -> np.ndarray:
-        c = np.asarray(c, dtype=np.int64)
-        return np.where(c > 0, self.d[np.minimum(c, K) * (c <= K)] * c / self.of, self.unknown)
+        return np.where(np.asarray(c) > 0, discounted(c, self.d) / self.of, self.unknown)
 
 
-def freed_mass(small: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """What the discounts free in each context, in events; ``small``: a row a context, how many followers have counts 1 to K."""
-    return small @ (np.arange(1, K + 1) * (1 - d[1 : K + 1]))
+@dataclass
+class Hot:
+    """The spread contexts of a level, sorted, and their sums over all partitions."""
 
+    ctx: np.ndarray
+    small: np.ndarray
+    mass: np.ndarray
 
-def conditional(c: np.ndarray, p1: np.ndarray, d: np.ndarray, total: np.ndarray, freed: np.ndarray, seen_p1: np.ndarray, unknown: float) -> np.ndarray:
-    """p(word | context) from the bigram's count, the word's unigram probability, and the context's sums:
-    its total, its freed mass, and the unigram probabilities of all followers together."""
-    of = np.where(freed > 0, total, total + 1).astype(float)
-    free = np.where(freed > 0, freed, 1.0) / np.maximum(of, 1)
-    weight = free / np.maximum(1 - seen_p1, unknown)
-    own = d[np.minimum(c, K) * (c <= K)] * c / np.maximum(of, 1)
-    return np.where(total == 0, p1, np.where(c > 0, own, weight * p1))
 
+@dataclass
+class Model:
+    """Statistics of a fitted model; its levels lie in tables below ``path``, a row a partition."""
 
-class Block:
-    """The distinct bigrams of a block, in the order in which they are sent."""
+    path: str
+    order: int
+    parts: int
+    texts: int = 0
+    sums: list[int] = field(default_factory=list)
+    d: dict[int, np.ndarray] = field(default_factory=dict)
+    hot: dict[int, Hot] = field(default_factory=dict)
 
-    def __init__(self, row, counts: np.ndarray, parts: int, hot: np.ndarray):
-        self.words = unpacked(row.words, "<u8")
-        self.lens = unpacked(row.lens, "<i4").astype(np.int64)
-        tokens = unpacked(row.tokens, "<u4").astype(np.int64)
-        self.counts = counts
-        start = np.searchsorted(self.words, np.uint64(START))
-        before = np.empty_like(tokens)
-        before[1:] = tokens[:-1]
-        before[np.cumsum(self.lens) - self.lens] = start
-        pair = before * len(self.words) + tokens
-        del before
-        self.pairs, inverse = np.unique(pair, return_inverse=True)
-        del pair
-        self.inverse = inverse.astype(np.int32)
-        del inverse
-        self.doc = np.repeat(np.arange(len(self.lens), dtype=np.int32), self.lens)
-        self.tokens = tokens.astype(np.int32)
-        self.first, self.second = (self.pairs // len(self.words)).astype(np.int32), (self.pairs % len(self.words)).astype(np.int32)
-        train = np.repeat(~np.array(row.held, dtype=bool), self.lens)
-        self.trained = np.bincount(self.inverse[train], minlength=len(self.pairs)).astype(np.uint32)
-        # a bigram with an unknown word was never seen in training; it still needs the sums of its context
-        a, b = self.words[self.first], self.words[self.second]
-        part = mixed(a) % np.uint64(parts)
-        spread = np.isin(a, hot)
-        part[spread] = (part[spread] + mixed(a[spread] ^ mixed(b[spread])) % np.uint64(SPREAD)) % np.uint64(parts)
-        self.order = np.lexsort((b, a, part))
-        self.part = part[self.order].astype(np.int64)
-        self.cuts = np.searchsorted(self.part, np.arange(parts + 1))
-
-
-def blocks_of(docs: DataFrame, held: F.Column) -> DataFrame:
-    """The tokenised corpus: a row a block of some BLOCK_TOKENS tokens."""
+    @property
+    def uni(self) -> Unigrams:
+        return Unigrams(self.sums[0], self.sums[1], np.array(self.sums[2:]))
+
+    def table(self, spark: SparkSession, level: int) -> DataFrame:
+        return spark.read.schema(OWNED).parquet(f"{self.path}/level-{level}").where("kind = 1")
+
+    def save(self, spark: SparkSession) -> None:
+        hot = {n: [h.ctx.tolist(), h.small.tolist(), h.mass.tolist()] for n, h in self.hot.items()}
+        text = json.dumps({"order": self.order, "parts": self.parts, "texts": self.texts, "sums": self.sums, "d": {n: d.tolist() for n, d in self.d.items()}, "hot": hot})
+        spark.createDataFrame([(text,)], "statistics string").coalesce(1).write.parquet(f"{self.path}/statistics")
+
+
+def load(spark: SparkSession, path: str) -> Model:
+    got = json.loads(spark.read.parquet(f"{path}/statistics").first()[0])
+    hot = {int(n): Hot(np.array(c, dtype=np.uint64), np.array(s, dtype=float).reshape(-1, K), np.array(m, dtype=float)) for n, (c, s, m) in got["hot"].items()}
+    return Model(path, got["order"], got["parts"], got["texts"], got["sums"], {int(n): np.array(d) for n, d in got["d"].items()}, hot)
+
+
+class Numbers(dict):
+    """Words to numbers, in the order in which they are first met."""
+
+    def __missing__(self, word: bytes) -> int:
+        got = self[word] = len(self)
+        return got
+
+
+def blocks_of(docs: DataFrame, held: F.Column, size: int) -> DataFrame:
+    """The tokenised corpus: a row a block of some ``size`` tokens."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task, number = TaskContext.get().partitionId(), 0
-        names: dict[bytes, int] = {}
-        hashes = [END, START]
+        names = Numbers({b"\n": 0})
         ids, flags, rows, total = [], [], [], 0
 
         def flush() -> pd.DataFrame:
-            h = np.array(hashes, dtype=np.uint64)
+            digest = xxhash.xxh64_intdigest
+            h = np.array([END, *map(digest, list(names)[1:])], dtype=np.uint64)
             words, place = np.unique(h, return_inverse=True)
             tokens = place[np.concatenate(rows)].astype(np.uint32)
-            one = {"block": task << 24 | number, "ids": ids[:], "held": flags[:], "lens": packed(np.array([len(r) for r in rows], dtype=np.int32)), "tokens": packed(tokens), "words": packed(words)}
+            train = sum(len(r) for r, f in zip(rows, flags) if not f)
+            one = {"block": task << 24 | number, "n": len(tokens), "train": train, "texts": len(flags) - sum(flags), "ids": ids[:], "held": flags[:],
+                   "lens": packed(np.array([len(r) for r in rows], dtype=np.int32)), "tokens": packed(tokens), "words": packed_rising(words)}
             return pd.DataFrame([one])
 
         for b in batches:
             for doc_id, text, flag in zip(b["doc_id"].tolist() if b["doc_id"].notna().all() else [None if pd.isna(x) else x for x in b["doc_id"]], b["text"], b["held"]):
                 found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-                row = np.empty(len(found) + 1, dtype=np.int64)
-                for n, w in enumerate(found):
-                    at = names.get(w)
-                    if at is None:
-                        at = names[w] = len(hashes)
-                        hashes.append(xxhash.xxh64_intdigest(w))
-                    row[n] = at
-                row[-1] = 0
+                found.append(b"\n")
+                row = np.fromiter(map(names.__getitem__, found), dtype=np.int32, count=len(found))
                 ids.append(doc_id)
                 flags.append(bool(flag))
                 rows.append(row)
                 total += len(row)
-                if total >= BLOCK_TOKENS:
+                if total >= size:
                     yield flush()
                     number += 1
-                    names.clear()
-                    hashes, ids, flags, rows, total = [END, START], [], [], [], 0
+                    names = Numbers({b"\n": 0})
+                    ids, flags, rows, total = [], [], [], 0
         if rows:
             yield flush()
 
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"), held.alias("held"))
-    return texts.mapInPandas(run, f"block bigint, ids array<{kind}>, held array<boolean>, lens binary, tokens binary, words binary")
+    return texts.mapInPandas(run, f"block bigint, n bigint, train bigint, texts bigint, ids array<{kind}>, held array<boolean>, lens binary, tokens binary, words binary")
 
 
-def summed(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Distinct keys, their sums, and where the keys of each list are among them."""
-    every, place = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(place, np.concatenate(values), len(every)).astype(np.int64)
-    return every, total, np.split(place, np.cumsum([len(k) for k in keys])[:-1])
-
-
-def counts_of_counts(c: np.ndarray) -> np.ndarray:
-    return np.bincount(np.minimum(c, K + 2), minlength=K + 3)[1 : K + 2]
-
+class Block:
+    """A block with what the owners have replied so far: level by level its distinct grams, in the order in which they are sent."""
 
-def fit_and_score(docs: DataFrame, held: F.Column) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs``.
+    def __init__(self, row, model: Model, fitting: bool):
+        self.model, self.uni = model, model.uni
+        self.words = unpacked_rising(row.words)
+        self.tokens = unpacked(row.tokens, "<u4").astype(np.int32)
+        self.lens = unpacked(row.lens, "<i4").astype(np.int64)
+        self.first = np.cumsum(self.lens) - self.lens  # where the texts start
+        self.train = np.repeat(~np.array(row.held, dtype=bool), self.lens) if fitting else None
+        self.parts = np.uint64(model.parts)
+        self.replies = row
+
+    def trained(self, at: np.ndarray, n: int) -> np.ndarray:
+        """How often each gram occurs in training texts; ``at``: the gram of each token, or -1."""
+        if self.train is None:
+            return np.zeros(n, np.uint32)
+        return np.bincount(at[self.train & (at >= 0)], minlength=n).astype(np.uint32)
+
+    def take_words(self) -> None:
+        """Level 1: word ids and counts as replied; unknown words become one."""
+        part = mixed(self.words) % self.parts
+        self.count, self.id = np.zeros(len(self.words), np.int64), np.full(len(self.words), UNKNOWN_ID, np.uint64)
+        for r in self.replies.r1:
+            mine = part == r["part"]
+            self.count[mine], self.id[mine] = unpacked(r["n"], "<u4"), unpacked(r["id"], "<u8")
+        self.word_id, self.word_count = self.id, self.count
+        by_id, self.rank = np.unique(self.id, return_inverse=True)  # words in the order of their ids, the unknown ones alike
+        self.by_rank, self.kinds = by_id, len(by_id)
+        self.at = self.tokens  # the gram of the level so far that ends at each token
+        self.p = self.uni.p(self.count)[self.tokens]
+        # of the contexts, the last of which is the start of a text: their number of events, denominators and least probability below
+        self.below_of, self.floor = np.full(len(self.words) + 1, float(self.uni.of)), np.full(len(self.words) + 1, self.uni.unknown)
+        self.id = np.append(np.where(self.count > 0, self.id, NONE), np.uint64(START_ID))
+        self.total = np.append(self.count, self.model.texts)
+
+    def grams(self, level: int) -> None:
+        """The distinct grams of ``level`` whose context is known, sorted by part, context and follower."""
+        self.level_at = self.at
+        before = np.empty_like(self.at)
+        before[1:] = self.at[:-1]
+        before[self.first] = len(self.id) - 1
+        known = np.nonzero((before >= 0) & (self.total[before] > 0))[0]
+        ctx, rank = before[known], self.rank[self.tokens[known]]
+        base = mixed(self.id + np.uint64(level)) % self.parts
+        hot = np.isin(self.id, self.model.hot[level].ctx)
+        part = base[ctx]
+        far = np.nonzero(hot[ctx])[0]
+        part[far] = (part[far] + mixed(self.by_rank[rank[far]] ^ (self.id[ctx[far]] << np.uint64(7))) % np.uint64(SPREAD)) % self.parts
+        by_id = np.empty(len(self.id), np.int64)
+        by_id[np.argsort(self.id, kind="stable")] = np.arange(len(self.id))
+        key = (part.astype(np.int64) * len(self.id) + by_id[ctx]) * self.kinds + rank
+        del part, far
+        keys, at = np.unique(key, return_inverse=True)
+        del key
+        self.before_id, self.before_total, self.before_hot = self.id, self.total, hot
+        self.at = np.full(len(self.tokens), -1, np.int32)
+        self.at[known] = at
+        one = np.empty(len(keys), np.int64)
+        one[at] = known  # a token at which each gram ends
+        self.one, self.ctx, self.follower = one, before[one], self.tokens[one]
+        rest = keys // self.kinds
+        new = np.concatenate([[True], rest[1:] != rest[:-1]]) if len(rest) else np.zeros(0, bool)
+        self.head = np.nonzero(new)[0]  # where a context begins
+        self.part_of = (rest // len(self.id)).astype(np.int64)
+        self.cuts = np.searchsorted(self.part_of, np.arange(self.model.parts + 1))
+        self.run = np.cumsum(new) - 1  # the context's run of each gram
+
+    def sent(self, block: int, lower: np.ndarray) -> Iterator[dict]:
+        """What goes to each owner; ``lower``: the count one order below of each gram."""
+        n = self.trained(self.at, len(self.one))
+        followers = np.where(self.word_count[self.follower] > 0, self.word_id[self.follower], np.uint64(UNKNOWN_ID))
+        for p in np.unique(self.part_of[self.head]).tolist():
+            mine = slice(self.cuts[p], self.cuts[p + 1])
+            heads = self.head[np.searchsorted(self.head, mine.start) : np.searchsorted(self.head, mine.stop)]
+            runs = np.diff(np.append(heads, mine.stop)).astype(np.uint32)
+            some = n[mine]
+            yield {"part": p, "block": block, "ctx": packed_rising(self.before_id[self.ctx[heads]]), "runs": packed(runs), "fol": packed(followers[mine]),
+                   "n": packed(some), "lower": packed(lower[mine][some > 0].astype(np.uint32))}
+
+    def take(self, level: int, replies, last: bool) -> None:
+        """Counts, ids and sums of the grams as replied; then the probability of each token at this level."""
+        model, size = self.model, len(self.one)
+        count, ids = np.zeros(size, np.int64), np.full(size, NONE, np.uint64)
+        small, mass = np.zeros((len(self.head), K)), np.zeros(len(self.head))
+        for r in replies:
+            mine = slice(self.cuts[r["part"]], self.cuts[r["part"] + 1])
+            count[mine] = unpacked(r["n"], "<u4")
+            if not last:
+                own = np.full(mine.stop - mine.start, NONE, np.uint64)
+                own[count[mine] > 0] = unpacked_rising(r["id"])
+                ids[mine] = own
+            runs = slice(np.searchsorted(self.head, mine.start), np.searchsorted(self.head, mine.stop))
+            small[runs], mass[runs] = unpacked(r["small"], "<u4").reshape(-1, K), unpacked(r["mass"], "<f8")
+        of_run = self.ctx[self.head]  # each run's context
+        hot = np.nonzero(self.before_hot[of_run])[0]
+        at = np.searchsorted(model.hot[level].ctx, self.before_id[of_run[hot]])
+        small[hot], mass[hot] = model.hot[level].small[at], model.hot[level].mass[at]
+        freed, total = freed_mass(small, model.d[level]), self.before_total[of_run]
+        of = np.where(freed > 0, total, total + 1)
+        free = np.where(freed > 0, freed, 1.0) / of
+        weight = free / np.maximum(1 - mass / self.below_of[of_run], self.floor[of_run])
+        below = self.p[self.one]
+        p = np.where(count > 0, discounted(count, model.d[level]) / of[self.run], weight[self.run] * below)
+        tokens = np.nonzero(self.at >= 0)[0]
+        self.p[tokens] = p[self.at[tokens]]
+        if not last:
+            # the grams as contexts of the next level: their own shorter context is the gram that ends at the same token one level below
+            of_below, floor_below = np.full(len(self.before_id), np.nan), np.full(len(self.before_id), np.nan)
+            of_below[of_run], floor_below[of_run] = of, weight * self.floor[of_run]
+            short = np.append(self.level_at[self.one], len(self.before_id) - 1)
+            self.below_of, self.floor = of_below[short], floor_below[short]
+            self.id, self.total = np.append(ids, np.uint64(START_ID)), np.append(count, model.texts)
+            self.count = count
+
+    def lower_counts(self) -> np.ndarray:
+        """The count one order below of each gram of the level at hand."""
+        at = self.level_at[self.one]
+        return np.where(at >= 0, self.count[at], 0)
+
+
+class Level:
+    """A part of a level of the model: contexts, and their followers and counts, both in the order of ids."""
+
+    def __init__(self, part: int, parts: int, ctx: np.ndarray, runs: np.ndarray, fol: np.ndarray, n: np.ndarray, small: np.ndarray, mass: np.ndarray):
+        self.part, self.parts, self.ctx, self.runs, self.fol, self.n, self.small, self.mass = part, parts, ctx, runs, fol, n, small, mass
+        self.followers, rank = np.unique(fol, return_inverse=True)
+        self.keys = np.repeat(np.arange(len(ctx)), runs) * max(1, len(self.followers)) + rank
+
+    @classmethod
+    def of_sent(cls, part: int, parts: int, sent: pd.DataFrame, d: np.ndarray) -> Level:
+        """Summed up from what the blocks sent; ``d`` are the discounts one order below."""
+        ctx = np.concatenate([np.repeat(unpacked_rising(c), unpacked(r, "<u4")) for c, r in zip(sent["ctx"], sent["runs"])])
+        fol = np.concatenate([unpacked(x, "<u8") for x in sent["fol"]])
+        n = np.concatenate([unpacked(x, "<u4") for x in sent["n"]])
+        some = n > 0
+        ctx, fol, n = ctx[some], fol[some], n[some]
+        lower = np.concatenate([np.zeros(0, np.uint32), *(unpacked(x, "<u4") for x in sent["lower"])])
+        contexts, at = np.unique(ctx, return_inverse=True)
+        followers, rank = np.unique(fol, return_inverse=True)
+        keys, place = np.unique(at * max(1, len(followers)) + rank, return_inverse=True)
+        total = np.bincount(place, n, len(keys)).astype(np.int64)
+        below = np.zeros(len(keys), np.int64)
+        below[place] = lower
+        of = keys // max(1, len(followers))
+        small = np.stack([np.bincount(of[total == r], minlength=len(contexts)) for r in range(1, K + 1)], axis=1)
+        mass = np.bincount(of, discounted(below, d), len(contexts))
+        return cls(part, parts, contexts, np.bincount(of, minlength=len(contexts)), followers[keys % max(1, len(followers))], total, small, mass)
+
+    @classmethod
+    def of_table(cls, part: int, parts: int, table: pd.DataFrame) -> Level:
+        none = np.zeros(0)
+        if not len(table):
+            return cls(part, parts, none.astype(np.uint64), none.astype(np.int64), none.astype(np.uint64), none.astype(np.int64), np.zeros((0, K)), none)
+        r = table.iloc[0]
+        return cls(part, parts, unpacked_rising(r["ctx"]), unpacked(r["runs"], "<u4").astype(np.int64), unpacked(r["fol"], "<u8"), unpacked(r["n"], "<u4").astype(np.int64), unpacked(r["small"], "<u4").reshape(-1, K), unpacked(r["mass"], "<f8"))
+
+    def row(self) -> dict:
+        return {"kind": 1, "block": -1, "ctx": packed_rising(self.ctx), "runs": packed(self.runs.astype(np.uint32)), "fol": packed(self.fol), "n": packed(self.n.astype(np.uint32)), **self.sums(slice(None))}
+
+    def sums(self, at) -> dict:
+        return {"small": packed(self.small[at].astype(np.uint32).ravel()), "mass": packed(self.mass[at].astype(np.float64))}
+
+    def reply(self, r, last: bool) -> dict:
+        ctx, runs, fol = unpacked_rising(r.ctx), unpacked(r.runs, "<u4"), unpacked(r.fol, "<u8")
+        at = np.minimum(np.searchsorted(self.ctx, ctx), max(0, len(self.ctx) - 1))
+        known = self.ctx[at] == ctx if len(self.ctx) else np.zeros(len(ctx), bool)
+        count, ids = np.zeros(len(fol), np.int64), np.zeros(0, np.uint64)
+        small, mass = np.zeros((len(ctx), K)), np.zeros(len(ctx))
+        if len(self.keys):
+            rank = np.minimum(np.searchsorted(self.followers, fol), len(self.followers) - 1)
+            key = np.repeat(at, runs) * len(self.followers) + rank
+            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = (self.keys[place] == key) & (self.followers[rank] == fol) & np.repeat(known, runs)
+            count = np.where(hit, self.n[place], 0)
+            ids = place[hit].astype(np.uint64) * np.uint64(self.parts) + np.uint64(self.part + FIRST_ID)
+            small[known], mass[known] = self.small[at[known]], self.mass[at[known]]
+        out = {"kind": 0, "block": r.block, "n": packed(count.astype(np.uint32)), "small": packed(small.astype(np.uint32).ravel()), "mass": packed(mass)}
+        return out if last else out | {"id": packed_rising(ids)}
+
+
+OWNED = "kind int, part int, block bigint, ctx binary, runs binary, fol binary, n binary, id binary, small binary, mass binary"
+COLUMNS = [c.split()[0] for c in OWNED.split(", ")]
+
+
+def owned(rows: list[dict], part: int) -> pd.DataFrame:
+    out = pd.DataFrame(rows).reindex(columns=COLUMNS).assign(part=part)
+    return out.astype(object).where(out.notna(), None)
+
+
+class Run:
+    """One pass of a corpus through the levels: with ``model.path`` written (fitting) or read (scoring)."""
+
+    def __init__(self, docs: DataFrame, held: F.Column, model: Model, fitting: bool):
+        self.docs, self.held, self.model, self.fitting = docs, held, model, fitting
+        self.spark = docs.sparkSession
+        self.kind = docs.schema["doc_id"].dataType.simpleString()
+        self.name = f"graphloom_blocks_{uuid.uuid4().hex}"
+        self.work = model.path if fitting else f"{shared_dir(self.spark)}/graphloom/katz-{uuid.uuid4().hex}"
+
+    def __enter__(self) -> Run:
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        blocks_of(self.docs, self.held, BLOCK_TOKENS).write.bucketBy(buckets, "block").saveAsTable(self.name)
+        self.corpus = self.spark.table(self.name)
+        if self.fitting:
+            n, texts = self.corpus.agg(F.sum("n"), F.sum("texts")).first()
+            self.model.texts = texts or 0
+            self.model.parts = max(1, -(-(n or 0) // PART_TOKENS), min(buckets, (n or 0) // 20_000))
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        for level in range(1, self.model.order + 1):
+            removed(self.spark, f"{self.work}/level-{level}/kind=0")
+
+    def owners(self, sent: DataFrame, level: int, own, last: bool = False) -> DataFrame:
+        """Deal what was sent to its owners, store what they make, and return it."""
+        grouped = sent.groupBy("part")
+        if self.fitting:
+            made = grouped.applyInPandas(lambda g: own(g, None), OWNED)
+        else:
+            made = grouped.cogroup(self.model.table(self.spark, level).groupBy("part")).applyInPandas(lambda g, t: own(g, t) if len(g) else owned([], 0), OWNED)
+        path = f"{self.work}/level-{level}"
+        made.write.partitionBy("kind").parquet(path)
+        return self.spark.read.schema(OWNED).parquet(path)
+
+    def replies(self, level: int) -> DataFrame:
+        table = self.spark.read.schema(OWNED).parquet(f"{self.work}/level-{level}").where("kind = 0")
+        return table.groupBy("block").agg(F.collect_list(F.struct("part", "n", "id", "small", "mass")).alias(f"r{level}"))
+
+    def with_replies(self, levels: int) -> DataFrame:
+        out = self.corpus
+        for level in range(1, levels + 1):
+            out = out.join(self.replies(level), "block", "inner" if level == 1 else "left")
+        return out
 
-    ``held`` is a condition on ``docs``: its rows take no part in training.
-    """
+    def words(self) -> None:
+        parts, fitting, model = self.model.parts, self.fitting, self.model
+
+        def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for row in b.itertuples():
+                    words, lens = unpacked_rising(row.words), unpacked(row.lens, "<i4")
+                    n = np.zeros(len(words), np.uint32)
+                    if fitting:
+                        train = np.repeat(~np.array(row.held, dtype=bool), lens)
+                        n = np.bincount(unpacked(row.tokens, "<u4")[train], minlength=len(words)).astype(np.uint32)
+                    part = mixed(words) % np.uint64(parts)
+                    for p in np.unique(part):
+                        mine = part == p
+                        yield pd.DataFrame([{"part": int(p), "block": row.block, "words": packed_rising(words[mine]), "n": packed(n[mine])}])
+
+        def own(group: pd.DataFrame, table: pd.DataFrame | None) -> pd.DataFrame:
+            part = int(group["part"].iloc[0])
+            sent = [unpacked_rising(x) for x in group["words"]]
+            if table is None:
+                every, place = np.unique(np.concatenate(sent), return_inverse=True)
+                total = np.bincount(place, np.concatenate([unpacked(x, "<u4") for x in group["n"]]), len(every)).astype(np.int64)
+                every, total = every[total > 0], total[total > 0]
+                ids = np.empty(len(every), np.uint64)
+                ids[np.argsort(-total, kind="stable")] = np.arange(len(every), dtype=np.uint64) * np.uint64(parts) + np.uint64(part + FIRST_ID)  # usual words have small ids
+            elif len(table):
+                r = table.iloc[0]
+                every, total, ids = unpacked_rising(r["fol"]), unpacked(r["n"], "<u4").astype(np.int64), unpacked(r["id"], "<u8")
+            else:
+                every, total, ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+            out = []
+            for block, words in zip(group["block"], sent):
+                n, own_id = np.zeros(len(words), np.uint32), np.full(len(words), UNKNOWN_ID, np.uint64)
+                if len(every):
+                    at = np.minimum(np.searchsorted(every, words), len(every) - 1)
+                    hit = every[at] == words
+                    n[hit], own_id[hit] = total[at[hit]], ids[at[hit]]
+                out.append({"kind": 0, "block": block, "n": packed(n), "id": packed(own_id)})
+            if table is None:
+                out.append({"kind": 1, "block": -1, "fol": packed_rising(every), "n": packed(total.astype(np.uint32)), "id": packed(ids)})
+                out.append({"kind": 2, "block": -1, "n": packed(np.concatenate([[total.sum(), len(total)], counts_of_counts(total)]).astype(np.int64))})
+            return owned(out, part)
+
+        sent = self.corpus.mapInPandas(send, "part int, block bigint, words binary, n binary")
+        made = self.owners(sent, 1, own)
+        if fitting:
+            sums = sum((unpacked(r.n, "<i8") for r in made.where("kind = 2").select("n").collect()), np.zeros(K + 3, np.int64))  # a row a part
+            model.sums, model.d[1] = sums.tolist(), discounts(sums[2:])
+
+    def heavy(self, level: int) -> np.ndarray:
+        """The contexts of ``level`` that hold so many tokens that they are spread: 4 * parts at most."""
+        model = self.model
+        parts, least = model.parts, max(1, model.sums[0] // (4 * model.parts))
+
+        def frequent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for r in b.itertuples():
+                    n = unpacked(r.n, "<u4")
+                    ids = unpacked(r.id, "<u8") if level == 2 else np.arange(len(n), dtype=np.uint64) * np.uint64(parts) + np.uint64(r.part + FIRST_ID)
+                    yield pd.DataFrame({"id": ids[n > least].view(np.int64)})
+
+        found = model.table(self.spark, level - 1).select("part", "n", "id").mapInPandas(frequent, "id bigint").collect()
+        return np.unique(np.array([START_ID, *(r.id for r in found)], dtype=np.uint64))
+
+    def level(self, level: int) -> None:
+        model, fitting, parts, last = self.model, self.fitting, self.model.parts, level == self.model.order
+        if fitting:
+            heavy = self.heavy(level)
+            model.hot[level] = Hot(heavy, np.zeros((len(heavy), K)), np.zeros(len(heavy)))
+        hot, d = model.hot[level].ctx, model.d[level - 1]
+
+        def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for row in b.itertuples():
+                    k = filled(row, model, fitting, level - 1)
+                    k.grams(level)
+                    for one in k.sent(row.block, k.lower_counts()):
+                        yield pd.DataFrame([one])
+
+        def own(group: pd.DataFrame, table: pd.DataFrame | None) -> pd.DataFrame:
+            part = int(group["part"].iloc[0])
+            held = Level.of_sent(part, parts, group, d) if table is None else Level.of_table(part, parts, table)
+            out = [held.reply(r, last) for r in group.itertuples()]
+            if table is None:
+                out.append(held.row())
+                out.append({"kind": 2, "block": -1, "n": packed(counts_of_counts(held.n).astype(np.int64))})
+                big = np.nonzero(np.isin(held.ctx, hot))[0]  # their sums are those of this part only
+                out.append({"kind": 3, "block": -1, "ctx": packed(held.ctx[big]), **held.sums(big)})
+            return owned(out, part)
+
+        sent = self.with_replies(level - 1).mapInPandas(send, "part int, block bigint, ctx binary, runs binary, fol binary, n binary, lower binary")
+        made = self.owners(sent, level, own, last)
+        if fitting:
+            model.d[level] = discounts(sum((unpacked(r.n, "<i8") for r in made.where("kind = 2").select("n").collect()), np.zeros(K + 1, np.int64)))
+            for r in made.where("kind = 3").select("ctx", "small", "mass").collect():
+                at = np.searchsorted(hot, unpacked(r.ctx, "<u8"))
+                model.hot[level].small[at] += unpacked(r.small, "<u4").reshape(-1, K)
+                model.hot[level].mass[at] += unpacked(r.mass, "<f8")
+
+    def levels(self) -> None:
+        self.words()
+        for level in range(2, self.model.order + 1):
+            self.level(level)
+
+    def scores(self) -> DataFrame:
+        model, fitting = self.model, self.fitting
+
+        def final(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            uni = model.uni
+            base_of = np.log10(uni.total + 0.5 * (uni.kinds + 1))
+            for b in batches:
+                for row in b.itertuples():
+                    k = filled(row, model, fitting, model.order)
+                    tokens, docs = k.word_count[k.tokens], len(k.lens)
+                    doc = np.repeat(np.arange(docs), k.lens)
+                    yield pd.DataFrame({
+                        "doc_id": row.ids, "held_out": row.held, "n_tokens": k.lens, "n_known": np.bincount(doc, tokens > 0, docs).astype(np.int64), "train_tokens": uni.total,
+                        "base_score": np.bincount(doc, np.log10(tokens + 0.5) - base_of, docs), "score": np.bincount(doc, np.log10(k.p), docs),
+                    })
+
+        rows = self.with_replies(model.order).mapInPandas(final, f"doc_id {self.kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+        return stored(rows, "katz-scores")
+
+
+def filled(row, model: Model, fitting: bool, levels: int) -> Block:
+    block = Block(row, model, fitting)
+    block.take_words()
+    for level in range(2, levels + 1):
+        block.grams(level)
+        block.take(level, getattr(row, f"r{level}"), level == model.order)
+    return block
+
+
+#: A batch may hold several blocks; and each exchange is let go once the next is stored.
+SETTINGS = {"spark.sql.execution.arrow.maxBytesPerBatch": "32m", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
+def fitted(docs: DataFrame, held: F.Column, order: int, path: str | None, scoring: bool) -> tuple[Model, DataFrame | None]:
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    name = f"graphloom_blocks_{uuid.uuid4().hex}"
-    blocks_of(docs, held).write.bucketBy(parts, "block").saveAsTable(name)
-    corpus = spark.table(name)
+    if order < 1:
+        raise ValueError("a model has an order of one at least")
+    model = Model(path or f"{shared_dir(spark)}/graphloom/katz-model-{uuid.uuid4().hex}", order, 1)
+    with session_settings(spark, SETTINGS), Run(docs, held, model, True) as run:
+        run.levels()
+        model.save(spark)
+        return model, run.scores() if scoring else None
 
-    def send_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for row in b.itertuples():
-                words, lens = unpacked(row.words, "<u8"), unpacked(row.lens, "<i4")
-                train = np.repeat(~np.array(row.held, dtype=bool), lens)
-                n = np.bincount(unpacked(row.tokens, "<u4")[train], minlength=len(words)).astype(np.uint32)
-                part = mixed(words) % np.uint64(parts)
-                for p in range(parts):
-                    mine = part == p
-                    yield pd.DataFrame([{"part": p, "block": row.block, "words": packed(words[mine]), "n": packed(n[mine])}])
-
-    def own_words(group: pd.DataFrame) -> pd.DataFrame:
-        words = [unpacked(x, "<u8") for x in group["words"]]
-        every, total, places = summed(words, [unpacked(x, "<u4") for x in group["n"]])
-        seen = total > 0
-        out = [{"kind": 0, "part": group["part"].iloc[0], "block": block, "a": packed(total[at].astype(np.uint32)), "b": None} for block, at in zip(group["block"], places)]
-        out.append({"kind": 1, "part": group["part"].iloc[0], "block": -1, "a": packed(every[seen]), "b": packed(total[seen].astype(np.uint32))})
-        out.append({"kind": 2, "part": group["part"].iloc[0], "block": -1, "a": packed(np.concatenate([[total.sum(), seen.sum()], counts_of_counts(total)]).astype(np.int64)), "b": None})
-        return pd.DataFrame(out)
-
-    sent = corpus.mapInPandas(send_words, "part int, block bigint, words binary, n binary")
-    unigrams = stored(sent.groupBy("part").applyInPandas(own_words, "kind int, part int, block bigint, a binary, b binary"), "unigrams")
-    sums = sum((unpacked(r.a, "<i8") for r in unigrams.where("kind = 2").select("a").collect()), np.zeros(K + 3, np.int64))  # a row a part
-    uni = Unigrams(sums[0], sums[1], sums[2:])
-    least = max(1, uni.total // (4 * parts))
-
-    def frequent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for words, n in zip(b["a"], b["b"]):
-                yield pd.DataFrame({"word": unpacked(words, "<u8")[unpacked(n, "<u4") > least].view(np.int64)})
 
-    found = unigrams.where("kind = 1").select("a", "b").mapInPandas(frequent, "word bigint").collect()  # 4 * parts words at most
-    hot = np.unique(np.array([START, *(r.word & 0xFFFFFFFFFFFFFFFF for r in found)], dtype=np.uint64))
+def fit(docs: DataFrame, held: F.Column | None = None, order: int = ORDER, path: str | None = None) -> Model:
+    """Learn from the rows of ``docs`` that do not meet ``held``; the tables go below ``path`` (else the shared folder), for ``load``."""
+    return fitted(docs, F.lit(False) if held is None else held, order, path, False)[0]
 
-    def replies(table: DataFrame, label: str) -> DataFrame:
-        fields = [c for c in table.columns if c not in ("kind", "block")]
-        return table.where("kind = 0").groupBy("block").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias(label))
 
-    def counts_in(row, words: np.ndarray) -> np.ndarray:
-        part = mixed(words) % np.uint64(parts)
-        out = np.zeros(len(words), dtype=np.int64)
-        for r in row.uni:
-            out[part == r["part"]] = unpacked(r["a"], "<u4")
-        return out
+def score(model: Model, docs: DataFrame) -> DataFrame:
+    """(doc_id, held_out (true), n_tokens, n_known, train_tokens, base_score, score) of texts by a stored model."""
+    spark = docs.sparkSession
+    with session_settings(spark, SETTINGS), Run(docs, F.lit(True), model, False) as run:
+        run.levels()
+        return run.scores()
 
-    with_words = corpus.join(replies(unigrams, "uni"), "block")
 
-    def send_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for row in b.itertuples():
-                k = Block(row, counts_in(row, unpacked(row.words, "<u8")), parts, hot)
-                for p in range(parts):
-                    mine = k.order[k.cuts[p] : k.cuts[p + 1]]
-                    if not len(mine):
-                        continue
-                    a, n = k.words[k.first[mine]], k.trained[mine]
-                    new = np.concatenate([[True], a[1:] != a[:-1]])
-                    runs = np.diff(np.append(np.nonzero(new)[0], len(a))).astype(np.uint32)
-                    follower = (k.words[k.second[mine]] & LOW48).view(np.uint8).reshape(-1, 8)[:, :6]
-                    yield pd.DataFrame([{"part": p, "block": row.block, "ctx": packed(a[new]), "runs": packed(runs), "fol": np.ascontiguousarray(follower).tobytes(), "n": packed(n), "c": packed(k.counts[k.second[mine]][n > 0].astype(np.uint32))}])
-
-    def own_pairs(group: pd.DataFrame) -> pd.DataFrame:
-        ctx = [unpacked(x, "<u8") for x in group["ctx"]]
-        contexts, at_ctx = np.unique(np.concatenate(ctx), return_inverse=True)
-        at_ctx = np.split(at_ctx, np.cumsum([len(x) for x in ctx])[:-1])
-        who, follower, n, c2 = [], [], [], []
-        for r, at in zip(group.itertuples(), at_ctx):
-            who.append(np.repeat(at, unpacked(r.runs, "<u4")))
-            wide = np.zeros((len(r.fol) // 6, 8), np.uint8)
-            wide[:, :6] = np.frombuffer(r.fol, np.uint8).reshape(-1, 6)
-            follower.append(wide.view("<u8").ravel())
-            n.append(unpacked(r.n, "<u4"))
-            full = np.zeros(len(n[-1]), dtype=np.uint32)
-            full[n[-1] > 0] = unpacked(r.c, "<u4")
-            c2.append(full)
-        sizes = [len(x) for x in n]
-        w, f, n, c2 = map(np.concatenate, (who, follower, n, c2))
-        order = np.lexsort((f, w))
-        ws, fs = w[order], f[order]
-        new = np.concatenate([[True], (ws[1:] != ws[:-1]) | (fs[1:] != fs[:-1])])
-        pair = np.cumsum(new) - 1
-        total = np.bincount(pair, n[order]).astype(np.int64)
-        unigram = np.zeros(len(total), dtype=np.int64)
-        np.maximum.at(unigram, pair, c2[order])
-        of = ws[new]
-        seen = total > 0
-        p1 = uni.p(unigram[seen])
-        sums = {"total": np.bincount(of, total, len(contexts)).astype(np.uint64), "p1": np.bincount(of[seen], p1, len(contexts))}
-        small = np.stack([np.bincount(of[total == r], minlength=len(contexts)) for r in range(1, K + 1)], axis=1).astype(np.uint32)
-        at_pair = np.empty(len(pair), dtype=np.int64)
-        at_pair[order] = pair
-        part, out = group["part"].iloc[0], []
-        for block, at, ps in zip(group["block"], at_ctx, np.split(at_pair, np.cumsum(sizes)[:-1])):
-            out.append({"kind": 0, "part": part, "block": block, "n": packed(total[ps].astype(np.uint32)), "total": packed(sums["total"][at]), "p1": packed(sums["p1"][at]), "small": packed(small[at].ravel())})
-        head = np.nonzero(np.concatenate([[True], of[seen][1:] != of[seen][:-1]]))[0] if seen.any() else np.zeros(0, np.int64)
-        runs = np.diff(np.append(head, seen.sum())).astype(np.uint32)
-        table = fs[new][seen].view(np.uint8).reshape(-1, 8)[:, :6]  # the stored model: contexts, their numbers of followers, followers and counts
-        out.append({"kind": 1, "part": part, "block": -1, "n": packed(total[seen].astype(np.uint32)), "total": packed(contexts[of[seen][head]]), "p1": np.ascontiguousarray(table).tobytes(), "small": packed(runs)})
-        big = np.nonzero(np.isin(contexts, hot))[0]  # their sums are those of this part only
-        out.append({"kind": 3, "part": part, "block": -1, "n": packed(contexts[big]), "total": packed(sums["total"][big]), "p1": packed(sums["p1"][big]), "small": packed(small[big].ravel())})
-        out.append({"kind": 2, "part": part, "block": -1, "n": packed(counts_of_counts(total).astype(np.int64)), "total": None, "p1": None, "small": None})
-        return pd.DataFrame(out)
-
-    sent = with_words.mapInPandas(send_pairs, "part int, block bigint, ctx binary, runs binary, fol binary, n binary, c binary")
-    bigrams = stored(sent.groupBy("part").applyInPandas(own_pairs, "kind int, part int, block bigint, n binary, total binary, p1 binary, small binary"), "bigrams")
-    d = discounts(sum((unpacked(r.n, "<i8") for r in bigrams.where("kind = 2").select("n").collect()), np.zeros(K + 1, np.int64)))
-    hot_sums = {"total": np.zeros(len(hot)), "p1": np.zeros(len(hot)), "small": np.zeros((len(hot), K))}
-    for r in bigrams.where("kind = 3").select("n", "total", "p1", "small").collect():
-        at = np.searchsorted(hot, unpacked(r.n, "<u8"))
-        hot_sums["total"][at] += unpacked(r.total, "<u8")
-        hot_sums["p1"][at] += unpacked(r.p1, "<f8")
-        hot_sums["small"][at] += unpacked(r.small, "<u4").reshape(-1, K)
-
-    def final(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        base_of = np.log10(uni.total + 0.5 * (uni.kinds + 1))
-        for b in batches:
-            for row in b.itertuples():
-                counts = counts_in(row, unpacked(row.words, "<u8"))
-                k = Block(row, counts, parts, hot)
-                m = len(k.pairs)
-                n = np.zeros(m, np.int64)
-                totals = {x: np.zeros(len(k.words)) for x in ("total", "p1")}
-                small = np.zeros((len(k.words), K))
-                for r in row.bi:
-                    mine = k.order[k.cuts[r["part"]] : k.cuts[r["part"] + 1]]
-                    n[mine] = unpacked(r["n"], "<u4")
-                    a = k.first[mine]
-                    own = a[np.concatenate([[True], a[1:] != a[:-1]])]
-                    totals["total"][own] = unpacked(r["total"], "<u8")
-                    totals["p1"][own] = unpacked(r["p1"], "<f8")
-                    small[own] = unpacked(r["small"], "<u4").reshape(-1, K)
-                own = np.nonzero(np.isin(k.words, hot))[0]
-                at = np.searchsorted(hot, k.words[own])
-                totals["total"][own], totals["p1"][own], small[own] = hot_sums["total"][at], hot_sums["p1"][at], hot_sums["small"][at]
-                freed = freed_mass(small, d)
-                logs = np.empty(m)
-                for at in range(0, m, SLICE):
-                    some = slice(at, at + SLICE)
-                    a = k.first[some]
-                    logs[some] = np.log10(conditional(n[some], uni.p(counts[k.second[some]]), d, totals["total"][a], freed[a], totals["p1"][a], uni.unknown))
-                tokens = counts[k.tokens]
-                docs = len(k.lens)
-                yield pd.DataFrame({
-                    "doc_id": row.ids, "held_out": row.held, "n_tokens": k.lens, "n_known": np.bincount(k.doc, tokens > 0, docs).astype(np.int64), "train_tokens": uni.total,
-                    "base_score": np.bincount(k.doc, np.log10(tokens + 0.5) - base_of, docs), "score": np.bincount(k.doc, logs[k.inverse], docs),
-                })
-
-    both = with_words.join(replies(bigrams.select("kind", "block", "part", "n", "total", "p1", "small"), "bi"), "block")
-    return both.mapInPandas(final, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+def fit_and_score(docs: DataFrame, held: F.Column, order: int = ORDER, path: str | None = None) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs``.
+
+    ``held`` is a condition on ``docs``: its rows take no part in training.
+    """
+    return fitted(docs, held, order, path, True)[1]

@@ -435,55 +435,89 @@ def test_neighbours_recall_does_not_fall_with_the_table(spark, tmp_path, n):
 # --- Katz ------------------------------------------------------------------------
 
 
-def brute_katz(rows, held):
+def brute_katz(rows, held, order, trained=None):
+    """By row: (n_tokens, n_known, train_tokens, base_score, score); ``trained``: other rows to learn from."""
     tokens = {n: (t or "").encode().lower().split() + ["/"] for n, (_, t) in enumerate(rows)}
-    train = [n for n in tokens if not held[n]]
-    c1 = Counter(w for n in train for w in tokens[n])
-    c2 = Counter(p for n in train for p in zip(["^"] + tokens[n], tokens[n]))
+    learnt = [tokens[n] for n in tokens if not held[n]] if trained is None else [(t or "").encode().lower().split() + ["/"] for _, t in trained]
+    counts = {k: Counter(g for t in learnt for g in zip(*((["^"] * (k - 1) + t)[i:] for i in range(k)))) for k in range(1, order + 1)}
+    c1 = counts[1]
     total = sum(c1.values())
+    d = {k: katz.discounts(np.array([sum(v == r for v in c.values()) for r in range(1, katz.K + 2)])) for k, c in counts.items()}
 
-    def d_of(c):
-        return katz.discounts(np.array([sum(v == r for v in c.values()) for r in range(1, katz.K + 2)]))
+    def less(k, v):
+        return (d[k][v] if v <= katz.K else 1) * v
 
-    d1, d2 = d_of(c1), d_of(c2)
-    freed = sum((1 - d1[v]) * v for v in c1.values() if v <= katz.K)
+    freed = sum(v - less(1, v) for v in c1.values())
     of = total if freed > 0 else total + 1
     unknown = (freed if freed > 0 else 1) / of
-    followers = {}
-    for (a, b), v in c2.items():
-        followers.setdefault(a, {})[b] = v
-
-    def p1(w):
-        v = c1.get(w, 0)
-        return (d1[v] if v <= katz.K else 1) * v / of if v else unknown
-
-    def p2(a, b):
-        if a not in followers:
-            return p1(b)
-        f = followers[a]
-        size, free = sum(f.values()), sum((1 - d2[v]) * v for v in f.values() if v <= katz.K)
+    followers = {k: {} for k in range(2, order + 1)}
+    for k in followers:
+        for g, v in counts[k].items():
+            followers[k].setdefault(g[:-1], {})[g[-1]] = v
+
+    def p(k, ctx, w):
+        if k == 1:
+            v = c1.get((w,), 0)
+            return less(1, v) / of if v else unknown
+        f = followers[k].get(ctx)
+        if f is None:
+            return p(k - 1, ctx[1:], w)
+        size, free = sum(f.values()), sum(v - less(k, v) for v in f.values())
         size, free = (size, free) if free > 0 else (size + 1, 1)
-        if b in f:
-            return (d2[f[b]] if f[b] <= katz.K else 1) * f[b] / size
-        return free / size / (1 - sum(map(p1, f))) * p1(b)
+        if w in f:
+            return less(k, f[w]) / size
+        return free / size / (1 - sum(p(k - 1, ctx[1:], x) for x in f)) * p(k - 1, ctx[1:], w)
+
+    words = [*(g[0] for g in c1), None]
+    for k in followers:
+        for ctx in list(followers[k])[:5]:
+            assert sum(p(k, ctx, w) for w in words) == pytest.approx(1)
+    out = {}
+    for n, t in tokens.items():
+        padded = ["^"] * (order - 1) + t
+        score = sum(math.log10(p(order, tuple(padded[i : i + order - 1]), w)) for i, w in enumerate(t))
+        out[n] = (len(t), sum((w,) in c1 for w in t), total, sum(math.log10((c1.get((w,), 0) + 0.5) / (total + 0.5 * (len(c1) + 1))) for w in t), score)
+    return out
+
+
+def katz_rows(size, seed=8):
+    random = np.random.default_rng(seed)
+    rows = [(n, " ".join(f"w{int(x)}" for x in random.zipf(1.5, random.integers(0, 30)) if x < 500)) for n in range(size)]
+    return rows + [(9999, None), (10000, "never seen"), (5, "w1 w2"), (5, "w1 w2"), (None, "w1 w2 w3"), (10001, "w1 w2 w3 " * (150 if size else 0))]
 
-    words = [*c1, None]
-    for a in list(followers)[:5]:
-        assert sum(p2(a, b) for b in words) == pytest.approx(1)
-    assert sum(map(p1, words)) == pytest.approx(1)
-    return {n: (len(t), sum(w in c1 for w in t), total, sum(math.log10((c1.get(w, 0) + 0.5) / (total + 0.5 * (len(c1) + 1))) for w in t), sum(math.log10(p2(a, b)) for a, b in zip(["^"] + t, t))) for n, t in tokens.items()}
+
+def check_katz(got, rows, held, want):
+    left = Counter()
+    for r in got:
+        left[r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)] += 1
+    for n, (i, _) in enumerate(rows):
+        left[i, held[n], *want[n][:3], round(want[n][3], 6), round(want[n][4], 6)] -= 1
+    assert not any(left.values()), [x for x in left.items() if x[1]][:6]
 
 
-@pytest.mark.parametrize("size", [0, 3, 200])
-def test_katz_matches_brute_force(spark, size, monkeypatch):
+@pytest.mark.parametrize(("size", "order"), [(0, 3), (3, 3), (200, 1), (200, 2), (200, 3), (120, 4)])
+def test_katz_matches_brute_force(spark, size, order, monkeypatch):
     monkeypatch.setattr(katz, "BLOCK_TOKENS", 300)
-    random = np.random.default_rng(8)
-    rows = [(n, " ".join(f"w{int(x)}" for x in random.zipf(1.5, random.integers(0, 30)) if x < 500)) for n in range(size)] + [(9999, None), (10000, "never seen"), (5, "w1 w2")]
-    held = [n % 5 == 1 for n, _ in rows]
+    monkeypatch.setattr(katz, "PART_TOKENS", 500)
+    rows = katz_rows(size)
+    held = [n is None or n % 5 == 1 for n, _ in rows]
     docs = spark.createDataFrame([(n, t, "x") for n, t in rows], DOC)
-    got = {(r.doc_id, r.n_tokens, r.held_out): r for r in katz.fit_and_score(docs, F.col("doc_id") % 5 == 1).collect()}
-    want = brute_katz(rows, held)
-    for n, (i, _) in enumerate(rows):
-        r = got[(i, want[n][0], held[n])]
-        assert (r.n_known, r.train_tokens) == want[n][1:3]
-        assert r.base_score == pytest.approx(want[n][3]) and r.score == pytest.approx(want[n][4])
+    tables = len(spark.catalog.listTables())
+    got = katz.fit_and_score(docs, F.coalesce(F.col("doc_id") % 5 == 1, F.lit(True)), order).collect()
+    assert len(spark.catalog.listTables()) == tables
+    check_katz(got, rows, held, brute_katz(rows, held, order))
+
+
+def test_a_stored_katz_model_scores_other_texts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(katz, "BLOCK_TOKENS", 300)
+    monkeypatch.setattr(katz, "PART_TOKENS", 500)
+    known, other = katz_rows(150), katz_rows(60, seed=9)
+    katz.fit(spark.createDataFrame([(n, t, "x") for n, t in known], DOC), path=str(tmp_path / "model"))
+    model = katz.load(spark, str(tmp_path / "model"))
+    got = katz.score(model, spark.createDataFrame([(n, t, "x") for n, t in other], DOC)).collect()
+    held = [True] * len(other)
+    check_katz(got, other, held, brute_katz(other, held, katz.ORDER, known))
+
+
+def test_katz_of_an_empty_table(spark, empty):
+    assert katz.fit_and_score(empty, F.lit(False)).count() == 0
