@@ -5,16 +5,26 @@ t_i of the groups add up to t - m + 1 (a group may have -1: not probed), two
 fingerprints within distance t agree within t_i in some group i. Each fingerprint
 gets its own thresholds: dynamic programming picks those with the least estimated
 cost, which is the number of candidates behind its probes, counted on the
-histograms of all group values, plus the probes themselves. Candidates share a
-(group, value) bucket and are verified on all 64 bits.
-
-Equal fingerprints are one node. A bucket never emits all its pairs: large ones
-are searched breadth first and give one link per node; buckets that the
-histogram shows as hot are cut into blocks of about BLOCK, and each pair of
-blocks is a bucket of its own, so that no task holds a whole hot bucket.
-
-What reaches the driver is bounded: the 64 x 64 bit counts, and the histograms
-(GROUPS * 2**(64/GROUPS) counts); the tables that are broadcast are the same size.
+histograms of all group values, plus the probes themselves. How many groups there
+are is chosen from GROUPS by the same estimate on a sample, so that small tables
+have few probes and large ones few candidates. A fingerprint lies in its own bucket
+of each group, meets there those whose probes come by, and is verified on all 64 bits.
+
+Equal fingerprints are one node. A bucket never emits all its pairs: where they
+would be over DENSE a row it is searched breadth first and gives one link per
+node; buckets that the histogram shows as hot are cut into blocks of about BLOCK
+own fingerprints, each a bucket of its own that all others visit.
+
+``keep_one_each`` finds near copies: documents whose sets of shingles have a Jaccard
+similarity of ``share``. It fingerprints the distinct words, which a few changed words
+disturb less than shingles, takes links within ``most`` bits for candidates, and
+verifies each by the exact similarity (after a sketch of the sets has put the plainly
+different ones aside). The nodes of dense buckets are linked through central ones first;
+only those that this leaves apart are compared in pairs.
+
+What reaches the driver is bounded: the 64 x 64 bit counts, the histograms (a count a
+value of each group of each number of groups, 320,000 at most) and SAMPLE fingerprints;
+the tables that are broadcast are no larger.
 
 Defined cases: null and empty texts have no shingle and the fingerprint zero,
 which links like any other; a text with fewer words than a shingle is one
@@ -35,14 +45,19 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import stored
 from graphloom.llm.components import components
 
-GROUPS = 4
+#: The numbers of groups that are weighed.
+GROUPS = (4, 5, 6, 8)
 SEED = 42
-#: Fingerprints of one key that a task compares at once.
-BLOCK = 20_000
-#: Buckets of up to so many rows are compared by shifting, larger ones by search.
+#: Own fingerprints of one bucket that a task compares with all visitors.
+BLOCK = 8_000
+#: Buckets of up to so many rows are compared by shifting, larger ones as matrices.
 SMALL = 32
-#: What a probe costs, in candidates.
-PROBE_COST = 4.0
+#: Links a row that a bucket may emit before it is searched instead.
+DENSE = 16
+#: What a probe costs, in candidates: some microseconds against some nanoseconds.
+PROBE_COST = 1_000.0
+#: Fingerprints on which the number of groups is chosen.
+SAMPLE = 2_000
 
 
 def hashes_of(text: str | None, shingle: int) -> np.ndarray:
@@ -58,9 +73,8 @@ def hashes_of(text: str | None, shingle: int) -> np.ndarray:
     return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops)], dtype=">u8")
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """Bit b is set if it is set in over half of the shingles' XXH64."""
-    hashes = hashes_of(text, shingle)
+def majority(hashes: np.ndarray) -> int:
+    """Bit b is set if it is set in over half of the hashes (big-endian)."""
     if not len(hashes):
         return 0
     counts = np.zeros(64, dtype=np.int64)
@@ -69,6 +83,11 @@ def fingerprint(text: str | None, shingle: int) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
 
 
+def fingerprint(text: str | None, shingle: int) -> int:
+    """Bit b is set if it is set in over half of the shingles' XXH64."""
+    return majority(hashes_of(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
     """(doc_id, fp) of every row; fp holds the 64 bits as a signed long."""
 
@@ -81,7 +100,7 @@ def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInPandas(run, f"doc_id {kind}, fp bigint")
 
 
-def bit_groups(both: np.ndarray, n: int, groups: int = GROUPS) -> list[list[int]]:
+def bit_groups(both: np.ndarray, n: int, groups: int) -> list[list[int]]:
     """Bits by correlation: ``both[i, j]`` of ``n`` fingerprints have the bits i and j set."""
     p = np.diag(both) / max(1, n)
     spread = np.sqrt(np.maximum(p * (1 - p), 1e-12))
@@ -170,12 +189,18 @@ def _links_of_small(key: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndar
     return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
-def search(fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs that connect, and only connect, what steps of up to ``most`` bits connect: a forest."""
-    left = np.arange(len(fp))
+def search(fp: np.ndarray, most: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs that connect, and only connect, what steps of up to ``most`` bits connect: a forest.
+
+    With ``own`` (a mask) only those rows start a search; others that none reaches stay apart.
+    """
+    left, reached = np.arange(len(fp)), np.zeros(len(fp), dtype=bool)
     parents, children = [], []
-    while len(left):
-        frontier, left = left[:1], left[1:]
+    for seed in range(len(fp)) if own is None else np.nonzero(own)[0]:
+        if reached[seed]:
+            continue
+        reached[seed] = True
+        frontier, left = np.array([seed]), left[left != seed]
         while len(frontier) and len(left):
             found = []
             step = max(1, 2_000_000 // len(left))
@@ -188,6 +213,7 @@ def search(fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
                     parents.append(some[near[:, hit].argmax(axis=0)])
                     children.append(new)
                     found.append(new)
+                    reached[new] = True
                     left = left[~hit]
                     if not len(left):
                         break
@@ -196,12 +222,57 @@ def search(fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([none, *parents]), np.concatenate([none, *children])
 
 
-def links(nodes: DataFrame, most: int, groups: int = GROUPS) -> DataFrame:
-    """(a, b): links between nodes within ``most`` bits that join the same nodes as all such links would.
-
-    ``nodes``: (node long, fp long), each fp once; a stored table.
-    """
-    spark = nodes.sparkSession
+class Probing:
+    """How fingerprints are probed: groups of bits, and how many fingerprints lie within each radius of each value."""
+
+    def __init__(self, grouped: list[list[int]], counts: list[np.ndarray], most: int):
+        self.grouped, self.most = grouped, most
+        self.within = [balls(c, len(bits), min(most, len(bits))).astype(np.float32) for c, bits in zip(counts, grouped)]
+        self.masks = [[masks_within(len(bits), r) for r in range(len(w))] for bits, w in zip(grouped, self.within)]
+
+    def values(self, fps: np.ndarray) -> list[np.ndarray]:
+        return [values_of(fps, bits) for bits in self.grouped]
+
+    def costs(self, values: list[np.ndarray]) -> list[np.ndarray]:
+        """[units, row] of each group."""
+        return [np.concatenate([np.zeros((1, len(v)), np.float32), w[:, v] + PROBE_COST * np.array([len(x) for x in m])[:, None]]) for w, v, m in zip(self.within, values, self.masks)]
+
+    def units(self, values: list[np.ndarray]) -> np.ndarray:
+        return allocate(self.costs(values), self.most + 1)
+
+    def mean_cost(self, fps: np.ndarray) -> float:
+        values = self.values(fps)
+        cost = self.costs(values)
+        units = allocate(cost, self.most + 1)
+        return PROBE_COST * len(self.grouped) + float(sum(c[u, np.arange(len(fps))].sum() for c, u in zip(cost, units))) / max(1, len(fps))
+
+    def rows(self, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(bucket, block, own, row): where each fingerprint lies, and where it looks."""
+        values = self.values(fps)
+        for g, (v, u) in enumerate(zip(values, self.units(values))):
+            for radius in range(max(0, int(u.max()) - 1) + 1):
+                # every fingerprint lies in its own bucket; those with a wider radius probe the others
+                rows = np.arange(len(fps)) if radius == 0 else np.nonzero(u - 1 >= radius)[0]
+                ring = self.masks[g][radius][0 if radius == 0 else len(self.masks[g][radius - 1]) :]
+                keys = (v[rows][:, None] ^ ring[None, :]).ravel()
+                at = np.repeat(rows, len(ring))
+                there = self.within[g][0][keys]
+                if radius:  # no one lies in an empty bucket
+                    keys, at, there = keys[there > 0], at[there > 0], there[there > 0]
+                blocks = np.ceil(there / BLOCK).astype(np.int64)  # a function of the key alone
+                bucket = (np.int64(g) << 40) | keys
+                one = blocks <= 1
+                yield bucket[one], np.zeros(int(one.sum()), np.int64), np.full(int(one.sum()), radius == 0), at[one]
+                for k in np.unique(blocks[~one]):
+                    some = np.nonzero(blocks == k)[0]
+                    mine = ((fps[at[some]] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(k)).astype(np.int64)
+                    for block in range(k):
+                        yield bucket[some], np.full(len(some), block), (mine == block) & (radius == 0), at[some]
+
+
+def probing(nodes: DataFrame, most: int, groups: tuple[int, ...] | None = None) -> Probing:
+    """The groups of bits and their histograms for the fingerprints ``fp`` of ``nodes``, a stored table."""
+    groups = groups or GROUPS
 
     def bit_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((65, 64))
@@ -216,91 +287,127 @@ def links(nodes: DataFrame, most: int, groups: int = GROUPS) -> DataFrame:
     for cell, count in cells:
         flat[cell] = count
     both, n = flat.reshape(65, 64)[:64], int(flat[64 * 64])
-    grouped = bit_groups(both, n, groups)
+    grouped = {m: bit_groups(both, n, m) for m in groups}
 
     def group_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fps = b["fp"].to_numpy().view(np.uint64)
-            for g, bits in enumerate(grouped):
-                v, c = np.unique(values_of(fps, bits), return_counts=True)
-                yield pd.DataFrame({"g": np.full(len(v), g, dtype=np.int32), "v": v, "n": c})
-
-    seen = nodes.select("fp").mapInPandas(group_counts, "g int, v bigint, n bigint").groupBy("g", "v").agg(F.sum("n").alias("n")).toPandas()  # groups * 2**16 rows at most
-    within = []
-    for g, bits in enumerate(grouped):
-        counts = np.zeros(1 << len(bits))
-        own = seen[seen["g"] == g]
-        counts[own["v"].to_numpy()] = own["n"].to_numpy()
-        within.append(balls(counts, len(bits), min(most, len(bits))).astype(np.float32))
-    sent = spark.sparkContext.broadcast(within)
-
-    def probes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        masks = [[masks_within(len(bits), r) for r in range(len(w))] for bits, w in zip(grouped, sent.value)]
+            for m, of in grouped.items():
+                for g, bits in enumerate(of):
+                    v, c = np.unique(values_of(fps, bits), return_counts=True)
+                    yield pd.DataFrame({"m": np.full(len(v), m, dtype=np.int32), "g": np.full(len(v), g, dtype=np.int32), "v": v, "n": c})
+
+    seen = nodes.select("fp").mapInPandas(group_counts, "m int, g int, v bigint, n bigint").groupBy("m", "g", "v").agg(F.sum("n").alias("n")).toPandas()
+    sample = np.array([r.fp for r in nodes.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()], dtype=np.int64).view(np.uint64)
+    found = []
+    for m, of in grouped.items():
+        counts = [np.zeros(1 << len(bits)) for bits in of]
+        for (g,), own in seen[seen["m"] == m].groupby(["g"]):
+            counts[g][own["v"].to_numpy()] = own["n"].to_numpy()
+        found.append(Probing(of, counts, most))
+    return min(found, key=lambda p: p.mean_cost(sample)) if len(sample) else found[0]
+
+
+def bucketed(nodes: DataFrame, most: int, groups: tuple[int, ...] | None = None) -> DataFrame:
+    """(key, block, own, node, fp) sorted by bucket: each node in its own buckets and in those that it probes."""
+    sent = nodes.sparkSession.sparkContext.broadcast(probing(nodes, most, groups))
+
+    def framed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for at in range(0, len(b), 20_000):
-                part = b.iloc[at : at + 20_000]
-                node, fp = part["node"].to_numpy(), part["fp"].to_numpy()
-                values = [values_of(fp.view(np.uint64), bits) for bits in grouped]
-                cost = [np.concatenate([np.zeros((1, len(fp)), np.float32), w[:, v] + PROBE_COST * np.array([len(x) for x in m])[:, None]]) for w, v, m in zip(sent.value, values, masks)]
-                units = allocate(cost, most + 1)
-                for g, (v, u) in enumerate(zip(values, units)):
-                    for radius in range(max(0, int(u.max()) - 1) + 1):
-                        # every fingerprint lies in its own bucket; those with a wider radius probe the others
-                        rows = np.arange(len(fp)) if radius == 0 else np.nonzero(u - 1 >= radius)[0]
-                        ring = masks[g][radius][0 if radius == 0 else len(masks[g][radius - 1]) :]
-                        keys = (v[rows][:, None] ^ ring[None, :]).ravel()
-                        at_rows = np.repeat(rows, len(ring))
-                        blocks = np.ceil(sent.value[g][1][keys] / BLOCK).astype(np.int64)  # a function of the key alone
-                        bucket = (np.int64(g) << 40) | (keys << 16)
-                        one = blocks <= 1
-                        yield bucket[one], np.zeros(int(one.sum()), dtype=np.int64), at_rows[one], node, fp
-                        for k in np.unique(blocks[~one]):
-                            some = np.nonzero(blocks == k)[0]
-                            mine = ((fp[at_rows[some]].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(k)).astype(np.int64)
-                            for other in range(k):
-                                yield bucket[some], np.minimum(mine, other) * k + np.maximum(mine, other), at_rows[some], node, fp
+                node, fp = b["node"].to_numpy()[at : at + 20_000], b["fp"].to_numpy()[at : at + 20_000]
+                for key, block, own, rows in sent.value.rows(fp.view(np.uint64)):
+                    if len(rows):
+                        yield pd.DataFrame({"key": key, "block": block, "own": own, "node": node[rows], "fp": fp[rows]})
+
+    buckets = nodes.select("node", "fp").mapInPandas(framed, "key bigint, block bigint, own boolean, node bigint, fp bigint")
+    return buckets.repartition("key", "block").sortWithinPartitions("key", "block")
+
+
+def whole_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Frames that end where a bucket ends."""
+    kept: list[pd.DataFrame] = []
+    for b in batches:
+        if not len(b):
+            continue
+        last = b.iloc[-1]
+        whole = (b["key"] != last["key"]) | (b["block"] != last["block"])
+        if whole.any():
+            yield pd.concat([*kept, b[whole]], ignore_index=True)
+            kept = [b[~whole]]
+        else:
+            kept.append(b)
+    if kept:
+        yield pd.concat(kept, ignore_index=True)
+
+
+def near_pairs(own: np.ndarray, fp: np.ndarray, most: int, bound: int | None) -> tuple[np.ndarray, np.ndarray] | None:
+    """Index pairs of an own row and any other within ``most`` bits; None if they are over ``bound``."""
+    a, b, found = [], [], 0
+    step = max(1, 4_000_000 // max(1, len(fp)))
+    for at in range(0, len(own), step):
+        some = own[at : at + step]
+        x, y = np.nonzero(np.bitwise_count(fp[some][:, None] ^ fp[None, :]) <= most)
+        x = some[x]
+        a.append(x[x != y])
+        b.append(y[x != y])
+        found += len(a[-1])
+        if bound is not None and found > bound:
+            return None
+    none = np.zeros(0, dtype=np.int64)
+    return np.concatenate([none, *a]), np.concatenate([none, *b])
 
-    def framed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for key, block, rows, node, fp in probes(batches):
-            yield pd.DataFrame({"key": key, "block": block, "node": node[rows], "fp": fp[rows]})
 
-    buckets = nodes.select("node", "fp").mapInPandas(framed, "key bigint, block bigint, node bigint, fp bigint")
+def central_first(fp: np.ndarray) -> np.ndarray:
+    """The order of rows by their distance to the bits that most have."""
+    bits = np.unpackbits(fp.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    usual = np.frombuffer(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(fp)).tobytes(), dtype=">u8")[0]
+    return np.argsort(np.bitwise_count(fp ^ np.uint64(usual)), kind="stable")
 
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: list[pd.DataFrame] = []
 
-        def flush(rows: pd.DataFrame) -> pd.DataFrame:
-            fp, node = rows["fp"].to_numpy().view(np.uint64), rows["node"].to_numpy()
+LINKS = "a bigint, b bigint, dense boolean, own boolean"
+
+
+def bucket_links(buckets: DataFrame, most: int) -> DataFrame:
+    """(a, b, dense, own): links that join what all within ``most`` bits would join; and, with ``dense``, the rows
+    (a: node, b: bucket) of buckets that gave a forest in place of all their links."""
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in whole_buckets(batches):
+            fp, node, mine = rows["fp"].to_numpy().view(np.uint64), rows["node"].to_numpy(), rows["own"].to_numpy()
             change = (np.diff(rows["key"].to_numpy()) != 0) | (np.diff(rows["block"].to_numpy()) != 0)
             bucket = np.concatenate([[0], np.cumsum(change)])
             sizes = np.bincount(bucket)
+            ends = np.cumsum(sizes)
             small = sizes[bucket] <= SMALL
             a, b = _links_of_small(bucket[small], fp[small], most)
             out = [(node[small][a], node[small][b])]
             for big in np.nonzero(sizes > SMALL)[0]:
-                where = np.nonzero(bucket == big)[0] if len(sizes) < 50 else np.arange(*np.searchsorted(bucket, [big, big + 1]))
-                _, once = np.unique(fp[where], return_index=True)
-                where = where[once]
-                x, y = search(fp[where], most)
-                out.append((node[where[x]], node[where[y]]))
-            pairs = pd.DataFrame({"a": np.concatenate([x for x, _ in out]), "b": np.concatenate([y for _, y in out])})
-            return pairs[pairs["a"] != pairs["b"]].drop_duplicates()
+                where = np.arange(ends[big] - sizes[big], ends[big])
+                own = np.nonzero(mine[where])[0]
+                if not len(own):
+                    continue
+                found = near_pairs(own, fp[where], most, DENSE * len(where))
+                if found is None:
+                    order = where[central_first(fp[where])]
+                    x, y = search(fp[order], most, mine[order])
+                    out.append((node[order[x]], node[order[y]]))
+                    yield pd.DataFrame({"a": node[where], "b": rows["key"].to_numpy()[where] * 8191 + rows["block"].to_numpy()[where], "dense": True, "own": mine[where]})
+                else:
+                    out.append((node[where[found[0]]], node[where[found[1]]]))
+            a, b = np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+            pairs = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "dense": False, "own": False})
+            yield pairs[pairs["a"] != pairs["b"]].drop_duplicates()
+
+    return buckets.mapInPandas(verify, LINKS)
+
+
+def links(nodes: DataFrame, most: int, groups: tuple[int, ...] | None = None) -> DataFrame:
+    """(a, b): links between nodes within ``most`` bits that join the same nodes as all such links would.
 
-        for b in batches:
-            if not len(b):
-                continue
-            last = b.iloc[-1]
-            whole = (b["key"] != last["key"]) | (b["block"] != last["block"])
-            if whole.any():
-                yield flush(pd.concat([*kept, b[whole]], ignore_index=True))
-                kept = [b[~whole]]
-            else:
-                kept.append(b)
-        if kept:
-            yield flush(pd.concat(kept, ignore_index=True))
-
-    dealt = buckets.repartition("key", "block").sortWithinPartitions("key", "block")
-    return dealt.mapInPandas(verify, "a bigint, b bigint")
+    ``nodes``: (node long, fp long), each fp once; a stored table.
+    """
+    return bucket_links(bucketed(nodes, most, groups), most).where("NOT dense").select("a", "b")
 
 
 def near_components(docs: DataFrame, shingle: int, most: int) -> DataFrame:
@@ -313,11 +420,135 @@ def near_components(docs: DataFrame, shingle: int, most: int) -> DataFrame:
     return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def keep_one_each(docs: DataFrame, shingle: int, most: int) -> DataFrame:
-    """``docs`` without the documents that link to one of a smaller id; rows with a null id stay.
+# --- near copies -----------------------------------------------------------------
+
+#: Bits of the distinct words' fingerprints in which candidates may differ.
+MOST = 8
+#: Bytes of a sketch: the lowest byte of the least of as many hashes of the shingles.
+SKETCH = 128
+#: How far below the similarity asked for a sketch's estimate may lie: over five standard errors at 0.8.
+SLACK = 0.2
+_ODD = np.random.default_rng(11).integers(0, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    return np.unique(hashes_of(text, shingle).astype(np.uint64))
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    least = np.full(SKETCH, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(hashes), 4096):
+        some = hashes[at : at + 4096, None] * _ODD[None, :]
+        least = np.minimum(least, ((some ^ (some >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)).min(axis=0))
+    return (least >> np.uint64(32)).astype(np.uint8).tobytes()
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted sets; empty ones are like no other set."""
+    if not len(a) or not len(b):
+        return 0.0
+    at = np.minimum(np.searchsorted(a, b), len(a) - 1)
+    both = int((a[at] == b).sum())
+    return both / (len(a) + len(b) - both)
+
+
+def marks(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, set, fp, sketch): a digest of the set of shingles, the fingerprint of the distinct words, and the sketch."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sets = [shingle_set(t, shingle) for t in b["text"]]
+            fps = np.array([majority(shingle_set(t, 1).astype(">u8")) for t in b["text"]], dtype=np.uint64)
+            yield pd.DataFrame({"doc_id": b["doc_id"], "set": [digest_of(s) for s in sets], "fp": fps.view(np.int64), "sketch": [sketch(s) for s in sets]})
+
+    return docs.mapInPandas(run, "doc_id bigint, set binary, fp bigint, sketch binary")
+
+
+def digest_of(hashes: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(hashes.tobytes())
+
+
+def texts_of(docs: DataFrame, ends: DataFrame, shingle: int) -> DataFrame:
+    """(node, text) of ``ends`` (node, doc_id, set): of an id's rows the one with that set."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            keep = [digest_of(shingle_set(t, shingle)) == s for t, s in zip(b["text"], b["set"])]
+            yield b.loc[keep, ["node", "text"]]
+
+    return docs.join(ends, "doc_id").select("node", "set", "text").mapInPandas(run, "node bigint, text string").dropDuplicates(["node"])
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, share: float) -> DataFrame:
+    """The ``pairs`` (a, b) whose sets have a similarity of at least ``share``: by their sketches first, then exactly."""
+    bar = share - SLACK
+
+    @F.pandas_udf("boolean")
+    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
+        one = np.frombuffer(b"".join(x), np.uint8).reshape(-1, SKETCH) == np.frombuffer(b"".join(y), np.uint8).reshape(-1, SKETCH)
+        return pd.Series(one.mean(axis=1) >= bar)
+
+    def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, known = None, np.zeros(0, np.uint64)
+        for b in batches:
+            keep = []
+            for a, x, y in zip(b["a"], b["x"], b["y"]):
+                if a != last:
+                    last, known = a, shingle_set(x, shingle)
+                keep.append(similarity(known, shingle_set(y, shingle)) >= share - 1e-9)
+            yield b.loc[keep, ["a", "b"]]
+
+    sketched = nodes.select("node", "sketch")
+    first = pairs.join(sketched.select(F.col("node").alias("a"), F.col("sketch").alias("_x")), "a").join(sketched.select(F.col("node").alias("b"), F.col("sketch").alias("_y")), "b")
+    likely = stored(first.where(alike("_x", "_y")).select("a", "b"), "likely-pairs")
+    named = likely.select(F.col("a").alias("node")).unionAll(likely.select("b")).distinct().join(nodes, "node").select("node", "doc_id", "set")
+    ends = stored(texts_of(docs, named, shingle), "likely-texts")
+    full = likely.join(ends.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(ends.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+    return full.mapInPandas(exact, "a bigint, b bigint")
+
+
+def apart(dense: DataFrame, nodes: DataFrame, roots: DataFrame, most: int) -> DataFrame:
+    """(a, b): all pairs within ``most`` bits in dense buckets whose nodes no verified link has joined yet."""
+    rooted = dense.join(nodes.select("node", "fp"), "node").join(roots, "node", "left").select("key", "own", "node", "fp", F.coalesce("root", "node").alias("root"))
+    several = dense.select("key", "node").join(roots, "node", "left").groupBy("key").agg(F.min(F.coalesce("root", "node")).alias("x"), F.max(F.coalesce("root", "node")).alias("y"))
+    some = rooted.join(several.where("x < y").select("key"), "key", "left_semi")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in whole_buckets(b.assign(block=0) for b in batches):
+            fp, node, root, key = rows["fp"].to_numpy().view(np.uint64), rows["node"].to_numpy(), rows["root"].to_numpy(), rows["key"].to_numpy()
+            cuts = np.concatenate([[0], np.nonzero(np.diff(key))[0] + 1, [len(key)]])
+            for at, end in zip(cuts[:-1], cuts[1:]):
+                own = np.nonzero(rows["own"].to_numpy()[at:end])[0]
+                step = max(1, 4_000_000 // (end - at))
+                for n in range(0, len(own), step):
+                    mine = own[n : n + step]
+                    near = np.bitwise_count(fp[at:end][mine][:, None] ^ fp[at:end][None, :]) <= most
+                    near &= root[at:end][mine][:, None] != root[at:end][None, :]
+                    x, y = np.nonzero(near)
+                    a, b = node[at:end][mine[x]], node[at:end][y]
+                    yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return some.repartition("key").sortWithinPartitions("key").mapInPandas(run, "a bigint, b bigint").distinct()
+
+
+def keep_one_each(docs: DataFrame, shingle: int, share: float, most: int = MOST) -> DataFrame:
+    """``docs`` without those that links of a similarity of at least ``share`` join to one of a smaller id; rows with a null id stay.
 
     Rows that repeat one doc_id are one document: they stay or go together.
     """
-    found = near_components(docs, shingle, most)
-    gone = found.where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    known = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    marked = stored(marks(known, shingle), "near-marks")
+    first = marked.groupBy("set").agg(F.min(F.struct("doc_id", "fp", "sketch")).alias("m"))
+    nodes = stored(first.select("set", F.xxhash64("set").alias("node"), "m.*"), "near-nodes")  # a node a set
+    found = stored(bucket_links(bucketed(nodes.select("node", "fp"), most), most), "near-links")
+    pairs = found.where("NOT dense").select("a", "b").distinct()
+    links = stored(verified(pairs, nodes, known, shingle, share), "near-verified")
+    roots = components(links, "near-roots")
+    dense = found.where("dense").select(F.col("a").alias("node"), F.col("b").alias("key"), "own")
+    if not dense.isEmpty():
+        rest = stored(apart(dense, nodes, roots, most).join(links, ["a", "b"], "left_anti"), "near-apart")
+        roots = components(links.unionAll(verified(rest, nodes, known, shingle, share)), "near-roots")
+    grouped = nodes.join(roots, "node", "left").select("set", "doc_id", F.coalesce("root", "node").alias("root"))
+    least = grouped.join(grouped.groupBy("root").agg(F.min("doc_id").alias("least")), "root").select("set", "least")
+    gone = marked.select("doc_id", "set").join(least, "set").where("least < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

@@ -151,8 +151,10 @@ def test_fingerprints(docs):
         assert r.fp & (2**64 - 1) == brute_fingerprint(text, 3)
 
 
-@pytest.mark.parametrize("most", [3, 7])
-def test_links_join_what_brute_force_joins(spark, most):
+@pytest.mark.parametrize(("most", "groups", "dense"), [(0, None, 16), (3, None, 16), (3, (4,), 0), (7, (4,), 16), (7, (6,), 1), (8, (8,), 16)])
+def test_links_join_what_brute_force_joins(spark, most, groups, dense, monkeypatch):
+    monkeypatch.setattr(simhash, "DENSE", dense)
+    monkeypatch.setattr(simhash, "SMALL", 8)
     random = np.random.default_rng(5)
     centres = random.integers(0, 2**63, 40, dtype=np.uint64)
     fps = set()
@@ -179,9 +181,7 @@ def test_links_join_what_brute_force_joins(spark, most):
                 root[max(a, b)] = min(a, b)
     from graphloom.llm.components import components
 
-    old = simhash.BLOCK
-    found = {r.node: r.root for r in components(simhash.links(nodes, most)).collect()}
-    assert old == simhash.BLOCK
+    found = {r.node: r.root for r in components(simhash.links(nodes, most, groups)).collect()}
     assert all(found.get(i, i) == find(i) for i in range(len(fps)))
 
 
@@ -199,11 +199,46 @@ def test_hot_buckets_are_cut_into_blocks(spark, monkeypatch):
 def test_near_components_and_keep_one(docs, empty):
     got = Counter((r.doc_id, r.component_id) for r in simhash.near_components(docs, 3, 3).collect())
     assert got[(2, 1)] == 1 and got[(1, 1)] == 1 and got[(4, 3)] == 1 and got[(9, 9)] == 2 and got[(None, None)] == 1
-    kept = [r.doc_id for r in simhash.keep_one_each(docs, 3, 3).collect()]
-    assert 1 in kept and 2 not in kept and 4 not in kept and kept.count(9) == 2 and None in kept
     assert simhash.near_components(empty, 3, 3).count() == 0
 
 
+def test_a_very_long_text_has_its_fingerprint():
+    assert simhash.fingerprint(LONG * 4, 3) == brute_fingerprint(LONG * 4, 3)
+
+
+def test_keep_one_each_cases(spark, docs, empty):
+    more = docs.withColumn("set", F.lit("s")).withColumn("node", F.lit(1)).withColumn("least", F.lit(0))  # names of inner columns
+    got = simhash.keep_one_each(more, 5, 0.8)
+    kept = [r.doc_id for r in got.collect()]
+    assert got.columns == more.columns and kept.count(9) == 2 and None in kept
+    assert sorted(x for x in kept if x and x != 9) == [1, 3, 5, 7, 8]  # 2 is 1 again, 4 is empty like 3, 6 is 5 and a word
+    assert simhash.keep_one_each(empty, 5, 0.8).count() == 0
+
+
+@pytest.mark.parametrize("dense", [0, 16])
+def test_keep_one_each_is_brute_force_in_a_dense_group(spark, dense, monkeypatch):
+    monkeypatch.setattr(simhash, "DENSE", dense)
+    monkeypatch.setattr(simhash, "SMALL", 4)
+    random = np.random.default_rng(13)
+    words = [f"w{i}" for i in range(3000)]
+    base = random.choice(words, 200)
+    rows = []
+    for n in range(150):  # all like the base, many not like each other
+        copy = base.copy()
+        copy[random.choice(200, random.integers(0, 6), replace=False)] = random.choice(words)
+        rows.append((n * 7 % 150, " ".join(copy)))
+    rows += [(200 + n, " ".join(random.choice(words, 200))) for n in range(150)]
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(196)} for i, t in rows}
+    root = {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            if j < i < 200 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = {x: a if r == b else r for x, r in root.items()}
+    kept = {r.doc_id for r in simhash.keep_one_each(spark.createDataFrame([(i, t, "x") for i, t in rows], DOC), 5, 0.8).collect()}
+    assert kept == {i for i in root if root[i] == i} and len(kept) < 290
+
+
 def test_components_of_a_long_path(spark):
     from graphloom.llm.components import components
 
