@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import lines, packing, similar, toxicity
+from graphloom.llm import lines, packing, simhash, toxicity
 from graphloom.llm.common import stored, table
 
 #: The near-duplicate stage: words a shingle, and the Jaccard similarity from which documents are copies.
@@ -29,7 +29,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return similar.keep_one_each(docs, SHINGLE, SHARE)
+    return simhash.keep_one_each(docs, SHINGLE, SHARE)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
