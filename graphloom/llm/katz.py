@@ -21,7 +21,8 @@ How it runs: the corpus is tokenised once into blocks (distinct word digests, an
 indexes into them). Order by order, a block sends its distinct grams whose context is known to the
 partitions that own the contexts; an owner sums what all blocks send, stores its part of
 the level, and replies to each block with counts and ids in the order sent. So no row a token is
-shuffled, and the next order's contexts are single numbers. There are about TOKENS / PART_TOKENS
+shuffled, and the next order's contexts are single numbers. At the highest order a block is sent no
+reply for contexts whose events all lie within it. There are about TOKENS / PART_TOKENS
 partitions, and a block sends nothing to those that it has no gram for. Contexts that hold over
 1 / (4 * partitions) of all tokens are spread over SPREAD partitions; only their sums are
 put together on the driver (4 * partitions contexts at most).
@@ -53,7 +54,7 @@ from graphloom.llm.common import removed, session_settings, shared_dir, stored
 K = 5
 ORDER = 3
 BLOCK_TOKENS = 1_000_000
-PART_TOKENS = 2_000_000
+PART_TOKENS = 1_000_000
 SPREAD = 8
 END = xxhash.xxh64_intdigest(b"\nend")  # no word holds a line feed
 START_ID, UNKNOWN_ID, FIRST_ID = 0, 1, 2
@@ -111,6 +112,19 @@ def freed_mass(small: np.ndarray, d: np.ndarray) -> np.ndarray:
     return small @ (np.arange(1, K + 1) * (1 - d[1 : K + 1]))
 
 
+def seen_mass(low: np.ndarray, big: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """The discounted counts, one order below, of all followers of each context: ``low`` says how many of them have counts
+    1 to K there, ``big`` is the sum of the larger counts."""
+    return low @ (np.arange(1, K + 1) * d[1 : K + 1]) + big
+
+
+def sums_of(of: np.ndarray, count: np.ndarray, below: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """small, low and big of ``n`` contexts from their followers' counts at this order and below."""
+    small = np.stack([np.bincount(of[count == r], minlength=n) for r in range(1, K + 1)], axis=1)
+    low = np.stack([np.bincount(of[below == r], minlength=n) for r in range(1, K + 1)], axis=1)
+    return small, low, np.bincount(of, np.where(below > K, below, 0), n)
+
+
 def counts_of_counts(c: np.ndarray) -> np.ndarray:
     return np.bincount(np.minimum(c, K + 2), minlength=K + 3)[1 : K + 2]
 
@@ -134,7 +148,12 @@ class Hot:
 
     ctx: np.ndarray
     small: np.ndarray
-    mass: np.ndarray
+    low: np.ndarray
+    big: np.ndarray
+
+    @classmethod
+    def none_yet(cls, ctx: np.ndarray) -> Hot:
+        return cls(ctx, np.zeros((len(ctx), K)), np.zeros((len(ctx), K)), np.zeros(len(ctx)))
 
 
 @dataclass
@@ -157,14 +176,14 @@ class Model:
         return spark.read.schema(OWNED).parquet(f"{self.path}/level-{level}").where("kind = 1")
 
     def save(self, spark: SparkSession) -> None:
-        hot = {n: [h.ctx.tolist(), h.small.tolist(), h.mass.tolist()] for n, h in self.hot.items()}
+        hot = {n: [h.ctx.tolist(), h.small.tolist(), h.low.tolist(), h.big.tolist()] for n, h in self.hot.items()}
         text = json.dumps({"order": self.order, "parts": self.parts, "texts": self.texts, "sums": self.sums, "d": {n: d.tolist() for n, d in self.d.items()}, "hot": hot})
         spark.createDataFrame([(text,)], "statistics string").coalesce(1).write.parquet(f"{self.path}/statistics")
 
 
 def load(spark: SparkSession, path: str) -> Model:
     got = json.loads(spark.read.parquet(f"{path}/statistics").first()[0])
-    hot = {int(n): Hot(np.array(c, dtype=np.uint64), np.array(s, dtype=float).reshape(-1, K), np.array(m, dtype=float)) for n, (c, s, m) in got["hot"].items()}
+    hot = {int(n): Hot(np.array(c, dtype=np.uint64), np.array(s, dtype=float).reshape(-1, K), np.array(w, dtype=float).reshape(-1, K), np.array(b, dtype=float)) for n, (c, s, w, b) in got["hot"].items()}
     return Model(path, got["order"], got["parts"], got["texts"], got["sums"], {int(n): np.array(d) for n, d in got["d"].items()}, hot)
 
 
@@ -251,6 +270,11 @@ class Block:
         self.below_of, self.floor = np.full(len(self.words) + 1, float(self.uni.of)), np.full(len(self.words) + 1, self.uni.unknown)
         self.id = np.append(np.where(self.count > 0, self.id, NONE), np.uint64(START_ID))
         self.total = np.append(self.count, self.model.texts)
+        self.seen_here = self._seen_here(self.tokens, len(self.words))
+
+    def _seen_here(self, at: np.ndarray, n: int) -> np.ndarray:
+        """The training events of each context that lie in this block."""
+        return np.append(self.trained(at, n), 0 if self.train is None else self.train[self.first].sum())
 
     def grams(self, level: int) -> None:
         """The distinct grams of ``level`` whose context is known, sorted by part, context and follower."""
@@ -281,39 +305,55 @@ class Block:
         new = np.concatenate([[True], rest[1:] != rest[:-1]]) if len(rest) else np.zeros(0, bool)
         self.head = np.nonzero(new)[0]  # where a context begins
         self.part_of = (rest // len(self.id)).astype(np.int64)
-        self.cuts = np.searchsorted(self.part_of, np.arange(self.model.parts + 1))
         self.run = np.cumsum(new) - 1  # the context's run of each gram
-
-    def sent(self, block: int, lower: np.ndarray) -> Iterator[dict]:
-        """What goes to each owner; ``lower``: the count one order below of each gram."""
-        n = self.trained(self.at, len(self.one))
+        self.n = self.trained(self.at, len(self.one))
+        # at the last level a context whose events all lie in this block needs no reply
+        of_run = self.ctx[self.head]
+        self.local = (self.total[of_run] == self.seen_here[of_run]) & ~hot[of_run] & (self.train is not None) & (level == self.model.order)
+        self.asked_runs = np.nonzero(~self.local)[0]
+        self.asked = np.nonzero(~self.local[self.run])[0]
+
+    def by_part(self, rows: np.ndarray, parts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """``rows``, in the order of ``parts``, cut by part."""
+        cuts = np.concatenate([[0], np.nonzero(np.diff(parts))[0] + 1, [len(parts)]]) if len(parts) else np.zeros(1, np.int64)
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            yield int(parts[a]), rows[a:b]
+
+    def sent(self, block: int) -> Iterator[dict]:
+        """What goes to each owner: what it is asked, and what it need only store."""
+        lower = self.lower_counts()
         followers = np.where(self.word_count[self.follower] > 0, self.word_id[self.follower], np.uint64(UNKNOWN_ID))
-        for p in np.unique(self.part_of[self.head]).tolist():
-            mine = slice(self.cuts[p], self.cuts[p + 1])
-            heads = self.head[np.searchsorted(self.head, mine.start) : np.searchsorted(self.head, mine.stop)]
-            runs = np.diff(np.append(heads, mine.stop)).astype(np.uint32)
-            some = n[mine]
-            yield {"part": p, "block": block, "ctx": packed_rising(self.before_id[self.ctx[heads]]), "runs": packed(runs), "fol": packed(followers[mine]),
-                   "n": packed(some), "lower": packed(lower[mine][some > 0].astype(np.uint32))}
+        stored_only = np.nonzero(self.local[self.run] & (self.n > 0))[0]
+        for local, rows in ((False, self.asked), (True, stored_only)):
+            for p, mine in self.by_part(rows, self.part_of[rows]):
+                run = self.run[mine]
+                heads = np.nonzero(np.concatenate([[True], run[1:] != run[:-1]]))[0]
+                runs = np.diff(np.append(heads, len(mine))).astype(np.uint32)
+                n = self.n[mine]
+                yield {"part": p, "block": block, "local": local, "ctx": packed_rising(self.before_id[self.ctx[mine[heads]]]), "runs": packed(runs), "fol": packed(followers[mine]),
+                       "n": packed(n), "lower": packed(lower[mine][n > 0].astype(np.uint32))}
 
     def take(self, level: int, replies, last: bool) -> None:
         """Counts, ids and sums of the grams as replied; then the probability of each token at this level."""
         model, size = self.model, len(self.one)
-        count, ids = np.zeros(size, np.int64), np.full(size, NONE, np.uint64)
-        small, mass = np.zeros((len(self.head), K)), np.zeros(len(self.head))
-        for r in replies:
-            mine = slice(self.cuts[r["part"]], self.cuts[r["part"] + 1])
+        count, ids = np.where(self.local[self.run], self.n, 0).astype(np.int64), np.full(size, NONE, np.uint64)
+        mine = np.nonzero(self.local[self.run] & (self.n > 0))[0]
+        small, low, big = sums_of(self.run[mine], count[mine], self.lower_counts()[mine], len(self.head))
+        rows = dict(self.by_part(self.asked, self.part_of[self.asked]))
+        runs = dict(self.by_part(self.asked_runs, self.part_of[self.head[self.asked_runs]]))
+        for r in replies if replies is not None else ():
+            mine, own_runs = rows[r["part"]], runs[r["part"]]
             count[mine] = unpacked(r["n"], "<u4")
             if not last:
-                own = np.full(mine.stop - mine.start, NONE, np.uint64)
+                own = np.full(len(mine), NONE, np.uint64)
                 own[count[mine] > 0] = unpacked_rising(r["id"])
                 ids[mine] = own
-            runs = slice(np.searchsorted(self.head, mine.start), np.searchsorted(self.head, mine.stop))
-            small[runs], mass[runs] = unpacked(r["small"], "<u4").reshape(-1, K), unpacked(r["mass"], "<f8")
+            small[own_runs], low[own_runs], big[own_runs] = unpacked(r["small"], "<u4").reshape(-1, K), unpacked(r["low"], "<u4").reshape(-1, K), unpacked(r["big"], "<u8")
         of_run = self.ctx[self.head]  # each run's context
         hot = np.nonzero(self.before_hot[of_run])[0]
         at = np.searchsorted(model.hot[level].ctx, self.before_id[of_run[hot]])
-        small[hot], mass[hot] = model.hot[level].small[at], model.hot[level].mass[at]
+        small[hot], low[hot], big[hot] = model.hot[level].small[at], model.hot[level].low[at], model.hot[level].big[at]
+        mass = seen_mass(low, big, model.d[level - 1])
         freed, total = freed_mass(small, model.d[level]), self.before_total[of_run]
         of = np.where(freed > 0, total, total + 1)
         free = np.where(freed > 0, freed, 1.0) / of
@@ -329,6 +369,7 @@ class Block:
             short = np.append(self.level_at[self.one], len(self.before_id) - 1)
             self.below_of, self.floor = of_below[short], floor_below[short]
             self.id, self.total = np.append(ids, np.uint64(START_ID)), np.append(count, model.texts)
+            self.seen_here = self._seen_here(self.at, size)
             self.count = count
 
     def lower_counts(self) -> np.ndarray:
@@ -340,14 +381,14 @@ class Block:
 class Level:
     """A part of a level of the model: contexts, and their followers and counts, both in the order of ids."""
 
-    def __init__(self, part: int, parts: int, ctx: np.ndarray, runs: np.ndarray, fol: np.ndarray, n: np.ndarray, small: np.ndarray, mass: np.ndarray):
-        self.part, self.parts, self.ctx, self.runs, self.fol, self.n, self.small, self.mass = part, parts, ctx, runs, fol, n, small, mass
+    def __init__(self, part: int, parts: int, ctx: np.ndarray, runs: np.ndarray, fol: np.ndarray, n: np.ndarray, small: np.ndarray, low: np.ndarray, big: np.ndarray):
+        self.part, self.parts, self.ctx, self.runs, self.fol, self.n, self.small, self.low, self.big = part, parts, ctx, runs, fol, n, small, low, big
         self.followers, rank = np.unique(fol, return_inverse=True)
         self.keys = np.repeat(np.arange(len(ctx)), runs) * max(1, len(self.followers)) + rank
 
     @classmethod
-    def of_sent(cls, part: int, parts: int, sent: pd.DataFrame, d: np.ndarray) -> Level:
-        """Summed up from what the blocks sent; ``d`` are the discounts one order below."""
+    def of_sent(cls, part: int, parts: int, sent: pd.DataFrame) -> Level:
+        """Summed up from what the blocks sent."""
         ctx = np.concatenate([np.repeat(unpacked_rising(c), unpacked(r, "<u4")) for c, r in zip(sent["ctx"], sent["runs"])])
         fol = np.concatenate([unpacked(x, "<u8") for x in sent["fol"]])
         n = np.concatenate([unpacked(x, "<u4") for x in sent["n"]])
@@ -361,30 +402,26 @@ class Level:
         below = np.zeros(len(keys), np.int64)
         below[place] = lower
         of = keys // max(1, len(followers))
-        small = np.stack([np.bincount(of[total == r], minlength=len(contexts)) for r in range(1, K + 1)], axis=1)
-        mass = np.bincount(of, discounted(below, d), len(contexts))
-        return cls(part, parts, contexts, np.bincount(of, minlength=len(contexts)), followers[keys % max(1, len(followers))], total, small, mass)
+        return cls(part, parts, contexts, np.bincount(of, minlength=len(contexts)), followers[keys % max(1, len(followers))], total, *sums_of(of, total, below, len(contexts)))
 
     @classmethod
     def of_table(cls, part: int, parts: int, table: pd.DataFrame) -> Level:
-        none = np.zeros(0)
+        none = np.zeros(0, np.int64)
         if not len(table):
-            return cls(part, parts, none.astype(np.uint64), none.astype(np.int64), none.astype(np.uint64), none.astype(np.int64), np.zeros((0, K)), none)
+            return cls(part, parts, none.astype(np.uint64), none, none.astype(np.uint64), none, np.zeros((0, K)), np.zeros((0, K)), none)
         r = table.iloc[0]
-        return cls(part, parts, unpacked_rising(r["ctx"]), unpacked(r["runs"], "<u4").astype(np.int64), unpacked(r["fol"], "<u8"), unpacked(r["n"], "<u4").astype(np.int64), unpacked(r["small"], "<u4").reshape(-1, K), unpacked(r["mass"], "<f8"))
+        return cls(part, parts, unpacked_rising(r["ctx"]), unpacked(r["runs"], "<u4").astype(np.int64), unpacked(r["fol"], "<u8"), unpacked(r["n"], "<u4").astype(np.int64),
+                   unpacked(r["small"], "<u4").reshape(-1, K), unpacked(r["low"], "<u4").reshape(-1, K), unpacked(r["big"], "<u8"))
 
     def row(self) -> dict:
-        return {"kind": 1, "block": -1, "ctx": packed_rising(self.ctx), "runs": packed(self.runs.astype(np.uint32)), "fol": packed(self.fol), "n": packed(self.n.astype(np.uint32)), **self.sums(slice(None))}
-
-    def sums(self, at) -> dict:
-        return {"small": packed(self.small[at].astype(np.uint32).ravel()), "mass": packed(self.mass[at].astype(np.float64))}
+        return {"kind": 1, "block": -1, "ctx": packed_rising(self.ctx), "runs": packed(self.runs.astype(np.uint32)), "fol": packed(self.fol), "n": packed(self.n.astype(np.uint32)), **packed_sums(self.small, self.low, self.big)}
 
     def reply(self, r, last: bool) -> dict:
         ctx, runs, fol = unpacked_rising(r.ctx), unpacked(r.runs, "<u4"), unpacked(r.fol, "<u8")
         at = np.minimum(np.searchsorted(self.ctx, ctx), max(0, len(self.ctx) - 1))
         known = self.ctx[at] == ctx if len(self.ctx) else np.zeros(len(ctx), bool)
         count, ids = np.zeros(len(fol), np.int64), np.zeros(0, np.uint64)
-        small, mass = np.zeros((len(ctx), K)), np.zeros(len(ctx))
+        small, low, big = np.zeros((len(ctx), K)), np.zeros((len(ctx), K)), np.zeros(len(ctx))
         if len(self.keys):
             rank = np.minimum(np.searchsorted(self.followers, fol), len(self.followers) - 1)
             key = np.repeat(at, runs) * len(self.followers) + rank
@@ -392,12 +429,16 @@ class Level:
             hit = (self.keys[place] == key) & (self.followers[rank] == fol) & np.repeat(known, runs)
             count = np.where(hit, self.n[place], 0)
             ids = place[hit].astype(np.uint64) * np.uint64(self.parts) + np.uint64(self.part + FIRST_ID)
-            small[known], mass[known] = self.small[at[known]], self.mass[at[known]]
-        out = {"kind": 0, "block": r.block, "n": packed(count.astype(np.uint32)), "small": packed(small.astype(np.uint32).ravel()), "mass": packed(mass)}
+            small[known], low[known], big[known] = self.small[at[known]], self.low[at[known]], self.big[at[known]]
+        out = {"kind": 0, "block": r.block, "n": packed(count.astype(np.uint32)), **packed_sums(small, low, big)}
         return out if last else out | {"id": packed_rising(ids)}
 
 
-OWNED = "kind int, part int, block bigint, ctx binary, runs binary, fol binary, n binary, id binary, small binary, mass binary"
+def packed_sums(small: np.ndarray, low: np.ndarray, big: np.ndarray) -> dict[str, bytes]:
+    return {"small": packed(small.astype(np.uint32).ravel()), "low": packed(low.astype(np.uint32).ravel()), "big": packed(big.astype(np.uint64))}
+
+
+OWNED = "kind int, part int, block bigint, ctx binary, runs binary, fol binary, n binary, id binary, small binary, low binary, big binary"
 COLUMNS = [c.split()[0] for c in OWNED.split(", ")]
 
 
@@ -444,7 +485,7 @@ class Run:
 
     def replies(self, level: int) -> DataFrame:
         table = self.spark.read.schema(OWNED).parquet(f"{self.work}/level-{level}").where("kind = 0")
-        return table.groupBy("block").agg(F.collect_list(F.struct("part", "n", "id", "small", "mass")).alias(f"r{level}"))
+        return table.groupBy("block").agg(F.collect_list(F.struct("part", "n", "id", "small", "low", "big")).alias(f"r{level}"))
 
     def with_replies(self, levels: int) -> DataFrame:
         out = self.corpus
@@ -520,36 +561,37 @@ class Run:
         model, fitting, parts, last = self.model, self.fitting, self.model.parts, level == self.model.order
         if fitting:
             heavy = self.heavy(level)
-            model.hot[level] = Hot(heavy, np.zeros((len(heavy), K)), np.zeros(len(heavy)))
-        hot, d = model.hot[level].ctx, model.d[level - 1]
+            model.hot[level] = Hot.none_yet(heavy)
+        hot = model.hot[level].ctx
 
         def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 for row in b.itertuples():
                     k = filled(row, model, fitting, level - 1)
                     k.grams(level)
-                    for one in k.sent(row.block, k.lower_counts()):
+                    for one in k.sent(row.block):
                         yield pd.DataFrame([one])
 
         def own(group: pd.DataFrame, table: pd.DataFrame | None) -> pd.DataFrame:
             part = int(group["part"].iloc[0])
-            held = Level.of_sent(part, parts, group, d) if table is None else Level.of_table(part, parts, table)
-            out = [held.reply(r, last) for r in group.itertuples()]
+            held = Level.of_sent(part, parts, group) if table is None else Level.of_table(part, parts, table)
+            out = [held.reply(r, last) for r in group.itertuples() if not r.local]
             if table is None:
                 out.append(held.row())
                 out.append({"kind": 2, "block": -1, "n": packed(counts_of_counts(held.n).astype(np.int64))})
                 big = np.nonzero(np.isin(held.ctx, hot))[0]  # their sums are those of this part only
-                out.append({"kind": 3, "block": -1, "ctx": packed(held.ctx[big]), **held.sums(big)})
+                out.append({"kind": 3, "block": -1, "ctx": packed(held.ctx[big]), **packed_sums(held.small[big], held.low[big], held.big[big])})
             return owned(out, part)
 
-        sent = self.with_replies(level - 1).mapInPandas(send, "part int, block bigint, ctx binary, runs binary, fol binary, n binary, lower binary")
+        sent = self.with_replies(level - 1).mapInPandas(send, "part int, block bigint, local boolean, ctx binary, runs binary, fol binary, n binary, lower binary")
         made = self.owners(sent, level, own, last)
         if fitting:
             model.d[level] = discounts(sum((unpacked(r.n, "<i8") for r in made.where("kind = 2").select("n").collect()), np.zeros(K + 1, np.int64)))
-            for r in made.where("kind = 3").select("ctx", "small", "mass").collect():
+            for r in made.where("kind = 3").select("ctx", "small", "low", "big").collect():
                 at = np.searchsorted(hot, unpacked(r.ctx, "<u8"))
                 model.hot[level].small[at] += unpacked(r.small, "<u4").reshape(-1, K)
-                model.hot[level].mass[at] += unpacked(r.mass, "<f8")
+                model.hot[level].low[at] += unpacked(r.low, "<u4").reshape(-1, K)
+                model.hot[level].big[at] += unpacked(r.big, "<u8")
 
     def levels(self) -> None:
         self.words()
