@@ -10,14 +10,18 @@ Features of a word: the word itself and its beginnings of three, four and five
 letters, hashed to 2**18 weights, so that inflected forms share evidence.
 
 Training takes a bounded sample of the labelled rows: at most TRAIN_TOXIC toxic
-and TRAIN_CLEAN clean documents, those with the smallest hash of their id, and of
-each at most the TRAIN_SENTENCES sentences with the smallest hash. Scoring always
-takes all sentences of the whole text.
+and TRAIN_CLEAN clean documents, those with the smallest hash of their id, with all
+sentences of their whole texts. Two passes over them keep what reaches the driver small:
+the first counts, in Spark, in how many toxic and clean documents each feature is (2**18
+counts), which tells the features that will have weights; the second brings the sentences
+that have such features, and for each document the number of those that have none.
+Scoring always takes all sentences of the whole text.
 
 Defined cases: null and empty texts have no sentence and score the leak
 probability; a null label is unlabelled; several labels of one id count as toxic
-if any is; a null id is scored and never trained on; rows that repeat are scored
-each; with no labels at all every text scores the leak of an untrained model.
+if any is; of rows that repeat an id one is trained on (that with the smallest hash
+of its text), and each is scored; a null id is scored and never trained on; where toxic
+or clean labels are missing altogether every text scores the same, 0.018.
 """
 
 from __future__ import annotations
@@ -31,8 +35,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import stored
+
 BITS = 18
-TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_SENTENCES = 1_500, 3_000, 150
+TRAIN_TOXIC, TRAIN_CLEAN = 1_500, 3_000
 LEAST_DOCS, LEAST_Z = 3, 4.0
 THRESHOLD = 0.3
 SENTENCE_THRESHOLD = 0.3
@@ -65,72 +71,88 @@ class Model:
         return float(self.weights[list(word_features(word))].sum())
 
 
-def train(docs: list[tuple[int, list[np.ndarray]]], rounds: int = 150, rate: float = 0.15, decay: float = 1e-4) -> Model:
-    """Fit the noisy-or likelihood of (label, features of each sentence) by Adam over all of them."""
-    weights = np.zeros((1 << BITS) + 2)  # the last two: bias and leak
-    weights[-2], weights[-1] = -4.0, -4.0
-    if not docs:
-        return Model(weights[:-2].astype(np.float32), -4.0, -4.0)
-    label = np.array([y for y, _ in docs], dtype=float)
-    # only features whose share of toxic and of clean documents differs beyond chance have weights
-    in_toxic, in_all = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    for y, ss in docs:
-        seen = np.unique(np.concatenate(ss)) if ss else np.zeros(0, np.int32)
-        in_all[seen] += 1
-        in_toxic[seen] += y
-    n_toxic, n_clean = max(1.0, label.sum()), max(1.0, (1 - label).sum())
-    share = in_all / len(docs)
-    z = (in_toxic / n_toxic - (in_all - in_toxic) / n_clean) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n_toxic + 1 / n_clean))
-    common = (in_all >= LEAST_DOCS) & (np.abs(z) >= LEAST_Z)
-    sentences = [s[common[s]] for _, ss in docs for s in ss]
-    of_doc = np.repeat(np.arange(len(docs)), [len(ss) for _, ss in docs])
+def untrained() -> Model:
+    return Model(np.zeros(1 << BITS, np.float32), -CLAMP, -4.0)
+
+
+def telling(in_toxic: np.ndarray, in_clean: np.ndarray, toxic: int, clean: int) -> np.ndarray:
+    """Which features are in a share of the toxic documents that differs from their share of the clean ones beyond chance."""
+    share = (in_toxic + in_clean) / (toxic + clean)
+    z = (in_toxic / toxic - in_clean / clean) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / toxic + 1 / clean))
+    return (in_toxic + in_clean >= LEAST_DOCS) & (np.abs(z) >= LEAST_Z)
+
+
+def train(docs: list[tuple[int, int, list[np.ndarray]]], rounds: int = 150, rate: float = 0.15, decay: float = 1e-4) -> Model:
+    """Fit the noisy-or likelihood of (label, number of sentences without features, features of each other sentence) by Adam over all of them."""
+    label = np.array([y for y, _, _ in docs], dtype=float)
+    if not label.any() or label.all():
+        return untrained()
+    weights = np.zeros(1 << BITS)
+    sentences = [np.zeros(0, np.int32) for _ in docs] + [s for _, _, ss in docs for s in ss]
+    times = np.concatenate([[n for _, n, _ in docs], np.ones(len(sentences) - len(docs))])
+    of_doc = np.concatenate([np.arange(len(docs)), np.repeat(np.arange(len(docs)), [len(ss) for _, _, ss in docs])])
     of_sentence = np.repeat(np.arange(len(sentences)), [len(s) for s in sentences])
-    features = np.concatenate([np.zeros(0, np.int32), *sentences])
-    used, features = np.unique(features, return_inverse=True)
-    scale = np.where(label == 1, 0.5 / max(1, label.sum()), 0.5 / max(1, (1 - label).sum())) * len(label)
-    mean, square = np.zeros(len(used) + 2), np.zeros(len(used) + 2)
-    w = np.concatenate([weights[used], weights[-2:]])
+    used, features = np.unique(np.concatenate(sentences), return_inverse=True)
+    scale = np.where(label == 1, 0.5 / label.sum(), 0.5 / (1 - label).sum()) * len(label)
+    w = np.concatenate([np.zeros(len(used)), [-4.0, -4.0]])  # the last two: bias and leak
+    mean, square = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, rounds + 1):
         s = np.clip(np.bincount(of_sentence, w[features], len(sentences)) + w[-2], -CLAMP, CLAMP)
-        total = np.bincount(of_doc, softplus(s), len(docs)) + softplus(w[-1])
+        total = np.bincount(of_doc, times * softplus(s), len(docs)) + softplus(w[-1])
         clean = np.exp(-total)
         d_total = scale * ((1 - label) - label * clean / np.maximum(1 - clean, 1e-9)) / len(docs)
-        d_s = d_total[of_doc] / (1 + np.exp(-s))
+        d_s = times * d_total[of_doc] / (1 + np.exp(-s))
         g = np.empty_like(w)
         g[:-2] = np.bincount(features, d_s[of_sentence], len(used)) + decay * w[:-2]
         g[-2], g[-1] = d_s.sum(), d_total.sum() / (1 + np.exp(-w[-1]))
         mean = 0.9 * mean + 0.1 * g
         square = 0.99 * square + 0.01 * g * g
         w -= rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
-    weights[used], weights[-2:] = w[:-2], w[-2:]
-    return Model(weights[:-2].astype(np.float32), float(w[-2]), float(w[-1]))
+    weights[used] = w[:-2]
+    return Model(weights.astype(np.float32), float(w[-2]), float(w[-1]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column | None = None) -> Model:
     """Learn from the labelled documents; ``allowed`` is a condition on doc_id that training rows meet."""
+    spark = docs.sparkSession
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("_y"))
     if allowed is not None:
         known = known.where(allowed)
     dealt = known.select("doc_id", "_y", F.xxhash64("doc_id").alias("_h"))
     chosen = dealt.where("_y = 1").orderBy("_h", "doc_id").limit(TRAIN_TOXIC).unionAll(dealt.where("_y = 0").orderBy("_h", "doc_id").limit(TRAIN_CLEAN))
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("_y", "_h", "text")
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    once = found.groupBy("doc_id", "_y", "_h").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"))
+    rows = stored(once.select("_y", "_h", "text"), "toxicity-training")  # at most TRAIN_TOXIC + TRAIN_CLEAN rows
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = np.zeros((2, (1 << BITS) + 1), dtype=np.int64)  # the last one: documents
+        for b in batches:
+            for y, text in zip(b["_y"], b["text"]):
+                seen[y, np.unique(sentence_features(text or ""))] += 1
+                seen[y, -1] += 1
+        y, f = np.nonzero(seen)
+        yield pd.DataFrame({"y": y.astype(np.int32), "f": f.astype(np.int32), "n": seen[y, f]})
+
+    seen = np.zeros((2, (1 << BITS) + 1))
+    for r in rows.mapInPandas(count, "y int, f int, n bigint").groupBy("y", "f").agg(F.sum("n").alias("n")).toPandas().itertuples():  # 2 * 2**18 rows at most
+        seen[r.y, r.f] = r.n
+    if not seen[0, -1] or not seen[1, -1]:
+        return untrained()
+    sent = spark.sparkContext.broadcast(telling(seen[1, :-1], seen[0, :-1], int(seen[1, -1]), int(seen[0, -1])))
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for text in b["text"]:
-                found = SENTENCE.findall(text or "")
-                if len(found) > TRAIN_SENTENCES:
-                    found = sorted(found, key=lambda x: zlib.crc32(x.encode("utf-8", "surrogatepass")))[:TRAIN_SENTENCES]
-                parts = [sentence_features(x) for x in found]
-                out.append((np.array([len(p) for p in parts], dtype=np.int32).tobytes(), np.concatenate([np.zeros(0, np.int32), *parts]).astype(np.int32).tobytes()))
-            yield pd.DataFrame({"y": b["_y"], "h": b["_h"], "n": [x[0] for x in out], "f": [x[1] for x in out]})
-
-    got = rows.mapInPandas(run, "y int, h bigint, n binary, f binary").collect()  # at most TRAIN_TOXIC + TRAIN_CLEAN rows
+                parts = [f[sent.value[f]] for f in map(sentence_features, SENTENCE.findall(text or ""))]
+                some = [f for f in parts if len(f)]
+                out.append((len(parts) - len(some), np.array([len(p) for p in some], dtype=np.int32).tobytes(), np.concatenate([np.zeros(0, np.int32), *some]).astype(np.int32).tobytes()))
+            yield pd.DataFrame({"y": b["_y"], "h": b["_h"], "plain": [x[0] for x in out], "n": [x[1] for x in out], "f": [x[2] for x in out]})
+
     ready = []
-    for r in sorted(got, key=lambda r: (r.h, r.f)):
+    for r in sorted(rows.mapInPandas(gather, "y int, h bigint, plain int, n binary, f binary").collect(), key=lambda r: (r.h, r.f)):
         cuts = np.cumsum(np.frombuffer(r.n, dtype=np.int32))
-        ready.append((r.y, np.split(np.frombuffer(r.f, dtype=np.int32), cuts[:-1]) if len(cuts) else []))
+        ready.append((r.y, r.plain, np.split(np.frombuffer(r.f, dtype=np.int32), cuts[:-1]) if len(cuts) else []))
     return train(ready)
 
 

@@ -1,9 +1,10 @@
 """URL rules by hashed host-suffix and path-prefix expressions.
 
 Each URL is expanded into the pairs of its host's suffixes (at label bounds) and
-its path's prefixes that a rule could have; the expressions join the rules on a
-short prefix of their SHA-256, the full digests confirm the match, and the
-longest rule wins. The expansion is bounded by the rules: suffixes have at most
+its path's prefixes that a rule could have; the expressions meet the rules by an equi-join on a
+short prefix of their SHA-256, which brings all rules of that prefix; the full digests then
+confirm the match, and the longest rule wins. The rules are broadcast where they are at
+most BROADCAST, else the join is left to Spark. The expansion is bounded by the rules: suffixes have at most
 as many labels as the longest rule, prefixes only the lengths of rule paths.
 
 URLs are judged once each, so that a URL that many pages share is one row, and
@@ -38,6 +39,8 @@ RULES = (
 DEFAULT = "allow"
 #: Hex digits of a digest that the join is on.
 SHORT = 8
+#: Rules that are sent to every executor, some 200 bytes each.
+BROADCAST = 50_000
 
 
 def host_of(url: Column) -> Column:
@@ -74,8 +77,10 @@ def judge(pages: DataFrame, rules=RULES, url: str = "url") -> DataFrame:
         .select("_u", F.sha2("_e", 256).alias("_d"))
         .withColumn("_s", F.substring("_d", 1, SHORT))
     )
-    known = rule_table(pages.sparkSession, rules)
-    hits = expressions.join(known, (F.col("_s") == F.col("short")) & (F.col("_d") == F.col("digest")))
+    known = rule_table(pages.sparkSession, rules).groupBy("short").agg(F.collect_list(F.struct("digest", "size", "host_size", "rule", "verdict")).alias("_rules"))  # a short prefix's rules
+    met = expressions.join(F.broadcast(known) if len(rules) <= BROADCAST else known, F.col("_s") == F.col("short"))
+    confirmed = met.select("_u", F.explode(F.filter("_rules", lambda r: r["digest"] == F.col("_d"))).alias("_r"))
+    hits = confirmed.select("_u", "_r.*")
     best = hits.groupBy("_u").agg(F.max(F.struct("size", "host_size", "rule", "verdict")).alias("_r"))
     found = best.select("_u", F.col("_r.rule").alias("rule"), F.col("_r.verdict").alias("verdict"))
     keyed = base.select(F.struct(*(base[c] for c in base.columns)).alias("_row"), link.alias("_link"))  # no other column's name can clash

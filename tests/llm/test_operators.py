@@ -278,9 +278,49 @@ def test_toxicity_learns_and_locates(spark, empty):
     assert toxicity.score(empty, toxicity.fit(empty, labels)).count() == 0
 
 
+def test_toxicity_without_one_kind_of_label_has_one_score(spark):
+    docs = spark.createDataFrame([(1, "A b. " * 500, "en"), (2, "", "en"), (3, "C d.", "en")], DOC)
+    kind = "doc_id bigint, toxic int"
+    for marks in ([], [(1, 0), (3, 0)], [(1, 1)], [(1, None)]):
+        model = toxicity.fit(docs, spark.createDataFrame(marks, kind))
+        scores = [r.score for r in toxicity.score(docs, model).collect()]
+        assert max(scores) < 0.02 and max(scores) - min(scores) < 1e-6
+        assert toxicity.keep_clean(docs, model).count() == 3
+
+
+def test_toxicity_finds_the_one_sentence_of_a_very_long_text(spark):
+    random = np.random.default_rng(4)
+    clean = [f"w{i}" for i in range(300)]
+    rows, marks = [], []
+    for n in range(200):
+        text = [" ".join(random.choice(clean, 9)) + "." for _ in range(400 if n % 20 == 0 else 5)]
+        if n % 4 == 0:
+            text[-1] = "You vilest."  # beyond any prefix of the long ones
+        rows.append((n, " ".join(text), "en"))
+        marks.append((n, int(n % 4 == 0)))
+    docs = spark.createDataFrame([*rows, *rows[:8]], DOC).withColumn("_h", F.lit("x")).withColumn("_y", F.lit("y")).withColumn("score", F.lit("z"))
+    model = toxicity.fit(docs, spark.createDataFrame(marks, "doc_id bigint, toxic int"))
+    got = toxicity.score(docs, model).collect()
+    assert len(got) == 208 and all((r.score >= 0.3) == (r.doc_id % 4 == 0) for r in got)
+    assert {len(r.offending) for r in got if r.doc_id % 4 == 0} == {1}
+    kept = toxicity.keep_clean(docs, model)
+    assert kept.columns == docs.columns and kept.count() == 208 - 52
+
+
 # --- URL rules -------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("broadcast", [0, 100])
+def test_rules_of_one_short_prefix_are_told_apart_by_their_digests(spark, broadcast, monkeypatch):
+    monkeypatch.setattr(urls, "SHORT", 1)
+    monkeypatch.setattr(urls, "BROADCAST", broadcast)
+    rules = [(f"h{n}.org", "/", "block") for n in range(0, 60, 2)]  # 30 rules, 16 prefixes
+    pages = spark.createDataFrame([(n, f"http://h{n}.org/x") for n in range(60)], "page_id bigint, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.judge(pages, rules).collect()}
+    assert got == {n: ((f"h{n}.org/", "block") if n % 2 == 0 else (None, "allow")) for n in range(60)}
+
+
+
 def test_url_rules(spark):
     cases = [
         ("http://A.example.com/en/x", "example.com/en/", "block"),
