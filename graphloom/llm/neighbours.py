@@ -14,19 +14,25 @@ the table as far as the recall needs it.
 The forest is fitted on a bounded sample: the SAMPLE distinct vectors with the
 smallest hash. Every vector is indexed: it is routed to one leaf of each tree. The
 forest and the leaf sizes are what is broadcast (TREES * SAMPLE / LEAF nodes at
-most). Equal vectors are one class; a class carries the smallest of its ids, as
-many as a result can use, so that a vector with very many copies is searched once.
-
-Defined cases: vectors that are null, zero, of another dimension than most, or
-hold null or non-finite components take no part, nor do rows with a null id; ties
-go to the smaller id; repeated rows count once; with fewer candidates than asked
-for, all are returned; an empty table gives no rows.
+most), and SEEDS vectors of the sample, which are candidates of every query: the k-th best of
+them is a bar below which no leaf need report a candidate. Neighbouring leaves share a bucket of up
+to BUCKET vectors, so that a query travels once a bucket; leaves beyond that are split, and so
+are the queries of a bucket beyond QUERIES. Equal vectors are one class; a class carries the
+smallest of its ids, as many as a result can use, so that a vector with very many copies is
+searched once.
+
+Defined cases: vectors that are null, zero, or
+hold null or non-finite components take no part, nor do rows with a null id; vectors have
+neighbours among those of their own dimension, each dimension with a forest of its own; a vec_id with
+several vectors is a query with each; ties go to the smaller id; repeated rows count once; with
+fewer candidates than asked for, all are returned; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -35,7 +41,8 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import stored
 
-TREES, LEAF, SAMPLE, SEARCH = 10, 128, 20_000, 12_000
+TREES, LEAF, SAMPLE, SEARCH, SEEDS = 5, 128, 20_000, 6_000, 4_000
+BUCKET, QUERIES = 16_000, 20_000
 #: The share of the exact neighbours to be found, and the queries on which the budget for it is measured.
 RECALL, TRIED = 0.95, 200
 
@@ -116,30 +123,75 @@ class Forest:
         return before[leaves].min(axis=1) + 1
 
 
+def typed(vectors: DataFrame, embedding: str = "embedding") -> tuple[str, str]:
+    """The SQL and the numpy type in which the vectors lose nothing."""
+    single = vectors.schema[embedding].dataType.elementType.typeName() in ("float", "byte", "short")
+    return ("array<float>", "<f4") if single else ("array<double>", "<f8")
+
+
 def classes(vectors: DataFrame, keep: int, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(rep, ids, v): the distinct usable vectors with the ``keep`` smallest of their ids; rep is the smallest."""
-    v = vectors.select(F.col(vec_id).cast("bigint").alias("id"), F.col(embedding).cast("array<float>").alias("v"))
+    v = vectors.select(F.col(vec_id).cast("bigint").alias("id"), F.col(embedding).cast(typed(vectors, embedding)[0]).alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
     usable = v.where(F.col("id").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0)).distinct()
-    usual = usable.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    usable = usable.where(F.size("v") == (usual.d if usual else 0))
     rank = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     return usable.withColumn("_r", rank).where(F.col("_r") <= keep).groupBy("v").agg(F.min("id").alias("rep"), F.sort_array(F.collect_list("id")).alias("ids"))
 
 
-def matrix(column: pd.Series, dims: int) -> np.ndarray:
-    return np.concatenate(column.to_numpy()).astype(np.float32).reshape(-1, dims) if len(column) else np.zeros((0, dims), np.float32)
+def matrix(column: pd.Series, dims: int, kind: str) -> np.ndarray:
+    return np.concatenate(column.to_numpy()).astype(kind).reshape(-1, dims) if len(column) else np.zeros((0, dims), kind)
+
+
+def best_of(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the ``k`` largest of each row, with all ties of the last."""
+    most = min(k, score.shape[1])
+    bar = np.partition(score, score.shape[1] - most, axis=1)[:, score.shape[1] - most]
+    return np.nonzero(score >= bar[:, None])
+
+
+def products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The inner product of each row with its like, summed in one order whatever the batch."""
+    return np.einsum("ij,ij->i", x, y)
+
+
+class Buckets:
+    """Which bucket each leaf's vectors lie in: neighbouring leaves together up to ``size``, larger leaves split."""
+
+    def __init__(self, sizes: np.ndarray, size: int):
+        self.split = np.maximum(1, -(-sizes // size))
+        self.first = np.zeros(len(sizes), dtype=np.int64)
+        bucket, held = -1, size
+        for leaf, n in enumerate(sizes.tolist()):
+            if held + n > size:
+                bucket, held = bucket + 1, 0
+            self.first[leaf] = bucket
+            held += n
+            if self.split[leaf] > 1:
+                bucket, held = bucket + int(self.split[leaf]) - 1, size
+        self.count = bucket + 1
 
+    def of(self, leaves: np.ndarray, reps: np.ndarray) -> np.ndarray:
+        return self.first[leaves] + (reps.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % self.split[leaves]
 
-def budget(kept: DataFrame, seekers: DataFrame, forest: Forest, sizes: np.ndarray, k: int, dims: int) -> int:
+    def asked(self, leaves: np.ndarray) -> dict[int, np.ndarray]:
+        """The leaves to look into by bucket."""
+        every = np.repeat(self.first[leaves], self.split[leaves])
+        every = every + np.arange(len(every)) - np.repeat(np.cumsum(self.split[leaves]) - self.split[leaves], self.split[leaves])
+        again = np.repeat(leaves, self.split[leaves])
+        order = np.argsort(every, kind="stable")
+        found, cuts = np.unique(every[order], return_index=True)
+        return dict(zip(found.tolist(), np.split(again[order], cuts[1:])))
+
+
+def budget(kept: DataFrame, seekers: DataFrame, forest: Forest, sizes: np.ndarray, k: int, dims: int, kind: str) -> int:
     """The least search budget that reaches RECALL of the exact neighbours of TRIED of the ``seekers``."""
     tried = seekers.orderBy(F.xxhash64("v", F.lit(1)), "rep").limit(TRIED).toPandas()  # TRIED rows at most
-    x, reps = matrix(tried["v"], dims), tried["rep"].to_numpy()
+    x, reps = matrix(tried["v"], dims, kind), tried["rep"].to_numpy()
     sent = kept.sparkSession.sparkContext.broadcast(x)
 
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            y = matrix(b["v"], dims)
+            y = matrix(b["v"], dims, kind)
             score = sent.value.astype(np.float64) @ y.astype(np.float64).T
             score[reps[:, None] == b["rep"].to_numpy()[None, :]] = -np.inf
             most = min(k, len(y))
@@ -152,7 +204,7 @@ def budget(kept: DataFrame, seekers: DataFrame, forest: Forest, sizes: np.ndarra
     true = found.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).select("q", "v").toPandas()  # TRIED * k rows at most
     if not len(true):
         return 0
-    leaves = forest.route(np.frombuffer(b"".join(true["v"]), dtype=np.float32).reshape(-1, dims))
+    leaves = forest.route(np.frombuffer(b"".join(true["v"]), dtype=kind).reshape(-1, dims))
     of = true["q"].to_numpy()
     needs = np.sort(np.concatenate([forest.needed(x[q], sizes, leaves[of == q]) for q in np.unique(of)]))
     return int(needs[int(np.ceil(RECALL * len(needs))) - 1])
@@ -163,64 +215,117 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, search: int | None
 
     ``search`` is the budget of vectors to look at; it is measured if none is given.
     """
-    spark = vectors.sparkSession
+    cast, kind = typed(vectors)
     kept = stored(classes(vectors, k + 1), "vectors")
-    queries = vectors.where(F.col("vec_id") % every == 0).select(F.col("vec_id").cast("bigint").alias("query_id"), F.col("embedding").cast("array<float>").alias("v")).distinct()
+    queries = vectors.where(F.col("vec_id") % every == 0).select(F.col("vec_id").cast("bigint").alias("query_id"), F.col("embedding").cast(cast).alias("v")).distinct()
     asked = stored(queries.join(kept.select("v", "rep"), "v").select("query_id", "rep"), "queries")
-    population = kept.count()
-    sample = kept.orderBy(F.xxhash64("v"), "rep").limit(SAMPLE).select("v").toPandas()  # SAMPLE rows at most
-    if not len(sample):
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    dims = len(sample["v"][0])
-    forest = Forest(matrix(sample["v"], dims), population, trees)
-    sent = spark.sparkContext.broadcast(forest)
+    sizes = sorted(r.d for r in kept.select(F.size("v").alias("d")).distinct().collect())
+    found = [scored_classes(kept.where(F.size("v") == d), asked, d, kind, k, search, trees) for d in sizes]
+    if not found:
+        return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    once = reduce(DataFrame.unionAll, found).groupBy("q", "rep").agg(F.max("score").alias("score"))
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "rep")
+    top = once.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k + 1).drop("_r")
+    with_ids = top.join(kept.select("rep", "ids"), "rep").select("q", F.explode("ids").alias("vec_id"), "score")
+    listed = with_ids.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k + 1).alias("_l"))  # (k + 1)**2 at most
+    mine = asked.join(listed, asked["rep"] == listed["q"]).select("query_id", F.slice(F.filter("_l", lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("_l"))
+    return mine.select("query_id", F.posexplode("_l")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("col.vec_id").alias("vec_id"), (-F.col("col.s")).alias("score"))
 
-    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def scored_classes(kept: DataFrame, asked: DataFrame, dims: int, kind: str, k: int, search: int | None, trees: int) -> DataFrame:
+    """(q, rep, score): for the asked classes among ``kept``, which are of one dimension, their best candidates and themselves."""
+    spark = kept.sparkSession
+    population = kept.count()
+    sample = kept.orderBy(F.xxhash64("v"), "rep").limit(SAMPLE).select("rep", "v").toPandas()  # SAMPLE rows at most
+    vectors = matrix(sample["v"], dims, kind)
+    forest = Forest(vectors.astype(np.float32), population, trees)
+    leaves_in_all = forest.leaves
+    sent = spark.sparkContext.broadcast((forest, vectors[:SEEDS].astype(np.float64), sample["rep"].to_numpy()[:SEEDS]))
+
+    def leaf_sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros(leaves_in_all, dtype=np.int64)
         for b in batches:
-            x = matrix(b["v"], dims)
-            leaves = sent.value.route(x)
-            for t in range(leaves.shape[1]):
-                yield pd.DataFrame({"leaf": leaves[:, t], "kind": 1, "rep": b["rep"].to_numpy(), "v": [r.tobytes() for r in x]})
+            n += np.bincount(sent.value[0].route(matrix(b["v"], dims, "<f4")).ravel(), minlength=len(n))
+        yield pd.DataFrame({"leaf": np.nonzero(n)[0], "n": n[n > 0]})
 
-    indexed = kept.select("rep", "v").mapInPandas(index, "leaf bigint, kind int, rep bigint, v binary")
-    sizes = np.zeros(max(1, forest.leaves), dtype=np.int64)
-    for leaf, n in indexed.groupBy("leaf").count().collect():  # a row a leaf
+    sizes = np.zeros(leaves_in_all, dtype=np.int64)
+    for leaf, n in kept.select("v").mapInPandas(leaf_sizes, "leaf bigint, n bigint").groupBy("leaf").agg(F.sum("n")).collect():  # a row a leaf
         sizes[leaf] = n
-    sized = spark.sparkContext.broadcast(sizes)
     seekers = kept.join(asked.select("rep").distinct(), "rep", "left_semi").select("rep", "v")
-    wanted = max(SEARCH, budget(kept, seekers, forest, sizes, k, dims)) if search is None else search
+    turns = max(1, -(-seekers.count() // QUERIES))
+    wanted = max(SEARCH, budget(kept, seekers, forest, sizes, k, dims, kind)) if search is None else search
+    placed = spark.sparkContext.broadcast((sizes, Buckets(sizes, BUCKET)))
 
-    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            x = matrix(b["v"], dims)
-            for at in range(0, len(x), 500):
-                found = [sent.value.search(q, sized.value, wanted) for q in x[at : at + 500]]
-                n = [len(f) for f in found]
-                yield pd.DataFrame({"leaf": np.concatenate([np.array(f, dtype=np.int64) for f in found]), "kind": 0, "rep": np.repeat(b["rep"].to_numpy()[at : at + 500], n), "v": [r.tobytes() for r, k in zip(x[at : at + 500], n) for _ in range(k)]})
+            x, reps = matrix(b["v"], dims, kind), b["rep"].to_numpy()
+            leaves, raw = sent.value[0].route(x.astype(np.float32)), [r.tobytes() for r in x]
+            for t in range(leaves.shape[1]):
+                for turn in range(turns):
+                    yield pd.DataFrame({"bucket": placed.value[1].of(leaves[:, t], reps), "turn": turn, "leaf": leaves[:, t], "rep": reps, "v": raw})
 
-    probes = seekers.mapInPandas(probe, "leaf bigint, kind int, rep bigint, v binary")
+    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trees, seeds, seed_reps = sent.value
+        for b in batches:
+            x, reps = matrix(b["v"], dims, kind), b["rep"].to_numpy()
+            for at in range(0, len(x), 200):
+                some, own = x[at : at + 200], reps[at : at + 200]
+                score = some.astype(np.float64) @ seeds.T
+                score[own[:, None] == seed_reps[None, :]] = -np.inf
+                n = min(k, score.shape[1])
+                bar = np.partition(score, score.shape[1] - n, axis=1)[:, score.shape[1] - n] if n == k else np.full(len(some), -np.inf)
+                rows = [(bucket, q, leaves) for q, v in enumerate(some) for bucket, leaves in placed.value[1].asked(np.array(trees.search(v.astype(np.float32), placed.value[0], wanted), dtype=np.int64)).items()]
+                of = np.array([q for _, q, _ in rows], dtype=np.int64)
+                yield pd.DataFrame({"bucket": [r[0] for r in rows], "turn": (own[of] // 8191) % turns, "rep": own[of], "v": [some[q].tobytes() for q in of], "bar": bar[of], "leaves": [r[2].astype(np.int32).tobytes() for r in rows]})
 
     def rerank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        x, y, reps, own = np.zeros((0, dims)), np.zeros((0, dims)), np.zeros(0, np.int64), left["rep"].to_numpy()
+        q, at_y, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         if len(left) and len(right):
-            y = np.frombuffer(b"".join(right["v"]), dtype=np.float32).reshape(-1, dims).astype(np.float64)
-            reps = right["rep"].to_numpy()
-            for at in range(0, len(left), 1_000):
-                part = left.iloc[at : at + 1_000]
-                x = np.frombuffer(b"".join(part["v"]), dtype=np.float32).reshape(-1, dims).astype(np.float64)
-                score = x @ y.T
-                most = min(k + 1, len(y))
-                bar = np.partition(score, len(y) - most, axis=1)[:, len(y) - most]
-                a, b = np.nonzero(score >= bar[:, None])  # with ties at the bar
-                out.append(pd.DataFrame({"q": part["rep"].to_numpy()[a], "rep": reps[b], "score": score[a, b]}))
-        return pd.concat(out) if out else pd.DataFrame({"q": [], "rep": [], "score": []})
-
-    scored = probes.groupBy("leaf").cogroup(indexed.groupBy("leaf")).applyInPandas(rerank, "q bigint, rep bigint, score double")
+            right = right.sort_values("leaf")
+            y = np.frombuffer(b"".join(right["v"]), dtype=kind).reshape(-1, dims).astype(np.float64)
+            reps, leaf = right["rep"].to_numpy(), right["leaf"].to_numpy()
+            x = np.frombuffer(b"".join(left["v"]), dtype=kind).reshape(-1, dims).astype(np.float64)
+            bar = left["bar"].to_numpy()
+            looks = [np.frombuffer(c, dtype=np.int32) for c in left["leaves"]]
+            row, into = np.repeat(np.arange(len(left)), [len(c) for c in looks]), np.concatenate(looks)
+            order = np.argsort(into, kind="stable")
+            row, into = row[order], into[order]
+            found, cuts = np.unique(into, return_index=True)
+            starts, ends = np.searchsorted(leaf, found), np.searchsorted(leaf, found, side="right")
+            for a, z, who in zip(starts, ends, np.split(row, cuts[1:])):
+                for at in range(0, len(who) if z > a else 0, 2_000):
+                    some = who[at : at + 2_000]
+                    score = x[some] @ y[a:z].T
+                    i, j = best_of(score, k + 1)
+                    above = score[i, j] >= bar[some[i]] - 1e-9
+                    i, j = i[above], j[above]
+                    q.append(some[i])
+                    at_y.append(a + j)
+                    scores.append(score[i, j])
+        q, at_y, scores = np.concatenate(q), np.concatenate(at_y), np.concatenate(scores)
+        # of each query the k + 1 best classes of this bucket
+        order = np.lexsort((reps[at_y], -scores, q))
+        q, at_y = q[order], at_y[order]
+        once = np.ones(len(q), dtype=bool)
+        once[1:] = (q[1:] != q[:-1]) | (reps[at_y[1:]] != reps[at_y[:-1]])  # another tree's leaf may hold it as well
+        q, at_y = q[once], at_y[once]
+        most = np.arange(len(q)) - np.searchsorted(q, q) <= k
+        q, at_y = q[most], at_y[most]
+        return pd.DataFrame({"q": own[q], "rep": reps[at_y], "score": products(x[q], y[at_y])})
+
+    def seeded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        _, seeds, seed_reps = sent.value
+        for b in batches:
+            x, reps = matrix(b["v"], dims, "<f8"), b["rep"].to_numpy()
+            for at in range(0, len(x), 500):
+                score = x[at : at + 500] @ seeds.T
+                i, j = best_of(score, k + 1)
+                yield pd.DataFrame({"q": reps[at : at + 500][i], "rep": seed_reps[j], "score": products(x[at : at + 500][i], seeds[j])})
+
+    indexed = kept.select("rep", "v").mapInPandas(index, "bucket bigint, turn bigint, leaf bigint, rep bigint, v binary")
+    probes = seekers.mapInPandas(probe, "bucket bigint, turn bigint, rep bigint, v binary, bar double, leaves binary")
+    ranked = probes.groupBy("bucket", "turn").cogroup(indexed.groupBy("bucket", "turn")).applyInPandas(rerank, "q bigint, rep bigint, score double")
+    seeds = seekers.mapInPandas(seeded, "q bigint, rep bigint, score double")
     own = seekers.select(F.col("rep").alias("q"), "rep", F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")).alias("score"))
-    once = scored.unionAll(own).groupBy("q", "rep").agg(F.max("score").alias("score"))
-    best = Window.partitionBy("q").orderBy(F.desc("score"), "rep")
-    top = once.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k + 1).drop("_r")
-    with_ids = top.join(kept.select("rep", "ids"), "rep").select("q", F.explode("ids").alias("vec_id"), "score")
-    listed = with_ids.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k + 1).alias("_l"))  # (k + 1)**2 at most
-    mine = asked.join(listed, asked["rep"] == listed["q"]).select("query_id", F.slice(F.filter("_l", lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("_l"))
-    return mine.select("query_id", F.posexplode("_l")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("col.vec_id").alias("vec_id"), (-F.col("col.s")).alias("score"))
+    return ranked.unionAll(seeds).unionAll(own)

@@ -52,8 +52,8 @@ SEED = 42
 BLOCK = 8_000
 #: Buckets of up to so many rows are compared by shifting, larger ones as matrices.
 SMALL = 32
-#: Links a row that a bucket may emit before it is searched instead.
-DENSE = 16
+#: Links a linked row that a bucket may emit before it is searched instead.
+DENSE = 8
 #: What a probe costs, in candidates: some microseconds against some nanoseconds.
 PROBE_COST = 1_000.0
 #: Fingerprints on which the number of groups is chosen.
@@ -341,19 +341,24 @@ def whole_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat(kept, ignore_index=True)
 
 
-def near_pairs(own: np.ndarray, fp: np.ndarray, most: int, bound: int | None) -> tuple[np.ndarray, np.ndarray] | None:
-    """Index pairs of an own row and any other within ``most`` bits; None if they are over ``bound``."""
-    a, b, found = [], [], 0
-    step = max(1, 4_000_000 // max(1, len(fp)))
+def near_pairs(own: np.ndarray, fp: np.ndarray, most: int, bound: int) -> tuple[np.ndarray, np.ndarray] | np.ndarray:
+    """Index pairs of an own row and any other within ``most`` bits; the rows that have one instead, where they are over ``bound`` a row."""
+    a, b, found, hit = [], [], 0, np.zeros(len(fp), dtype=bool)
+    step = max(1, 2_000_000 // max(1, len(fp)))
     for at in range(0, len(own), step):
         some = own[at : at + step]
-        x, y = np.nonzero(np.bitwise_count(fp[some][:, None] ^ fp[None, :]) <= most)
-        x = some[x]
-        a.append(x[x != y])
-        b.append(y[x != y])
-        found += len(a[-1])
-        if bound is not None and found > bound:
-            return None
+        near = np.bitwise_count(fp[some][:, None] ^ fp[None, :]) <= most
+        near[np.arange(len(some)), some] = False
+        hit |= near.any(axis=0)
+        hit[some] |= near.any(axis=1)
+        n = int(near.sum())
+        found += n
+        if found <= bound * len(fp):
+            x, y = np.nonzero(near)
+            a.append(some[x])
+            b.append(y)
+    if found > bound * hit.sum():
+        return np.nonzero(hit)[0]
     none = np.zeros(0, dtype=np.int64)
     return np.concatenate([none, *a]), np.concatenate([none, *b])
 
@@ -370,7 +375,7 @@ LINKS = "a bigint, b bigint, dense boolean, own boolean"
 
 def bucket_links(buckets: DataFrame, most: int) -> DataFrame:
     """(a, b, dense, own): links that join what all within ``most`` bits would join; and, with ``dense``, the rows
-    (a: node, b: bucket) of buckets that gave a forest in place of all their links."""
+    (a: node, b: bucket) that have links in buckets that gave a forest in place of all of them."""
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in whole_buckets(batches):
@@ -387,8 +392,9 @@ def bucket_links(buckets: DataFrame, most: int) -> DataFrame:
                 own = np.nonzero(mine[where])[0]
                 if not len(own):
                     continue
-                found = near_pairs(own, fp[where], most, DENSE * len(where))
-                if found is None:
+                found = near_pairs(own, fp[where], most, DENSE)
+                if isinstance(found, np.ndarray):
+                    where = where[found]
                     order = where[central_first(fp[where])]
                     x, y = search(fp[order], most, mine[order])
                     out.append((node[order[x]], node[order[y]]))
@@ -425,9 +431,9 @@ def near_components(docs: DataFrame, shingle: int, most: int) -> DataFrame:
 #: Bits of the distinct words' fingerprints in which candidates may differ.
 MOST = 8
 #: Bytes of a sketch: the lowest byte of the least of as many hashes of the shingles.
-SKETCH = 128
-#: How far below the similarity asked for a sketch's estimate may lie: over five standard errors at 0.8.
-SLACK = 0.2
+SKETCH = 192
+#: How far below the similarity asked for a sketch's estimate may lie: five standard errors at 0.8.
+SLACK = 0.145
 _ODD = np.random.default_rng(11).integers(0, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -479,14 +485,26 @@ def texts_of(docs: DataFrame, ends: DataFrame, shingle: int) -> DataFrame:
     return docs.join(ends, "doc_id").select("node", "set", "text").mapInPandas(run, "node bigint, text string").dropDuplicates(["node"])
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, share: float) -> DataFrame:
-    """The ``pairs`` (a, b) whose sets have a similarity of at least ``share``: by their sketches first, then exactly."""
-    bar = share - SLACK
+def matches(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """The share of equal bytes of each row's two sketches, some 2**-8 above the similarity that they estimate."""
+    return (one == other).mean(axis=1)
+
+
+def likely(pairs: DataFrame, nodes: DataFrame, share: float) -> DataFrame:
+    """The ``pairs`` (a, b) whose sketches do not rule out a similarity of ``share``."""
 
     @F.pandas_udf("boolean")
     def alike(x: pd.Series, y: pd.Series) -> pd.Series:
-        one = np.frombuffer(b"".join(x), np.uint8).reshape(-1, SKETCH) == np.frombuffer(b"".join(y), np.uint8).reshape(-1, SKETCH)
-        return pd.Series(one.mean(axis=1) >= bar)
+        one, other = (np.frombuffer(b"".join(v), np.uint8).reshape(-1, SKETCH) for v in (x, y))
+        return pd.Series(matches(one, other) >= share - SLACK)
+
+    sketched = nodes.select("node", "sketch")
+    first = pairs.join(sketched.select(F.col("node").alias("a"), F.col("sketch").alias("_x")), "a").join(sketched.select(F.col("node").alias("b"), F.col("sketch").alias("_y")), "b")
+    return first.where(alike("_x", "_y")).select("a", "b")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, share: float) -> DataFrame:
+    """The ``pairs`` (a, b) whose sets have a similarity of at least ``share``."""
 
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, known = None, np.zeros(0, np.uint64)
@@ -498,35 +516,37 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int,
                 keep.append(similarity(known, shingle_set(y, shingle)) >= share - 1e-9)
             yield b.loc[keep, ["a", "b"]]
 
-    sketched = nodes.select("node", "sketch")
-    first = pairs.join(sketched.select(F.col("node").alias("a"), F.col("sketch").alias("_x")), "a").join(sketched.select(F.col("node").alias("b"), F.col("sketch").alias("_y")), "b")
-    likely = stored(first.where(alike("_x", "_y")).select("a", "b"), "likely-pairs")
-    named = likely.select(F.col("a").alias("node")).unionAll(likely.select("b")).distinct().join(nodes, "node").select("node", "doc_id", "set")
+    named = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct().join(nodes, "node").select("node", "doc_id", "set")
     ends = stored(texts_of(docs, named, shingle), "likely-texts")
-    full = likely.join(ends.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(ends.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+    full = pairs.join(ends.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(ends.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
     return full.mapInPandas(exact, "a bigint, b bigint")
 
 
-def apart(dense: DataFrame, nodes: DataFrame, roots: DataFrame, most: int) -> DataFrame:
-    """(a, b): all pairs within ``most`` bits in dense buckets whose nodes no verified link has joined yet."""
-    rooted = dense.join(nodes.select("node", "fp"), "node").join(roots, "node", "left").select("key", "own", "node", "fp", F.coalesce("root", "node").alias("root"))
+def apart(dense: DataFrame, nodes: DataFrame, roots: DataFrame, most: int, share: float) -> DataFrame:
+    """(a, b): all likely pairs within ``most`` bits in dense buckets whose nodes no verified link has joined yet."""
+    rooted = dense.join(nodes.select("node", "fp", "sketch"), "node").join(roots, "node", "left").select("key", "own", "node", "fp", "sketch", F.coalesce("root", "node").alias("root"))
     several = dense.select("key", "node").join(roots, "node", "left").groupBy("key").agg(F.min(F.coalesce("root", "node")).alias("x"), F.max(F.coalesce("root", "node")).alias("y"))
     some = rooted.join(several.where("x < y").select("key"), "key", "left_semi")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in whole_buckets(b.assign(block=0) for b in batches):
-            fp, node, root, key = rows["fp"].to_numpy().view(np.uint64), rows["node"].to_numpy(), rows["root"].to_numpy(), rows["key"].to_numpy()
+            key = rows["key"].to_numpy()
             cuts = np.concatenate([[0], np.nonzero(np.diff(key))[0] + 1, [len(key)]])
             for at, end in zip(cuts[:-1], cuts[1:]):
-                own = np.nonzero(rows["own"].to_numpy()[at:end])[0]
-                step = max(1, 4_000_000 // (end - at))
+                one = rows.iloc[at:end]
+                fp, node, root = one["fp"].to_numpy().view(np.uint64), one["node"].to_numpy(), one["root"].to_numpy()
+                sketches = np.frombuffer(b"".join(one["sketch"]), np.uint8).reshape(-1, SKETCH)
+                own = np.nonzero(one["own"].to_numpy())[0]
+                step = max(1, 500_000 // (end - at))
                 for n in range(0, len(own), step):
                     mine = own[n : n + step]
-                    near = np.bitwise_count(fp[at:end][mine][:, None] ^ fp[at:end][None, :]) <= most
-                    near &= root[at:end][mine][:, None] != root[at:end][None, :]
+                    near = (np.bitwise_count(fp[mine][:, None] ^ fp[None, :]) <= most) & (root[mine][:, None] != root[None, :])
                     x, y = np.nonzero(near)
-                    a, b = node[at:end][mine[x]], node[at:end][y]
-                    yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+                    x = mine[x]
+                    alike = [matches(sketches[x[k : k + 50_000]], sketches[y[k : k + 50_000]]) >= share - SLACK for k in range(0, len(x), 50_000)]
+                    keep = np.concatenate([np.zeros(0, dtype=bool), *alike])
+                    a, b = node[x[keep]], node[y[keep]]
+                    yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
     return some.repartition("key").sortWithinPartitions("key").mapInPandas(run, "a bigint, b bigint").distinct()
 
@@ -542,11 +562,11 @@ def keep_one_each(docs: DataFrame, shingle: int, share: float, most: int = MOST)
     nodes = stored(first.select("set", F.xxhash64("set").alias("node"), "m.*"), "near-nodes")  # a node a set
     found = stored(bucket_links(bucketed(nodes.select("node", "fp"), most), most), "near-links")
     pairs = found.where("NOT dense").select("a", "b").distinct()
-    links = stored(verified(pairs, nodes, known, shingle, share), "near-verified")
+    links = stored(verified(stored(likely(pairs, nodes, share), "near-likely"), nodes, known, shingle, share), "near-verified")
     roots = components(links, "near-roots")
     dense = found.where("dense").select(F.col("a").alias("node"), F.col("b").alias("key"), "own")
     if not dense.isEmpty():
-        rest = stored(apart(dense, nodes, roots, most).join(links, ["a", "b"], "left_anti"), "near-apart")
+        rest = stored(apart(dense, nodes, roots, most, share).join(links, ["a", "b"], "left_anti"), "near-apart")
         roots = components(links.unionAll(verified(rest, nodes, known, shingle, share)), "near-roots")
     grouped = nodes.join(roots, "node", "left").select("set", "doc_id", F.coalesce("root", "node").alias("root"))
     least = grouped.join(grouped.groupBy("root").agg(F.min("doc_id").alias("least")), "root").select("set", "least")

@@ -453,7 +453,7 @@ def test_edited_fingerprints(spark, empty):
 # --- neighbours ------------------------------------------------------------------
 
 
-def test_neighbours_recall_and_edges(spark):
+def test_neighbours_recall_and_edges(spark, monkeypatch):
     random = np.random.default_rng(6)
     x = random.normal(size=(3000, 16)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1)[:, None]
@@ -477,11 +477,34 @@ def test_neighbours_recall_and_edges(spark):
         hit += len(set(top) & {v for v, _ in got[q].values()})
     assert hit / (20 * len(queries)) >= 0.9
     assert [v for v, _ in (got[3000][k] for k in range(1, 21))] == [7, *range(3001, 3020)]
+    monkeypatch.setattr(neighbours, "BUCKET", 40)  # leaves are split, and queries take turns
+    monkeypatch.setattr(neighbours, "QUERIES", 30)
+    again = {}
+    for r in neighbours.nearest(table, search=1500).collect():
+        again.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    assert again == got
     few = neighbours.nearest(table.where("vec_id IN (0, 1, 2)")).collect()
     assert [r["rank"] for r in sorted(few, key=lambda r: r["rank"])] == [1, 2]
     assert neighbours.nearest(table.limit(0)).count() == 0
 
 
+def test_neighbours_of_double_vectors_of_two_dimensions_and_of_repeated_ids(spark):
+    random = np.random.default_rng(16)
+    rows = [(n, (1 + 1e-9 * random.normal(size=8)).tolist(), "a") for n in range(60)] + [(100 + n, random.normal(size=5).tolist(), "b") for n in range(30)]
+    rows.append((0, (-np.ones(8)).tolist(), "c"))  # id 0 has two vectors
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, rep string").withColumn("leaf", F.lit(1)).withColumn("rank", F.lit("x"))
+    got = Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in neighbours.nearest(table).collect())
+    want = Counter()
+    for q, v, _ in rows:
+        if q % 20 == 0:
+            others = {(-float(np.dot(v, w)), i) for i, w, _ in rows if i != q and len(w) == len(v)}
+            once = sorted(others)[:20]
+            for n, (s, i) in enumerate(once):
+                want[q, n + 1, i] += 1
+                assert any(k[:3] == (q, n + 1, i) and abs(k[3] + s) < 1e-12 for k in got), (q, n, i)
+    assert Counter(k[:3] for k in got.elements()) == want
+
+
 def clustered(n):
     """Unit vectors of 64 dimensions around 20 means, with a spread that falls from axis to axis."""
     random = np.random.default_rng(8)
