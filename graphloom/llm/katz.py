@@ -53,7 +53,7 @@ from graphloom.llm.common import removed, session_settings, shared_dir, stored
 
 K = 5
 ORDER = 3
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 500_000
 PART_TOKENS = 1_000_000
 SPREAD = 8
 END = xxhash.xxh64_intdigest(b"\nend")  # no word holds a line feed
