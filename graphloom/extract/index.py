@@ -24,8 +24,7 @@ SCANNERS = {"typescript": scripts.typescript, "dart": scripts.dart, "groovy": sc
 
 def project_tier(files: DataFrame) -> str:
     """DDD, CRUD or GENERIC by the markers in the Java files."""
-    ddd = F.col("content").rlike(r"\b(AggregateRoot|CommandHandler|QueryHandler|EventApplier|DomainEvent)\b")
-    crud = F.col("content").rlike(r"@(RestController|Service|Repository|Entity|SpringBootApplication|Configuration)\b|org\.springframework")
+    ddd, crud = F.col("content").rlike(java.DDD_MARKERS), F.col("content").rlike(java.SPRING_MARKERS)
     most = files.where("language = 'java'").agg(F.max(F.when(ddd, 2).when(crud, 1).otherwise(0))).first()[0]
     return ("GENERIC", "CRUD", "DDD")[most or 0]
 

@@ -16,7 +16,10 @@ _LOCAL = re.compile(r"\b(?P<type>[A-Z][\w.]*(?:<[^(){};=]*>)?(?:\[\])*)\s+(?P<na
 # Words before a parenthesis that are no calls.
 WORDS = ("if", "for", "while", "switch", "catch", "return", "synchronized", "new", "super", "this", "throw", "else", "try", "assert", "do", "case", "instanceof")
 # Bases that a framework provides and that make no EXTENDS edge.
-FRAMEWORK_BASES = ("AggregateRoot", "EventApplier", "Repository", "DomainEvent")
+FRAMEWORK_BASES = ("AggregateRoot", "EventApplier", "AbstractEntity", "BaseEntity")
+# What marks a project as domain-driven, or as one of a web framework.
+DDD_MARKERS = r"CommandBus|AggregateRoot|implements\s+Command<|implements\s+CommandHandler<|implements\s+QueryHandler<"
+SPRING_MARKERS = r"@RestController|@Service|@Repository|@Entity|@SpringBootApplication"
 VERBS = {"GetMapping": "GET", "PostMapping": "POST", "PutMapping": "PUT", "DeleteMapping": "DELETE", "PatchMapping": "PATCH"}
 
 
@@ -29,14 +32,6 @@ def annotation_text(notes: str, name: str) -> str:
     return (re.search(r'"([^"]*)"', m[1]) or [None, ""])[1] if m else ""
 
 
-def tier_of(texts: list[str]) -> str:
-    """DDD, CRUD or GENERIC by the markers that any file has."""
-    joined = "\n".join(texts)
-    if re.search(r"\b(AggregateRoot|CommandHandler|QueryHandler|EventApplier|DomainEvent)\b", joined):
-        return "DDD"
-    return "CRUD" if re.search(r"@(RestController|Service|Repository|Entity|SpringBootApplication|Configuration)\b|org\.springframework", joined) else "GENERIC"
-
-
 def classify(kind: str, name: str, notes: str, extends: list[str], implements: list[str], body: str, tier: str) -> str:
     """The node type of a declaration; the first rule that fits."""
     marks = annotation_names(notes)

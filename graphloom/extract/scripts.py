@@ -87,18 +87,28 @@ def _ts_members(rows, text, code, start, end, owner) -> None:
 # --- Dart ------------------------------------------------------------------------
 
 
+# The node type that a Dart base gives, and the name endings of services.
+DART_BASES = {
+    "CommandHandler": "COMMAND_HANDLER", "QueryHandler": "QUERY_HANDLER", "Command": "COMMAND", "Query": "QUERY",
+    "StatelessWidget": "FE_COMPONENT", "StatefulWidget": "FE_COMPONENT", "State": "FE_COMPONENT",
+}
+DART_SERVICES = ("Repository", "Reads", "Writes", "Store", "Bus", "Client")
+
+
 def dart(path: str, text: str) -> list[dict]:
     code = blank(text, quotes="\"'", triple=True)
     rows: list[dict] = []
     claimed: set[str] = set()
-    for m in re.finditer(r"(?m)^(?:(abstract|sealed|base|final)\s+)*(class|mixin|enum|extension)\s+(\w+)([^{]*)\{", code):
+    for m in re.finditer(r"(?m)^((?:(?:abstract|final|base|interface|sealed|mixin)\s+)*)(class|enum)\s+(\w+)([^{]*)\{", code):
         name, rest = m[3], m[4]
         if name.startswith("_") or name in claimed:
             continue
         claimed.add(name)
         bases = re.findall(r"\b(?:extends|implements|with)\s+([\w<>,\s]+?)(?=\bextends\b|\bimplements\b|\bwith\b|$)", rest)
-        widget = re.search(r"\b(StatelessWidget|StatefulWidget|ConsumerWidget|State)\b", rest)
-        kind = "FE_ENUM" if m[2] == "enum" else "FE_COMPONENT" if widget else "FE_SERVICE" if re.search(r"(Service|Repository|Notifier|Bloc|Cubit|Controller)$", name) else "FE_MODEL" if re.search(r"(Model|Dto|State|Entity)$", name) else "FE_CLASS"
+        base = re.search(r"\bextends\s+(\w+)", rest)
+        known = DART_BASES.get(base[1]) if base else None
+        service = "interface" in m[1] or name.endswith(DART_SERVICES)
+        kind = "FE_ENUM" if m[2] == "enum" else known or ("FE_SERVICE" if service else "FE_MODEL")
         rows.append(row("node", id=name, type=kind, name=name, qualified_name=name, line=line_of(text, m.start()), snippet=snippet(text, m.start())))
         for word, edge in (("extends", "EXTENDS"), ("implements", "IMPLEMENTS"), ("with", "IMPLEMENTS")):
             found = re.search(r"\b" + word + r"\s+(.*?)(?=\bextends\b|\bimplements\b|\bwith\b|$)", rest, re.S)
@@ -202,11 +212,12 @@ def python(path: str, text: str) -> list[dict]:
 
 # --- shell -----------------------------------------------------------------------
 
-# Programs whose call makes a RUNS edge.
+# Programs whose call makes a RUNS edge; a longer name goes before its beginning.
 PROGRAMS = (
-    "docker", "docker-compose", "kubectl", "helm", "terraform", "ansible", "psql", "mysql", "sqlite3", "redis-cli", "aws", "gcloud",
-    "git", "gradle", "mvn", "npm", "yarn", "node", "python", "python3", "java", "curl", "ssh", "rsync",
+    "docker-compose", "docker", "./gradlew", "gradlew", "gradle", "mvn", "npm", "npx", "node", "python3", "python",
+    "pip3", "pip", "psql", "ssh", "scp", "rsync", "kubectl", "terraform", "git", "claude", "jq", "curl", "java",
 )
+_PROGRAM = re.compile("(?:" + "|".join(map(re.escape, PROGRAMS)) + r")\b")
 
 
 def _shell_code(text: str) -> str:
@@ -241,14 +252,19 @@ def shell(path: str, text: str) -> list[dict]:
     def inside(at: int) -> str:
         return next((own[n] for n, (a, b) in functions.items() if a <= at < b), path)
 
-    for m in re.finditer(r"(?m)(?:^|[;&|({]|\bthen\b|\bdo\b|\belse\b)[ \t]*(?:sudo\s+|exec\s+)?([\w./:-]+)", code):
+    for m in re.finditer(r"(?m)(?:^|[;&|({]|\bthen\b|\bdo\b|\belse\b)[ \t]*(?:sudo\s+|exec\s+|time\s+)?([\w./:-]+)", code):
         word, source = m[1], inside(m.start(1))
         if word in own and source != own[word] and not re.match(r"\s*\(\s*\)", code[m.end() :]):
             rows.append(row("edge", source_id=source, type="CALLS", target=own[word]))
-        if word.rsplit("/", 1)[-1] in PROGRAMS:
-            rows.append(row("edge", source_id=source, type="RUNS", target=word.rsplit("/", 1)[-1]))
-    for m in re.finditer(r"(?m)^[ \t]*(?:source|\.)\s+[\"']?([^\s\"';]+)", code):
+        program = _PROGRAM.match(word)
+        if program:
+            rows.append(row("edge", source_id=source, type="RUNS", target=program[0]))
+    # a script is drawn in by source or a dot, given to a shell, or run from its own folder
+    drawn = re.finditer(r"""(?m)(?:^|[;&|(\s])(?:(?:source|\.|\b(?:ba)?sh)[ \t]+["']?([^\s"';]+)|(\./[\w./-]+\.sh))""", code)
+    for named in dict.fromkeys(m[1] or m[2] for m in drawn):
+        if not named.endswith(".sh"):
+            continue
         base = path.rsplit("/", 1)[0] + "/" if "/" in path else ""
-        target = re.sub(r"^(\$\{?\w+\}?/|\$\([^)]*\)/|\./)", "", m[1])
+        target = re.sub(r"^(\$\{?\w+\}?/|\$\([^)]*\)/|\./)", "", named)
         rows.append(row("sources", source_id=path, target=base + target, name=target))
     return rows

@@ -24,16 +24,17 @@ def used_only_by_tests(g: CodeGraph) -> DataFrame:
     return g.nodes.join(incoming.select("id").distinct(), "id", "left_semi").join(from_production, "id", "left_anti")
 
 
-def live_subtypes(g: CodeGraph, most_levels: int = 50) -> DataFrame:
+def live_subtypes(g: CodeGraph) -> DataFrame:
     """(id) of the types below a supertype that something else refers to.
 
-    The live set spreads from each referred supertype down, a level at a time, until nothing is added.
+    The live set spreads from each referred supertype down, a level at a time, until nothing is added; a type joins it once, so that
+    cycles end too.
     """
     up = g.edges.where(F.col("type").isin("IMPLEMENTS", "EXTENDS")).select(F.col("source_id").alias("sub"), F.col("target_id").alias("sup")).distinct()
     referred = g.edges.where(~F.col("type").isin("IMPLEMENTS", "EXTENDS")).select(F.col("target_id").alias("sup")).distinct()
     live = stored(up.join(referred, "sup", "left_semi").select(F.col("sub").alias("id")).distinct(), "live")
     frontier = live
-    for _ in range(most_levels):
+    while True:
         new = up.join(frontier.select(F.col("id").alias("sup")), "sup", "left_semi").select(F.col("sub").alias("id")).distinct().join(live, "id", "left_anti")
         frontier = stored(new, "live-level")
         if frontier.isEmpty():

@@ -61,11 +61,11 @@ def write_mermaid(rows: DataFrame, path: str) -> None:
     every.orderBy("section", "package", "_o", "line").select("line").write.text(path)
 
 
-def fitting(rows: DataFrame, order: list[str], line: str, budget: int = 6000, most: int = 10_000) -> DataFrame:
+def fitting(rows: DataFrame, order: list[str], line: str, budget: int = 6000) -> DataFrame:
     """The longest head of the rows (in that order) whose lines, each with a line end, fit the budget; one pass.
 
-    A reply has at most as many rows as characters, so that only the first ``most`` rows in the order meet in one task.
+    A line takes a character at least, so that only the first ``budget`` rows in the order can fit and meet in one task.
     """
-    head = rows.orderBy(*order).limit(min(most, budget + 1))
+    head = rows.orderBy(*order).limit(budget + 1)
     used = F.sum(F.length(line) + 1).over(Window.partitionBy(F.lit(0)).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return head.withColumn("_used", used).where(F.col("_used") <= budget).drop("_used")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.paths import in_package, is_test_source
 from graphloom.operators.degree import fan
 from graphloom.operators.graph import CodeGraph
+from graphloom.sources.storage import stored
 
 
 def _cut(c: Column) -> Column:
@@ -15,18 +16,18 @@ def _cut(c: Column) -> Column:
     return F.when(head == "", c).otherwise(head)
 
 
-def with_package(g: CodeGraph, nesting: int = 8) -> DataFrame:
+def with_package(g: CodeGraph) -> DataFrame:
     """``nodes`` (id, type, qualified_name, file_path) with ``package``: what is before the last dot, cut on while it is a Java type.
 
-    ``nesting`` bounds how deep types may be nested; each level is one join.
+    Types nested in types are doubled up, a join and a stored table each time; most projects need none.
     """
     java = g.nodes.where((F.col("type") != "METHOD") & F.col("file_path").endswith(".java")).select(F.col("id").alias("_type")).distinct()
     nested = java.withColumn("_up", _cut(F.col("_type"))).where("_up <> _type").select("_type", "_up")
     # the outermost package of each type, by doubling along type -> what is before its last dot
     step = nested
-    for _ in range(max(1, nesting.bit_length() - 1)):
+    while not step.join(nested.select(F.col("_type").alias("_up")), "_up", "left_semi").isEmpty():
         further = step.select(F.col("_type").alias("_up"), F.col("_up").alias("_far"))
-        step = step.join(further, "_up", "left").select("_type", F.coalesce("_far", "_up").alias("_up"))
+        step = stored(step.join(further, "_up", "left").select("_type", F.coalesce("_far", "_up").alias("_up")), "nested-types")
     first = g.nodes.select("id", "type", "qualified_name", "file_path", _cut(F.col("qualified_name")).alias("_p"))
     return first.join(step, F.col("_p") == F.col("_type"), "left").select("id", "type", "qualified_name", "file_path", F.coalesce("_up", "_p").alias("package"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.ids import arity
+from graphloom.sources.storage import stored
 
 NOT_TYPES = ("LIBRARY", "SHELL_COMMAND", "METHOD")
 
@@ -66,17 +67,22 @@ def bind(calls: DataFrame, methods: DataFrame) -> DataFrame:
     return hit.where((F.col("_alike") == 1) | (F.col("n") == F.col("_arity"))).select("call", "method")
 
 
-def bind_through_supertypes(calls: DataFrame, methods: DataFrame, supers: DataFrame, most_levels: int = 10) -> DataFrame:
-    """(call, method): as ``bind``, going up from the receiver a level at a time until one binds."""
+def bind_through_supertypes(calls: DataFrame, methods: DataFrame, supers: DataFrame) -> DataFrame:
+    """(call, method): as ``bind``, going up from the receiver a level at a time until one binds or nothing is above.
+
+    A call visits a type once, so that cycles end too.
+    """
     left, out = calls, None
+    been = calls.select("call", "receiver").distinct()
     up = supers.select(F.col("source_id").alias("receiver"), F.col("target_id").alias("_up")).distinct()
-    for _ in range(most_levels):
+    while True:
         hit = bind(left, methods).distinct()
         out = hit if out is None else out.unionByName(hit)
         left = left.join(hit.select("call").distinct(), "call", "left_anti").join(up, "receiver").select("call", F.col("_up").alias("receiver"), "name", "n").distinct()
+        left = stored(left.join(been, ["call", "receiver"], "left_anti"), "calls-above")
         if left.isEmpty():
-            break
-    return out.distinct()
+            return out.distinct()
+        been = been.unionAll(left.select("call", "receiver"))
 
 
 def overrides(methods: DataFrame, supers: DataFrame) -> DataFrame:

@@ -59,8 +59,10 @@ def delete_return_classes_of(table: DataFrame, class_id: str) -> DataFrame:
 class Catalog:
     """Versions of a project's tables under one folder; a version counts once the pointer names it.
 
-    A batch writes all its tables to a folder of its own and then replaces the
-    pointer, which is one small file; a batch that fails leaves the old version.
+    A batch writes all its tables to a folder of its own and then adds a pointer, a small file whose
+    name is its number and whose text is the folder. Pointers are renamed into place whole and never replaced, and the highest counts, so
+    that a reader finds the old version or the new one at any time; a batch that fails leaves the old one, and
+    of two batches at once the later fails.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -72,11 +74,14 @@ class Catalog:
     def _fs(self):
         return self._path("").getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def _newest(self) -> int:
+        fs, folder = self._fs(), self._path("versions")
+        names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+        return max((int(n) for n in names if n.isdigit()), default=0)
+
     def version(self) -> str | None:
-        fs, at = self._fs(), self._path("CURRENT")
-        if not fs.exists(at):
-            return None
-        return self.spark.read.text(f"{self.root}/CURRENT").first()[0]
+        newest = self._newest()
+        return self.spark.read.text(f"{self.root}/versions/{newest:012d}").first()[0] if newest else None
 
     def table(self, name: str) -> DataFrame:
         version = self.version()
@@ -85,15 +90,17 @@ class Catalog:
         return self.spark.read.parquet(f"{self.root}/{version}/{name}")
 
     def batch(self, tables: dict[str, DataFrame]) -> str:
-        version = uuid.uuid4().hex
+        """Write ``tables`` as the next version; tables that are not given stay out of it."""
+        number, version = self._newest() + 1, uuid.uuid4().hex
         for name, df in tables.items():
             df.write.parquet(f"{self.root}/{version}/{name}")
         fs = self._fs()
-        fresh = self._path(f"CURRENT-{version}")
-        out = fs.create(fresh, True)
+        fs.mkdirs(self._path("versions"))
+        fresh, pointer = self._path(f"pointer-{version}"), self._path(f"versions/{number:012d}")
+        out = fs.create(fresh, False)
         out.write(bytearray(version.encode()))
         out.close()
-        if fs.exists(self._path("CURRENT")):
-            fs.delete(self._path("CURRENT"), False)
-        fs.rename(fresh, self._path("CURRENT"))
+        if fs.exists(pointer) or not fs.rename(fresh, pointer):
+            fs.delete(fresh, False)
+            raise RuntimeError(f"another batch has written version {number} of {self.root}")
         return version

@@ -114,6 +114,8 @@ def components(g: CodeGraph, most_rounds: int = 60) -> DataFrame:
         if now == told:
             break
         told = now
+    else:
+        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     found = stars.select(F.col("u").alias("id"), F.col("v").alias("root"))
     return g.nodes.select("id").join(found, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
 

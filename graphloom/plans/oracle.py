@@ -45,8 +45,9 @@ LIVE = """
 ups AS (SELECT source_id AS sub, target_id AS sup FROM edges WHERE type IN ('IMPLEMENTS', 'EXTENDS')),
 live AS (WITH RECURSIVE l(id) AS (SELECT sub FROM ups WHERE sup IN (SELECT target_id FROM edges WHERE type NOT IN ('IMPLEMENTS', 'EXTENDS')) UNION SELECT ups.sub FROM ups JOIN l ON ups.sup = l.id) SELECT id FROM l)"""
 
-BARE = "bare AS (SELECT * FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.target_id = n.id))"
-TESTED = f"tested AS (SELECT * FROM nodes n WHERE EXISTS (SELECT 1 FROM edges e WHERE e.target_id = n.id) AND NOT EXISTS (SELECT 1 FROM edges e JOIN nodes s ON e.source_id = s.id WHERE e.target_id = n.id AND {PRODUCTION.replace('file_path', 's.file_path')}))"
+BARE = "bare AS (SELECT n.* FROM nodes n ANTI JOIN edges e ON e.target_id = n.id)"
+TESTED = f"""by_production AS MATERIALIZED (SELECT DISTINCT e.target_id FROM edges e JOIN (SELECT id FROM nodes WHERE {PRODUCTION}) s ON e.source_id = s.id),
+tested AS (SELECT n.* FROM nodes n SEMI JOIN edges e ON e.target_id = n.id ANTI JOIN by_production p ON p.target_id = n.id)"""
 
 CANDIDATES = f"""{LIVE}, {BARE}, {TESTED},
 candidates AS (

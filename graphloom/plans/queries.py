@@ -348,16 +348,13 @@ def resolve_method(spark, d):
 
 # --- export --------------------------------------------------------------------
 
-_SALES_E = "SELECT type, source_id, target_id FROM edges WHERE type = 'INJECTS' AND starts_with(source_id, 'sales.orders.')"
-
-
 def _export_graph(spark, d):
     g = graph(spark, d)
-    return g.nodes.where(F.col("type").isin("AGGREGATE", "CONTROLLER")), g.edges.where("type = 'INJECTS'"), packages.with_package(g)
+    return g.nodes, g.edges, packages.with_package(g)
 
 
 _M = "regexp_replace({c}, '[^a-zA-Z0-9]', '_', 'g')"
-_KEPT = f"kept AS (SELECT * FROM nodes WHERE type IN ('AGGREGATE', 'CONTROLLER')), inner_edges AS (SELECT * FROM edges WHERE type = 'INJECTS' AND source_id IN (SELECT id FROM kept) AND target_id IN (SELECT id FROM kept))"
+_KEPT = "kept AS (SELECT * FROM nodes), inner_edges AS (SELECT e.* FROM edges e SEMI JOIN nodes s ON e.source_id = s.id SEMI JOIN nodes t ON e.target_id = t.id)"
 
 
 @query(
@@ -375,7 +372,7 @@ def export_json_rows(spark, d):
     O.with_graph(
         f"""SELECT 1 AS section, package, '    ' || {_M.format(c='k.id')} || '["' || k.name || '<br/>' || k.type || '"]' AS line FROM kept k JOIN packages p ON k.id = p.id
 UNION ALL SELECT 2, '', '  ' || {_M.format(c='source_id')} || ' -->|' || type || '| ' || {_M.format(c='target_id')} FROM inner_edges
-UNION ALL SELECT 3, '', '  class ' || {_M.format(c='id')} || ' ' || CASE type WHEN 'CONTROLLER' THEN 'controller' ELSE 'domain' END FROM kept""",
+UNION ALL SELECT 3, '', '  class ' || {_M.format(c='id')} || ' ' || CASE type WHEN 'CONTROLLER' THEN 'controller' WHEN 'SERVICE' THEN 'service' WHEN 'REPOSITORY' THEN 'data' WHEN 'AGGREGATE' THEN 'domain' ELSE 'other' END FROM kept""",
         O.PACKAGES, _KEPT,
     )
 )
@@ -394,7 +391,7 @@ def plantuml_rows(spark, d):
     return export.plantuml_rows(*_export_graph(spark, d))
 
 
-@query(O.with_graph("SELECT id FROM (SELECT id, sum(length(id) + 1) OVER (ORDER BY id) AS used FROM (SELECT id FROM nodes ORDER BY id LIMIT 6001)) WHERE used <= 6000"))
+@query(O.with_graph("SELECT id FROM (SELECT id, sum(length(id) + 1) OVER (ORDER BY id) AS used FROM (SELECT id FROM nodes ORDER BY id)) WHERE used <= 6000"))
 def reply_within_budget(spark, d):
     return export.fitting(graph(spark, d).nodes.select("id"), ["id"], "id")
 
@@ -545,7 +542,7 @@ def savings_pct(spark, d):
 
 def _spans(spark, d):
     line = table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("path"), F.concat_ws("#", "l_orderkey", "l_linenumber", "l_partkey").alias("id"), (F.col("l_linenumber") * 10).alias("begin"), (F.col("l_linenumber") * 10 + F.col("l_partkey") % 25).cast("int").alias("end")).distinct()
-    hunks = table(spark, d, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").cast("string").alias("path"), (F.col("o_orderkey") % 50).cast("int").alias("begin_b"), (F.col("o_orderkey") % 50 + F.col("o_custkey") % 4).cast("int").alias("end_b"))
+    hunks = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("path"), (F.col("o_orderkey") % 50).cast("int").alias("begin_b"), (F.col("o_orderkey") % 50 + F.col("o_custkey") % 4).cast("int").alias("end_b"))
     return hunks, line
 
 
@@ -553,7 +550,7 @@ _SPANS = "spans AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS path, l_order
 
 
 @query(
-    f"""WITH {_SPANS}, hunks AS (SELECT CAST(o_orderkey AS VARCHAR) AS path, o_orderkey % 50 AS x, o_orderkey % 50 + o_custkey % 4 AS y FROM orders WHERE o_orderkey % 3 = 0)
+    f"""WITH {_SPANS}, hunks AS (SELECT CAST(o_orderkey AS VARCHAR) AS path, o_orderkey % 50 AS x, o_orderkey % 50 + o_custkey % 4 AS y FROM orders)
 SELECT DISTINCT id, hunks.path FROM hunks JOIN spans ON hunks.path = spans.path WHERE (y > x AND x + 1 <= e AND y >= b) OR (y = x AND x >= b AND x + 1 <= e)"""
 )
 def hunks_to_spans(spark, d):

@@ -5,8 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Folders that hold no sources.
-LEFT_OUT = ("build", ".gradle", "node_modules", ".dart_tool", ".git", ".venv", "venv", "__pycache__", ".tox", "dist")
+# Folders that hold no sources, by language.
+_BUILT = ("build", ".gradle", "node_modules", ".dart_tool")
+LEFT_OUT = {
+    "java": _BUILT,
+    "groovy": _BUILT,
+    "dart": _BUILT,
+    "typescript": ("node_modules",),
+    "shell": ("build", ".gradle", "node_modules", "navigators", "target"),
+    "sql": ("build", "target", "node_modules", ".gradle", "navigators", "out", "dist"),
+    "python": ("venv", ".venv", "env", "__pycache__", ".tox", "site-packages", "build", "dist", "node_modules", "navigators", ".gradle"),
+}
 EXTENSIONS = {"java": "java", "ts": "typescript", "groovy": "groovy", "dart": "dart", "py": "python", "sh": "shell", "sql": "sql"}
 
 
@@ -18,8 +27,10 @@ def language(path: Column) -> Column:
 def is_source(path: Column) -> Column:
     """Whole path segments are compared, so that a folder like ``builders`` stays in."""
     parts = F.split(path, "/")
-    inside = ~F.arrays_overlap(F.slice(parts, F.lit(1), F.size(parts) - 1), F.array(*map(F.lit, LEFT_OUT)))
-    no_egg = ~F.exists(parts, lambda p: p.endswith(".egg-info"))
+    left_out = F.create_map(*(x for k, v in LEFT_OUT.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    folders = F.slice(parts, F.lit(1), F.size(parts) - 1)
+    inside = ~F.coalesce(F.arrays_overlap(folders, left_out[language(path)]), F.lit(False))
+    no_egg = ~(path.endswith(".py") & F.exists(parts, lambda p: p.endswith(".egg-info")))
     ts = ~path.endswith(".spec.ts") & ~path.endswith(".d.ts") & ~path.endswith(".module.ts")
     dart = ~path.endswith(".g.dart") & ~path.endswith(".freezed.dart") & ~path.contains("/l10n/")
     return inside & no_egg & ts & dart & ~path.contains(".claude/worktrees/")

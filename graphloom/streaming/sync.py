@@ -1,12 +1,14 @@
-"""Keep a table of file checksums fresh from a folder, with Structured Streaming."""
+"""Keep a table of file checksums fresh from a folder: by a listing, or as a stream of arrivals."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.operators.incremental import classify
 from graphloom.operators.search import first_per_key
 from graphloom.operators.store import Catalog, upsert
+from graphloom.sources.storage import stored
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -17,11 +19,17 @@ def changed_files(spark: SparkSession, folder: str) -> DataFrame:
     return raw.select(F.col("path").alias("file_path"), F.unix_millis("modificationTime").alias("last_modified"), F.sha2("content", 256).alias("checksum"))
 
 
-def sync(spark: SparkSession, folder: str, root: str, checkpoint: str):
-    """Take in what is new under ``folder`` and stop; the tracked table is a new version of ``root``.
+def listed(spark: SparkSession, folder: str) -> DataFrame:
+    """(file_path, last_modified, checksum) of all files now under ``folder``."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return raw.select(F.col("path").alias("file_path"), F.unix_millis("modificationTime").alias("last_modified"), F.sha2("content", 256).alias("checksum"))
+
+
+def arrivals(spark: SparkSession, folder: str, root: str, checkpoint: str) -> DataFrame:
+    """Take in the files that have appeared under ``folder`` and stop; the tracked table is a new version of ``root``.
 
     The state of the stream makes a second call read only later files; an upsert
-    by path makes a batch that is run again harmless.
+    by path makes a batch that is run again harmless. A stream of files knows paths only: ``sync`` finds what has changed or gone.
     """
     catalog = Catalog(spark, root)
 
@@ -35,6 +43,20 @@ def sync(spark: SparkSession, folder: str, root: str, checkpoint: str):
     return catalog.table("indexed_files")
 
 
+def sync(spark: SparkSession, folder: str, root: str) -> DataFrame:
+    """(file_path, state) of ``folder`` against the tracked table of ``root``: new, changed, deleted or same; the table is then that of now.
+
+    Without a difference no new version is written.
+    """
+    catalog = Catalog(spark, root)
+    now = stored(listed(spark, folder), "listing")
+    known = catalog.table("indexed_files") if catalog.version() else now.limit(0)
+    states = stored(classify(now, known), "states")
+    if not states.where("state <> 'same'").isEmpty():
+        catalog.batch({"indexed_files": now})
+    return states
+
+
 def windowed_counts(events: DataFrame, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Events (ts, event_type, value) by tumbling window and type; on a stream, rows later than ``late`` are left out."""
     timed = events.withWatermark("ts", late) if events.isStreaming else events

@@ -148,7 +148,7 @@ def test_typescript_dart_groovy():
     assert ids(ts) == {"WorkerService": "FE_SERVICE", "Worker": "FE_MODEL", "State": "FE_ENUM"}
     assert set(ids(ts, "method")) == {"WorkerService#load(string,object)", "WorkerService#get(string)"}
     dart = scripts.dart("c.dart", DART)
-    assert ids(dart) == {"CartService": "FE_SERVICE", "Kind": "FE_ENUM"}
+    assert ids(dart) == {"CartService": "FE_MODEL", "Kind": "FE_ENUM"}
     assert set(ids(dart, "method")) == {"CartService#add(String)", "CartService#remove(String)"}
     assert ids(scripts.groovy("x/Deploy.groovy", "println 'class No'")) == {"Deploy": "GROOVY_SCRIPT"}
     assert ids(scripts.groovy("x/D.groovy", "class A {}\nclass B {}")) == {"A": "GROOVY_SCRIPT", "B": "GROOVY_SCRIPT"}
@@ -178,3 +178,43 @@ def test_index_of_a_project(spark):
     assert nodes["docker"] == "SHELL_COMMAND" and nodes["org.acme.util.Clock"] == "LIBRARY" and nodes[o] == "SERVICE"
     assert {(r.method_id, r.class_id) for r in out["method_return_class"].collect()} >= {(f"{s}#level()", "com.shop.stock.Level")}
     assert out["file_shapes"].count() == 7
+
+
+def test_shell_programs_and_the_ways_to_draw_in_a_script():
+    text = "jq . a.json\nnpx x && pip3 install y | ./gradlew build\ntime scp a b\naws s3 ls\ndocker-compose up\n"
+    runs = {r["target"] for r in scripts.shell("x.sh", text) if r["kind"] == "edge" and r["type"] == "RUNS"}
+    assert runs == {"jq", "npx", "pip3", "./gradlew", "scp", "docker-compose"}
+    text = "source ./a.sh\n. b.sh\nbash c.sh -v\nsh d.sh && ./e.sh\nsource \"$HERE/f.sh\"\n# bash no.sh\necho x.sh\n./e.sh\n"
+    drawn = [r["target"] for r in scripts.shell("ci/x.sh", text) if r["kind"] == "sources"]
+    assert drawn == [f"ci/{n}.sh" for n in "abcdef"]
+
+
+def test_dart_types_by_base_and_name():
+    text = "".join(f"class {n} {{}}\n" for n in ("A extends Command", "B extends QueryHandler", "C extends StatelessWidget", "OrderStore", "Bus", "CartService", "Api"))
+    found = ids(scripts.dart("c.dart", text + "abstract interface class Port {}\n"))
+    assert found == {"A": "COMMAND", "B": "QUERY_HANDLER", "C": "FE_COMPONENT", "OrderStore": "FE_SERVICE", "Bus": "FE_SERVICE", "CartService": "FE_MODEL", "Api": "FE_MODEL", "Port": "FE_SERVICE"}
+
+
+def test_tier_by_its_markers(spark):
+    from graphloom.extract import index
+
+    def tier(*texts):
+        return index.project_tier(spark.createDataFrame([("A.java", "java", t) for t in texts], "file_path string, language string, content string"))
+
+    assert tier("class A {}", "@Configuration class B {}") == "GENERIC"
+    assert tier("class A {}", "@Entity class B {}") == "CRUD"
+    assert tier("@Service class A {}", "class B { CommandBus bus; }") == "DDD"
+    assert tier("class A implements QueryHandler<Q> {}") == "DDD" and tier("class A extends DomainEvent {}") == "GENERIC"
+
+
+def test_folders_left_out_by_language(spark):
+    from pyspark.sql import functions as F
+
+    from graphloom.sources import files
+
+    paths = {
+        "build/A.java": False, "out/A.java": True, "builders/A.java": True, "out/a.sql": False, "target/a.sh": False, "target/a.py": True, "env/a.py": False,
+        "env/a.sh": True, "x.egg-info/a.py": False, "navigators/a.py": False, "build/a.ts": True, "node_modules/a.ts": False, "a.g.dart": False, "lib/a.dart": True,
+    }
+    got = spark.createDataFrame([(p,) for p in paths], "p string").select("p", files.is_source(F.col("p")).alias("s")).collect()
+    assert {r.p: r.s for r in got} == paths

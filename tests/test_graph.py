@@ -134,16 +134,75 @@ def test_incremental(spark):
     assert incremental.decision(states.where("state = 'same'"), shapes, shapes).first().reason == "none"
 
 
-def test_stream_sync(spark, tmp_path):
-    from graphloom.streaming.sync import sync
+def test_stream_of_arrivals(spark, tmp_path):
+    from graphloom.streaming.sync import arrivals
 
     folder = tmp_path / "src"
     folder.mkdir()
     (folder / "a.txt").write_text("one")
     args = (spark, str(folder), f"file://{tmp_path}/cat", str(tmp_path / "check"))
-    assert sync(*args).count() == 1
+    assert arrivals(*args).count() == 1
     (folder / "b.txt").write_text("two")
-    assert sync(*args).count() == 2
+    assert arrivals(*args).count() == 2
+
+
+def test_sync_sees_changed_and_deleted_files(spark, tmp_path):
+    import os
+
+    from graphloom.streaming.sync import sync
+
+    folder, root = tmp_path / "src", f"file://{tmp_path}/cat"
+    folder.mkdir()
+    for name in "abc":
+        (folder / f"{name}.txt").write_text(name)
+
+    def states():
+        return {r.file_path[-5]: r.state for r in sync(spark, str(folder), root).collect()}
+
+    assert states() == {"a": "new", "b": "new", "c": "new"}
+    assert states() == {"a": "same", "b": "same", "c": "same"}
+    catalog = store.Catalog(spark, root)
+    before = catalog.version()
+    (folder / "a.txt").write_text("other")
+    os.utime(folder / "a.txt", (1, 1))
+    (folder / "b.txt").unlink()
+    (folder / "d.txt").write_text("d")
+    assert states() == {"a": "changed", "b": "deleted", "c": "same", "d": "new"}
+    assert catalog.version() != before and {r.file_path[-5] for r in catalog.table("indexed_files").collect()} == set("acd")
+
+
+def test_a_batch_that_comes_second_fails_and_leaves_the_first(spark, tmp_path):
+    known = spark.createDataFrame([("a", 1)], "k string, v int")
+    one, other = (store.Catalog(spark, f"file://{tmp_path}/p") for _ in range(2))
+    first = one.batch({"t": known})
+    other._newest = lambda: 0  # it began before the first ended
+    with pytest.raises(RuntimeError):
+        other.batch({"t": known.limit(0)})
+    assert one.version() == first and one.table("t").count() == 1
+
+
+def test_packages_of_deeply_nested_types_and_cyclic_supertypes(spark):
+    from graphloom.operators import dead, packages, resolve
+    from graphloom.operators.graph import CodeGraph
+
+    names = ["p.q.T0"]
+    for k in range(1, 20):
+        names.append(f"{names[-1]}.T{k}")
+    nodes = spark.createDataFrame([(n, "CLASS", n, n, "T0.java", 1, "", 0) for n in names], schema.NODES)
+    edges = spark.createDataFrame([("EXTENDS", "p.q.T0", "p.q.T0.T1"), ("EXTENDS", "p.q.T0.T1", "p.q.T0"), ("INJECTS", "x", "p.q.T0")], schema.EDGES)
+    g = CodeGraph(nodes, edges)
+    assert {r.package for r in packages.with_package(g).collect()} == {"p.q"}
+    assert {r.id for r in dead.live_subtypes(g).collect()} == {"p.q.T0", "p.q.T0.T1"}
+    chain = [(f"C{k}", f"C{k + 1}") for k in range(15)] + [("C15", "C0")]
+    supers = spark.createDataFrame(chain, "source_id string, target_id string")
+    methods = spark.createDataFrame([("C14#m()", "C14", "m")], "id string, owner string, name string")
+    calls = spark.createDataFrame([("one", "C0", "m", 0), ("none", "C0", "absent", 0)], "call string, receiver string, name string, n int")
+    assert [tuple(r) for r in resolve.bind_through_supertypes(calls, methods, supers).collect()] == [("one", "C14#m()")]
+
+
+def test_reply_of_very_short_lines_is_whole(spark):
+    rows = spark.range(20_000).select(F.format_string("%06d", "id").alias("k"), F.lit("x").alias("line"))
+    assert export.fitting(rows, ["k"], "line", budget=40_000).count() == 20_000
 
 
 def test_reply_budget(spark):
