@@ -450,6 +450,66 @@ def test_edited_fingerprints(spark, empty):
     assert sampling.edited_fingerprints(empty).count() == 0
 
 
+def brute_sample(text, n):
+    """The samples of a text by their definition, in plain Python."""
+    import re
+    import struct
+
+    mask = (1 << 64) - 1
+
+    def signed(x):
+        return x - (1 << 64) if x >> 63 else x
+
+    def uniform(h, shift):
+        return ((h >> shift & (1 << 25) - 1) + 0.5) * 2.0**-25
+
+    lowered = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    counts = Counter(xxhash.xxh64_intdigest(w.encode(), 42) & ~1 for w in re.split(r"[\x20\x09-\x0D]+", lowered) if w)
+    out = []
+    for k in range(n):
+        best = None
+        for h, count in counts.items():
+            first = xxhash.xxh64_intdigest(struct.pack("<Q", h), 42)
+            a, b = (xxhash.xxh64_intdigest(struct.pack("<i", 2 * k + x), first) for x in (0, 1))
+            r, c = -math.log(uniform(a, 0) * uniform(a, 25)), math.log(-math.log(uniform(b, 0) * uniform(b, 25)))
+            beta = ((a >> 50 ^ b >> 50 << 14) + 0.5) * 2.0**-28
+            t = math.floor(math.log(count) / r + beta)
+            name = (a ^ b >> 13 ^ (t << 9 & mask) ^ (t << 23 & mask)) & 0xFFFFFFFF
+            best = min(x for x in (best, (signed(int((c - r * (t - beta) - r + 1000) * 2**20) << 32 & mask), name)) if x)
+        out.append(best[1] if best else 0xFFFFFFFF)
+    return out
+
+
+def test_edited_fingerprints_are_those_of_their_definition(spark):
+    """With null, repeated and outlying ids, one id with a third of the rows, and empty and long texts."""
+    random = np.random.default_rng(3)
+
+    def words():
+        return " ".join(f"W{x}" for x in random.integers(0, 40, random.integers(1, 30)))
+
+    rows = [(n, words()) for n in range(40)] + [(7, words()) for _ in range(40)] + [(None, words()), (None, None), (2**61, words()), (-5, ""), (50, LONG), (51, " \t "), (3, "same"), (3, "same")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], DOC).withColumn("_bucket", F.lit(1)).withColumn("n_chars", F.lit("x"))
+    texts = [(i, t or "") for i, t in rows]
+
+    def place(row):
+        h = xxhash.xxh64_intdigest(row[1].encode(), 42)
+        return (1, 0) if row[0] is None else (0, -row[0]), h - (1 << 64) if h >> 63 else h
+
+    order = sorted(texts, key=place)
+    want = Counter()
+    for (i, t), (_, nxt) in zip(order, order[1:] + order[:1]):
+        k = len(t) // 3
+        own, edited, after = (brute_sample(x, sampling.SAMPLES) for x in (t, t[: len(t) - k] + nxt[:k], nxt))
+        want[i, len(t), "".join(f"{x:08x}" for x in own), "".join(f"{x:08x}" for x in edited), float(np.mean(np.equal(own, edited))), float(np.mean(np.equal(own, after)))] += 1
+    got = Counter((r.doc_id, r.n_chars, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in sampling.edited_fingerprints(docs).collect())
+    assert got == want
+
+
+def test_edited_fingerprint_of_one_row(spark):
+    one = sampling.edited_fingerprints(spark.createDataFrame([(1, "a b c d e f", "x")], DOC)).collect()
+    assert len(one) == 1 and one[0].near_next == 1.0
+
+
 # --- neighbours ------------------------------------------------------------------
 
 
