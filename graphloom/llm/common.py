@@ -8,9 +8,9 @@ from contextlib import contextmanager
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.sources.storage import shared_dir, stored, table
+from graphloom.sources.storage import dropped, shared_dir, stored, table
 
-__all__ = ["WORD_PATTERN", "ascii_lower", "held_out", "removed", "session_settings", "shared_dir", "stored", "table"]
+__all__ = ["WORD_PATTERN", "ascii_lower", "dropped", "held_out", "removed", "session_settings", "shared_dir", "stored", "table"]
 
 #: ASCII blanks separate words: a space and the controls 9 to 13.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import stored
+from graphloom.llm.common import dropped, stored
 
 
 def _least(both: DataFrame) -> DataFrame:
@@ -32,9 +32,10 @@ def components(links: DataFrame, label: str = "links", most_rounds: int = 60) ->
         down = large.where("u > v")
         small = down.groupBy("u").agg(F.min("v").alias("m"))
         joined = down.join(small, "u")
-        stars = stored(
+        before, stars = stars, stored(
             joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), label
         )
+        dropped(before)
         now = tuple(stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == told:
             break

@@ -14,7 +14,8 @@ execution can split a window that very many documents hold.
 Defined cases: a null text stays null; a document of fewer than three non-blank
 lines has no window and stays as it is; documents without a removed line keep
 their text exactly; rows that repeat a doc_id and a text are one document; a null
-id comes first. Blank lines stay where they are. Other columns are kept.
+id comes first. Blank lines stay where they are. Only spaces are trimmed, so that a line with a
+carriage return differs from one without. Other columns are kept.
 """
 
 from __future__ import annotations

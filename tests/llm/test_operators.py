@@ -381,6 +381,14 @@ def test_line_dedup(spark):
     assert lines.dedupe(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_of_null_ids_repeated_rows_and_carriage_returns(spark):
+    text = "one\ntwo\nthree\nown"
+    rows = [(None, text), (1, text + " 1"), (1, text + " 1"), (2, text.replace("\n", "\r\n")), (3, "one\n\n two \nthree")]
+    got = Counter((r.doc_id, r.text) for r in lines.dedupe(spark.createDataFrame([(i, t, "x") for i, t in rows], DOC)).collect())
+    # a null id comes first; rows repeated in full are one document; "one" and a carriage return is another line
+    assert got == Counter({(None, text): 1, (1, "own 1"): 2, (2, text.replace("\n", "\r\n")): 1, (3, ""): 1})
+
+
 # --- chat ------------------------------------------------------------------------
 
 
@@ -402,6 +410,19 @@ def test_preference(spark):
     assert [one.chosen[slice(*map(int, s.split("-")))] for s in one.chosen_mask.split(",")] == ["b", "c"]
 
 
+def test_preference_of_empty_long_and_repeated_conversations(spark):
+    kind = "conv_id bigint, turn bigint, role string, text string"
+    assert chat.preference(chat.with_last_of_partner(chat.conversations(spark.createDataFrame([], kind)))).count() == 0
+    long = "word " * 50_000
+    turns = [(4, n, "user" if n % 2 == 0 else "assistant", f"turn {n}") for n in range(2000)] + [(5, 0, "assistant", long)] + [(6, 1, "user", "tie"), (6, 1, "assistant", "tie")] * 2
+    turns += [(None, 0, "user", "no id")]
+    got = {r.conv_id: r for r in chat.preference(chat.with_last_of_partner(chat.conversations(spark.createDataFrame(turns, kind)))).collect()}
+    assert got[4].n_prompt_turns == 1999 and got[4].rejected == f"<|assistant|>\n{long}<|end|>\n"
+    a, b = map(int, got[4].rejected_mask.split("-"))
+    assert got[4].rejected[a:b] == long
+    assert got[6].n_prompt_turns == 3 and None in got
+
+
 # --- sampling --------------------------------------------------------------------
 
 
