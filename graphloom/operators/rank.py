@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.sources.storage import stored
+from graphloom.sources.storage import dropped, stored
 
 DAMPING, ROUNDS = 0.85, 20
 STORE_EVERY = 5
@@ -37,7 +37,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, rounds: int =
     p = stored(seeds.groupBy("id").agg((F.sum("mass") / total).alias("p")).where("p > 0").join(ids, "id", "left_semi"), "seeds")
     lone = stored(p.join(sinks, "id", "left_semi").select("id"), "lone")  # only seeds can hold mass without an edge
     losing = not lone.isEmpty()
-    r = p.select("id", F.col("p").alias("r"))
+    r, last = p.select("id", F.col("p").alias("r")), None
     for k in range(1, rounds + 1):
         if losing:
             lost = r.join(lone, "id", "left_semi").agg(F.coalesce(F.sum("r"), F.lit(0.0)).alias("lost"))
@@ -48,4 +48,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, rounds: int =
         r = base.unionAll(moved).groupBy("id").agg(F.sum("r").alias("r"))
         if losing or k % STORE_EVERY == 0 or k == rounds:  # a round that is read twice is stored at once
             r = stored(r, "rank")
+            if last is not None:
+                dropped(last)
+            last = r
     return every.join(r, "id", "left").select("id", F.coalesce("r", F.lit(0.0)).alias("score"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.graph import CodeGraph
-from graphloom.sources.storage import stored
+from graphloom.sources.storage import dropped, stored
 
 UNBOUNDED_ABOVE = 20
 
@@ -109,7 +109,8 @@ def components(g: CodeGraph, most_rounds: int = 60) -> DataFrame:
         large = both.join(least, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         linked = large.join(small, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        stars = stored(linked.unionAll(small.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        before, stars = stars, stored(linked.unionAll(small.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        dropped(before)
         now = tuple(stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == told:
             break
