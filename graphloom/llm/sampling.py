@@ -26,13 +26,13 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import ascii_lower
 
-SAMPLES = 64
+SAMPLES = 32
 NONE = 0xFFFFFFFF
 _BITS = 25
 #: Samples that one row of the aggregation holds: so few that its generated code stays small enough to be compiled well.
 TOGETHER = 8
-#: Ranges of ids that a partition of the neighbour search has on average.
-RANGES = 2
+#: Tasks of the race for each shuffle partition, so that a task's table of (row, term) pairs stays in memory, and ranges of ids a task.
+TASKS, RANGES = 4, 2
 
 
 def _uniform(h: Column, shift: int) -> Column:
@@ -111,7 +111,8 @@ def dealt_with_next(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("_i"))
-    ranges = RANGES * parts
+    tasks = TASKS * parts
+    ranges = RANGES * tasks
     cuts = rows.agg(F.percentile_approx("_i", [k / ranges for k in range(1, ranges)], 100 * ranges)).first()[0] or []
     hashed = rows.withColumn("_h", F.xxhash64("text"))
     array = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<bigint>")
@@ -127,7 +128,7 @@ def dealt_with_next(docs: DataFrame) -> DataFrame:
     ghost = F.struct(F.col("_above").alias("b"), F.when(F.col("_wraps"), 2).otherwise(1).alias("g"))
     first = (F.col("_i") == F.col("_top")) & (F.col("_h") == F.col("_top_h"))
     dealt = placed.select("doc_id", "text", "_i", "_h", F.explode(F.when(first, F.array(own, ghost)).otherwise(F.array(own))).alias("_x"))
-    dealt = dealt.select("doc_id", "text", "_i", "_h", F.col("_x.b").alias("_bucket"), F.col("_x.g").alias("_ghost")).repartition(parts, "_bucket")
+    dealt = dealt.select("doc_id", "text", "_i", "_h", F.col("_x.b").alias("_bucket"), F.col("_x.g").alias("_ghost")).repartition(tasks, "_bucket")
     order = Window.partitionBy("_bucket").orderBy(F.col("_ghost"), F.col("_i").desc(), "_h")
     return dealt.select("_bucket", F.row_number().over(order).alias("_rn"), "_ghost", "doc_id", "text", F.lead("text").over(order).alias("next"))
 
