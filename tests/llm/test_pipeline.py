@@ -89,3 +89,33 @@ def test_near_copies_are_those_of_brute_force(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     kept = {r.doc_id for r in P.drop_near_copies(spark, docs, "").collect()}
     assert kept == {i for i in root if root[i] == i} and 60 < len(kept) < 300
+
+
+DOCUMENT = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def test_run_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline as P
+
+    spark.createDataFrame([], DOCUMENT).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_keep_repeated_rows_nulls_and_columns_with_inner_names(spark, tmp_path):
+    import corpus_pipeline as P
+    from pyspark.sql import functions as F
+
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [(1, "a b c d e f g", "en", "s", 7), (1, "a b c d e f g", "en", "s", 7), (2, "other words in this text, all of them", "en", "s", 9), (None, "a b c d e f g", None, None, None), (3, "a b c d e f g", "en", "s", 7)]
+    docs = spark.createDataFrame(rows, DOCUMENT)
+    for name in ("_row", "_gone", "set", "node", "a", "b", "root", "least", "_y", "score", "dense"):
+        docs = docs.withColumn(name, F.lit(name))
+    for name, stage in P.STAGES[:-1]:
+        kept = stage(spark, docs, str(tmp_path))
+        assert kept.columns == docs.columns, name
+        ids = sorted((r.doc_id or 0) for r in kept.collect())
+        assert ids == ([0, 1, 1, 2] if "simhash" in name else [0, 1, 1, 2, 3]), name
+        docs = kept
+    packed = P.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0) for r in packed) == [0, 1, 1, 2] and len({r.sequence_id for r in packed}) == 1
