@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Chunks of text whose pieces a worker remembers in each of two generations; when one is full the older is let go.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 
 
 def default_path() -> str:
