@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, chat, katz, lines, neighbours, packing, sampling, simhash, toxicity, urls
+from graphloom.llm import bpe, chat, codes, katz, lines, neighbours, packing, phrases, sampling, simhash, topk, toxicity, urls
 from graphloom.llm.common import held_out, table
 
 
@@ -59,6 +59,18 @@ def op10_bpe(spark: SparkSession, d: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, d, "documents"))
 
 
+def op11_phrases(spark: SparkSession, d: str) -> DataFrame:
+    return phrases.collocations(table(spark, d, "documents"))
+
+
+def op12_topk(spark: SparkSession, d: str) -> DataFrame:
+    return topk.top_products(table(spark, d, "embeddings"))
+
+
+def op13_codes(spark: SparkSession, d: str) -> DataFrame:
+    return codes.with_label_error(codes.compress(table(spark, d, "embeddings")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_toxicity, op2_line_dedup, op3_url_filter, op4_neighbours, op5_simhash, op6_packing, op7_katz, op8_preference, op9_sampling, op10_bpe]
+    found = [op1_toxicity, op2_line_dedup, op3_url_filter, op4_neighbours, op5_simhash, op6_packing, op7_katz, op8_preference, op9_sampling, op10_bpe, op11_phrases, op12_topk, op13_codes]
     return {f.__name__: f for f in found}
