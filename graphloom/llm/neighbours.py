@@ -16,10 +16,11 @@ smallest hash. Every vector is indexed: it is routed to one leaf of each tree. T
 forest and the leaf sizes are what is broadcast (TREES * SAMPLE / LEAF nodes at
 most), and SEEDS vectors of the sample, which are candidates of every query: the k-th best of
 them is a bar below which no leaf need report a candidate. Neighbouring leaves share a bucket of up
-to BUCKET vectors, so that a query travels once a bucket; leaves beyond that are split, and so
-are the queries of a bucket beyond QUERIES. Equal vectors are one class; a class carries the
+to BUCKET vectors, so that a query travels once a bucket; leaves beyond that are split. A crowded bucket, with
+over QUERIES queries, is searched in turns, and only such a bucket is sent more than once. Equal vectors are one class; a class carries the
 smallest of its ids, as many as a result can use, so that a vector with very many copies is
-searched once.
+searched once. Classes are numbered in the order of their smallest ids, and the number is their name: an id
+with several vectors is in several classes.
 
 Defined cases: vectors that are null, zero, or
 hold null or non-finite components take no part, nor do rows with a null id; vectors have
@@ -130,12 +131,16 @@ def typed(vectors: DataFrame, embedding: str = "embedding") -> tuple[str, str]:
 
 
 def classes(vectors: DataFrame, keep: int, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(rep, ids, v): the distinct usable vectors with the ``keep`` smallest of their ids; rep is the smallest."""
+    """(rep, ids, v): the distinct usable vectors with the ``keep`` smallest of their ids; rep is a number of the vector, in the order of the smallest ids.
+
+    To be stored before use, since the numbers are those of the run."""
     v = vectors.select(F.col(vec_id).cast("bigint").alias("id"), F.col(embedding).cast(typed(vectors, embedding)[0]).alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
     usable = v.where(F.col("id").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0)).distinct()
     rank = F.row_number().over(Window.partitionBy("v").orderBy("id"))
-    return usable.withColumn("_r", rank).where(F.col("_r") <= keep).groupBy("v").agg(F.min("id").alias("rep"), F.sort_array(F.collect_list("id")).alias("ids"))
+    grouped = usable.withColumn("_r", rank).where(F.col("_r") <= keep).groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    by_id = [F.col("ids")[0], F.xxhash64("v"), F.col("v")]
+    return grouped.repartitionByRange(*by_id).sortWithinPartitions(*by_id).select(F.monotonically_increasing_id().alias("rep"), "ids", "v")
 
 
 def matrix(column: pd.Series, dims: int, kind: str) -> np.ndarray:
@@ -220,14 +225,16 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, search: int | None
     queries = vectors.where(F.col("vec_id") % every == 0).select(F.col("vec_id").cast("bigint").alias("query_id"), F.col("embedding").cast(cast).alias("v")).distinct()
     asked = stored(queries.join(kept.select("v", "rep"), "v").select("query_id", "rep"), "queries")
     sizes = sorted(r.d for r in kept.select(F.size("v").alias("d")).distinct().collect())
-    found = [scored_classes(kept.where(F.size("v") == d), asked, d, kind, k, search, trees) for d in sizes]
+    # an id with several vectors is no neighbour of its own, so that more classes are ranked by as many
+    wide = k - 1 + (asked.groupBy("query_id").count().agg(F.max("count")).first()[0] or 1)
+    found = [scored_classes(kept.where(F.size("v") == d), asked, d, kind, wide, search, trees) for d in sizes]
     if not found:
         return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     once = reduce(DataFrame.unionAll, found).groupBy("q", "rep").agg(F.max("score").alias("score"))
     best = Window.partitionBy("q").orderBy(F.desc("score"), "rep")
-    top = once.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k + 1).drop("_r")
+    top = once.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= wide + 1).drop("_r")
     with_ids = top.join(kept.select("rep", "ids"), "rep").select("q", F.explode("ids").alias("vec_id"), "score")
-    listed = with_ids.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k + 1).alias("_l"))  # (k + 1)**2 at most
+    listed = with_ids.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, wide + 1).alias("_l"))  # (wide + 1) * (k + 1) at most
     mine = asked.join(listed, asked["rep"] == listed["q"]).select("query_id", F.slice(F.filter("_l", lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("_l"))
     return mine.select("query_id", F.posexplode("_l")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("col.vec_id").alias("vec_id"), (-F.col("col.s")).alias("score"))
 
@@ -252,7 +259,6 @@ def scored_classes(kept: DataFrame, asked: DataFrame, dims: int, kind: str, k: i
     for leaf, n in kept.select("v").mapInPandas(leaf_sizes, "leaf bigint, n bigint").groupBy("leaf").agg(F.sum("n")).collect():  # a row a leaf
         sizes[leaf] = n
     seekers = kept.join(asked.select("rep").distinct(), "rep", "left_semi").select("rep", "v")
-    turns = max(1, -(-seekers.count() // QUERIES))
     wanted = max(SEARCH, budget(kept, seekers, forest, sizes, k, dims, kind)) if search is None else search
     placed = spark.sparkContext.broadcast((sizes, Buckets(sizes, BUCKET)))
 
@@ -261,8 +267,10 @@ def scored_classes(kept: DataFrame, asked: DataFrame, dims: int, kind: str, k: i
             x, reps = matrix(b["v"], dims, kind), b["rep"].to_numpy()
             leaves, raw = sent.value[0].route(x.astype(np.float32)), [r.tobytes() for r in x]
             for t in range(leaves.shape[1]):
-                for turn in range(turns):
-                    yield pd.DataFrame({"bucket": placed.value[1].of(leaves[:, t], reps), "turn": turn, "leaf": leaves[:, t], "rep": reps, "v": raw})
+                bucket = placed.value[1].of(leaves[:, t], reps)
+                for turn in range(int(turns.value[bucket].max(initial=0))):
+                    mine = np.flatnonzero(turns.value[bucket] > turn)
+                    yield pd.DataFrame({"bucket": bucket[mine], "turn": turn, "leaf": leaves[mine, t], "rep": reps[mine], "v": [raw[i] for i in mine]})
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trees, seeds, seed_reps = sent.value
@@ -276,7 +284,7 @@ def scored_classes(kept: DataFrame, asked: DataFrame, dims: int, kind: str, k: i
                 bar = np.partition(score, score.shape[1] - n, axis=1)[:, score.shape[1] - n] if n == k else np.full(len(some), -np.inf)
                 rows = [(bucket, q, leaves) for q, v in enumerate(some) for bucket, leaves in placed.value[1].asked(np.array(trees.search(v.astype(np.float32), placed.value[0], wanted), dtype=np.int64)).items()]
                 of = np.array([q for _, q, _ in rows], dtype=np.int64)
-                yield pd.DataFrame({"bucket": [r[0] for r in rows], "turn": (own[of] // 8191) % turns, "rep": own[of], "v": [some[q].tobytes() for q in of], "bar": bar[of], "leaves": [r[2].astype(np.int32).tobytes() for r in rows]})
+                yield pd.DataFrame({"bucket": [r[0] for r in rows], "rep": own[of], "v": [some[q].tobytes() for q in of], "bar": bar[of], "leaves": [r[2].astype(np.int32).tobytes() for r in rows]})
 
     def rerank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         x, y, reps, own = np.zeros((0, dims)), np.zeros((0, dims)), np.zeros(0, np.int64), left["rep"].to_numpy()
@@ -323,8 +331,15 @@ def scored_classes(kept: DataFrame, asked: DataFrame, dims: int, kind: str, k: i
                 i, j = best_of(score, k + 1)
                 yield pd.DataFrame({"q": reps[at : at + 500][i], "rep": seed_reps[j], "score": products(x[at : at + 500][i], seeds[j])})
 
+    turns_of = np.zeros(placed.value[1].count, dtype=np.int64)
+    asks = stored(seekers.mapInPandas(probe, "bucket bigint, rep bigint, v binary, bar double, leaves binary"), "probes")
+    for bucket, n in asks.groupBy("bucket").count().collect():  # a row a bucket
+        turns_of[bucket] = -(-n // QUERIES)
+    turns = spark.sparkContext.broadcast(turns_of)  # a bucket that no query visits is not sent
+    crowded = spark.createDataFrame([(b, int(n)) for b, n in enumerate(turns_of.tolist()) if n > 1], "bucket bigint, turns bigint")  # fewer than probes / QUERIES
+    turn = F.pmod(F.xxhash64("rep"), F.coalesce("turns", F.lit(1)))
+    probes = asks.join(F.broadcast(crowded), "bucket", "left").select("bucket", turn.alias("turn"), "rep", "v", "bar", "leaves")
     indexed = kept.select("rep", "v").mapInPandas(index, "bucket bigint, turn bigint, leaf bigint, rep bigint, v binary")
-    probes = seekers.mapInPandas(probe, "bucket bigint, turn bigint, rep bigint, v binary, bar double, leaves binary")
     ranked = probes.groupBy("bucket", "turn").cogroup(indexed.groupBy("bucket", "turn")).applyInPandas(rerank, "q bigint, rep bigint, score double")
     seeds = seekers.mapInPandas(seeded, "q bigint, rep bigint, score double")
     own = seekers.select(F.col("rep").alias("q"), "rep", F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")).alias("score"))

@@ -586,6 +586,19 @@ def test_neighbours_of_double_vectors_of_two_dimensions_and_of_repeated_ids(spar
     assert Counter(k[:3] for k in got.elements()) == want
 
 
+def test_neighbours_of_ids_with_several_near_vectors(spark):
+    random = np.random.default_rng(17)
+    rows = [(n, random.normal(size=6).tolist()) for n in range(60)]
+    rows += [(0, (np.array(rows[0][1]) + 1e-3 * j).tolist()) for j in (1, 2)] + [(7, random.normal(size=6).tolist()), (20, rows[3][1])]
+    got = Counter((r.query_id, r["rank"], r.vec_id) for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect())
+    want = Counter()
+    for q, v in rows:
+        if q % 20 == 0:
+            others = sorted((-float(np.dot(v, w)), i) for i, w in rows if i != q)
+            want.update((q, n + 1, i) for n, (_, i) in enumerate(others[:20]))
+    assert got == want
+
+
 def clustered(n):
     """Unit vectors of 64 dimensions around 20 means, with a spread that falls from axis to axis."""
     random = np.random.default_rng(8)
