@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from graphloom.extract import java, scripts, sql
 from graphloom.extract.scan import FIELDS, ROWS
-from graphloom.operators import resolve
+from graphloom.operators import contains, resolve
 from graphloom.operators.incremental import shape_hash
 from graphloom.operators.store import by_path_order
 from graphloom.sources.storage import stored
@@ -68,32 +68,30 @@ def build(files: DataFrame, dependencies: DataFrame | None = None) -> dict[str,
 
     known = nodes.select("id").distinct()
     wanted = of("ref", "super", "call", "returns").select("file_path", F.coalesce("owner", "source_id").alias("owner"), "target")
-    names = stored(resolve.type_names(wanted, types, imports, wildcards, packages), "names")
-    refs = of("ref").join(names, ["file_path", "owner", "target"])
-    plain = refs.where("source_id <> resolved")
-    supers = edge(plain.where(F.col("type").isin("EXTENDS", "IMPLEMENTS")), F.col("type"), "source_id", "resolved")
+    supers = None
+    while True:  # supertypes are names too, and may be inherited member types themselves
+        names = stored(resolve.type_names(wanted, types, imports, wildcards, packages, supers), "names")
+        refs = of("ref").join(names, ["file_path", "owner", "target"])
+        plain = refs.where("source_id <> resolved")
+        before, supers = supers, stored(edge(plain.where(F.col("type").isin("EXTENDS", "IMPLEMENTS")), F.col("type"), "source_id", "resolved").distinct(), "supers")
+        if before is not None and (before.count() == supers.count() and supers.exceptAll(before).isEmpty()):
+            break
     made = [edge(of("method"), "DECLARES_METHOD", "owner", "id"), edge(plain, F.col("type"), "source_id", "resolved"), edge(of("edge"), F.col("type"), "source_id", "target")]
 
     sites = of("call").withColumn("call", F.concat_ws("@", "file_path", "source_id", F.col("line").cast("string"))).drop("type_")
-    typed = sites.where("target IS NOT NULL").join(names, ["file_path", "owner", "target"]).select("call", F.col("resolved").alias("receiver"), "name", "n")
-    own = sites.where("target IS NULL AND type IN ('own', 'super')").select("call", F.col("owner").alias("receiver"), "name", "n")
-    calls = stored(typed.unionByName(own), "calls")
-    bound = stored(resolve.bind_through_supertypes(calls, methods, supers), "bound")
+    typed = sites.where("target IS NOT NULL").join(names, ["file_path", "owner", "target"]).select("call", F.lit(None).cast("string").alias("parent"), F.col("resolved").alias("receiver"), "name", "n")
+    own = sites.where("target IS NULL AND type IN ('own', 'super')").select("call", F.lit(None).cast("string").alias("parent"), F.col("owner").alias("receiver"), "name", "n")
+    chain = sites.where("type = 'chain' AND id IS NOT NULL").select("call", F.concat_ws("@", "file_path", "source_id", "id").alias("parent"), F.lit(None).cast("string").alias("receiver"), "name", "n")
+    returns = stored(of("returns").where("n = 0").join(names, ["file_path", "owner", "target"]).select(F.col("source_id").alias("method_id"), F.col("resolved").alias("class_id")).dropDuplicates(["method_id"]), "returns")
+    bound = resolve.bind_chains(stored(typed.unionByName(own).unionByName(chain), "calls"), methods, supers, returns)
     made.append(edge(bound.join(sites.select("call", "source_id"), "call").where("source_id <> method"), "CALLS", "source_id", "method"))
     made.append(resolve.overrides(methods, supers))
-    returns = of("returns").where("n = 0").join(names, ["file_path", "owner", "target"]).select(F.col("source_id").alias("method_id"), F.col("resolved").alias("class_id")).dropDuplicates(["method_id"])
-    # a call on another call's result: its receiver is the return class of the one method that call bound
-    chain = sites.where("type = 'chain'").select("call", "file_path", "source_id", "line", "name", "n")
-    one = bound.groupBy("call").agg(F.min("method").alias("method_id"), F.count("*").alias("_n")).where("_n = 1").join(returns, "method_id")
-    prior = sites.select(F.col("call").alias("_before"), "file_path", "source_id", (F.col("line") + 1).alias("line"))
-    linked = chain.join(prior, ["file_path", "source_id", "line"]).join(one.select(F.col("call").alias("_before"), F.col("class_id").alias("receiver")), "_before").select("call", "receiver", "name", "n")
-    chained = resolve.bind_through_supertypes(linked, methods, supers)
-    made.append(edge(chained.join(sites.select("call", "source_id"), "call").where("source_id <> method"), "CALLS", "source_id", "method"))
 
     tables = nodes.where("type = 'SQL_TABLE'").select(F.col("name").alias("target"), F.col("id").alias("_table"))
     made.append(edge(of("table_ref").join(tables, "target"), "REFERENCES_TABLE", "source_id", "_table"))
-    aggregates = nodes.where("type = 'AGGREGATE'").select(F.lower("name").alias("target"), F.col("id").alias("_aggregate"))
-    made.append(edge(of("aggregate_ref").join(aggregates, "target"), "LOADS_AGGREGATE", "source_id", "_aggregate"))
+    scopes = of("aggregate_ref").select(F.struct("source_id", "target").alias("text_id"), F.lower("target").alias("text"))
+    loaded = contains.least_contained(scopes, nodes.where("type = 'AGGREGATE'").select(F.col("id").alias("needle_id"), F.lower("name").alias("needle")))
+    made.append(edge(loaded.select("text_id.source_id", "needle_id"), "LOADS_AGGREGATE", "source_id", "needle_id"))
 
     modules = nodes.where("type = 'PY_MODULE'").select("id", F.regexp_replace("id", r"(/__init__)?\.py$", "").alias("_module"))
     asked = of("py_import").select("source_id", F.explode(F.array("target", F.concat_ws("/", "target", "name"))).alias("_module"))
@@ -105,14 +103,10 @@ def build(files: DataFrame, dependencies: DataFrame | None = None) -> dict[str,
     foreign = of("py_call").where("owner IS NOT NULL").select("source_id", F.substring_index("owner", "|", 1).alias("_module"), F.substring_index("owner", "|", -1).alias("_name"))
     made.append(edge(foreign.join(modules, "_module").withColumn("_id", F.concat("id", F.lit("#"), "_name", F.lit("()"))).join(known.select(F.col("id").alias("_id")), "_id", "left_semi"), "CALLS", "source_id", "_id"))
     made.append(edge(of("sources").join(nodes.where("type = 'SHELL_SCRIPT'").select(F.col("id").alias("target")), "target", "left_semi"), "SOURCES", "source_id", "target"))
-    injected = of("inject").join(nodes.where("type = 'FE_SERVICE'").select(F.col("name").alias("target"), F.col("id").alias("_service")), "target")
-    components = nodes.where("type = 'FE_COMPONENT'").select("file_path", F.col("id").alias("_component"))
-    made.append(edge(injected.join(components, "file_path"), "USES_SERVICE", "_component", "_service"))
-    base = F.lower(F.regexp_replace("name", "Controller$", ""))
-    controllers = nodes.where("type = 'CONTROLLER'").select(F.col("id").alias("_controller"), F.concat(F.lit("/"), base).alias("_route"))
-    services = nodes.where("type = 'FE_SERVICE'").select(F.col("id").alias("_fe"), F.regexp_extract_all(F.lower("code_snippet"), F.lit(r"(/[\w-]+)"), F.lit(1)).alias("_paths"))
-    routes = services.select("_fe", F.explode(F.array_distinct(F.flatten(F.transform("_paths", lambda p: F.array(p, F.regexp_replace(p, "s$", "")))))).alias("_route"))
-    made.append(edge(routes.join(controllers, "_route"), "CALLS_API", "_fe", "_controller"))
+    services = nodes.where("type = 'FE_SERVICE'")
+    components = nodes.where("type = 'FE_COMPONENT'").select("id", "file_path").join(files.select("file_path", "content"), "file_path")
+    made.append(edge(contains.injections(components, services), "USES_SERVICE", "text_id", "needle_id"))
+    made.append(edge(contains.api_calls(services, nodes.where("type = 'CONTROLLER'")), "CALLS_API", "text_id", "needle_id"))
 
     empty = nodes.limit(0)
     commands = of("edge").where("type = 'RUNS'").select("target").distinct()

@@ -161,8 +161,7 @@ def _members(rows, text, code, plain, start, end, nested, id_, name, type_, note
     while m := _METHOD.search(body, at):
         close = match(body, m.end() - 1, "()")
         after = re.match(r"\s*(?:throws\s+[\w.,\s]+)?\s*(?:default\s+[^;]*)?([{;])", body[close + 1 :])
-        inside = body.rfind("{", at, m.start())
-        if not after or m["name"] in WORDS or (m["ret"] in WORDS) or (m["ret"] is None and m["name"] != name) or (inside >= 0 and "}" not in body[inside : m.start()] and False):
+        if not after or m["name"] in WORDS or (m["ret"] in WORDS) or (m["ret"] is None and m["name"] != name):
             at = m.end()
             continue
         brace = close + 1 + after.end(1) - 1
@@ -197,7 +196,14 @@ def _members(rows, text, code, plain, start, end, nested, id_, name, type_, note
 
 
 def _calls(rows, body, owner, mid, scope) -> None:
+    """A row a call; ``line`` is its number in the method, and ``id`` the number of the call whose result it is made on."""
     names = dict(scope)
+    opening, opened_by, pending = {}, {}, []
+    for at, c in enumerate(body):
+        if c == "(":
+            pending.append(at)
+        elif c == ")" and pending:
+            opening[at] = pending.pop()
     for m in _LOCAL.finditer(body):
         names[m["name"]] = m["type"]
     for pos, m in enumerate(_CALL.finditer(body)):
@@ -206,7 +212,10 @@ def _calls(rows, body, owner, mid, scope) -> None:
             continue
         opened = body.find("(", m.start("args")) if m["args"] == "(" else -1
         arity = len(split_top(body[opened + 1 : match(body, opened, "()")])) if opened >= 0 else -1
-        chained = body[: m.start()].rstrip().endswith((".", ")."))
+        if opened >= 0:
+            opened_by[opened] = pos
+        before = body[: m.start()].rstrip()
+        chained = before.endswith(".")
         if m["new"] or re.search(r"\bnew\s+$", body[: m.start()]):
             rows.append(row("call", source_id=mid, owner=owner, target=name, name="<init>", n=arity, line=pos, type="new"))
             rows.append(row("ref", source_id=owner, type="CALLS_METHOD", target=name, owner=owner))
@@ -225,7 +234,9 @@ def _calls(rows, body, owner, mid, scope) -> None:
             rows.append(row("call", source_id=mid, owner=owner, target=recv, name=name, n=arity, line=pos, type="static"))
             rows.append(row("ref", source_id=owner, type="CALLS_METHOD", target=recv, owner=owner))
         elif chained:
-            rows.append(row("call", source_id=mid, owner=owner, target=None, name=name, n=arity, line=pos, type="chain"))
+            # the call whose arguments end before the dot
+            parent = opened_by.get(opening.get(len(before[:-1].rstrip()) - 1))
+            rows.append(row("call", id=None if parent is None else str(parent), source_id=mid, owner=owner, target=None, name=name, n=arity, line=pos, type="chain"))
 
 
 def _ddd(rows, body, marks, params, owner, type_, tier, method) -> None:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import unicodedata
+
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # Words that carry no meaning in a task's description.
@@ -43,20 +45,56 @@ def stem(word: Column | str) -> Column:
     return F.coalesce(undoubled, w)
 
 
+#: Marks that stand after their letter.
+MARKS = "\u0300-\u036f"
+
+
+def accented_letters() -> dict[str, str]:
+    """The lower-case letters that are one of a to z with marks, and that one, by Unicode's decompositions."""
+    out = {}
+    for n in range(0xC0, 0x2000):
+        base, *marks = unicodedata.normalize("NFD", chr(n))
+        if marks and "a" <= base <= "z" and all(unicodedata.category(m) == "Mn" for m in marks):
+            out[chr(n)] = base
+    return out
+
+
+ACCENTED = accented_letters()
+
+
+def folded(lower: Column | str) -> Column:
+    """A lower-case text without the accents of a to z."""
+    return F.regexp_replace(F.translate(_c(lower), "".join(ACCENTED), "".join(ACCENTED.values())), f"[{MARKS}]+", "")
+
+
+def words(text: Column | str) -> Column:
+    """Lower-case runs of letters and digits, with their accents, in order; as many as ``tokens``."""
+    return F.filter(F.split(F.lower(F.coalesce(_c(text), F.lit(""))), rf"[^\p{{L}}\p{{N}}{MARKS}]+"), lambda t: F.regexp_replace(t, f"[{MARKS}]+", "") != "")
+
+
 def tokens(text: Column | str) -> Column:
-    """Lower-case runs of letters and digits, in order."""
-    return F.filter(F.split(F.lower(F.coalesce(_c(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    """Lower-case runs of letters and digits, without accents, in order."""
+    return F.filter(F.split(folded(F.lower(F.coalesce(_c(text), F.lit("")))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+
+
+def plain_tokens(text: str) -> list[str]:
+    """As ``tokens``, of a query."""
+    kept = [ACCENTED.get(c, c) for c in text.lower() if not "\u0300" <= c <= "\u036f"]
+    return "".join(c if unicodedata.category(c)[0] in "LN" else " " for c in kept).split()
 
 
 def fts_terms(query: str) -> list[tuple[list[str], bool]]:
     """The phrases of a query and whether the last word of each is a prefix: only that of the last phrase is."""
-    import re
-
-    found = [[t for t in re.split(r"[\W_]+", part.lower()) if t] for part in query.rstrip("*").split()]
-    found = [f for f in found if f]
+    found = [f for f in (plain_tokens(part) for part in query.rstrip("*").split()) if f]
     return [(f, n == len(found) - 1) for n, f in enumerate(found)]
 
 
+def keyword_stems(spark: SparkSession, task: str) -> list[tuple[str, str]]:
+    """(word, stem) of a task's keywords; the task is one text."""
+    rows = spark.createDataFrame([(task,)], "t string").select(F.explode(keywords("t")).alias("word")).select("word", stem("word").alias("stem"))
+    return [(r.word, r.stem) for r in rows.collect()]
+
+
 def fts_matches(columns: list[Column], query: str) -> Column:
     """All phrases occur, each within one of the columns (arrays of tokens); without a phrase nothing matches."""
     terms = fts_terms(query)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.ids import declaring_class
 from graphloom.functions.paths import is_guard_test
 from graphloom.operators.graph import CodeGraph
-from graphloom.operators.traverse import search
+from graphloom.operators.traverse import search, search_many
 
 
 def changed_spans(hunks: DataFrame, spans: DataFrame) -> DataFrame:
@@ -22,6 +22,27 @@ def changed_spans(hunks: DataFrame, spans: DataFrame) -> DataFrame:
     return hunks.join(spans, "path").where(lines | gap).select("id", "path").distinct()
 
 
+def islands(spans: DataFrame) -> DataFrame:
+    """(path, begin, end): the spans of each path merged where they overlap or follow line on line."""
+    upto = F.max("end").over(Window.partitionBy("path").orderBy("begin", "end").rowsBetween(Window.unboundedPreceding, -1))
+    marked = spans.select("path", "begin", "end", F.coalesce(F.col("begin") > upto + 1, F.lit(True)).alias("_new"))
+    numbered = marked.withColumn("_island", F.sum(F.col("_new").cast("int")).over(Window.partitionBy("path").orderBy("begin", "end").rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy("path", "_island").agg(F.min("begin").alias("begin"), F.max("end").alias("end")).drop("_island")
+
+
+def covered_hunks(hunks: DataFrame, spans: DataFrame) -> DataFrame:
+    """(path, begin_b, end_b, covered): whether every line of a hunk lies in some span; lines as in ``changed_spans``.
+
+    A hunk may lie across several spans that follow each other, so that it is held against their union. A deletion lies between two lines,
+    and is covered only if one span holds both.
+    """
+    own, adds = hunks.select("path", "begin_b", "end_b").distinct(), F.col("end_b") > F.col("begin_b")
+    merged = own.where(adds).join(islands(spans), "path").where((F.col("begin_b") + 1 >= F.col("begin")) & (F.col("end_b") <= F.col("end")))
+    single = own.where(~adds).join(spans, "path").where((F.col("begin_b") >= F.col("begin")) & (F.col("begin_b") + 1 <= F.col("end")))
+    whole = merged.unionByName(single, allowMissingColumns=True).select("path", "begin_b", "end_b").distinct().withColumn("covered", F.lit(True))
+    return own.join(whole, ["path", "begin_b", "end_b"], "left").withColumn("covered", F.coalesce("covered", F.lit(False)))
+
+
 def innermost(lines: DataFrame, spans: DataFrame) -> DataFrame:
     """(path, line, id): for each line the smallest span around it, then the later one, then the smaller id."""
     inside = lines.join(spans, "path").where((F.col("line") >= F.col("begin")) & (F.col("line") <= F.col("end")))
@@ -36,12 +57,24 @@ def new_and_removed(indexed: DataFrame, parsed: DataFrame) -> tuple[DataFrame, D
 
 
 def dependents(g: CodeGraph, node_id: str, depth: int) -> DataFrame:
-    """(id): callers of a method; for a type its own and those of each method it declares; the type itself left out."""
-    declared = g.edges.where((F.col("type") == "DECLARES_METHOD") & (F.col("source_id") == node_id)).select(F.col("target_id").alias("id"))
-    own = g.nodes.sparkSession.createDataFrame([(node_id,)], "id string")
-    by_type = search(g, own, depth, "in").select("id")
-    by_methods = search(g, declared, depth, "in").select("id")
-    return by_type.unionAll(by_methods).distinct().where(F.col("id") != node_id)
+    """(id): what depends on a node, as ``dependents_each``."""
+    one = g.nodes.sparkSession.createDataFrame([(node_id,)], "id string")
+    return dependents_each(g, one, depth).select("id")
+
+
+def dependents_each(g: CodeGraph, changed: DataFrame, depth: int) -> DataFrame:
+    """(start, id): what depends on each id of ``changed``, all in one search.
+
+    Of a method these are its callers. Of a type they are the types among its own callers and all callers of each method that it declares; the
+    methods of a type that only uses the type are none, since they need not call into it. A node does not depend on itself.
+    """
+    own = changed.select("id").distinct()
+    declared = g.edges.where("type = 'DECLARES_METHOD'").select(F.col("source_id").alias("id"), F.col("target_id").alias("_method")).join(own, "id")
+    starts = own.select(F.col("id").alias("start"), F.lit("").alias("_of"), "id").unionAll(declared.select(F.col("id").alias("start"), F.col("_method").alias("_of"), F.col("_method").alias("id")))
+    found = search_many(g, starts.select(F.struct("start", "_of").alias("start"), "id"), depth, "in")
+    is_method = F.instr("id", "#") > 0
+    kept = found.where((F.col("start._of") != "") | (F.instr("start.start", "#") > 0) | ~is_method)
+    return kept.select(F.col("start.start").alias("start"), "id").where("start <> id").distinct()
 
 
 def guard_summary(g: CodeGraph, found: DataFrame) -> DataFrame:

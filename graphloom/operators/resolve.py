@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,11 +18,34 @@ def _unique(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.min(value).alias(out), F.countDistinct(value).alias("_n")).where("_n = 1").drop("_n")
 
 
-def type_names(refs: DataFrame, types: DataFrame, imports: DataFrame, wildcards: DataFrame, packages: DataFrame) -> DataFrame:
+def inherited_members(asked: DataFrame, supers: DataFrame, ids: DataFrame) -> DataFrame:
+    """(type, name, member) of the distinct (type, name) whose nearest supertypes with a member type of that name settle it.
+
+    All names walk up at once, a level of supertypes at a time. A level with one such member settles the name; with several
+    the name is ambiguous, and ``member`` is null; with none the walk goes on to the next level. A name visits a type once, so that cycles end too.
+    A name that finds nothing up to the top has no row. ``supers``: source_id, target_id; ``ids``: id of all types.
+    """
+    up = supers.where("source_id <> target_id").select(F.col("source_id").alias("at"), F.col("target_id").alias("_up")).distinct()
+    level = asked.select("type", "name").distinct().withColumn("at", F.col("type"))
+    been, out = level, []
+    while True:
+        above = level.join(up, "at").select("type", "name", F.col("_up").alias("at")).distinct()
+        level = stored(above.join(been, ["type", "name", "at"], "left_anti"), "types-above")
+        if level.isEmpty():
+            break
+        been = been.unionAll(level)
+        hits = level.withColumn("id", F.concat("at", F.lit("."), "name")).join(ids.select("id").distinct(), "id", "left_semi")
+        settled = stored(hits.groupBy("type", "name").agg(F.when(F.count_distinct("id") == 1, F.min("id")).alias("member")), "inherited")
+        out.append(settled)
+        level = level.join(settled.select("type", "name"), ["type", "name"], "left_anti")
+    return reduce(DataFrame.unionAll, out) if out else level.select("type", "name", F.lit(None).cast("string").alias("member"))
+
+
+def type_names(refs: DataFrame, types: DataFrame, imports: DataFrame, wildcards: DataFrame, packages: DataFrame, supers: DataFrame | None = None) -> DataFrame:
     """(file_path, owner, target, resolved) of the distinct names (file_path, owner, target) that resolve.
 
-    The first rule that gives one type wins: a member type of the enclosing type or
-    outwards; a unique type of the same file; an explicit import (which, if it is not
+    The first rule that gives one type wins: a member type of the enclosing type, or (with ``supers``: source_id, target_id) one that it
+    inherits, or of the types outwards in the same way, where an ambiguous inheritance ends the search; a unique type of the same file; an explicit import (which, if it is not
     indexed, ends the search); the same package; a globally unique simple name; a
     unique wildcard import; a unique Java type. Dotted names match an id, or resolve
     their first part and add the rest.
@@ -30,9 +55,17 @@ def type_names(refs: DataFrame, types: DataFrame, imports: DataFrame, wildcards:
     ids = known.select("id").distinct()
     head = F.substring_index("target", ".", 1)
     q = asked.withColumn("_head", head).withColumn("_rest", F.expr("substring(target, length(_head) + 1)"))
-    outer = F.transform(F.sequence(F.size(F.split("owner", r"\.")), F.lit(1), F.lit(-1)), lambda n: F.concat(F.array_join(F.slice(F.split("owner", r"\."), F.lit(1), n), "."), F.lit("."), F.col("_head")))
-    member = q.select("file_path", "owner", "target", F.posexplode(outer).alias("_level", "id")).join(ids, "id", "left_semi")
-    r1 = member.groupBy("file_path", "owner", "target").agg(F.min(F.struct("_level", "id"))["id"].alias("_r1"))
+    steps = F.split("owner", r"\.")
+    outer = F.transform(F.sequence(F.size(steps), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(steps, F.lit(1), n), "."))
+    scopes = q.select("file_path", "owner", "target", "_head", F.posexplode(outer).alias("_level", "type"))
+    keys = ["file_path", "owner", "target"]
+    member = scopes.withColumn("id", F.concat("type", F.lit("."), "_head")).join(ids, "id", "left_semi").select(*keys, (2 * F.col("_level")).alias("_at"), "id")
+    if supers is not None:
+        derived = supers.select(F.col("source_id").alias("type")).distinct()
+        asked_up = scopes.join(derived, "type", "left_semi").select("type", F.col("_head").alias("name"))
+        above = inherited_members(asked_up, supers, ids).withColumnRenamed("name", "_head")
+        member = member.unionAll(scopes.join(above, ["type", "_head"]).select(*keys, (2 * F.col("_level") + 1).alias("_at"), F.col("member").alias("id")))
+    r1 = member.groupBy(*keys).agg(F.min(F.struct("_at", "id")).alias("_m")).select(*keys, F.col("_m.id").alias("_r1"), F.col("_m.id").isNull().alias("_ambiguous"))
     r2 = _unique(known, ["file_path", "name"], "id", "_r2").withColumnRenamed("name", "_head")
     r3 = imports.select("file_path", F.col("name").alias("_head"), F.col("target").alias("_imported")).groupBy("file_path", "_head").agg(F.min("_imported").alias("_imported"))
     r3 = r3.join(ids.select(F.col("id").alias("_imported"), F.lit(True).alias("_known")), "_imported", "left")
@@ -52,6 +85,7 @@ def type_names(refs: DataFrame, types: DataFrame, imports: DataFrame, wildcards:
     later = F.coalesce("_r4", "_r5", "_r6", "_r7")
     first = F.coalesce("_r1", "_r2", F.when(F.col("_imported").isNotNull(), F.when(F.col("_known"), F.col("_imported"))).otherwise(later))
     dotted = F.instr("target", ".") > 0
+    first = F.when(~F.coalesce("_ambiguous", F.lit(False)), first)
     found = joined.withColumn("_whole", F.when(dotted, F.coalesce("_r0", F.concat(first, F.col("_rest")))).otherwise(first))
     return found.join(ids.select(F.col("id").alias("_whole")), "_whole", "left_semi").select("file_path", "owner", "target", F.col("_whole").alias("resolved"))
 
@@ -85,6 +119,25 @@ def bind_through_supertypes(calls: DataFrame, methods: DataFrame, supers: DataFr
         been = been.unionAll(left.select("call", "receiver"))
 
 
+def bind_chains(calls: DataFrame, methods: DataFrame, supers: DataFrame, returns: DataFrame) -> DataFrame:
+    """(call, method) of single and chained calls: ``calls`` (call, parent, receiver, name, n), ``returns`` (method_id, class_id).
+
+    A call without a parent has a receiver. A call on the result of another, its parent, has the return class of the method that the
+    parent binds as receiver, if the parent binds exactly one. So the links of all chains are bound
+    a depth at a time, until no link is left whose parent gave a class. Each call has one parent, so that it is bound once.
+    """
+    links = stored(calls.where("parent IS NOT NULL").select("call", "parent", "name", "n"), "links")
+    level, out = calls.where("parent IS NULL AND receiver IS NOT NULL").select("call", "receiver", "name", "n"), []
+    while True:
+        bound = stored(bind_through_supertypes(level, methods, supers), "links-bound")
+        out.append(bound)
+        one = bound.groupBy("call").agg(F.min("method").alias("method_id"), F.count("*").alias("_n")).where("_n = 1")
+        given = one.join(returns.select("method_id", "class_id").dropDuplicates(["method_id"]), "method_id").select(F.col("call").alias("parent"), F.col("class_id").alias("receiver"))
+        level = stored(links.join(given, "parent").select("call", "receiver", "name", "n"), "next-links")
+        if level.isEmpty():
+            return reduce(DataFrame.unionAll, out)
+
+
 def overrides(methods: DataFrame, supers: DataFrame) -> DataFrame:
     """OVERRIDES edges: each method to the smallest id of its name and arity in each direct supertype; constructors have none."""
     sized = methods.where("name <> '<init>'").select("id", "owner", "name", arity("id").alias("k"))

@@ -10,10 +10,10 @@ from graphloom.functions.ids import declaring_class
 from graphloom.functions.paths import is_under_test_dir, path_contains
 from graphloom.operators.graph import CodeGraph
 from graphloom.operators.rank import pagerank
+from graphloom.operators.textindex import SEARCHED, TextIndex
 from graphloom.sources.storage import stored
 
 DEFAULT_FILES = 10
-SEARCHED = ("name", "qualified_name", "code_snippet")
 
 
 def full_text(nodes: DataFrame, query: str, columns: tuple[str, ...] = SEARCHED) -> DataFrame:
@@ -44,25 +44,13 @@ def files(nodes: DataFrame, part: str, limit: int = 10) -> DataFrame:
     return nodes.where((F.col("file_path") != "") & path_contains("file_path", part)).groupBy("file_path").agg(F.count("*").alias("symbols")).orderBy("file_path").limit(limit)
 
 
-def stems_of(nodes: DataFrame, task: str) -> DataFrame:
-    """(word, stem) of a task's keywords."""
-    spark = nodes.sparkSession
-    return spark.createDataFrame([(task,)], "t string").select(F.explode(T.keywords("t")).alias("word")).select("word", T.stem("word").alias("stem"))
-
-
-def inverted_index(nodes: DataFrame) -> DataFrame:
-    """(token, id): the distinct tokens of each node's searched columns."""
-    every = F.array_distinct(F.concat(*(T.tokens(c) for c in SEARCHED)))
-    return nodes.select("id", F.explode(every).alias("token"))
-
-
 def _starts_with(beginning: str):
     return lambda x: x.startswith(beginning)
 
 
 def seeds(nodes: DataFrame, task: str) -> DataFrame:
     """(id, keywords_matched, typed_matched): how many stems, and how many words as typed, begin a token or lie in a name."""
-    words = [(r.word, r.stem) for r in stems_of(nodes, task).collect()]  # the words of one task
+    words = T.keyword_stems(nodes.sparkSession, task)
     if not words:
         return nodes.limit(0).select("id", F.lit(0).alias("keywords_matched"), F.lit(0).alias("typed_matched"))
     found = F.array_distinct(F.concat(*(T.tokens(c) for c in SEARCHED)))
@@ -78,10 +66,6 @@ def seeds(nodes: DataFrame, task: str) -> DataFrame:
     return counted.where("keywords_matched > 0")
 
 
-def has_seed(nodes: DataFrame, task: str) -> bool:
-    return not seeds(nodes, task).isEmpty()
-
-
 def within_file_budget(ranked: DataFrame, budget: int) -> DataFrame:
     """The rows (…, rank, file_path) whose file is among the first ``budget`` distinct files in the order of rank.
 
@@ -91,15 +75,15 @@ def within_file_budget(ranked: DataFrame, budget: int) -> DataFrame:
     return ranked.join(F.broadcast(first.select("file_path")), "file_path", "left_semi")
 
 
-def context(g: CodeGraph, task: str, budget: int = DEFAULT_FILES, digits: int = 6) -> DataFrame:
+def context(g: CodeGraph, task: str, budget: int = DEFAULT_FILES, digits: int = 6, index: TextIndex | None = None) -> DataFrame:
     """(id, type, file_path, keywords_matched, typed_matched, score) of the symbols to read for a task.
 
     Methods stand for their declaring class in the walk; libraries and test sources
     take no part. Seeds come before others; others need a score and are no methods.
-    Scores are rounded before they rank, so that ties go to the smaller id.
+    Scores are rounded before they rank, so that ties go to the smaller id. With an ``index`` of the nodes the seeds come from it.
     """
     own = g.nodes.where((F.col("type") != "LIBRARY") & ~is_under_test_dir("file_path")).select("id", "type", "name", "qualified_name", "file_path", "code_snippet")
-    seeded = stored(seeds(own, task), "task-seeds")
+    seeded = stored(seeds(own, task) if index is None else index.seeds(task).join(own.select("id"), "id", "left_semi"), "task-seeds")
     owner = F.when(F.col("type") == "METHOD", declaring_class("id")).otherwise(F.col("id"))
     merged = own.select("id", owner.alias("owner"))
     ends = g.edges.join(merged.select(F.col("id").alias("source_id"), F.col("owner").alias("a")), "source_id").join(merged.select(F.col("id").alias("target_id"), F.col("owner").alias("b")), "target_id")

@@ -22,52 +22,65 @@ def _ids(df: DataFrame, column: str) -> DataFrame:
     return df.select(F.col(column).alias("id"))
 
 
-def search(g: CodeGraph, starts: DataFrame, depth: int, direction: str, library_leaf: bool = False) -> DataFrame:
+def search(g: CodeGraph, starts: DataFrame, depth: int, direction: str, library_leaf: bool = False, allowed_types: list[str] | None = None) -> DataFrame:
     """(id, depth) of the nodes within ``depth`` of ``starts`` (a column id), themselves left out; direction ``in``, ``out`` or ``both``."""
-    starts = stored(starts.select("id").distinct(), "starts")
-    declares = g.edges.where("type = 'DECLARES_METHOD' AND source_id <> target_id").select(F.col("source_id").alias("o"), F.col("target_id").alias("m")).distinct()
-    other = g.edges.where("type <> 'DECLARES_METHOD' AND source_id <> target_id")
+    return search_many(g, starts.select(F.lit(0).alias("start"), "id"), depth, direction, library_leaf, allowed_types).select("id", "depth")
+
+
+def search_many(g: CodeGraph, starts: DataFrame, depth: int, direction: str, library_leaf: bool = False, allowed_types: list[str] | None = None) -> DataFrame:
+    """(start, id, depth): a search from each group of ``starts`` (start, id), all in one run; the rows of a start are those of ``search`` from its ids.
+
+    A place of the frontier is a start and a node, and settles once a start. So a level is the same few joins whatever the number of
+    starts. Only edges of ``allowed_types`` are followed, if they are given; DECLARES_METHOD is among them or not followed either.
+    """
+    edges = g.edges.where("source_id <> target_id")
+    if allowed_types is not None:
+        edges = edges.where(F.col("type").isin(*allowed_types))
+    declares = edges.where("type = 'DECLARES_METHOD'").select(F.col("source_id").alias("o"), F.col("target_id").alias("m"))
+    other = edges.where("type <> 'DECLARES_METHOD'")
     forward = other.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"))
     backward = other.select(F.col("target_id").alias("a"), F.col("source_id").alias("b"))
     costed = {"out": forward, "in": backward, "both": forward.unionAll(backward)}[direction]
-    leaves = g.nodes.where("type = 'LIBRARY'").select("id").join(starts, "id", "left_anti") if library_leaf else None
+    libraries = g.nodes.where("type = 'LIBRARY'").select("id").distinct() if library_leaf else None
 
     def expandable(df: DataFrame) -> DataFrame:
-        return df if leaves is None else df.join(leaves, "id", "left_anti")
+        """Places but for libraries; starts are never among them."""
+        return df if libraries is None else df.join(libraries, "id", "left_anti").select("start", "id")
 
     def step(front: DataFrame, links: DataFrame, here: str, there: str, seen: DataFrame) -> DataFrame:
-        found = links.join(expandable(front).select(F.col("id").alias(here)), here, "left_semi").select(F.col(there).alias("id")).distinct()
-        return found.join(seen, "id", "left_anti")
+        found = links.join(front.select("start", F.col("id").alias(here)), here).select("start", F.col(there).alias("id")).distinct()
+        return found.join(seen, ["start", "id"], "left_anti")
 
-    seen = starts
-    shown: list[DataFrame] = []
+    starts = stored(starts.select("start", "id").distinct(), "starts")
+    seen, shown = starts, []
     previous = None
     for d in range(depth + 1):
         if d == 0:
-            arrived = starts
+            arrived = front = starts
         else:
             arrived = stored(step(previous, costed, "a", "b", seen), "level")
             seen = seen.unionAll(arrived)
             shown.append(arrived.withColumn("depth", F.lit(d)))
             if arrived.isEmpty():
                 break
-        front, level = arrived, arrived
+            front = expandable(arrived)
+        level = front
         while True:
             down = step(front, declares, "o", "m", seen)
             up = step(front, declares, "m", "o", seen)
-            free = down.withColumn("_down", F.lit(True)).unionAll(up.withColumn("_down", F.lit(False))).groupBy("id").agg(F.max("_down").alias("_down"))
+            free = down.withColumn("_down", F.lit(True)).unionAll(up.withColumn("_down", F.lit(False))).groupBy("start", "id").agg(F.max("_down").alias("_down"))
             free = stored(free, "free")
             if free.isEmpty():
                 break
-            seen = seen.unionAll(free.select("id"))
-            shown.append((free if direction != "in" else free.where("_down")).select("id").withColumn("depth", F.lit(d)))
-            front = free.select("id") if direction == "both" else free.where("_down").select("id")
+            seen = seen.unionAll(free.select("start", "id"))
+            shown.append((free if direction != "in" else free.where("_down")).select("start", "id").withColumn("depth", F.lit(d)))
+            front = expandable(free.select("start", "id") if direction == "both" else free.where("_down").select("start", "id"))
             level = level.unionAll(front)
         previous = level
     out = starts.limit(0).withColumn("depth", F.lit(0))
     for s in shown:
         out = out.unionByName(s)
-    return out.join(g.nodes.select("id"), "id", "left_semi").join(starts, "id", "left_anti")
+    return out.join(g.nodes.select("id"), "id", "left_semi").select("start", "id", "depth")
 
 
 def _one(g: CodeGraph, node_id: str) -> DataFrame:

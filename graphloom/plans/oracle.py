@@ -118,7 +118,7 @@ words AS (SELECT doc_id, list_distinct_in_order AS l FROM (SELECT doc_id, list_f
   lambda w: length(w) > 2 AND NOT list_contains([{', '.join(f"'{s}'" for s in STOP_WORDS)}], w)) AS list_distinct_in_order FROM documents)),
 kw AS (SELECT DISTINCT doc_id, unnest(l) AS word FROM words)"""
 
-TOKENS = "list_filter(regexp_split_to_array(lower(coalesce({c}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
+TOKENS = "list_filter(regexp_split_to_array(strip_accents(lower(coalesce({c}, ''))), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
 
 
 def tokens_sql(c: str) -> str:

@@ -295,7 +295,7 @@ def induced_edges(spark, d):
 
 @query(
     O.with_graph(
-        f"SELECT id FROM nodes WHERE id IN (SELECT id FROM reached) AND id <> '{CUSTOMER}'",
+        f"SELECT id FROM nodes WHERE id IN (SELECT id FROM reached) AND id <> '{CUSTOMER}' AND type <> 'METHOD'",
         *O.search_sql(f"SELECT '{CUSTOMER}' AS id", 2, "in"),
     )
 )
@@ -305,7 +305,7 @@ def guard_dependents(spark, d):
 
 @query(
     O.with_graph(
-        f"SELECT CASE WHEN {O.GUARD_TEST} THEN 'test' ELSE 'production' END AS side, type, count(*) AS n FROM nodes WHERE id IN (SELECT id FROM reached) GROUP BY 1, 2",
+        f"SELECT CASE WHEN {O.GUARD_TEST} THEN 'test' ELSE 'production' END AS side, type, count(*) AS n FROM nodes WHERE id IN (SELECT id FROM reached) AND type <> 'METHOD' GROUP BY 1, 2",
         *O.search_sql(f"SELECT '{CUSTOMER}' AS id", 2, "in"),
     )
 )
@@ -404,7 +404,7 @@ _SEARCHED = ["name", "qualified_name", "code_snippet"]
 def _fts(name: str, text: str):
     @query(O.with_graph(f"SELECT id FROM nodes WHERE {O.fts_sql(_SEARCHED, text)}"), name)
     def run(spark, d):
-        return search.full_text(graph(spark, d).nodes, text).select("id")
+        return star.text_index(spark, d).search(text)
 
 
 _fts("fts_prefix", "wid")
@@ -412,6 +412,31 @@ _fts("fts_and", "brand promo")
 _fts("fts_phrase", "red-widget brand")
 
 
+@query(f"SELECT DISTINCT doc_id AS id FROM documents WHERE {O.fts_sql(['text'], 'FÜR fur-der')} ")
+def fts_accents(spark, d):
+    """Words with and without accents are one."""
+    return star.document_index(spark, d).search("FÜR fur-der")
+
+
+@query(f"SELECT DISTINCT doc_id AS id FROM documents WHERE {O.fts_sql(['text'], 'the-and in')}")
+def fts_phrase_documents(spark, d):
+    return star.document_index(spark, d).search("the-and in")
+
+
+@query(
+    O.with_graph(
+        f"""SELECT id FROM (SELECT id, name, qualified_name, CASE WHEN type = 'SERVICE' THEN 'Größe ' || code_snippet ELSE code_snippet END AS code_snippet FROM nodes WHERE type <> 'AGGREGATE')
+WHERE {O.fts_sql(_SEARCHED, 'grosse')} OR {O.fts_sql(_SEARCHED, 'große')} OR {O.fts_sql(_SEARCHED, 'supplier')} OR {O.fts_sql(_SEARCHED, 'o1')}"""
+    )
+)
+def fts_after_changes(spark, d):
+    """The index after an upsert of all services and the deletion of all orders."""
+    nodes = graph(spark, d).nodes
+    services = nodes.where("type = 'SERVICE'").withColumn("code_snippet", F.concat(F.lit("Größe "), "code_snippet"))
+    index = star.text_index(spark, d).upsert(services).delete(nodes.where("type = 'AGGREGATE'").select("id"))
+    return index.search("grosse").unionAll(index.search("große")).unionAll(index.search("supplier")).unionAll(index.search("o1")).distinct()
+
+
 @query(f"SELECT doc_id FROM documents WHERE {O.fts_sql(['text'], 'the anan')}")
 def fts_documents(spark, d):
     return search.full_text(table(spark, d, "documents"), "the anan", ("text",)).select("doc_id")
@@ -463,7 +488,7 @@ _SEEDS = f"SELECT id, type, file_path, {_hits([s for _, s in _TASK_WORDS])} AS k
 
 @query(O.with_graph(f"SELECT id, keywords_matched, typed_matched FROM ({_SEEDS}) WHERE keywords_matched > 0"))
 def seed_counts(spark, d):
-    return search.seeds(graph(spark, d).nodes, TASK)
+    return star.text_index(spark, d).seeds(TASK)
 
 
 @query(O.with_graph("SELECT n.id, round(coalesce(r.r, 0), 6) AS score FROM nodes n LEFT JOIN r20 r ON n.id = r.id", f"walk AS (SELECT * FROM edges), seeds AS (SELECT id, CAST(1 AS DOUBLE) AS mass FROM nodes WHERE id IN ('{ORDER}', '{CUSTOMER}'))", *O.ppr_sql()))
@@ -485,7 +510,7 @@ ordered AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY keywords_matched
     )
 )
 def context_files(spark, d):
-    return search.context(graph(spark, d), TASK)
+    return search.context(graph(spark, d), TASK, index=star.text_index(spark, d))
 
 
 @query(

@@ -1,20 +1,36 @@
 """Histories and diffs as git writes them, read as tables.
 
-``git log --name-only --format=%x01%H%x09%ct`` gives a history and ``git diff -U0 <ref>`` the
-changes of a working tree; both are text that Spark splits at a commit or a file, so that a long history
-is many tasks. With ``-z`` left out git quotes unusual paths; quoted paths are kept without their quotes.
+``git log -m --first-parent --name-only --format=%x01%H%x09%ct`` gives a history, in which a merge changes what it brings to its first
+parent, and ``git diff -U0 <ref>`` the changes of a working tree; both are text that Spark splits at a commit or a file, so that a long history
+is many tasks. Git puts unusual paths in quotes and writes their bytes as octal numbers; they are read back.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.operators import impact
+
 _HUNK = r"(?m)^@@ -\d+(?:,\d+)? (\+\d+(?:,\d+)?) @@"
 
 
-def _plain(path):
-    return F.regexp_replace(path, '^"(.*)"$', "$1")
+_ESCAPE = r"(\\[0-7]{3}|\\.|[^\\]+)"
+# What git writes for these bytes within quotes.
+_SHORT = {"\\a": "07", "\\b": "08", "\\t": "09", "\\n": "0A", "\\v": "0B", "\\f": "0C", "\\r": "0D", '\\"': "22", "\\\\": "5C"}
+
+
+def _plain(path: Column) -> Column:
+    """A path as it is: without quotes, and with the bytes that octal numbers and escapes stand for."""
+    inner = F.regexp_extract(path, '^"(.*)"$', 1)
+
+    def as_hex(part: Column) -> Column:
+        octal = F.lpad(F.conv(F.substring(part, 2, 3), 8, 16), 2, "0")
+        short = F.coalesce(*(F.when(part == k, F.lit(v)) for k, v in _SHORT.items()), F.hex(F.encode(part, "UTF-8")))
+        return F.when(part.rlike(r"^\\[0-7]{3}$"), octal).otherwise(short)
+
+    read = F.decode(F.unhex(F.array_join(F.transform(F.regexp_extract_all(inner, F.lit(_ESCAPE), F.lit(1)), as_hex), "")), "UTF-8")
+    return F.when(path.rlike('^".*"$'), read).otherwise(path)
 
 
 def history(spark: SparkSession, path: str) -> DataFrame:
@@ -35,8 +51,9 @@ def diff(spark: SparkSession, path: str) -> DataFrame:
     """
     records = spark.read.option("lineSep", "\ndiff --git ").text(path).where("trim(value) <> ''")
     header = F.concat(F.lit("\n"), F.substring_index(F.concat(F.lit("\n"), F.col("value")), "\n@@", 1))
-    old, new = (F.regexp_extract(header, rf'\n{mark} "?[ab]/([^\n\t]*?)"?\t?(?:\n|$)', 1) for mark in ("---", r"\+\+\+"))
-    renamed = F.regexp_extract(header, r"\nrename to ([^\n]*)", 1)
+    sides = (_plain(F.regexp_extract(header, rf'\n{mark} ("[ab]/[^\n]*"|[ab]/[^\n\t]*)\t?(?:\n|$)', 1)) for mark in ("---", r"\+\+\+"))
+    old, new = (F.regexp_replace(side, "^[ab]/", "") for side in sides)
+    renamed = _plain(F.regexp_extract(header, r"\nrename to ([^\n]*)", 1))
     named = F.regexp_extract("value", r'^(?:diff --git )?"?a/(.*?)"? "?b/', 1)
     state = F.when(header.contains("\ndeleted file mode"), "deleted").when(header.contains("\nnew file mode"), "added").otherwise("changed")
     name = F.when(new != "", new).when(renamed != "", renamed).when(old != "", old).otherwise(named)
@@ -56,22 +73,28 @@ def hunks(files: DataFrame) -> DataFrame:
     return files.select("path", F.inline("hunks"))
 
 
-def changed_symbols(files: DataFrame, nodes: DataFrame, spans: DataFrame) -> DataFrame:
-    """(id, reason) of the symbols that a diff touches; ``spans``: (id, path, begin, end) of methods, lines from 1.
+def changed_symbols(files: DataFrame, nodes: DataFrame, spans: DataFrame, types: DataFrame | None = None, parsed: DataFrame | None = None) -> DataFrame:
+    """(id, reason) of the symbols that a diff touches; ``spans`` and ``types``: (id, path, begin, end) of methods and of types, lines from 1.
 
-    All symbols of a deleted file are ``removed``. Of a Java file the methods that a hunk touches are ``modified``, and its
-    types where a hunk does not lie in one method whole; of other files all types. Files without a symbol give no row.
+    All symbols of a deleted file are ``removed``, and so are, with ``parsed`` (id), the indexed methods of a changed Java file that it no longer has.
+    Of a Java file the methods that a hunk touches are ``modified``. Where a line of a hunk lies in no method, the innermost type around the hunk's first line
+    is too, or, around none, all types of the file; of other files all types. Files without a symbol give no row.
     """
-    from graphloom.operators.impact import changed_spans
-
     own = nodes.select("id", "type", F.col("file_path").alias("path"))
-    gone = own.join(files.where("state = 'deleted'").select("path"), "path", "left_semi").select("id", F.lit("removed").alias("reason"))
+    gone = own.join(files.where("state = 'deleted'").select("path"), "path", "left_semi").select("id")
     left = files.where("state <> 'deleted'")
     java = left.where(F.col("path").endswith(".java"))
+    own_methods, own_types = own.where("type = 'METHOD'"), own.where("type <> 'METHOD'")
+    if parsed is not None:
+        gone = gone.unionAll(own_methods.join(java.select("path"), "path", "left_semi").select("id").join(parsed.select("id"), "id", "left_anti"))
     touched = hunks(java)
-    methods = changed_spans(touched, spans).join(own.where("type = 'METHOD'").select("id"), "id", "left_semi").select("id")
-    whole = touched.join(spans, "path").where((F.col("begin_b") + F.when(F.col("end_b") > F.col("begin_b"), 1).otherwise(0) >= F.col("begin")) & (F.greatest("end_b", F.col("begin_b") + 1) <= F.col("end")))
-    outside = touched.join(whole.select("path", "begin_b", "end_b").distinct(), ["path", "begin_b", "end_b"], "left_anti")
+    methods = impact.changed_spans(touched, spans).join(own_methods.select("id"), "id", "left_semi").select("id")
+    outside = impact.covered_hunks(touched, spans).where("NOT covered").select("path", (F.col("begin_b") + 1).alias("line")).distinct()
+    if types is not None:
+        around = impact.innermost(outside, types.join(own_types.select("id"), "id", "left_semi"))
+        methods = methods.unionAll(around.select("id"))
+        outside = outside.join(around, ["path", "line"], "left_anti")
     by_file = outside.select("path").unionAll(left.where(~F.col("path").endswith(".java")).select("path")).distinct()
-    types = own.where("type <> 'METHOD'").join(by_file, "path", "left_semi").select("id")
-    return gone.unionAll(methods.unionAll(types).distinct().withColumn("reason", F.lit("modified")))
+    whole = own_types.join(by_file, "path", "left_semi").select("id")
+    changed = methods.unionAll(whole).distinct().join(gone, "id", "left_anti")
+    return gone.distinct().withColumn("reason", F.lit("removed")).unionAll(changed.withColumn("reason", F.lit("modified")))

@@ -11,9 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.operators.textindex import TextIndex
 from graphloom.sources.storage import stored, table
 
 _graphs: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+_indexes: dict[tuple[str, str, str], TextIndex] = {}
 
 
 def _id(prefix: str, key: str) -> Column:
@@ -100,6 +102,22 @@ def graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return _graphs[key]
 
 
+def text_index(spark: SparkSession, d: str) -> TextIndex:
+    """The full-text index of the graph's nodes, stored once a session and folder."""
+    key = (spark.sparkContext.applicationId, d, "nodes")
+    if key not in _indexes:
+        _indexes[key] = TextIndex.build(graph(spark, d)[0])
+    return _indexes[key]
+
+
+def document_index(spark: SparkSession, d: str) -> TextIndex:
+    """The full-text index of the documents, stored once a session and folder."""
+    key = (spark.sparkContext.applicationId, d, "documents")
+    if key not in _indexes:
+        _indexes[key] = TextIndex.build(table(spark, d, "documents"), ("text",), "doc_id")
+    return _indexes[key]
+
+
 def sales(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The part of the graph with orders, their lines and customers only: many small components."""
     n, e = graph(spark, d)
