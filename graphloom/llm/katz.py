@@ -260,7 +260,7 @@ class Block:
         self.count, self.id = np.zeros(len(self.words), np.int64), np.full(len(self.words), UNKNOWN_ID, np.uint64)
         for r in self.replies.r1:
             mine = part == r["part"]
-            self.count[mine], self.id[mine] = unpacked(r["n"], "<u4"), unpacked(r["id"], "<u8")
+            self.count[mine], self.id[mine] = unpacked(r["n"], "<u8"), unpacked(r["id"], "<u8")
         self.word_id, self.word_count = self.id, self.count
         by_id, self.rank = np.unique(self.id, return_inverse=True)  # words in the order of their ids, the unknown ones alike
         self.by_rank, self.kinds = by_id, len(by_id)
@@ -331,7 +331,7 @@ class Block:
                 runs = np.diff(np.append(heads, len(mine))).astype(np.uint32)
                 n = self.n[mine]
                 yield {"part": p, "block": block, "local": local, "ctx": packed_rising(self.before_id[self.ctx[mine[heads]]]), "runs": packed(runs), "fol": packed(followers[mine]),
-                       "n": packed(n), "lower": packed(lower[mine][n > 0].astype(np.uint32))}
+                       "n": packed(n), "lower": packed(lower[mine][n > 0].astype(np.uint64))}
 
     def take(self, level: int, replies, last: bool) -> None:
         """Counts, ids and sums of the grams as replied; then the probability of each token at this level."""
@@ -343,12 +343,12 @@ class Block:
         runs = dict(self.by_part(self.asked_runs, self.part_of[self.head[self.asked_runs]]))
         for r in replies if replies is not None else ():
             mine, own_runs = rows[r["part"]], runs[r["part"]]
-            count[mine] = unpacked(r["n"], "<u4")
+            count[mine] = unpacked(r["n"], "<u8")
             if not last:
                 own = np.full(len(mine), NONE, np.uint64)
                 own[count[mine] > 0] = unpacked_rising(r["id"])
                 ids[mine] = own
-            small[own_runs], low[own_runs], big[own_runs] = unpacked(r["small"], "<u4").reshape(-1, K), unpacked(r["low"], "<u4").reshape(-1, K), unpacked(r["big"], "<u8")
+            small[own_runs], low[own_runs], big[own_runs] = unpacked(r["small"], "<u8").reshape(-1, K), unpacked(r["low"], "<u8").reshape(-1, K), unpacked(r["big"], "<u8")
         of_run = self.ctx[self.head]  # each run's context
         hot = np.nonzero(self.before_hot[of_run])[0]
         at = np.searchsorted(model.hot[level].ctx, self.before_id[of_run[hot]])
@@ -394,7 +394,7 @@ class Level:
         n = np.concatenate([unpacked(x, "<u4") for x in sent["n"]])
         some = n > 0
         ctx, fol, n = ctx[some], fol[some], n[some]
-        lower = np.concatenate([np.zeros(0, np.uint32), *(unpacked(x, "<u4") for x in sent["lower"])])
+        lower = np.concatenate([np.zeros(0, np.uint64), *(unpacked(x, "<u8") for x in sent["lower"])])
         contexts, at = np.unique(ctx, return_inverse=True)
         followers, rank = np.unique(fol, return_inverse=True)
         keys, place = np.unique(at * max(1, len(followers)) + rank, return_inverse=True)
@@ -410,11 +410,11 @@ class Level:
         if not len(table):
             return cls(part, parts, none.astype(np.uint64), none, none.astype(np.uint64), none, np.zeros((0, K)), np.zeros((0, K)), none)
         r = table.iloc[0]
-        return cls(part, parts, unpacked_rising(r["ctx"]), unpacked(r["runs"], "<u4").astype(np.int64), unpacked(r["fol"], "<u8"), unpacked(r["n"], "<u4").astype(np.int64),
-                   unpacked(r["small"], "<u4").reshape(-1, K), unpacked(r["low"], "<u4").reshape(-1, K), unpacked(r["big"], "<u8"))
+        return cls(part, parts, unpacked_rising(r["ctx"]), unpacked(r["runs"], "<u8").astype(np.int64), unpacked(r["fol"], "<u8"), unpacked(r["n"], "<u8").astype(np.int64),
+                   unpacked(r["small"], "<u8").reshape(-1, K), unpacked(r["low"], "<u8").reshape(-1, K), unpacked(r["big"], "<u8"))
 
     def row(self) -> dict:
-        return {"kind": 1, "block": -1, "ctx": packed_rising(self.ctx), "runs": packed(self.runs.astype(np.uint32)), "fol": packed(self.fol), "n": packed(self.n.astype(np.uint32)), **packed_sums(self.small, self.low, self.big)}
+        return {"kind": 1, "block": -1, "ctx": packed_rising(self.ctx), "runs": packed(self.runs.astype(np.uint64)), "fol": packed(self.fol), "n": packed(self.n.astype(np.uint64)), **packed_sums(self.small, self.low, self.big)}
 
     def reply(self, r, last: bool) -> dict:
         ctx, runs, fol = unpacked_rising(r.ctx), unpacked(r.runs, "<u4"), unpacked(r.fol, "<u8")
@@ -430,12 +430,12 @@ class Level:
             count = np.where(hit, self.n[place], 0)
             ids = place[hit].astype(np.uint64) * np.uint64(self.parts) + np.uint64(self.part + FIRST_ID)
             small[known], low[known], big[known] = self.small[at[known]], self.low[at[known]], self.big[at[known]]
-        out = {"kind": 0, "block": r.block, "n": packed(count.astype(np.uint32)), **packed_sums(small, low, big)}
+        out = {"kind": 0, "block": r.block, "n": packed(count.astype(np.uint64)), **packed_sums(small, low, big)}
         return out if last else out | {"id": packed_rising(ids)}
 
 
 def packed_sums(small: np.ndarray, low: np.ndarray, big: np.ndarray) -> dict[str, bytes]:
-    return {"small": packed(small.astype(np.uint32).ravel()), "low": packed(low.astype(np.uint32).ravel()), "big": packed(big.astype(np.uint64))}
+    return {"small": packed(small.astype(np.uint64).ravel()), "low": packed(low.astype(np.uint64).ravel()), "big": packed(big.astype(np.uint64))}
 
 
 OWNED = "kind int, part int, block bigint, ctx binary, runs binary, fol binary, n binary, id binary, small binary, low binary, big binary"
@@ -455,11 +455,12 @@ class Run:
         self.spark = docs.sparkSession
         self.kind = docs.schema["doc_id"].dataType.simpleString()
         self.name = f"graphloom_blocks_{uuid.uuid4().hex}"
+        self.blocks = f"{shared_dir(self.spark)}/graphloom/{self.name}"
         self.work = model.path if fitting else f"{shared_dir(self.spark)}/graphloom/katz-{uuid.uuid4().hex}"
 
     def __enter__(self) -> Run:
         buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        blocks_of(self.docs, self.held, BLOCK_TOKENS).write.bucketBy(buckets, "block").saveAsTable(self.name)
+        blocks_of(self.docs, self.held, BLOCK_TOKENS).write.option("path", self.blocks).bucketBy(buckets, "block").saveAsTable(self.name)
         self.corpus = self.spark.table(self.name)
         if self.fitting:
             n, texts = self.corpus.agg(F.sum("n"), F.sum("texts")).first()
@@ -469,6 +470,7 @@ class Run:
 
     def __exit__(self, *_) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        removed(self.spark, self.blocks)
         for level in range(1, self.model.order + 1):
             removed(self.spark, f"{self.work}/level-{level}/kind=0")
 
@@ -520,19 +522,19 @@ class Run:
                 ids[np.argsort(-total, kind="stable")] = np.arange(len(every), dtype=np.uint64) * np.uint64(parts) + np.uint64(part + FIRST_ID)  # usual words have small ids
             elif len(table):
                 r = table.iloc[0]
-                every, total, ids = unpacked_rising(r["fol"]), unpacked(r["n"], "<u4").astype(np.int64), unpacked(r["id"], "<u8")
+                every, total, ids = unpacked_rising(r["fol"]), unpacked(r["n"], "<u8").astype(np.int64), unpacked(r["id"], "<u8")
             else:
                 every, total, ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
             out = []
             for block, words in zip(group["block"], sent):
-                n, own_id = np.zeros(len(words), np.uint32), np.full(len(words), UNKNOWN_ID, np.uint64)
+                n, own_id = np.zeros(len(words), np.uint64), np.full(len(words), UNKNOWN_ID, np.uint64)
                 if len(every):
                     at = np.minimum(np.searchsorted(every, words), len(every) - 1)
                     hit = every[at] == words
                     n[hit], own_id[hit] = total[at[hit]], ids[at[hit]]
                 out.append({"kind": 0, "block": block, "n": packed(n), "id": packed(own_id)})
             if table is None:
-                out.append({"kind": 1, "block": -1, "fol": packed_rising(every), "n": packed(total.astype(np.uint32)), "id": packed(ids)})
+                out.append({"kind": 1, "block": -1, "fol": packed_rising(every), "n": packed(total.astype(np.uint64)), "id": packed(ids)})
                 out.append({"kind": 2, "block": -1, "n": packed(np.concatenate([[total.sum(), len(total)], counts_of_counts(total)]).astype(np.int64))})
             return owned(out, part)
 
@@ -550,7 +552,7 @@ class Run:
         def frequent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 for r in b.itertuples():
-                    n = unpacked(r.n, "<u4")
+                    n = unpacked(r.n, "<u8")
                     ids = unpacked(r.id, "<u8") if level == 2 else np.arange(len(n), dtype=np.uint64) * np.uint64(parts) + np.uint64(r.part + FIRST_ID)
                     yield pd.DataFrame({"id": ids[n > least].view(np.int64)})
 
@@ -589,8 +591,8 @@ class Run:
             model.d[level] = discounts(sum((unpacked(r.n, "<i8") for r in made.where("kind = 2").select("n").collect()), np.zeros(K + 1, np.int64)))
             for r in made.where("kind = 3").select("ctx", "small", "low", "big").collect():
                 at = np.searchsorted(hot, unpacked(r.ctx, "<u8"))
-                model.hot[level].small[at] += unpacked(r.small, "<u4").reshape(-1, K)
-                model.hot[level].low[at] += unpacked(r.low, "<u4").reshape(-1, K)
+                model.hot[level].small[at] += unpacked(r.small, "<u8").reshape(-1, K)
+                model.hot[level].low[at] += unpacked(r.low, "<u8").reshape(-1, K)
                 model.hot[level].big[at] += unpacked(r.big, "<u8")
 
     def levels(self) -> None:

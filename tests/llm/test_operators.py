@@ -700,6 +700,22 @@ def test_katz_matches_brute_force(spark, size, order, monkeypatch):
     check_katz(got, rows, held, brute_katz(rows, held, order))
 
 
+def test_katz_counts_above_32_bits_stay_whole():
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    many = 2**33 + 5
+    one = lambda *x: np.array(x, dtype=np.uint64)
+    wide = np.full((2, katz.K), float(2**34 + 1))
+    level = katz.Level(0, 1, one(7, 9), np.array([1, 1]), one(11, 12), np.array([many, 3]), wide, wide + 2, np.array([2.0**35, 1.0]))
+    again = katz.Level.of_table(0, 1, pd.DataFrame([level.row()]))
+    assert again.n.tolist() == [many, 3] and (again.small == wide).all() and (again.low == wide + 2).all()
+    asked = SimpleNamespace(block=0, ctx=katz.packed_rising(one(7, 9)), runs=katz.packed(np.array([1, 1], np.uint32)), fol=katz.packed(one(11, 12)))
+    reply = again.reply(asked, True)
+    assert katz.unpacked(reply["n"], "<u8").tolist() == [many, 3] and katz.unpacked(reply["small"], "<u8").max() == 2**34 + 1
+
+
 def test_a_stored_katz_model_scores_other_texts(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(katz, "BLOCK_TOKENS", 300)
     monkeypatch.setattr(katz, "PART_TOKENS", 500)
