@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.sources.storage import dropped, stored
+from graphloom.sources.storage import bucketed, dropped, stored
 
 DAMPING, ROUNDS = 0.85, 20
 STORE_EVERY = 5
@@ -18,37 +18,43 @@ def weights(edges: DataFrame) -> DataFrame:
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(id, score) of every node: exactly ``rounds`` rounds from the seeds' masses (id, mass), which are scaled to one.
+    """(id, score) of every distinct node: exactly ``rounds`` rounds from the seeds' masses (id, mass), which are scaled to one.
 
     Edges are followed both ways and must join nodes of ``nodes``. Mass on nodes
     without edges returns to the seeds. Without mass all scores are zero. Only
-    nodes that hold mass travel, so that rounds on a local seed stay small.
+    nodes that hold mass travel, so that rounds on a local seed stay small. Nodes are numbered, and the edges are dealt once into buckets by their
+    start, so that a round moves ranks alone: each round joins them with the edges where those lie, and adds up what reaches a node.
     """
     total = seeds.agg(F.sum("mass")).first()[0] or 0.0
     every = nodes.select("id")
     if total <= 0:
         return every.withColumn("score", F.lit(0.0))
-    ids = every.distinct()
-    inner = edges.join(ids.select(F.col("id").alias("source_id")), "source_id", "left_semi").join(ids.select(F.col("id").alias("target_id")), "target_id", "left_semi")
-    w = weights(inner)
-    strength = w.groupBy("a").agg(F.sum("w").alias("s"))
-    share = stored(w.join(strength, "a").select("a", "b", (F.col("w") / F.col("s")).alias("share")), "shares")
-    sinks = ids.join(strength.select(F.col("a").alias("id")), "id", "left_anti")
-    p = stored(seeds.groupBy("id").agg((F.sum("mass") / total).alias("p")).where("p > 0").join(ids, "id", "left_semi"), "seeds")
-    lone = stored(p.join(sinks, "id", "left_semi").select("id"), "lone")  # only seeds can hold mass without an edge
+    numbers = stored(every.distinct().withColumn("n", F.monotonically_increasing_id()), "node-numbers")
+    ends = edges.where("source_id <> target_id").select("source_id", "target_id")
+    first = ends.join(numbers.select(F.col("id").alias("source_id"), F.col("n").alias("_s")), "source_id")
+    inner = first.join(numbers.select(F.col("id").alias("target_id"), F.col("n").alias("_t")), "target_id").select(F.col("_s").alias("source_id"), F.col("_t").alias("target_id"))
+    w = stored(weights(inner), "weights")
+    strength = stored(w.groupBy("a").agg(F.sum("w").alias("s")), "strengths")
+    p = stored(seeds.groupBy("id").agg((F.sum("mass") / total).alias("p")).where("p > 0").join(numbers, "id").select(F.col("n").alias("id"), "p"), "seeds")
+    lone = stored(p.join(strength.select(F.col("a").alias("id")), "id", "left_anti").select("id"), "lone")  # only seeds can hold mass without an edge
     losing = not lone.isEmpty()
-    r, last = p.select("id", F.col("p").alias("r")), None
-    for k in range(1, rounds + 1):
-        if losing:
-            lost = r.join(lone, "id", "left_semi").agg(F.coalesce(F.sum("r"), F.lit(0.0)).alias("lost"))
-            base = p.crossJoin(F.broadcast(lost)).select("id", (F.col("p") * ((1 - damping) + damping * F.col("lost"))).alias("r"))  # one row on the other side
-        else:
-            base = p.select("id", (F.col("p") * (1 - damping)).alias("r"))
-        moved = r.join(share, r["id"] == share["a"]).select(F.col("b").alias("id"), (damping * F.col("r") * F.col("share")).alias("r"))
-        r = base.unionAll(moved).groupBy("id").agg(F.sum("r").alias("r"))
-        if losing or k % STORE_EVERY == 0 or k == rounds:  # a round that is read twice is stored at once
-            r = stored(r, "rank")
-            if last is not None:
-                dropped(last)
-            last = r
-    return every.join(r, "id", "left").select("id", F.coalesce("r", F.lit(0.0)).alias("score"))
+    with bucketed(w.join(strength, "a").select("a", "b", (F.col("w") / F.col("s")).alias("share")), "shares", "a") as share:
+        r, last = p.select("id", F.col("p").alias("r")), None
+        for k in range(1, rounds + 1):
+            if losing:
+                lost = r.join(lone, "id", "left_semi").agg(F.coalesce(F.sum("r"), F.lit(0.0)).alias("lost"))
+                base = p.crossJoin(F.broadcast(lost)).select("id", (F.col("p") * ((1 - damping) + damping * F.col("lost"))).alias("r"))  # one row on the other side
+            else:
+                base = p.select("id", (F.col("p") * (1 - damping)).alias("r"))
+            held = r.select(F.col("id").alias("a"), F.col("r").alias("_r")).hint("shuffle_hash")  # ranks of a bucket's nodes are few beside its edges
+            moved = share.join(held, "a").select(F.col("b").alias("id"), (damping * F.col("_r") * F.col("share")).alias("r"))
+            r = base.unionAll(moved).groupBy("id").agg(F.sum("r").alias("r"))
+            if losing or k % STORE_EVERY == 0 or k == rounds:  # a round that is read twice is stored at once
+                r = stored(r, "rank")
+                if last is not None:
+                    dropped(last)
+                last = r
+    scored = numbers.join(r.withColumnRenamed("id", "n"), "n", "left").select("id", F.coalesce("r", F.lit(0.0)).alias("score"))
+    for done in (w, strength, lone):
+        dropped(done)
+    return scored

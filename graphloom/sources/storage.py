@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,5 +39,23 @@ def dropped(df: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+@contextmanager
+def bucketed(df: DataFrame, label: str, column: str) -> Iterator[DataFrame]:
+    """``df`` as a table in the shared folder, dealt once by ``column`` into as many buckets as a shuffle has partitions.
+
+    A join on the column then moves the other side alone, however often it is done. The table goes at the end, so that what is made of it has to be stored before.
+    """
+    spark, name = df.sparkSession, f"graphloom_{label}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/graphloom/{name}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(buckets, column).write.option("path", path).bucketBy(buckets, column).saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
