@@ -139,7 +139,8 @@ def _types(rows, path, text, code, plain, start, end, package, outer, tier) -> l
         for t in [annotation_text(notes, "Table")] if "Table" in annotation_names(notes) else []:
             rows.append(row("table_ref", source_id=id_, target=t.lower()))
         if "Entity" in annotation_names(notes) and "Table" not in annotation_names(notes):
-            snake = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", re.sub(r"([A-Z]+)([A-Z][a-z])", r"\1_\2", re.sub(r"Entity$", "", name)))
+            # The two patterns, in this order.
+            snake = re.sub(r"([A-Z]+)([A-Z][a-z])", r"\1_\2", re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", re.sub(r"Entity$", "", name)))
             rows.append(row("table_ref", source_id=id_, target=snake.lower()))
         spans.append((m.start(), close + 1))
         at = close + 1

@@ -67,8 +67,9 @@ def sql_object_id(c: Column | str) -> Column:
 
 def snake_case(c: Column | str) -> Column:
     """OrderLineItem to order_line_item, HTTPServer to http_server."""
-    words = F.regexp_replace(_c(c), "([A-Z]+)([A-Z][a-z])", "$1_$2")
-    return F.lower(F.regexp_replace(words, "([a-z0-9])([A-Z])", "$1_$2"))
+    # The two patterns, in this order.
+    words = F.regexp_replace(_c(c), "([a-z0-9])([A-Z])", "$1_$2")
+    return F.lower(F.regexp_replace(words, "([A-Z]+)([A-Z][a-z])", "$1_$2"))
 
 
 def shared_prefix(a: Column | str, b: Column | str) -> Column:
@@ -85,7 +86,7 @@ FENCES = {"java": "java", "ts": "typescript", "groovy": "groovy", "dart": "dart"
 
 def fence_language(path: Column | str) -> Column:
     table = F.create_map(*(F.lit(x) for pair in FENCES.items() for x in pair))
-    return F.coalesce(F.get(F.array(table[F.regexp_extract(_c(path), r"\.([^./]*)$", 1)]), 0), F.lit(""))
+    return F.coalesce(F.get(F.array(table[F.regexp_extract(_c(path), r"\.([^./]*)$", 1)]), 0), F.lit("java"))
 
 
 def first_lines(text: Column | str, n: int = 10) -> Column:

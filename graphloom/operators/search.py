@@ -111,3 +111,13 @@ def first_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFra
     """The first row of each key in the given order; the rows that each map task keeps are one a key."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("_first", F.row_number().over(w)).where("_first = 1").drop("_first")
+
+
+def first_and_more(rows: DataFrame, keys: list[str], order: list, limit: int) -> DataFrame:
+    """The first ``limit`` rows of each key with their ``rank`` and how many ``more`` the key has.
+
+    Counts are added up before the shuffle, and each map task keeps ``limit`` rows a key, so that a key with very many rows is no group of its own.
+    """
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_all"))
+    top = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= limit)
+    return top.join(counts, keys).withColumn("more", F.greatest(F.col("_all") - limit, F.lit(0).cast("bigint"))).drop("_all")

@@ -56,6 +56,16 @@ def delete_return_classes_of(table: DataFrame, class_id: str) -> DataFrame:
     return table.where(~F.col("method_id").startswith(class_id + "#"))
 
 
+def entry_points_in(nodes: DataFrame, entry_points: DataFrame, paths: DataFrame) -> DataFrame:
+    """(node_id): the entry points among the nodes of some files."""
+    return entry_points.select("node_id").intersect(nodes.join(paths, "file_path", "left_semi").select(F.col("id").alias("node_id")))
+
+
+def truncated(tables: dict[str, DataFrame], names: list[str]) -> dict[str, DataFrame]:
+    """All tables, the named ones without rows, for a batch that starts them anew."""
+    return {n: df.limit(0) if n in names else df for n, df in tables.items()}
+
+
 class Catalog:
     """Versions of a project's tables under one folder; a version counts once the pointer names it.
 

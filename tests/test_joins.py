@@ -280,3 +280,40 @@ def test_paths_in_quotes_are_read_back(spark, tmp_path):
     assert [r.file for r in git.history(spark, str(tmp_path / "log")).collect()] == ["src/ä.java", 'a"b\\c.java', "plain é.java"]
     (tmp_path / "diff").write_text('diff --git "a/src/\\303\\244.java" "b/src/\\303\\244.java"\n--- "a/src/\\303\\244.java"\n+++ "b/src/\\303\\244.java"\n@@ -1 +1 @@\n-a\n+b\n')
     assert [(r.path, len(r.hunks)) for r in git.diff(spark, str(tmp_path / "diff")).collect()] == [("src/ä.java", 1)]
+
+
+# --- declarations ------------------------------------------------------------------------------
+
+
+def test_declarations_and_supertype_clauses(spark):
+    from graphloom.functions import declarations
+
+    cases = [
+        ("/** doc {\n * more\n */\n@A(v = { \"x;\" })\npublic class C<T extends Money & Low<A, B>> extends Base<X, Y> implements I, J<K, L> permits P {\n int x;\n}", "a.java",
+         "@A(v = { \"x;\" })\npublic class C<T extends Money & Low<A, B>> extends Base<X, Y> implements I, J<K, L> permits P", ["Base<X, Y>"], ["I", "J<K, L>"]),
+        ("// one\nint f(String s = \"a\\\"{\", char c = '{');\nrest", "a.java", "int f(String s = \"a\\\"{\", char c = '{');", [], []),
+        ("record R(int a, Map<K, V> extendsNot)\n   implements   I  ,\n J { }", "R.java", "record R(int a, Map<K, V> extendsNot)\n   implements   I  ,\n J", [], ["I", "J"]),
+        ("class A extends B:\n  x = {", "a.py", "class A extends B:\n  x = {", [], []),
+        ("class Ünï😀 extends Bö {", "a.ts", "class Ünï😀 extends Bö", ["Bö"], []),
+        ("class A \"unclosed { ;", "a.java", "class A \"unclosed { ;", [], []),
+        ("/* one line */\n\n  class A with M, N implements Q {", "l.dart", "class A with M, N implements Q", [], ["Q"]),
+        ("class A\r\n  implements B {", None, "class A\n  implements B", [], ["B"]),
+        (None, "a.java", "", [], []), ("", "a.java", "", [], []),
+    ]
+    table = spark.createDataFrame([(s, p) for s, p, *_ in cases], "s string, p string").coalesce(1)
+    s, p = F.col("s"), F.col("p")
+    got = table.select(declarations.declaration(s, p).alias("d"), declarations.supertype_clause(s, p, "extends").alias("e"), declarations.supertype_clause(s, p, "implements").alias("i")).collect()
+    assert [(r.d, list(r.e), list(r.i)) for r in got] == [(d, e, i) for _, _, d, e, i in cases]
+
+
+def test_first_rows_and_how_many_more(spark):
+    rows = [("a", n) for n in range(7)] + [("b", 1), (None, 3), (None, 4)]
+    got = search.first_and_more(spark.createDataFrame(rows, "k string, n int"), ["k"], [F.desc("n")], 2)
+    assert {tuple(r) for r in got.where("k IS NOT NULL").select("k", "n", "rank", "more").collect()} == {("a", 6, 1, 5), ("a", 5, 2, 5), ("b", 1, 1, 0)}
+
+
+def test_names_in_snake_case(spark):
+    from graphloom.functions import ids
+
+    names = ["OrderLineItem", "HTTPServer", "aB1C", "ABC", "x"]
+    assert [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").coalesce(1).select(ids.snake_case("n")).collect()] == ["order_line_item", "http_server", "a_b1_c", "abc", "x"]
