@@ -149,13 +149,15 @@ def overrides(methods: DataFrame, supers: DataFrame) -> DataFrame:
 def libraries(imports: DataFrame, dependencies: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(LIBRARY nodes, USES_LIBRARY edges): an import belongs to the first declared dependency whose group begins it.
 
-    Imports whose full or simple name is a node of the project are left out. The
-    dependencies are those of one build file, so that the prefix join sends them to every task.
+    Imports whose full or simple name is a node of the project are left out. Each import is
+    met by all the dotted names that it begins with, so that the prefix join is one on equal names.
     """
     own = nodes.where("type <> 'LIBRARY'")
     foreign = imports.join(own.select(F.col("id").alias("target")).distinct(), "target", "left_anti").join(own.select("name").distinct(), "name", "left_anti")
-    declared = F.broadcast(dependencies.select("ord", "group_id", "artifact"))
-    hit = foreign.join(declared, F.col("target").startswith(F.concat("group_id", F.lit("."))))
+    steps = F.split("target", r"\.")
+    begun = F.transform(F.sequence(F.lit(1), F.size(steps) - 1), lambda n: F.array_join(F.slice(steps, F.lit(1), n), "."))
+    each = foreign.where(F.instr("target", ".") > 0).select("source_id", "target", "name", F.explode(begun).alias("group_id"))
+    hit = each.join(dependencies.select("ord", "group_id", "artifact"), "group_id")
     best = hit.groupBy("source_id", "target", "name").agg(F.min(F.struct("ord", "group_id", "artifact")).alias("d"))
     made = best.select(F.col("target").alias("id"), F.lit("LIBRARY").alias("type"), "name", F.col("target").alias("qualified_name"), F.lit("").alias("file_path"), F.lit(0).alias("line_number"), F.concat_ws(":", "d.group_id", "d.artifact").alias("code_snippet"), F.lit(0).cast("bigint").alias("last_modified")).dropDuplicates(["id"])
     return made, best.select(F.lit("USES_LIBRARY").alias("type"), "source_id", F.col("target").alias("target_id"))

@@ -45,9 +45,13 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     return own.withColumn("language", language(F.col("file_path"))).where(F.col("language").isNotNull() & is_source(F.col("file_path")))
 
 
+# The configurations of a Gradle file whose entries are dependencies.
+CONFIGURATIONS = ("implementation", "api", "compileOnly", "runtimeOnly", "testImplementation", "testRuntimeOnly", "annotationProcessor")
+
+
 def dependencies(text: Column) -> Column:
     """Array of (group, artifact, version) of a build file, in order, each once: Gradle's short and map forms, and Maven's."""
-    gradle = F.regexp_extract_all(text, F.lit(r"""["']([\w.-]+:[\w.-]+(?::[\w.$\{\}-]+)?)["']"""), F.lit(1))
+    gradle = F.regexp_extract_all(text, F.lit(rf"""(?:{"|".join(CONFIGURATIONS)})\s*\(?\s*["']([\w.-]+:[\w.-]+(?::[\w.-]+)?)["']"""), F.lit(1))
     named = F.regexp_extract_all(text, F.lit(r"""(group\s*[:=]\s*["'][^"']+["']\s*,\s*name\s*[:=]\s*["'][^"']+["'](?:\s*,\s*version\s*[:=]\s*["'][^"']+["'])?)"""), F.lit(1))
     maven = F.regexp_extract_all(text, F.lit(r"(?s)<dependency>(.*?)</dependency>"), F.lit(1))
     short = F.transform(gradle, lambda x: F.struct(F.split(x, ":")[0].alias("g"), F.split(x, ":")[1].alias("a"), F.coalesce(F.get(F.split(x, ":"), F.lit(2)), F.lit("")).alias("v")))

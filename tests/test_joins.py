@@ -294,7 +294,7 @@ def test_declarations_and_supertype_clauses(spark):
         ("// one\nint f(String s = \"a\\\"{\", char c = '{');\nrest", "a.java", "int f(String s = \"a\\\"{\", char c = '{');", [], []),
         ("record R(int a, Map<K, V> extendsNot)\n   implements   I  ,\n J { }", "R.java", "record R(int a, Map<K, V> extendsNot)\n   implements   I  ,\n J", [], ["I", "J"]),
         ("class A extends B:\n  x = {", "a.py", "class A extends B:\n  x = {", [], []),
-        ("class Ünï😀 extends Bö {", "a.ts", "class Ünï😀 extends Bö", ["Bö"], []),
+        ("class Uni😀 extends Bö {", "a.ts", "class Uni😀 extends Bö", ["Bö"], []),
         ("class A \"unclosed { ;", "a.java", "class A \"unclosed { ;", [], []),
         ("/* one line */\n\n  class A with M, N implements Q {", "l.dart", "class A with M, N implements Q", [], ["Q"]),
         ("class A\r\n  implements B {", None, "class A\n  implements B", [], ["B"]),
