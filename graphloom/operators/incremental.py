@@ -55,12 +55,3 @@ def same_ids(fresh: DataFrame, known: DataFrame) -> bool:
     """Whether two sets of ids are equal."""
     a, b = fresh.select("id"), known.select("id")
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
-
-
-def apply_fast(nodes: DataFrame, edges: DataFrame, fresh_nodes: DataFrame, fresh_edges: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges with those that the changed files own put anew."""
-    from graphloom.operators.store import delete_edges_owned_by
-
-    kept_edges = delete_edges_owned_by(nodes, edges, paths)
-    kept_nodes = nodes.join(paths, "file_path", "left_anti").select(*nodes.columns)
-    return kept_nodes.unionByName(fresh_nodes), kept_edges.unionByName(fresh_edges).dropDuplicates(["type", "source_id", "target_id"])

@@ -47,6 +47,18 @@ def project_edges(spark, d):
     return index.build(java_files(spark, d))["edges"]
 
 
+@query(
+    f"""WITH {_OWNED}, t AS (SELECT p, 'catalog.b' || (p % 7) || '.P' || p AS id FROM p), o AS (SELECT owned.p, a.id AS a, b.id AS b FROM owned JOIN t a ON a.p = owned.p JOIN t b ON b.p = owned.q)
+SELECT 'DECLARES_METHOD' AS type, id AS source_id, id || '#m()' AS target_id FROM t UNION ALL SELECT 'EXTENDS', a, b FROM o UNION ALL SELECT 'CALLS_METHOD', a, b FROM o WHERE p % 13 <> 0
+UNION ALL SELECT 'CALLS', a || '#m()', b || '#m()' FROM o WHERE p % 13 <> 0 UNION ALL SELECT 'OVERRIDES', a || '#m()', b || '#m()' FROM o"""
+)
+def project_edges_after_sync(spark, d):
+    """The index of the project, and then a fast sync of the files whose calls are gone."""
+    files = java_files(spark, d)
+    changed = files.where(F.regexp_extract("file_path", "([0-9]+)", 1).cast("bigint") % 13 == 0).withColumn("content", F.replace("content", F.lit("next.m();"), F.lit("")))
+    return index.sync_fast(index.build(files), changed, "GENERIC")["edges"]
+
+
 @query(
     f"""WITH {_OWNED}, kept AS (SELECT p FROM p WHERE NOT (p % 10 <> 0 AND p % 7 = 3))
 SELECT 'node' AS kind, 'sql:t' || p AS id, 'SQL_TABLE' AS type, 'db/V' || p || '__t.sql' AS file_path FROM kept

@@ -218,3 +218,29 @@ def test_folders_left_out_by_language(spark):
     }
     got = spark.createDataFrame([(p,) for p in paths], "p string").select("p", files.is_source(F.col("p")).alias("s")).collect()
     assert {r.p: r.s for r in got} == paths
+
+
+@pytest.mark.parametrize("seed", [1])
+def test_a_fast_sync_equals_a_full_index(spark, seed):
+    import random
+
+    r = random.Random(seed)
+    bodies = ["", "b.go(1);", "b.make().go(2);", "c.end();", "String s = \"select * from orders\";", "Clock k = null; b.go(3); new C();"]
+
+    def project(pick):
+        deps = "import org.acme.util.Clock;\n"
+        java = [(f"p/U{n}.java", f"package p;\n{deps}class U{n} extends B {{\n  private B b;\n  private C c;\n  void run() {{ {pick[n]} }}\n  void other() {{ {pick[n + 1]} }}\n}}\n") for n in range(0, 8, 2)]
+        java += [("p/B.java", "package p;\nclass B { C make() { return null; } void go(int x) { } void other() { } }"), ("p/C.java", "package p;\nclass C { void go(int x) { } void end() { } }")]
+        return [(p, "java", t, 1) for p, t in java] + [("db/V1__a.sql", "sql", "create table orders (id int);", 1)]
+
+    before = [r.choice(bodies) for _ in range(8)]
+    after = [r.choice(bodies) if n < 4 else b for n, b in enumerate(before)]
+    schema = "file_path string, language string, content string, last_modified bigint"
+    old, new = (spark.createDataFrame(project(x), schema) for x in (before, after))
+    known = spark.createDataFrame([(0, "org.acme", "util")], "ord int, group_id string, artifact string")
+    changed = spark.createDataFrame([f for f, g in zip(project(after), project(before)) if f != g], schema)
+    fast, full = index.sync_fast(index.build(old, known), changed, "GENERIC", known), index.build(new, known)
+    shapes = {r.file_path: r.shape_hash for r in full["file_shapes"].collect()}
+    assert shapes == {r.file_path: r.shape_hash for r in fast["file_shapes"].collect()}
+    for name in full:
+        assert sorted(map(tuple, fast[name].select(*full[name].columns).collect()), key=str) == sorted(map(tuple, full[name].collect()), key=str), name
