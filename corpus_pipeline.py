@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir) and works on all that the one before kept
 all but the last return the columns of ``documents``. The last returns a row a
 packed piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-Two stages have no SQL form (a trained score and exact near copies), so that the whole is
-tested against brute force instead.
+Two stages have no SQL form (a trained score and exact near copies), so that there is no SQL for the whole. The near-copy
+stage is tested against brute force, line dedup by its query's SQL, and of the whole the offsets and the capacity of the sequences.
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ most BROADCAST, else the join is left to Spark. The expansion is bounded by the
 as many labels as the longest rule, prefixes only the lengths of rule paths.
 
 URLs are judged once each, so that a URL that many pages share is one row, and
-the verdicts join the pages by a digest of their URL.
+the verdicts join the pages by the URL itself.
 
 Rules are (host, path, verdict); a rule fits its host and all subdomains if the
 URL's path starts with its path. The longest rule (host and path together) wins,
