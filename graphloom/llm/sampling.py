@@ -100,6 +100,18 @@ def fingerprints(docs: DataFrame, n: int = SAMPLES) -> DataFrame:
     return samples(rows, ["_row", "doc_id"], ["text"], n=n).select("doc_id", hex_of(F.col("_s0")).alias("fingerprint"))
 
 
+def below(cuts: list[int], value: Column, among: bool = False) -> Column:
+    """How many of the ascending ``cuts`` are smaller than the value (with ``among``: or equal), by a binary search; the cuts are one literal of the plan."""
+    array = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))))
+
+    def further(at: Column, step: Column) -> Column:
+        cut = F.get(array, at + step - 1)  # null beyond the end
+        return F.when(cut <= value if among else cut < value, at + step).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), further) if cuts else F.lit(0)
+
+
 def dealt_with_next(docs: DataFrame) -> DataFrame:
     """(_bucket, _rn, _ghost, doc_id, text, next): each row with the text of the next, by descending doc_id; the first follows the last.
 
@@ -113,13 +125,13 @@ def dealt_with_next(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("_i"))
     tasks = TASKS * parts
     ranges = RANGES * tasks
-    cuts = rows.agg(F.percentile_approx("_i", [k / ranges for k in range(1, ranges)], 100 * ranges)).first()[0] or []
-    hashed = rows.withColumn("_h", F.xxhash64("text"))
-    array = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<bigint>")
-    below, same = F.size(F.filter(array, lambda c: c < F.col("_i"))), F.size(F.filter(array, lambda c: c == F.col("_i")))
+    shares = ", ".join(f"{k / ranges!r}D" for k in range(1, ranges))
+    cuts = rows.agg(F.expr(f"percentile_approx(_i, array({shares}), {100 * ranges})")).first()[0] or []
+    hashed = rows.withColumn("_h", F.xxhash64("text")).withColumn("_less", below(cuts, F.col("_i"))).withColumn("_upto", below(cuts, F.col("_i"), among=True))
+    less, same = F.col("_less"), F.col("_upto") - F.col("_less")
     # of an id with several ranges, texts with small hashes come first, that is in the last range
     turn = F.floor((F.col("_h").cast("double") + 2.0**63) * 2.0**-64 * (same + 1)).cast("int")
-    celled = hashed.withColumn("_cell", below + same - F.least(turn, same))
+    celled = hashed.withColumn("_cell", less + same - F.least(turn, same))
     tops = celled.groupBy("_cell").agg(F.max(F.struct("_i", (-F.col("_h")).alias("h"))).alias("t")).orderBy("_cell").collect()  # a row a range
     plan = [(r._cell, n, r.t._i, -r.t.h, (n + 1) % len(tops), n + 1 == len(tops)) for n, r in enumerate(tops)]
     cells = spark.createDataFrame(plan, "_cell int, _own int, _top bigint, _top_h bigint, _above int, _wraps boolean")

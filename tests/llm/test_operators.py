@@ -729,3 +729,13 @@ def test_a_stored_katz_model_scores_other_texts(spark, tmp_path, monkeypatch):
 
 def test_katz_of_an_empty_table(spark, empty):
     assert katz.fit_and_score(empty, F.lit(False)).count() == 0
+
+
+def test_places_among_cuts_by_binary_search(spark):
+    random = np.random.default_rng(5)
+    values = [-(2**63), -1, 0, 1, 2**63 - 1, *random.integers(-50, 50, 60).tolist()]
+    frame = spark.createDataFrame([(v,) for v in values], "v bigint")
+    for n in (0, 1, 2, 3, 7, 8, 33):
+        cuts = sorted(random.integers(-40, 40, n).tolist()) + [2**63 - 1] * (n == 33)
+        rows = frame.select("v", sampling.below(cuts, F.col("v")).alias("less"), sampling.below(cuts, F.col("v"), among=True).alias("upto")).collect()
+        assert all(r.less == sum(c < r.v for c in cuts) and r.upto == sum(c <= r.v for c in cuts) for r in rows), n
