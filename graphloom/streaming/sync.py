@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +60,44 @@ def sync(spark: SparkSession, folder: str, root: str) -> DataFrame:
     return states
 
 
+class Marks:
+    """Notes beside the tables of ``root`` that something has changed: a file for each, under a name of its own.
+
+    A sync clears the notes that it has seen before it listed the folder and no others, so that one made meanwhile
+    stays for the next sync, and all stay when it fails.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/marks")
+        self.fs = self.folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def make(self) -> str:
+        name = uuid.uuid4().hex
+        self.fs.create(self.folder.suffix(f"/{name}"), False).close()
+        return name
+
+    def seen(self) -> list[str]:
+        return sorted(f.getPath().getName() for f in self.fs.listStatus(self.folder)) if self.fs.exists(self.folder) else []
+
+    def clear(self, names: list[str]) -> None:
+        for name in names:
+            self.fs.delete(self.folder.suffix(f"/{name}"), False)
+
+
+def sync_if_marked(spark: SparkSession, folder: str, root: str, work: Callable[[SparkSession, str, str], DataFrame] = sync) -> DataFrame | None:
+    """What ``work`` (by default ``sync``) returns, where marks of change lie beside ``root``; None without a mark.
+
+    Two syncs at once do no harm: of two batches the later fails, and its marks stay.
+    """
+    marks = Marks(spark, root)
+    seen = marks.seen()
+    if not seen:
+        return None
+    states = work(spark, folder, root)
+    marks.clear(seen)
+    return states
+
+
 def windowed_counts(events: DataFrame, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Events (ts, event_type, value) by tumbling window and type; on a stream, rows later than ``late`` are left out."""
     timed = events.withWatermark("ts", late) if events.isStreaming else events

@@ -171,6 +171,58 @@ def test_sync_sees_changed_and_deleted_files(spark, tmp_path):
     assert catalog.version() != before and {r.file_path[-5] for r in catalog.table("indexed_files").collect()} == set("acd")
 
 
+def test_a_mark_made_during_a_sync_stays(spark, tmp_path):
+    from graphloom.streaming.sync import Marks, sync, sync_if_marked
+
+    folder, root = tmp_path / "src", f"file://{tmp_path}/cat"
+    folder.mkdir()
+    (folder / "a.txt").write_text("a")
+    marks = Marks(spark, root)
+    assert marks.seen() == [] and sync_if_marked(spark, str(folder), root) is None and store.Catalog(spark, root).version() is None
+    first = {marks.make(), marks.make()}
+    assert set(marks.seen()) == first
+    late = []
+
+    def busy(*args):
+        states = sync(*args)
+        (folder / "b.txt").write_text("b")
+        late.append(marks.make())
+        return states
+
+    assert [r.state for r in sync_if_marked(spark, str(folder), root, busy).collect()] == ["new"]
+    assert marks.seen() == late
+
+    def failing(*_):
+        raise OSError("gone")
+
+    with pytest.raises(OSError):
+        sync_if_marked(spark, str(folder), root, failing)
+    assert marks.seen() == late
+    assert {r.file_path[-5]: r.state for r in sync_if_marked(spark, str(folder), root).collect()} == {"a": "same", "b": "new"}
+    assert marks.seen() == [] and sync_if_marked(spark, str(folder), root) is None
+
+
+def test_equal_sets_of_ids(spark):
+    a, b = (spark.createDataFrame([(x, 1) for x in ids], "id string, n int") for ids in (["x", "y"], ["y", "x"]))
+    assert incremental.same_ids(a, b) and not incremental.same_ids(a, b.limit(1)) and not incremental.same_ids(a.limit(0), b)
+
+
+def test_tests_that_a_change_reaches(spark):
+    g = graph(spark, [("p.A", "CLASS", "src/main/java/p/A.java"), ("p.ATest", "CLASS", "src/test/java/p/ATest.java"), ("p.BTest", "CLASS", "src/test/java/p/BTest.java")], [("USES_TYPE", "p.ATest", "p.A")])
+    found = traverse.impact(g, "p.A", 1)
+    assert [r.id for r in impact.tests_reached(g, found).collect()] == ["p.ATest"]
+
+
+def test_mermaid_text_opens_and_closes_each_package(spark, tmp_path):
+    g = graph(spark, [("p.A", "CLASS", "A.java"), ("q.B", "CLASS", "B.java")], [("USES_TYPE", "p.A", "q.B")])
+    export.write_mermaid(export.mermaid_rows(g.nodes, g.edges, spark.createDataFrame([("p.A", "p"), ("q.B", "q")], "id string, package string")), str(tmp_path / "m"))
+    lines = [line for f in sorted((tmp_path / "m").glob("part-*")) for line in f.read_text().splitlines()]
+    assert lines[0] == "graph LR" and sum(line.startswith("  subgraph") for line in lines) == lines.count("  end") == 2
+    assert sum("-->" in line for line in lines) == 1 and lines[-1].startswith("  classDef")
+    inside = [n for n, line in enumerate(lines) if "subgraph" in line or line == "  end"]
+    assert ["subgraph" in lines[n] for n in inside] == [True, False, True, False]
+
+
 def test_a_batch_that_comes_second_fails_and_leaves_the_first(spark, tmp_path):
     known = spark.createDataFrame([("a", 1)], "k string, v int")
     one, other = (store.Catalog(spark, f"file://{tmp_path}/p") for _ in range(2))
