@@ -13,8 +13,9 @@ Training takes a bounded sample of the labelled rows: at most TRAIN_TOXIC toxic
 and TRAIN_CLEAN clean documents, those with the smallest hash of their id, with all
 sentences of their whole texts. Two passes over them keep what reaches the driver small:
 the first counts, in Spark, in how many toxic and clean documents each feature is (2**18
-counts), which tells the features that will have weights; the second brings the sentences
-that have such features, and for each document the number of those that have none.
+counts), which tells the features that will have weights; the second finds the sentences
+that have such features, and for each document the number of those that have none. They go to the driver
+where they fit MOST_BYTES; else each of the ROUNDS steps adds up its gradient in Spark. The steps are the same.
 Scoring always takes all sentences of the whole text.
 
 Defined cases: null and empty texts have no sentence and score the leak
@@ -28,7 +29,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,10 +37,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import stored
+from graphloom.sources.storage import dropped
 
 BITS = 18
 TRAIN_TOXIC, TRAIN_CLEAN = 1_500, 3_000
 LEAST_DOCS, LEAST_Z = 3, 4.0
+ROUNDS, MOST_BYTES = 150, 128 << 20
 THRESHOLD = 0.3
 SENTENCE_THRESHOLD = 0.3
 SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*")
@@ -82,37 +85,65 @@ def telling(in_toxic: np.ndarray, in_clean: np.ndarray, toxic: int, clean: int)
     return (in_toxic + in_clean >= LEAST_DOCS) & (np.abs(z) >= LEAST_Z)
 
 
-def train(docs: list[tuple[int, int, list[np.ndarray]]], rounds: int = 150, rate: float = 0.15, decay: float = 1e-4) -> Model:
-    """Fit the noisy-or likelihood of (label, number of sentences without features, features of each other sentence) by Adam over all of them."""
-    label = np.array([y for y, _, _ in docs], dtype=float)
-    if not label.any() or label.all():
-        return untrained()
-    weights = np.zeros(1 << BITS)
-    sentences = [np.zeros(0, np.int32) for _ in docs] + [s for _, _, ss in docs for s in ss]
-    times = np.concatenate([[n for _, n, _ in docs], np.ones(len(sentences) - len(docs))])
-    of_doc = np.concatenate([np.arange(len(docs)), np.repeat(np.arange(len(docs)), [len(ss) for _, _, ss in docs])])
-    of_sentence = np.repeat(np.arange(len(sentences)), [len(s) for s in sentences])
-    used, features = np.unique(np.concatenate(sentences), return_inverse=True)
-    scale = np.where(label == 1, 0.5 / label.sum(), 0.5 / (1 - label).sum()) * len(label)
-    w = np.concatenate([np.zeros(len(used)), [-4.0, -4.0]])  # the last two: bias and leak
+class Bags:
+    """Labelled documents as columns: of each sentence its document, how often it stands there, and its features."""
+
+    def __init__(self, docs: list[tuple[int, int, list[np.ndarray]]]):
+        """``docs``: (label, number of sentences without features, features of each other sentence)."""
+        self.label = np.array([y for y, _, _ in docs], dtype=int)
+        sentences = [np.zeros(0, np.int32) for _ in docs] + [s for _, _, ss in docs for s in ss]
+        self.times = np.concatenate([[n for _, n, _ in docs], np.ones(len(sentences) - len(docs))])
+        self.of_doc = np.concatenate([np.arange(len(docs)), np.repeat(np.arange(len(docs)), [len(ss) for _, _, ss in docs])]).astype(int)
+        self.of_sentence = np.repeat(np.arange(len(sentences)), [len(s) for s in sentences])
+        self.features = np.concatenate([np.zeros(0, np.int32), *sentences])
+
+    def slope(self, w: np.ndarray, share: np.ndarray) -> np.ndarray:
+        """The gradient of the negative log-likelihood of the labels by ``w`` (weights, bias, leak); a document counts ``share[label]``."""
+        s = np.clip(np.bincount(self.of_sentence, w[self.features], len(self.of_doc)) + w[-2], -CLAMP, CLAMP)
+        clean = np.exp(-np.bincount(self.of_doc, self.times * softplus(s), len(self.label)) - softplus(w[-1]))
+        d_total = share[self.label] * np.where(self.label == 1, -clean / np.maximum(1 - clean, 1e-9), 1.0)
+        d_s = self.times * d_total[self.of_doc] / (1 + np.exp(-s))
+        return np.concatenate([np.bincount(self.features, d_s[self.of_sentence], len(w) - 2), [d_s.sum(), d_total.sum() / (1 + np.exp(-w[-1]))]])
+
+
+def descend(slope: Callable[[np.ndarray], np.ndarray], rounds: int, rate: float = 0.15, decay: float = 1e-4) -> Model:
+    """The model that Adam finds in ``rounds`` steps of the whole gradient."""
+    w = np.concatenate([np.zeros(1 << BITS), [-4.0, -4.0]])  # the last two: bias and leak
     mean, square = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, rounds + 1):
-        s = np.clip(np.bincount(of_sentence, w[features], len(sentences)) + w[-2], -CLAMP, CLAMP)
-        total = np.bincount(of_doc, times * softplus(s), len(docs)) + softplus(w[-1])
-        clean = np.exp(-total)
-        d_total = scale * ((1 - label) - label * clean / np.maximum(1 - clean, 1e-9)) / len(docs)
-        d_s = times * d_total[of_doc] / (1 + np.exp(-s))
-        g = np.empty_like(w)
-        g[:-2] = np.bincount(features, d_s[of_sentence], len(used)) + decay * w[:-2]
-        g[-2], g[-1] = d_s.sum(), d_total.sum() / (1 + np.exp(-w[-1]))
+        g = slope(w)
+        g[:-2] += decay * w[:-2]
         mean = 0.9 * mean + 0.1 * g
         square = 0.99 * square + 0.01 * g * g
         w -= rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
-    weights[used] = w[:-2]
-    return Model(weights.astype(np.float32), float(w[-2]), float(w[-1]))
+    return Model(w[:-2].astype(np.float32), float(w[-2]), float(w[-1]))
+
+
+def unpacked(y: int, plain: int, n: bytes, f: bytes) -> tuple[int, int, list[np.ndarray]]:
+    cuts = np.cumsum(np.frombuffer(n, dtype=np.int32))
+    return y, plain, np.split(np.frombuffer(f, dtype=np.int32), cuts[:-1]) if len(cuts) else []
+
+
+def summed(found: DataFrame, w: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """The gradient over a table of documents, added up in Spark; at most 2**18 sums reach the driver."""
+    sent = found.sparkSession.sparkContext.broadcast((w, share))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        weights, shares = sent.value
+        total = np.zeros(len(weights))
+        for b in batches:
+            total += Bags([unpacked(*r) for r in zip(b["y"], b["plain"], b["n"], b["f"])]).slope(weights, shares)
+        at = np.nonzero(total)[0]
+        yield pd.DataFrame({"at": at.astype(np.int32), "g": total[at]})
+
+    out = np.zeros(len(w))
+    sums = found.mapInPandas(run, "at int, g double").groupBy("at").agg(F.sum("g").alias("g")).toPandas()
+    out[sums["at"].to_numpy()] = sums["g"].to_numpy()
+    sent.destroy()
+    return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, allowed: Column | None = None) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, rounds: int = ROUNDS, most_bytes: int = MOST_BYTES) -> Model:
     """Learn from the labelled documents; ``allowed`` is a condition on doc_id that training rows meet."""
     spark = docs.sparkSession
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("_y"))
@@ -137,6 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column | None = None) -> Mo
     for r in rows.mapInPandas(count, "y int, f int, n bigint").groupBy("y", "f").agg(F.sum("n").alias("n")).toPandas().itertuples():  # 2 * 2**18 rows at most
         seen[r.y, r.f] = r.n
     if not seen[0, -1] or not seen[1, -1]:
+        dropped(rows)
         return untrained()
     sent = spark.sparkContext.broadcast(telling(seen[1, :-1], seen[0, :-1], int(seen[1, -1]), int(seen[0, -1])))
 
@@ -149,11 +181,16 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column | None = None) -> Mo
                 out.append((len(parts) - len(some), np.array([len(p) for p in some], dtype=np.int32).tobytes(), np.concatenate([np.zeros(0, np.int32), *some]).astype(np.int32).tobytes()))
             yield pd.DataFrame({"y": b["_y"], "h": b["_h"], "plain": [x[0] for x in out], "n": [x[1] for x in out], "f": [x[2] for x in out]})
 
-    ready = []
-    for r in sorted(rows.mapInPandas(gather, "y int, h bigint, plain int, n binary, f binary").collect(), key=lambda r: (r.h, r.f)):
-        cuts = np.cumsum(np.frombuffer(r.n, dtype=np.int32))
-        ready.append((r.y, r.plain, np.split(np.frombuffer(r.f, dtype=np.int32), cuts[:-1]) if len(cuts) else []))
-    return train(ready)
+    found = stored(rows.mapInPandas(gather, "y int, h bigint, plain int, n binary, f binary"), "toxicity-sentences")
+    share = 0.5 / np.array([seen[0, -1], seen[1, -1]])  # clean and toxic documents weigh the same as a whole
+    if found.agg(F.sum(F.octet_length("n") + F.octet_length("f"))).first()[0] <= most_bytes:
+        bags = Bags([unpacked(r.y, r.plain, r.n, r.f) for r in sorted(found.collect(), key=lambda r: (r.h, r.f))])
+        model = descend(lambda w: bags.slope(w, share), rounds)
+    else:
+        model = descend(lambda w: summed(found, w, share), rounds)
+    dropped(rows)
+    dropped(found)
+    return model
 
 
 class Scorer(dict):

@@ -739,3 +739,28 @@ def test_places_among_cuts_by_binary_search(spark):
         cuts = sorted(random.integers(-40, 40, n).tolist()) + [2**63 - 1] * (n == 33)
         rows = frame.select("v", sampling.below(cuts, F.col("v")).alias("less"), sampling.below(cuts, F.col("v"), among=True).alias("upto")).collect()
         assert all(r.less == sum(c < r.v for c in cuts) and r.upto == sum(c <= r.v for c in cuts) for r in rows), n
+
+
+def test_noisy_or_gradient_is_that_of_its_likelihood():
+    random = np.random.default_rng(8)
+    docs = [(int(n % 3 == 0), int(random.integers(0, 4)), [random.choice(9, random.integers(1, 5), replace=False).astype(np.int32) for _ in range(random.integers(0, 4))]) for n in range(40)]
+    share, w = np.array([0.3, 0.7]), np.concatenate([random.normal(size=9), [-1.0, -2.0]])
+
+    def loss(w):
+        total = 0.0
+        for y, plain, sentences in docs:
+            odds = [w[-1], *[w[-2]] * plain, *(sum(w[f] for f in s) + w[-2] for s in sentences)]
+            clean = math.prod(1 - 1 / (1 + math.exp(-o)) for o in odds)
+            total -= share[y] * math.log(1 - clean if y else clean)
+        return total
+
+    got = toxicity.Bags(docs).slope(w, share)
+    for k, step in enumerate(np.eye(len(w)) * 1e-5):
+        assert abs((loss(w + step) - loss(w - step)) / 2e-5 - got[k]) < 1e-6, k
+
+
+def test_toxicity_is_fitted_alike_in_the_driver_and_in_spark(spark):
+    rows = [(n, ("a foul vile word here. " if n % 3 == 0 else "a fine kind word here. ") + "and more\n" * (n % 4), "x") for n in range(60)]
+    docs, labels = spark.createDataFrame(rows, DOC), spark.createDataFrame([(n, n % 3 == 0) for n in range(60)], "doc_id bigint, toxic boolean")
+    one, other = (toxicity.fit(docs, labels, rounds=5, most_bytes=b) for b in (1 << 20, 0))
+    assert one.weights.any() and np.allclose(one.weights, other.weights, atol=1e-5) and abs(one.bias - other.bias) + abs(one.leak - other.leak) < 1e-6
