@@ -559,7 +559,7 @@ def keep_one_each(docs: DataFrame, shingle: int, share: float, most: int = MOST)
     known = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marked = stored(marks(known, shingle), "near-marks")
     first = marked.groupBy("set").agg(F.min(F.struct("doc_id", "fp", "sketch")).alias("m"))
-    nodes = stored(first.select("set", F.xxhash64("set").alias("node"), "m.*"), "near-nodes")  # a node a set
+    nodes = stored(first.select("set", F.monotonically_increasing_id().alias("node"), "m.*"), "near-nodes")  # a number a set, fixed by the table
     found = stored(bucket_links(bucketed(nodes.select("node", "fp"), most), most), "near-links")
     pairs = found.where("NOT dense").select("a", "b").distinct()
     links = stored(verified(stored(likely(pairs, nodes, share), "near-likely"), nodes, known, shingle, share), "near-verified")
