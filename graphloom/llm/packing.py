@@ -108,6 +108,15 @@ def tokenised_pieces(docs: DataFrame, path: str | None = None, capacity: int = C
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInPandas(run, schema)
 
 
+def copies_apart(ranked: DataFrame) -> DataFrame:
+    """A row a copy, with ranks from ``_rank`` on: runs of ``RANK_BLOCK`` copies first, which are dealt anew before they become rows."""
+    last = F.col("_copies") - 1
+    start = F.explode(F.sequence(F.lit(0).cast("bigint"), last, F.lit(RANK_BLOCK).cast("bigint")))
+    runs = ranked.withColumn("_at", start).repartition("length", "_block", "_at")
+    each = F.explode(F.sequence("_at", F.least(last, F.col("_at") + RANK_BLOCK - 1)))
+    return runs.withColumn("_at", each).withColumn("_rank", F.col("_rank") + F.col("_at")).drop("_at")
+
+
 def place(pieces: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (with a column ``length`` from 1 to ``capacity``) with sequence_id and offset.
 
@@ -117,11 +126,13 @@ def place(pieces: DataFrame, order: list[str], capacity: int = CAPACITY) -> Data
     spark = pieces.sparkSession
     histogram = {int(r[0]): int(r[1]) for r in pieces.groupBy("length").count().collect()}
     blocks = spark.createDataFrame([(n, -(-c // RANK_BLOCK)) for n, c in histogram.items()], "length bigint, _blocks int")
-    dealt = pieces.join(F.broadcast(blocks), "length").withColumn("_block", F.pmod(F.xxhash64(*order), "_blocks").cast("int")).drop("_blocks")
-    sizes = dealt.groupBy("length", "_block").count()
+    once = pieces.groupBy(*pieces.columns).agg(F.count(F.lit(1)).alias("_copies"))  # rows repeated in full are one row with a number
+    dealt = once.join(F.broadcast(blocks), "length").withColumn("_block", F.pmod(F.xxhash64(*order), "_blocks").cast("int")).drop("_blocks")
+    sizes = dealt.groupBy("length", "_block").agg(F.sum("_copies").alias("count"))
     before = sizes.select("length", "_block", (F.sum("count").over(Window.partitionBy("length").orderBy("_block")) - F.col("count")).alias("_before"))
-    in_block = F.row_number().over(Window.partitionBy("length", "_block").orderBy(*order)) - 1
-    ranked = dealt.withColumn("_in", in_block).join(before, ["length", "_block"]).withColumn("_rank", F.col("_before") + F.col("_in"))
+    in_block = F.sum("_copies").over(Window.partitionBy("length", "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    first = dealt.withColumn("_in", F.coalesce(in_block, F.lit(0))).join(before, ["length", "_block"]).withColumn("_rank", F.col("_before") + F.col("_in"))
+    ranked = copies_apart(first)
     slots = spark.createDataFrame(plan(histogram, capacity), "_length bigint, _first bigint, _n bigint, _seq bigint, _offset bigint, _each bigint")
     inside = (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_first") + F.col("_n"))
     t = F.col("_rank") - F.col("_first")
@@ -129,7 +140,7 @@ def place(pieces: DataFrame, order: list[str], capacity: int = CAPACITY) -> Data
         ranked.join(F.broadcast(slots), inside)
         .withColumn("sequence_id", F.col("_seq") + F.floor(t / F.col("_each")))
         .withColumn("offset", F.col("_offset") + (t % F.col("_each")) * F.col("length"))
-        .drop("_block", "_before", "_in", "_rank", "_length", "_first", "_n", "_seq", "_offset", "_each")
+        .drop("_block", "_before", "_in", "_copies", "_rank", "_length", "_first", "_n", "_seq", "_offset", "_each")
     )
 
 

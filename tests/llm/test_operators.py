@@ -103,6 +103,26 @@ def test_packing_places_every_piece_once(spark, docs, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
+def test_packing_of_rows_repeated_in_full(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANK_BLOCK", 4)
+    rows = [(7, "one and the same text " * 3, "x")] * 37 + [(7, "one and the same text " * 3, "y")] * 2 + [(None, None, "z")] * 9 + [(8, "a", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, sequence_id string").withColumn("length", F.lit("n")).withColumn("_copies", F.lit(1))
+    got = packing.pack_documents(docs, capacity=16).collect()
+    own = bpe.model_of(open(bpe.default_path(), encoding="utf-8").read())
+    want = Counter()
+    for doc_id, text, _ in rows:
+        ids = own.encode(text or "") + [1]
+        for n, at in enumerate(range(0, len(ids), 16)):
+            part = ids[at : at + 16]
+            want[doc_id, n, at, len(part), zlib.crc32(np.array(part, dtype="<u4").tobytes())] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    ends = {}
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends.get(r.sequence_id, 0)
+        ends[r.sequence_id] = r.offset + r.length
+    assert max(ends.values()) <= 16
+
+
 def test_plan_is_best_fit():
     def one_by_one(lengths, capacity):
         rooms = []
