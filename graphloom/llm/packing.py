@@ -112,7 +112,7 @@ def copies_apart(ranked: DataFrame) -> DataFrame:
     """A row a copy, with ranks from ``_rank`` on: runs of ``RANK_BLOCK`` copies first, which are dealt anew before they become rows."""
     last = F.col("_copies") - 1
     start = F.explode(F.sequence(F.lit(0).cast("bigint"), last, F.lit(RANK_BLOCK).cast("bigint")))
-    runs = ranked.withColumn("_at", start).repartition("length", "_block", "_at")
+    runs = ranked.withColumn("_at", start).repartition("length", "_rank", "_at")
     each = F.explode(F.sequence("_at", F.least(last, F.col("_at") + RANK_BLOCK - 1)))
     return runs.withColumn("_at", each).withColumn("_rank", F.col("_rank") + F.col("_at")).drop("_at")
 
