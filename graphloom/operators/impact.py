@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.ids import declaring_class
 from graphloom.functions.paths import is_guard_test
 from graphloom.operators.graph import CodeGraph
+from graphloom.operators.search import first_and_more
 from graphloom.operators.traverse import search, search_many
 
 
@@ -83,6 +84,25 @@ def guard_summary(g: CodeGraph, found: DataFrame) -> DataFrame:
     return placed.groupBy(F.when(is_guard_test("file_path"), "test").otherwise("production").alias("side"), "type").agg(F.count("*").alias("n"))
 
 
+#: The node types that a report on a change names one by one.
+SIGNIFICANT = ["AGGREGATE", "DOMAIN_EVENT", "COMMAND", "COMMAND_HANDLER", "PROJECTION_HANDLER"]
+
+
+def guard_rollup(g: CodeGraph, found: DataFrame, limit: int = 12) -> DataFrame:
+    """(part, rank, label, n, more): what a change may break, rolled up.
+
+    ``significant``: the first ``limit`` production nodes of the significant types by id, with how many ``more`` there are; ``other``: the number
+    of production nodes of each other type, the most first, ties to the smaller type; ``test``: the number of nodes in tests, if any.
+    """
+    part = F.when(is_guard_test("file_path"), "test").when(F.col("type").isin(SIGNIFICANT), "significant").otherwise("other")
+    placed = g.nodes.select("id", "type", "file_path").join(found.select("id").distinct(), "id", "left_semi").select(part.alias("part"), "id", "type")
+    named = first_and_more(placed.where("part = 'significant'"), ["part"], ["id"], limit).select("part", "rank", F.col("id").alias("label"), F.lit(1).cast("bigint").alias("n"), "more")
+    label = F.when(F.col("part") == "other", F.col("type")).otherwise("")
+    counts = placed.where("part <> 'significant'").groupBy("part", label.alias("label")).agg(F.count("*").alias("n"))  # a row a type
+    rank = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("n"), "label"))
+    return named.unionAll(counts.select("part", rank.alias("rank"), "label", "n", F.lit(0).cast("bigint").alias("more")))
+
+
 def dependents_of_change(g: CodeGraph, changed: DataFrame, depth: int) -> DataFrame:
     """(id): the callers of all changed ids and the classes of calling methods, without what itself changed."""
     found = search(g, changed, depth, "in").select("id")

@@ -82,6 +82,23 @@ def related_types(spark, d):
     return traverse.without_library_flood(g, found, ORDER, "AGGREGATE", False).select("id")
 
 
+_NEAR_ORDERS = "SELECT id, type, CASE WHEN " + O.GUARD_TEST + " THEN 'test' WHEN type IN ('AGGREGATE', 'DOMAIN_EVENT', 'COMMAND', 'COMMAND_HANDLER', 'PROJECTION_HANDLER') THEN 'significant' ELSE 'other' END AS part FROM nodes WHERE id IN (SELECT id FROM reached)"
+
+
+@query(
+    O.with_graph(
+        f"""SELECT part, CAST(rank AS INTEGER) AS rank, id AS label, CAST(1 AS BIGINT) AS n, greatest(total - 12, 0) AS more FROM (SELECT part, id, row_number() OVER (ORDER BY id) AS rank, count(*) OVER () AS total FROM ({_NEAR_ORDERS}) WHERE part = 'significant') WHERE rank <= 12
+UNION ALL SELECT part, CAST(row_number() OVER (PARTITION BY part ORDER BY n DESC, label) AS INTEGER), label, n, 0 FROM (SELECT part, CASE WHEN part = 'other' THEN type ELSE '' END AS label, count(*) AS n FROM ({_NEAR_ORDERS}) WHERE part <> 'significant' GROUP BY 1, 2)""",
+        *O.search_sql("SELECT id FROM nodes WHERE type = 'SERVICE'", 1, "both"),
+    )
+)
+def guard_rollup_of_services(spark, d):
+    """What lies next to the services, rolled up as a report on a change."""
+    g = graph(spark, d)
+    near = traverse.search(g, g.nodes.where("type = 'SERVICE'").select("id"), 1, "both")
+    return impact.guard_rollup(g, near.select("id"))
+
+
 @query(f"WITH {_pairs_sql(50)}, files AS (SELECT DISTINCT file AS file_path FROM commits) SELECT file_path, coalesce(count, 0) AS co_changes FROM files LEFT JOIN (SELECT CASE WHEN file_a = 5 THEN file_b ELSE file_a END AS other, count FROM pairs WHERE file_a = 5 OR file_b = 5) ON other = file_path")
 def impact_with_coupling(spark, d):
     every = commits(spark, d)

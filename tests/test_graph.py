@@ -213,6 +213,33 @@ def test_tests_that_a_change_reaches(spark):
     assert [r.id for r in impact.tests_reached(g, found).collect()] == ["p.ATest"]
 
 
+def test_rollup_of_what_a_change_may_break(spark):
+    nodes = [(f"p.A{n}", "AGGREGATE", "src/main/java/p/A.java") for n in range(5)] + [("p.E", "DOMAIN_EVENT", None)]
+    nodes += [("p.S", "SERVICE", "S.java"), ("p.C", "CONTROLLER", "C.java"), ("p.K1", "CLASS", "K.java"), ("p.K2", "CLASS", "K.java"), ("p.ATest", "AGGREGATE", "src/test/java/p/ATest.java")]
+    g = graph(spark, nodes, [("USES_TYPE", "p.S", "p.A1")])
+    found = spark.createDataFrame([(i,) for i, _, _ in nodes] + [("p.S",), ("p.gone",), (None,)], "id string")
+    rows = sorted(tuple(r) for r in impact.guard_rollup(g, found, 3).collect())
+    assert rows == [
+        ("other", 1, "CLASS", 2, 0), ("other", 2, "CONTROLLER", 1, 0), ("other", 3, "SERVICE", 1, 0),
+        ("significant", 1, "p.A0", 1, 3), ("significant", 2, "p.A1", 1, 3), ("significant", 3, "p.A2", 1, 3), ("test", 1, "", 1, 0),
+    ]
+    assert impact.guard_rollup(g, found.limit(0)).count() == 0
+
+
+def test_a_batch_that_starts_tables_anew(spark, tmp_path):
+    catalog = store.Catalog(spark, str(tmp_path))
+    tables = {n: spark.range(k).toDF("id") for n, k in (("nodes", 3), ("edges", 4), ("co_change", 5))}
+    catalog.batch(tables)
+    catalog.batch(store.truncated({n: catalog.table(n) for n in tables}, ["edges", "co_change"]))
+    assert {n: catalog.table(n).count() for n in tables} == {"nodes": 3, "edges": 0, "co_change": 0}
+    assert catalog.table("edges").columns == ["id"]
+
+
+def test_labels_of_code_blocks(spark):
+    rows = spark.createDataFrame([("a/B.java", "java"), ("x.ts", "typescript"), ("run.sh", "bash"), ("v1.sql", "sql"), ("README.md", "java"), ("none", "java"), (None, "java")], "path string, want string")
+    assert rows.where(ids.fence_language("path") != F.col("want")).count() == 0
+
+
 def test_mermaid_text_opens_and_closes_each_package(spark, tmp_path):
     g = graph(spark, [("p.A", "CLASS", "A.java"), ("q.B", "CLASS", "B.java")], [("USES_TYPE", "p.A", "q.B")])
     export.write_mermaid(export.mermaid_rows(g.nodes, g.edges, spark.createDataFrame([("p.A", "p"), ("q.B", "q")], "id string, package string")), str(tmp_path / "m"))
