@@ -287,3 +287,30 @@ def test_reply_of_very_short_lines_is_whole(spark):
 def test_reply_budget(spark):
     rows = spark.createDataFrame([(f"{k:03d}", "x" * 9) for k in range(100)], "k string, line string")
     assert export.fitting(rows, ["k"], "line", budget=105).count() == 10
+
+
+def test_components_by_contraction_equal_union_find(spark):
+    """Random links, a long path, a hub, and ids without a node; scrambling has a way back, so that no two nodes get one number."""
+    rnd = random.Random(3)
+    pairs = [(f"r{rnd.randrange(300)}", f"r{rnd.randrange(300)}") for _ in range(200)]
+    pairs += [(f"p{i:03}", f"p{i + 1:03}") for i in range(60)] + [("hub", f"h{i}") for i in range(200)] + [("a-gone", "x1"), ("a-gone", "x2"), ("alone", "alone")]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    ids = sorted({x for p in pairs for x in p} - {"a-gone"}) + ["single"]
+    nodes = spark.createDataFrame([(x,) for x in ids], "id string")
+    edges = spark.createDataFrame([("CALLS", a, b) for a, b in pairs], "type string, source_id string, target_id string")
+    found = {(r.id, r.root) for r in traverse.components(CodeGraph(nodes, edges)).collect()}
+    assert found == {(x, find(x)) for x in ids}
+    numbers = spark.range(2000).select(F.expr("id * 8589934592 div 7").alias("n"))
+    there = numbers.select("n", traverse._scrambled(F.col("n"), 4).alias("s"))
+    assert there.select("s").distinct().count() == 2000
+    assert there.where(traverse._unscrambled(F.col("s"), 4) != F.col("n")).count() == 0
+    assert traverse.components(CodeGraph(nodes, edges.limit(0))).where("id <> root").count() == 0
