@@ -314,3 +314,17 @@ def test_components_by_contraction_equal_union_find(spark):
     assert there.select("s").distinct().count() == 2000
     assert there.where(traverse._unscrambled(F.col("s"), 4) != F.col("n")).count() == 0
     assert traverse.components(CodeGraph(nodes, edges.limit(0))).where("id <> root").count() == 0
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_packages_do_not_move_nodes_by_their_package(spark):
+    """All nodes of a package would meet in one task; only distinct packages that are types are joined, by broadcast."""
+    from graphloom.operators import packages
+
+    g = graph(spark, [("p.A", "CLASS", "A.java"), ("p.A.B", "CLASS", "A.java"), ("p.A.B.C", "CLASS", "A.java"), ("p.A.B.C.D", "CLASS", "A.java"), ("p.D#m()", "METHOD", "D.java")], [])
+    out = packages.with_package(g)
+    assert "SortMergeJoin" not in _plan(out) and "BroadcastHashJoin" in _plan(out)
+    assert {r.id: r.package for r in out.collect()} == {"p.A": "p", "p.A.B": "p", "p.A.B.C": "p", "p.A.B.C.D": "p", "p.D#m()": "p"}
