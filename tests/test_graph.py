@@ -328,3 +328,10 @@ def test_packages_do_not_move_nodes_by_their_package(spark):
     out = packages.with_package(g)
     assert "SortMergeJoin" not in _plan(out) and "BroadcastHashJoin" in _plan(out)
     assert {r.id: r.package for r in out.collect()} == {"p.A": "p", "p.A.B": "p", "p.A.B.C": "p", "p.A.B.C.D": "p", "p.D#m()": "p"}
+
+
+def test_search_leaves_nodes_in_place_where_little_is_found(spark):
+    g = graph(spark, [(x, "CLASS", "a") for x in "abc"], [("CALLS", "a", "b"), ("CALLS", "a", "gone")])
+    found = traverse.search(g, spark.createDataFrame([("a",)], "id string"), 1, "out")
+    assert "BroadcastHashJoin [id" in _plan(found)
+    assert [tuple(r) for r in found.collect()] == [("b", 1)]
