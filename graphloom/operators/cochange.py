@@ -17,12 +17,14 @@ def recent(commits: DataFrame, most: int = MOST_COMMITS) -> DataFrame:
 def pairs(commits: DataFrame, most_files: int = MOST_FILES) -> DataFrame:
     """(file_a, file_b, count) with file_a < file_b; commits of one file or over ``most_files`` are left out before the pairing.
 
-    A commit's files are one array of at most ``most_files``, and pairs come from within it, so that no commit is joined with itself.
+    A commit's rows are sorted by file once; repeats go, the size is counted and each file meets those after it on that order, so that no commit is
+    joined with itself and a bulk commit is counted without being held as one array.
     """
-    files = commits.select("commit", "file").distinct()
-    sized = files.groupBy("commit").agg(F.count("*").alias("_n")).where(F.col("_n").between(2, most_files))
-    sets = files.join(sized.select("commit"), "commit", "left_semi").groupBy("commit").agg(F.sort_array(F.collect_list("file")).alias("f"))
-    each = sets.select(F.posexplode("f").alias("_i", "file_a"), "f").select("file_a", F.explode(F.slice("f", F.col("_i") + 2, F.size("f"))).alias("file_b"))
+    w = Window.partitionBy("commit").orderBy("file")
+    own = commits.where("commit IS NOT NULL").select("commit", "file", ((F.row_number().over(w) == 1) | ~F.col("file").eqNullSafe(F.lag("file").over(w))).alias("_new")).where("_new")
+    sized = own.select("commit", "file", F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_n")).where(F.col("_n").between(2, most_files))
+    after = sized.select(F.col("file").alias("file_a"), F.collect_list("file").over(w.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    each = after.where("file_a IS NOT NULL").select("file_a", F.explode("_after").alias("file_b"))
     return each.groupBy("file_a", "file_b").agg(F.count("*").alias("count"))
 
 

@@ -335,3 +335,10 @@ def test_search_leaves_nodes_in_place_where_little_is_found(spark):
     found = traverse.search(g, spark.createDataFrame([("a",)], "id string"), 1, "out")
     assert "BroadcastHashJoin [id" in _plan(found)
     assert [tuple(r) for r in found.collect()] == [("b", 1)]
+
+
+def test_pairs_sort_a_commit_once_and_join_nothing(spark):
+    rows = [(1, "b"), (1, "a"), (1, "a"), (1, None), (2, "a"), (2, "b"), (3, "a"), (None, "a"), (None, "b"), (4, "a"), (4, "b"), (4, "c"), (4, "d")]
+    out = cochange.pairs(spark.createDataFrame(rows, "commit int, file string"), 3)
+    assert "Join" not in _plan(out)
+    assert [tuple(r) for r in out.collect()] == [("a", "b", 2)]
