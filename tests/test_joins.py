@@ -317,3 +317,14 @@ def test_names_in_snake_case(spark):
 
     names = ["OrderLineItem", "HTTPServer", "aB1C", "ABC", "x"]
     assert [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").coalesce(1).select(ids.snake_case("n")).collect()] == ["order_line_item", "http_server", "a_b1_c", "abc", "x"]
+
+
+def test_a_segment_is_sorted_runs_and_moves_no_posting(spark):
+    """A word is stored beside its token only if it has accents; each run lies in the order of tokens."""
+    from graphloom.operators import textindex
+
+    made = textindex.postings(spark.createDataFrame([("a", "zeta Größe alpha"), ("b", "Alpha beta")], "id string, text string"), ("text",), "id", 0)
+    assert {(r.token, r.word) for r in made.collect()} == {("zeta", None), ("große", "größe"), ("alpha", None), ("beta", None)}
+    run = textindex.sorted_segment(made.coalesce(1))
+    assert [r.token for r in run.collect()] == ["alpha", "alpha", "beta", "große", "zeta"]
+    assert len(run.inputFiles()) == 1
