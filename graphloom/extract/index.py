@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from graphloom.extract import java, scripts, sql
 from graphloom.extract.scan import FIELDS, ROWS
 from graphloom.functions.ids import declaring_class, method_name
-from graphloom.operators import contains, resolve
+from graphloom.operators import contains, resolve, traverse
+from graphloom.operators.graph import CodeGraph
 from graphloom.operators.incremental import shape_hash
 from graphloom.operators.store import by_path_order
 from graphloom.sources.storage import stored
@@ -31,7 +32,7 @@ def project_tier(files: DataFrame) -> str:
 
 
 def extract_rows(files: DataFrame, tier: str) -> DataFrame:
-    """All rows of all files (file_path, language, content); migrations are folded in order, as one group of a project's SQL files."""
+    """All rows of all files (file_path, language, content); migrations are folded in order."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -45,12 +46,51 @@ def extract_rows(files: DataFrame, tier: str) -> DataFrame:
                 out += found
             yield pd.DataFrame(out, columns=FIELDS).astype(object).where(lambda x: x.notna(), None)
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(sql.fold(list(zip(group["file_path"], group["content"]))), columns=FIELDS).astype(object).where(lambda x: x.notna(), None)
-
     code = files.where(F.col("language").isin("java", *SCANNERS)).select("file_path", "language", "content").mapInPandas(run, ROWS)
-    schema = files.where("language = 'sql'").groupBy("language").applyInPandas(fold, ROWS)
-    return code.unionByName(schema)
+    migrations = files.where("language = 'sql'")
+    return code if migrations.isEmpty() else code.unionByName(schema_rows(migrations))
+
+
+def schema_rows(files: DataFrame) -> DataFrame:
+    """The rows of ``sql.fold`` over all files (file_path, content), whose order counts for each name alone.
+
+    The files are read apart. Their changes are then dealt by name, names that a renaming joins together, and sorted by version, so that a task
+    holds the changes of one such group at a time, as a stream. What is referred to is met by its name at last in a join.
+    """
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["_late", "_version", "file_path", "_at", "op", "name", "other", "type", "line", "snippet", "refs"]
+        for b in batches:
+            found = [(*sql.sort_key(path), n, *change) for path, text in zip(b["file_path"], b["content"]) for n, change in enumerate(sql.changes(text or ""))]
+            yield pd.DataFrame(found, columns=columns)
+
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, schema, out = None, sql.Schema(), []
+        for b in batches:
+            for key, *change in zip(*(b[c] for c in ("_group", "file_path", "op", "name", "other", "type", "line", "snippet", "refs"))):
+                if key != group:
+                    out += schema.rows()
+                    group, schema = key, sql.Schema()
+                schema.apply(*change)
+            if len(out) >= 10_000:
+                yield pd.DataFrame(out, columns=FIELDS, dtype=object)
+                out = []
+        yield pd.DataFrame([*out, *schema.rows()], columns=FIELDS, dtype=object)
+
+    changes = stored(files.select("file_path", "content").mapInPandas(read, f"_late int, _version array<string>, file_path string, _at int, {sql.CHANGES}"), "schema-changes")
+    renamed = changes.where("op = 'rename' AND name <> other").select(F.lit("RENAMED").alias("type"), F.col("name").alias("source_id"), F.col("other").alias("target_id"))
+    if renamed.isEmpty():
+        grouped = changes.withColumn("_group", F.col("name"))
+    else:
+        names = renamed.select(F.col("source_id").alias("id")).union(renamed.select("target_id")).distinct()
+        together = traverse.components(CodeGraph(names, renamed)).select(F.col("id").alias("name"), F.col("root").alias("_root"))
+        grouped = changes.join(together, "name", "left").withColumn("_group", F.coalesce("_root", "name"))
+    dealt = grouped.repartition("_group").sortWithinPartitions("_group", "_late", "_version", "file_path", "_at")
+    rows = stored(dealt.mapInPandas(replay, ROWS), "schema-rows")
+    nodes = rows.where("kind = 'node'")
+    now = nodes.select(F.col("name").alias("_named"), F.col("id").alias("_now")).unionAll(rows.where("kind = 'now'").select("name", "target"))
+    met = rows.where("kind = 'wanted'").join(now, F.col("target") == F.col("_named")).where("source_id <> _now")
+    return nodes.unionByName(met.withColumn("kind", F.lit("edge")).withColumn("target", F.col("_now")).select(*FIELDS))
 
 
 def build(files: DataFrame, dependencies: DataFrame | None = None, rest: dict[str, DataFrame] | None = None, tier: str | None = None) -> dict[str, DataFrame]:

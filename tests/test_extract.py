@@ -1,6 +1,9 @@
 """Scanners on inline sources, and an index of a small mixed project."""
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.extract import index, java, scripts, sql
 
@@ -128,6 +131,27 @@ def test_sql_fold():
     assert {(r["source_id"], r["type"], r["target"]) for r in rows if r["kind"] == "edge"} == {("sql:orders", "REFERENCES_FK", "sql:client"), ("sql:recent", "DERIVES_FROM", "sql:client")}
 
 
+def test_migrations_are_folded_apart(spark):
+    """Random migrations with renamings that cross names; the rows are those of the fold in one go, and are not made by one task."""
+    chance, names = random.Random(3), [f"t{n}" for n in range(30)]
+    files = []
+    for n in range(150):
+        a, b = chance.choice(names), chance.choice(names)
+        kinds = [f"create table {a} (id int, x int references {b}(id));", f"create view {a} as select * from {b};", f"alter table {a} rename to {b};", f"alter table {a} add foreign key (x) references {b};", f"drop table {a}, {b} cascade;"]
+        files.append((f"db/V{n // 7}.{n % 7}__x.sql", "sql", "-- " + "\n".join(chance.choices(kinds, [6, 2, 1, 2, 1], k=2)) + "\n" + chance.choices(kinds, [6, 2, 1, 2, 1])[0]))
+    files += [(f"db/V{n}__y.sql", "sql", f"create table y{n} (id int references y{n // 2});") for n in range(40)]
+    table = spark.createDataFrame(files, "file_path string, language string, content string").repartition(3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = index.extract_rows(table, "GENERIC").withColumn("_task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = sql.fold([(p, t) for p, _, t in files])
+    fields = ["kind", "file_path", "id", "type", "name", "line", "snippet", "source_id", "target"]
+    assert sorted(map(str, ([r[f] for f in fields] for r in got))) == sorted(map(str, ([r[f] for f in fields] for r in want)))
+    assert len({r["_task"] for r in got if r["kind"] == "node"}) > 1
+
+
 def test_python_rows():
     rows = scripts.python("pkg/tool.py", PY)
     assert ids(rows) == {"pkg/tool.py": "PY_MODULE", "pkg/tool.py::Tool": "PY_CLASS", "pkg/tool.py::Base": "PY_CLASS"}
