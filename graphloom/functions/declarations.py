@@ -1,9 +1,13 @@
-"""Declarations cut out of snippets, as column functions: folds over lines and characters that carry brackets and quotes."""
+"""Declarations cut out of snippets, as column functions. Brackets and quotes are followed in batches in Python, once a snippet."""
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from graphloom.functions.ids import fence_language
 
@@ -14,46 +18,64 @@ TYPE_WORDS = ("class", "interface", "record", "enum", "trait", "mixin")
 CLAUSE_WORDS = ("extends", "implements", "permits", "with")
 
 
-def _characters(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+#: A line that is blank or a comment of its own, and lines from one that begins with a block comment to the one that ends it.
+_NOT_CODE = r"(?md)^[\s&&[^\n]]*+(?:/(?=\*)(?s:.*?\*/[^\n]*+|.*+)|//[^\n]*+)?(?:\n|\z)"
 
 
 def without_comments(snippet: Column) -> Column:
     """The lines that are neither blank nor comments of their own, each without blanks at its end and with a line end."""
+    code = F.regexp_replace(F.regexp_replace(F.regexp_replace(snippet, r"\r\n?", "\n"), _NOT_CODE, ""), r"(?<!\s)[\s&&[^\n]]++(?=\n|\z)", "")
+    return F.regexp_replace(code, r"([^\n])\z", "$1\n")
+
+
+_CUTS = re.compile(r"""(?s)"(?:\\.|[^"\\])*"?|'(?:\\.|[^'\\])*'?|[(){;]""")
 
-    def step(state: Column, line: Column) -> Column:
-        plain = F.trim(F.regexp_replace(line, r"^\s+|\s+$", ""))
-        comment = state["inside"] | plain.startswith("/*")
-        kept = ~comment & (plain != "") & ~plain.startswith("//")
-        return F.struct((comment & ~plain.contains("*/")).alias("inside"), F.when(kept, F.concat(state["text"], F.regexp_replace(line, r"\s+$", ""), F.lit("\n"))).otherwise(state["text"]).alias("text"))
 
-    start = F.struct(F.lit(False).alias("inside"), F.lit("").alias("text"))
-    return F.aggregate(F.split(snippet, r"\r\n|\r|\n"), start, step, lambda s: s["text"])
+def cut_at(text: str) -> int:
+    """Where a text's first ``{``, or what follows its first ``;``, lies in no parenthesis and no quotes; -1 if nowhere."""
+    depth = 0
+    for m in _CUTS.finditer(text):
+        c = m[0]
+        if c == "(":
+            depth += 1
+        elif c == ")":
+            depth -= 1
+        elif depth <= 0 and c in ("{", ";"):
+            return m.start() + (c == ";")
+    return -1
 
 
-def _cut(text: Column) -> Column:
-    """The text up to the first ``{``, or with the first ``;``, that lies in no parenthesis and no quotes."""
+@F.pandas_udf(StringType())
+def _cut(texts: pd.Series) -> pd.Series:
+    """Each text up to its cut."""
+    return pd.Series([None if t is None else t if (at := cut_at(t)) < 0 else t[:at] for t in texts], dtype=object)
 
-    def step(state: Column, c: Column) -> Column:
-        done, quote, depth = state["end"] >= 0, state["quote"], state["depth"]
-        quoted = quote != ""
-        ends = ~done & ~quoted & (depth <= 0)
-        return F.struct(
-            (state["at"] + 1).alias("at"),
-            F.when(quoted | done, depth).when(c == "(", depth + 1).when(c == ")", depth - 1).otherwise(depth).alias("depth"),
-            F.when(quoted, F.when(state["escaped"] | (c != quote), quote).otherwise("")).when(c.isin('"', "'"), c).otherwise("").alias("quote"),
-            (quoted & ~state["escaped"] & (c == "\\")).alias("escaped"),
-            F.when(ends & (c == "{"), state["at"]).when(ends & (c == ";"), state["at"] + 1).otherwise(state["end"]).alias("end"),
-        )
 
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit("").alias("quote"), F.lit(False).alias("escaped"), F.lit(-1).alias("end"))
-    end = F.aggregate(_characters(text), start, step, lambda s: s["end"])
-    return F.regexp_replace(F.when(end >= 0, F.substring(text, F.lit(1), end)).otherwise(text), r"^\s+|\s+$", "")
+def marked(text: str) -> str:
+    """What lies in angle brackets or parentheses, and they themselves, with a mark after each character; commas there as another character."""
+    depth, out, last = 0, [], 0
+    for m in re.finditer(r"[<(>)]", text):
+        part, c = text[last : m.start()], m[0]
+        last = m.end()
+        out.append(part if depth == 0 else "".join(f"{x}\x03" for x in part.replace(",", "\x02")))
+        if c in "<(":
+            depth += 1
+        out.append(c if depth == 0 else c + "\x03")
+        if c in ">)":
+            depth = max(depth - 1, 0)
+    part = text[last:]
+    out.append(part if depth == 0 else "".join(f"{x}\x03" for x in part.replace(",", "\x02")))
+    return "".join(out)
+
+
+@F.pandas_udf(StringType())
+def _marked(texts: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else marked(t) for t in texts], dtype=object)
 
 
 def declaration(snippet: Column, path: Column) -> Column:
     """Annotations and signature of a stored snippet, without comments and body; snippets of languages without braces stay, a null is empty."""
-    return F.when(snippet.isNull(), "").when(fence_language(F.coalesce(path, F.lit(""))).isin(*WHOLE), snippet).otherwise(_cut(without_comments(snippet)))
+    return F.when(snippet.isNull(), "").when(fence_language(F.coalesce(path, F.lit(""))).isin(*WHOLE), snippet).otherwise(F.regexp_replace(_cut(without_comments(snippet)), r"^\s+|\s+$", ""))
 
 
 def supertype_clause(snippet: Column, path: Column, word: str) -> Column:
@@ -64,12 +86,6 @@ def supertype_clause(snippet: Column, path: Column, word: str) -> Column:
     head = r"(?s)\b(?:" + "|".join(TYPE_WORDS) + r")\s+\w+(.*)$"
     tail = F.when(fence_language(F.coalesce(path, F.lit(""))).isin(*WHOLE), "").otherwise(F.regexp_extract(declaration(snippet, path), head, 1))
 
-    def step(state: Column, c: Column) -> Column:
-        depth = state["depth"] + F.when(c.isin("<", "("), 1).otherwise(0)
-        shown = F.when(depth == 0, c).otherwise(F.concat(F.when(c == ",", "\x02").otherwise(c), F.lit("\x03")))
-        return F.struct(F.when(c.isin(">", ")"), F.greatest(depth - 1, F.lit(0))).otherwise(depth).alias("depth"), F.concat(state["text"], shown).alias("text"))
-
-    marked = F.aggregate(_characters(tail), F.struct(F.lit(0).alias("depth"), F.lit("").alias("text")), step, lambda s: s["text"])
-    clause = F.regexp_extract(marked, rf"(?s)\b{word}\b(.*?)(?:\b(?:{'|'.join(CLAUSE_WORDS)})\b|$)", 1)
+    clause = F.regexp_extract(_marked(tail), rf"(?s)\b{word}\b(.*?)(?:\b(?:{'|'.join(CLAUSE_WORDS)})\b|$)", 1)
     names = F.transform(F.split(clause, ","), lambda n: F.trim(F.regexp_replace(F.translate(n, "\x02\x03", ","), r"\s+", " ")))
     return F.filter(names, lambda n: n != "")

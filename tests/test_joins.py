@@ -306,6 +306,36 @@ def test_declarations_and_supertype_clauses(spark):
     assert [(r.d, list(r.e), list(r.i)) for r in got] == [(d, e, i) for _, _, d, e, i in cases]
 
 
+def test_declarations_are_cut_once_a_snippet_by_no_fold_over_characters(spark):
+    import random
+
+    from graphloom.functions import declarations
+
+    s, p = F.col("s"), F.col("p")
+    df = spark.createDataFrame([("class A extends B {", "a.java")], "s string, p string")
+    cut = df.select(declarations.declaration(s, p).alias("d"), declarations.supertype_clause(s, p, "extends").alias("e"), declarations.supertype_clause(s, p, "implements").alias("i"))
+    plan = cut._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan and plan.count("ArrowEvalPython") == 2  # each text is cut once and marked once for all three columns
+
+    def slow(text):
+        depth, quote, escaped = 0, "", False
+        for at, c in enumerate(text):
+            if quote:
+                quote, escaped = (quote if escaped or c != quote else ""), (not escaped and c == "\\")
+            elif c in "\"'":
+                quote = c
+            elif depth <= 0 and c in "{;":
+                return at + (c == ";")
+            else:
+                depth += (c == "(") - (c == ")")
+        return -1
+
+    chance = random.Random(5)
+    for _ in range(2000):
+        text = "".join(chance.choices("a\"'\\(){;\n", [6, 1, 1, 1, 2, 2, 1, 1, 1], k=chance.randint(0, 30)))
+        assert declarations.cut_at(text) == slow(text)
+
+
 def test_first_rows_and_how_many_more(spark):
     rows = [("a", n) for n in range(7)] + [("b", 1), (None, 3), (None, 4)]
     got = search.first_and_more(spark.createDataFrame(rows, "k string, n int"), ["k"], [F.desc("n")], 2)
