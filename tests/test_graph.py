@@ -66,6 +66,37 @@ def test_pagerank_invariants(spark):
     assert {r.score for r in none} == {0.0}
 
 
+def test_pagerank_sends_a_rank_once_to_a_bucket_and_equals_plain_rounds(spark):
+    import numpy as np
+    import pandas as pd
+
+    chance, size = random.Random(4), 60
+    pairs = [(chance.randrange(size), chance.randrange(50) if chance.random() < 0.7 else 7) for _ in range(150)]
+    pairs = [(a, b) for a, b in pairs if a < 50]  # the last ten have no edge
+    w = np.zeros((size, size))
+    for a, b in pairs:
+        if a != b:
+            w[a, b] += 1
+            w[b, a] += 1
+    w = np.sqrt(w)
+    p = np.zeros(size)
+    p[[3, 9, 55, 58]] = np.array([1, 2, 3, 1]) / 7
+    out, r = w.sum(1), p
+    for _ in range(20):
+        lost = r[out == 0].sum()
+        r = p * (0.15 + 0.85 * lost) + 0.85 * (w.T @ np.divide(r, out, out=np.zeros(size), where=out > 0))
+    g = graph(spark, [(f"n{n}", "CLASS", "a") for n in range(size)], [("CALLS", f"n{a}", f"n{b}") for a, b in pairs])
+    seeds = spark.createDataFrame([("n3", 1.0), ("n9", 2.0), ("n55", 3.0), ("n58", 1.0), ("unknown", 0.0)], "id string, mass double")
+    got = {x.id: x.score for x in rank.pagerank(g.nodes, g.edges, seeds).collect()}
+    assert len(got) == size and [got[f"n{n}"] for n in range(size)] == pytest.approx(list(r))
+
+    many = pd.DataFrame({"s": [5] * 40 + [6, 6], "t": [*((1 << rank.SHIFT) + n for n in range(40)), 1 << rank.SHIFT, 1 << rank.SHIFT]})
+    blocks = rank._blocks(many)
+    route = blocks[blocks["part"] == "route"]
+    assert [(r.b, r.other, list(np.frombuffer(r.i, np.int32))) for r in route.itertuples()] == [(0, 1, [5, 6])]  # forty edges, one rank
+    assert np.frombuffer(blocks[blocks["part"] == "strength"]["x"].iat[0])[0] == pytest.approx(1 + 2**0.5)
+
+
 def test_dead_tiers(spark):
     nodes = [("p.Ctrl", "CONTROLLER", "src/main/a.java"), ("sql:t", "SQL_TABLE", "db/a.sql"), ("p.T", "CLASS", "src/test/a.java"), ("p.Only", "CLASS", "src/main/b.java"), ("p.S", "SERVICE", "src/main/c.java"),
              ("p.E", "ENTITY", "src/main/d.java"), ("p.Impl", "CLASS", "src/main/e.java"), ("p.I", "INTERFACE", "src/main/f.java"), ("p.Conf", "CONFIGURATION", "src/main/g.java"), ("p.Use", "SERVICE", "src/main/h.java")]
