@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.ids import arity
-from graphloom.sources.storage import stored
+from graphloom.sources.storage import bucketed, stored
 
 NOT_TYPES = ("LIBRARY", "SHELL_COMMAND", "METHOD")
 
@@ -90,33 +90,79 @@ def type_names(refs: DataFrame, types: DataFrame, imports: DataFrame, wildcards:
     return found.join(ids.select(F.col("id").alias("_whole")), "_whole", "left_semi").select("file_path", "owner", "target", F.col("_whole").alias("resolved"))
 
 
+def _overloads(methods: DataFrame) -> DataFrame:
+    """(receiver, name, method, _arity, _alike): each method with the number of those of its name in its type."""
+    sized = methods.select(F.col("owner").alias("receiver"), "name", F.col("id").alias("method"), arity("id").alias("_arity"))
+    return sized.withColumn("_alike", F.count("*").over(Window.partitionBy("receiver", "name")))
+
+
+#: What a call asks for; calls that ask for the same bind the same methods.
+_ASKED = ["receiver", "name", "n"]
+
+
+def _fits() -> Column:
+    return (F.col("_alike") == 1) | (F.col("n") == F.col("_arity"))
+
+
 def bind(calls: DataFrame, methods: DataFrame) -> DataFrame:
     """(call, method): the methods of the receiver with the call's name: the only one, or all with its number of arguments.
 
     ``calls``: call, receiver, name, n (-1 if unknown); ``methods``: id, owner, name.
     """
-    sized = methods.select(F.col("id").alias("method"), F.col("owner").alias("receiver"), "name", arity("id").alias("_arity"))
-    alike = sized.groupBy("receiver", "name").agg(F.count("*").alias("_alike"))
-    hit = calls.join(sized, ["receiver", "name"]).join(alike, ["receiver", "name"])
-    return hit.where((F.col("_alike") == 1) | (F.col("n") == F.col("_arity"))).select("call", "method")
+    return calls.join(_overloads(methods), ["receiver", "name"]).where(_fits()).select("call", "method")
+
+
+def _above(types: DataFrame, up: DataFrame) -> DataFrame:
+    """(receiver, at, d): the distinct types of ``types`` (receiver) at 0, and each supertype at its least number of steps; cycles end too."""
+    level = stored(types.select("receiver", F.col("receiver").alias("at")).distinct(), "types-above")
+    been = level.withColumn("d", F.lit(0))
+    d = 0
+    while not level.isEmpty():
+        d += 1
+        further = level.join(up, "at").select("receiver", F.col("_up").alias("at")).distinct()
+        level = stored(further.join(been, ["receiver", "at"], "left_anti"), "types-above")
+        been = been.unionAll(level.withColumn("d", F.lit(d)))
+    return been
+
+
+def _bind_asked(asked: DataFrame, overloads: DataFrame, up: DataFrame, above: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """((receiver, name, n, method), above): what the distinct rows of ``asked`` bind, going up where the receiver binds nothing.
+
+    Only types with something unbound are walked up, and none that is in ``above`` from before. The supertypes met go with their distance, so
+    that all levels are one join with the methods.
+    """
+    direct = stored(asked.join(overloads, ["receiver", "name"]).where(_fits()).select(*_ASKED, "method").distinct(), "bound-directly")
+    rest = stored(asked.join(direct.select(*_ASKED).distinct(), _ASKED, "left_anti"), "unbound")
+    if rest.isEmpty():
+        return direct, above
+    new = rest if above is None else rest.join(above.where("d = 0"), "receiver", "left_anti")
+    walked = _above(new, up)
+    above = walked if above is None else above.unionAll(walked)
+    there = overloads.withColumnRenamed("receiver", "at")
+    far = rest.join(above.where("d > 0"), "receiver").join(there, ["at", "name"]).where(_fits())
+    nearest = far.withColumn("_k", F.rank().over(Window.partitionBy(*_ASKED).orderBy("d"))).where("_k = 1")
+    return stored(direct.unionAll(nearest.select(*_ASKED, "method").distinct()), "bound-asked"), above
+
+
+def _calls(calls: DataFrame) -> DataFrame:
+    """A null number of arguments is an unknown one, so that equal calls compare as equal."""
+    return calls.withColumn("n", F.coalesce("n", F.lit(-1)))
 
 
 def bind_through_supertypes(calls: DataFrame, methods: DataFrame, supers: DataFrame) -> DataFrame:
     """(call, method): as ``bind``, going up from the receiver a level at a time until one binds or nothing is above.
 
-    A call visits a type once, so that cycles end too.
+    ``calls`` has a row a call. Bound are the distinct receivers, names and numbers of arguments, and then the calls by them. A type is visited once from
+    each receiver, so that cycles end too.
     """
-    left, out = calls, None
-    been = calls.select("call", "receiver").distinct()
-    up = supers.select(F.col("source_id").alias("receiver"), F.col("target_id").alias("_up")).distinct()
-    while True:
-        hit = bind(left, methods).distinct()
-        out = hit if out is None else out.unionByName(hit)
-        left = left.join(hit.select("call").distinct(), "call", "left_anti").join(up, "receiver").select("call", F.col("_up").alias("receiver"), "name", "n").distinct()
-        left = stored(left.join(been, ["call", "receiver"], "left_anti"), "calls-above")
-        if left.isEmpty():
-            return out.distinct()
-        been = been.unionAll(left.select("call", "receiver"))
+    calls = _calls(calls)
+    known, up = stored(_overloads(methods), "overloads"), _up(supers)
+    bound, _ = _bind_asked(stored(calls.select(*_ASKED).distinct(), "asked"), known, up, None)
+    return calls.join(bound, _ASKED).select("call", "method").distinct()
+
+
+def _up(supers: DataFrame) -> DataFrame:
+    return stored(supers.select(F.col("source_id").alias("at"), F.col("target_id").alias("_up")).distinct(), "supertypes")
 
 
 def bind_chains(calls: DataFrame, methods: DataFrame, supers: DataFrame, returns: DataFrame) -> DataFrame:
@@ -124,18 +170,25 @@ def bind_chains(calls: DataFrame, methods: DataFrame, supers: DataFrame, returns
 
     A call without a parent has a receiver. A call on the result of another, its parent, has the return class of the method that the
     parent binds as receiver, if the parent binds exactly one. So the links of all chains are bound
-    a depth at a time, until no link is left whose parent gave a class. Each call has one parent, so that it is bound once.
+    a depth at a time, until no link is left whose parent gave a class. Each call has one row and one parent, so that it is bound once.
+
+    Methods, supertypes and return classes are stored once, and links are dealt once by their parent. A depth binds what its calls ask for,
+    each receiver, name and number of arguments once, so that calls meet methods in one join whatever the height of the types.
     """
-    links = stored(calls.where("parent IS NOT NULL").select("call", "parent", "name", "n"), "links")
-    level, out = calls.where("parent IS NULL AND receiver IS NOT NULL").select("call", "receiver", "name", "n"), []
-    while True:
-        bound = stored(bind_through_supertypes(level, methods, supers), "links-bound")
-        out.append(bound)
-        one = bound.groupBy("call").agg(F.min("method").alias("method_id"), F.count("*").alias("_n")).where("_n = 1")
-        given = one.join(returns.select("method_id", "class_id").dropDuplicates(["method_id"]), "method_id").select(F.col("call").alias("parent"), F.col("class_id").alias("receiver"))
-        level = stored(links.join(given, "parent").select("call", "receiver", "name", "n"), "next-links")
-        if level.isEmpty():
-            return reduce(DataFrame.unionAll, out)
+    calls = stored(_calls(calls.select("call", "parent", "receiver", "name", "n")), "calls")
+    known, up = stored(_overloads(methods), "overloads"), _up(supers)
+    given = stored(returns.select(F.col("method_id").alias("method"), "class_id").dropDuplicates(["method"]), "return-classes")
+    level, out, above = calls.where("parent IS NULL AND receiver IS NOT NULL").select("call", *_ASKED), [], None
+    with bucketed(calls.where("parent IS NOT NULL").select("call", "parent", "name", "n"), "links", "parent") as links:
+        while True:
+            asked, above = _bind_asked(stored(level.select(*_ASKED).distinct(), "asked"), known, up, above)
+            out.append(stored(level.join(asked, _ASKED).select("call", "method").distinct(), "links-bound"))
+            one = asked.groupBy(*_ASKED).agg(F.min("method").alias("method"), F.count("*").alias("_n")).where("_n = 1")
+            classes = stored(one.join(given, "method").select(*_ASKED, "class_id"), "classes-given")
+            parents = level.join(classes, _ASKED).select(F.col("call").alias("parent"), F.col("class_id").alias("receiver"))
+            level = stored(links.join(parents, "parent").select("call", "receiver", "name", "n"), "next-links")
+            if level.isEmpty():
+                return reduce(DataFrame.unionAll, out)
 
 
 def overrides(methods: DataFrame, supers: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.operators import contains, impact, resolve, traverse
 from graphloom.plans import oracle as O
 from graphloom.plans.queries import _SPANS, _spans, graph, query
-from graphloom.sources.storage import table
+from graphloom.sources.storage import stored, table
 
 # --- chained calls: the lines of an order are a chain, each on the result of the one before ------------------------------------
 
@@ -24,8 +24,11 @@ def call_tables(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     first = F.col("l_linenumber") == 1
     at = lambda n: F.concat_ws("/", "l_orderkey", n)
     calls = one.select(at("l_linenumber").alias("call"), F.when(~first, at(F.col("l_linenumber") - 1)).alias("parent"), F.when(first, _name("P", F.col("p"))).alias("receiver"), _name("m", F.col("s") % 3).alias("name"), (F.col("p") % 2).cast("int").alias("n"))
-    made = line.select(_name("P", F.col("l_partkey")).alias("owner"), _name("m", F.col("l_suppkey") % 3).alias("name"), F.when(F.col("l_linenumber") % 2 == 1, "(int)").otherwise("()").alias("_params"), "l_orderkey")
-    each = made.groupBy("owner", "name", "_params").agg(F.min("l_orderkey").alias("k")).withColumn("id", F.concat("owner", F.lit("#"), "name", "_params"))
+    odd = F.coalesce(F.col("l_linenumber") % 2 == 1, F.lit(False))
+    made = line.groupBy("l_partkey", (F.col("l_suppkey") % 3).alias("s"), odd.alias("odd")).agg(F.min("l_orderkey").alias("k"))
+    each = made.select(_name("P", F.col("l_partkey")).alias("owner"), _name("m", F.col("s")).alias("name"), F.when(F.col("odd"), "(int)").otherwise("()").alias("_params"), "k")
+    each = each.withColumn("id", F.concat("owner", F.lit("#"), "name", "_params"))
+    each = stored(each, "methods")  # methods and what they return are read from one aggregation of the lines
     supers = part.where("p_partkey % 2 = 0 AND p_partkey > 0").select(_name("P", F.col("p_partkey")).alias("source_id"), _name("P", (F.col("p_partkey") / 2).cast("bigint")).alias("target_id"))
     return calls, each.select("id", "owner", "name"), supers, each.select(F.col("id").alias("method_id"), _name("P", F.col("k") % 199 + 1).alias("class_id"))
 

@@ -116,6 +116,28 @@ def test_chain_of_calls_through_supertypes(spark):
     assert {tuple(r) for r in resolve.bind_chains(calls, methods, supers, returns).collect()} == {("1", "T#m()"), ("2", "U#n()"), ("3", "U#o()")}
 
 
+def test_chains_read_the_methods_once_whatever_the_height_of_the_types(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    height = 6
+    supers = spark.createDataFrame([(f"C{k}", f"C{k + 1}") for k in range(height)] + [(f"C{height}", "C0")], "source_id string, target_id string")
+    methods = spark.createDataFrame([(f"C{height}#m()", f"C{height}", "m"), ("C3#o(int)", "C3", "o"), ("C3#o(long)", "C3", "o")], "id string, owner string, name string")
+    methods = methods.mapInPandas(counted, methods.schema)
+    calls = spark.createDataFrame([("1", None, "C0", "m", 0), ("2", "1", None, "m", None), ("3", "2", None, "o", 1), ("4", "3", None, "m", 0), ("5", None, "C4", "o", -1)], "call string, parent string, receiver string, name string, n int")
+    returns = spark.createDataFrame([(f"C{height}#m()", "C1"), ("C3#o(int)", "C1")], "method_id string, class_id string")
+    bound = resolve.bind_chains(calls, methods, supers, returns)
+    assert sorted(tuple(r) for r in bound.collect()) == [("1", f"C{height}#m()"), ("2", f"C{height}#m()"), ("3", "C3#o(int)"), ("3", "C3#o(long)")]
+    assert read.value == 3
+    single = resolve.bind_through_supertypes(calls.where("receiver IS NOT NULL"), methods, supers)
+    assert [tuple(r) for r in single.select("call", "method").collect()] == [("1", f"C{height}#m()")]
+    assert read.value == 6
+
+
 # --- inherited member types ------------------------------------------------------------
 
 
