@@ -2,7 +2,8 @@
 
 A word becomes a doubly linked list of symbols. A priority queue holds the
 merges that may apply, ordered by rank and then by place; an entry whose two
-symbols have changed meanwhile is stale and skipped. Decoding joins the
+symbols have changed meanwhile is stale and skipped. Short words keep the ranks
+of their pairs in a list, whose least is looked for anew after each merge. Decoding joins the
 vocabulary strings, one space between tokens, as the published file names no
 decoder.
 
@@ -33,6 +34,11 @@ from pyspark.sql import functions as F
 #: Chunks of text whose pieces a worker remembers in each of two generations; when one is full the older is let go.
 CACHE_WORDS = 400_000
 
+#: Words of up to so many symbols are merged by a list of ranks, longer ones by a priority queue.
+SHORT = 32
+#: A rank after all others: the pair has no merge.
+NO_MERGE = 1 << 40
+
 
 def default_path() -> str:
     import public_tokenizers
@@ -119,6 +125,8 @@ class Bpe:
         symbols = [*map(self.inner.__getitem__, data[:-1]), self.final[data[-1]]]
         if None in symbols:
             symbols = [s for s in symbols if s is not None]
+        if len(symbols) <= SHORT:
+            return self.short_ids(symbols)
         rank, merged = self.rank.get, self.merged
         queue, left = [], symbols[0] if symbols else -1
         for at, right in enumerate(symbols[1:]):
@@ -152,6 +160,19 @@ class Bpe:
                     heappush(queue, r << 32 | prior)
         return [s for s in symbols if s >= 0]
 
+    def short_ids(self, symbols: list[int]) -> list[int]:
+        rank = self.rank.get
+        ranks = [rank(a << 20 | b, NO_MERGE) for a, b in zip(symbols, symbols[1:])]
+        while ranks and (r := min(ranks)) != NO_MERGE:
+            at = ranks.index(r)
+            symbol = symbols[at] = self.merged[r]
+            del symbols[at + 1], ranks[at]
+            if at:
+                ranks[at - 1] = rank(symbols[at - 1] << 20 | symbol, NO_MERGE)
+            if at < len(ranks):
+                ranks[at] = rank(symbol << 20 | symbols[at + 1], NO_MERGE)
+        return symbols
+
     def chunks(self, text: str) -> Iterator[tuple[int | None, list[str]]]:
         """The special token (or None) and the chunks between white space of each stretch of a text."""
         last = 0

@@ -784,3 +784,17 @@ def test_toxicity_is_fitted_alike_in_the_driver_and_in_spark(spark):
     docs, labels = spark.createDataFrame(rows, DOC), spark.createDataFrame([(n, n % 3 == 0) for n in range(60)], "doc_id bigint, toxic boolean")
     one, other = (toxicity.fit(docs, labels, rounds=5, most_bytes=b) for b in (1 << 20, 0))
     assert one.weights.any() and np.allclose(one.weights, other.weights, atol=1e-5) and abs(one.bias - other.bias) + abs(one.leak - other.leak) < 1e-6
+
+
+def test_short_words_merge_as_long_ones(monkeypatch):
+    import random
+
+    from graphloom.llm import bpe
+
+    with open(bpe.default_path(), encoding="utf-8") as f:
+        model = bpe.Bpe(f.read())
+    r = random.Random(3)
+    words = ["".join(r.choice("aeiourstnlé啊") for _ in range(r.randint(1, 30))) for _ in range(400)] + ["a" * 31, "ab" * 16, "international", "x"]
+    short = [model.word_ids(w) for w in words]
+    monkeypatch.setattr(bpe, "SHORT", 0)
+    assert short == [model.word_ids(w) for w in words]
