@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.ids import mermaid_id
+from graphloom.sources.storage import stored
 
 # The style class of each node type in a Mermaid graph.
 STYLES = {
@@ -30,25 +31,43 @@ def json_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.unionAll(edges.select(F.lit("edge"), F.to_json(F.struct("type", F.col("source_id").alias("source"), F.col("target_id").alias("target")))))
 
 
-def mermaid_rows(nodes: DataFrame, edges: DataFrame, packages: DataFrame) -> DataFrame:
+def _placed(nodes: DataFrame, edges: DataFrame, packages: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(nodes with their package, edges with both ends among the nodes).
+
+    Ends are counted together with the ids of the nodes, so that ids alone are moved. What the count finds odd, ends without a node and
+    ids of several nodes, is little as a rule; edges and nodes are held against that and stay where they lie. Nodes of one id
+    meet all packages of that id, as in a join.
+    """
+    ends = edges.select(F.col("source_id").alias("id")).unionAll(edges.select(F.col("target_id").alias("id")))
+    counts = nodes.select("id", F.lit(1).alias("n")).unionAll(ends.withColumn("n", F.lit(0))).groupBy("id").agg(F.sum("n").alias("n"))
+    odd = stored(counts.where("n <> 1"), "odd-ids")
+    unknown = odd.where("n = 0").select("id")
+    inner = edges.where("source_id IS NOT NULL AND target_id IS NOT NULL")
+    for end in ("source_id", "target_id"):
+        inner = inner.join(unknown.withColumnRenamed("id", end), end, "left_anti")
+    if packages is not None:
+        return nodes.join(packages.select("id", "package"), "id"), inner
+    repeated = nodes.join(odd.where("n > 1"), "id", "left_semi")
+    single = nodes.where("id IS NOT NULL").join(odd.where("n > 1"), "id", "left_anti").select("id", "name", "type", "package")
+    return single.unionAll(repeated.select("id", "name", "type").join(repeated.select("id", "package"), "id").select("id", "name", "type", "package")), inner
+
+
+def mermaid_rows(nodes: DataFrame, edges: DataFrame, packages: DataFrame | None = None) -> DataFrame:
     """(section, package, line): node lines by package, edge lines and style lines; both ends of an edge must be there.
 
-    Ids come from node ids, so that equal names stay apart.
+    Ids come from node ids, so that equal names stay apart. Nodes with a column package need no ``packages`` (id, package).
     """
-    placed = nodes.join(packages.select("id", "package"), "id")
+    placed, inner = _placed(nodes, edges, packages)
     n = placed.select(F.lit(1).alias("section"), "package", F.concat(F.lit("    "), mermaid_id("id"), F.lit('["'), F.col("name"), F.lit("<br/>"), F.col("type"), F.lit('"]')).alias("line"))
-    ids = nodes.select("id")
-    inner = edges.join(ids.select(F.col("id").alias("source_id")), "source_id", "left_semi").join(ids.select(F.col("id").alias("target_id")), "target_id", "left_semi")
     e = inner.select(F.lit(2), F.lit(""), F.concat(F.lit("  "), mermaid_id("source_id"), F.lit(" -->|"), F.col("type"), F.lit("| "), mermaid_id("target_id")))
     s = nodes.select(F.lit(3), F.lit(""), F.concat(F.lit("  class "), mermaid_id("id"), F.lit(" "), _style()))
     return n.unionAll(e).unionAll(s)
 
 
-def plantuml_rows(nodes: DataFrame, edges: DataFrame, packages: DataFrame) -> DataFrame:
-    placed = nodes.join(packages.select("id", "package"), "id")
+def plantuml_rows(nodes: DataFrame, edges: DataFrame, packages: DataFrame | None = None) -> DataFrame:
+    """(section, package, line): node lines by package and edge lines, of tables as for ``mermaid_rows``."""
+    placed, inner = _placed(nodes, edges, packages)
     n = placed.select(F.lit(1).alias("section"), "package", F.concat(F.lit("  ["), F.col("name"), F.lit("] as "), mermaid_id("id"), F.lit(" <<"), F.col("type"), F.lit(">>")).alias("line"))
-    ids = nodes.select("id")
-    inner = edges.join(ids.select(F.col("id").alias("source_id")), "source_id", "left_semi").join(ids.select(F.col("id").alias("target_id")), "target_id", "left_semi")
     return n.unionAll(inner.select(F.lit(2), F.lit(""), F.concat(mermaid_id("source_id"), F.lit(" --> "), mermaid_id("target_id"), F.lit(" : "), F.col("type"))))
 
 

@@ -16,13 +16,13 @@ def _cut(c: Column) -> Column:
     return F.when(head == "", c).otherwise(head)
 
 
-def with_package(g: CodeGraph) -> DataFrame:
-    """``nodes`` (id, type, qualified_name, file_path) with ``package``: what is before the last dot, cut on while it is a Java type.
+def with_package(g: CodeGraph, *more: str) -> DataFrame:
+    """``nodes`` (id, type, qualified_name, file_path and the columns ``more``) with ``package``: what is before the last dot, cut on while it is a Java type.
 
     Types nested in types are doubled up, a join and a stored table each time; most projects need none. Nodes of one package are many,
     so that they never meet as rows of one key: only distinct packages that are types are joined, and what is left of them is stored, so that its size is known.
     """
-    first = g.nodes.select("id", "type", "qualified_name", "file_path", _cut(F.col("qualified_name")).alias("_p"))
+    first = g.nodes.select("id", "type", "qualified_name", "file_path", *more, _cut(F.col("qualified_name")).alias("_p"))
     java = g.nodes.where((F.col("type") != "METHOD") & F.col("file_path").endswith(".java")).select(F.col("id").alias("_type"))
     named = stored(first.select(F.col("_p").alias("_type")).distinct(), "packages")
     # a type around a type is the package of that one, so that all types that are cut away are among the packages
@@ -32,7 +32,7 @@ def with_package(g: CodeGraph) -> DataFrame:
     while not step.join(nested.select(F.col("_type").alias("_up")), "_up", "left_semi").isEmpty():
         further = step.select(F.col("_type").alias("_up"), F.col("_up").alias("_far"))
         step = stored(step.join(further, "_up", "left").select("_type", F.coalesce("_far", "_up").alias("_up")), "nested-types")
-    return first.join(step, F.col("_p") == F.col("_type"), "left").select("id", "type", "qualified_name", "file_path", F.coalesce("_up", "_p").alias("package"))
+    return first.join(step, F.col("_p") == F.col("_type"), "left").select("id", "type", "qualified_name", "file_path", *more, F.coalesce("_up", "_p").alias("package"))
 
 
 def package_edges(g: CodeGraph, packages: DataFrame) -> DataFrame:

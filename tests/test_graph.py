@@ -373,3 +373,21 @@ def test_pairs_sort_a_commit_once_and_join_nothing(spark):
     out = cochange.pairs(spark.createDataFrame(rows, "commit int, file string"), 3)
     assert "Join" not in _plan(out)
     assert [tuple(r) for r in out.collect()] == [("a", "b", 2)]
+
+
+def test_exports_move_neither_nodes_nor_edges(spark):
+    from graphloom.operators import packages
+    from graphloom.operators.graph import CodeGraph
+
+    rows = [(i, "CLASS", i, i, f"{i}.java", 1, "", 0) for i in ("p.A", "p.B", "q.C")] + [("p.B", "ENTITY", "again", "p.B", "p.B.java", 2, "", 0)]
+    nodes = spark.createDataFrame(rows, schema.NODES)
+    edges = spark.createDataFrame([("INJECTS", "p.A", "p.B"), ("INJECTS", "p.A", "x.Gone"), ("INJECTS", "x.Gone", "p.A"), ("EXTENDS", "q.C", "p.A")], schema.EDGES)
+    placed = packages.with_package(CodeGraph(nodes, edges), "name")
+    before = nodes.join(placed.select("id", "package"), "id")
+    node_lines = sorted(f"  [{r.name}] as {r.id.replace('.', '_')} <<{r.type}>>" for r in before.collect())
+    got = export.plantuml_rows(placed, edges)
+    assert sorted(r.line for r in got.where("section = 1").collect()) == node_lines and len(node_lines) == 6
+    assert sorted(r.line for r in got.where("section = 2").collect()) == ["p_A --> p_B : INJECTS", "q_C --> p_A : EXTENDS"]
+    assert sorted(r.line for r in export.mermaid_rows(placed, edges).where("section = 2").collect()) == ["  p_A -->|INJECTS| p_B", "  q_C -->|EXTENDS| p_A"]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(source_id" not in plan and "hashpartitioning(target_id" not in plan
