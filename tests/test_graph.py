@@ -391,3 +391,31 @@ def test_exports_move_neither_nodes_nor_edges(spark):
     assert sorted(r.line for r in export.mermaid_rows(placed, edges).where("section = 2").collect()) == ["  p_A -->|INJECTS| p_B", "  q_C -->|EXTENDS| p_A"]
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(source_id" not in plan and "hashpartitioning(target_id" not in plan
+
+
+@pytest.mark.parametrize("odd", ["repeats and nulls", "a part of two brands", "keys below zero"])
+def test_search_reads_the_tables_and_builds_no_graph(spark, tmp_path, odd):
+    """Levels are met in the tables by numbers, equal to the search of the stored graph; keys that give no numbers are searched there."""
+    from graphloom.plans import queries as plans
+    from graphloom.sources import star
+
+    t = {n: spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet") for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")}
+    line = t["lineitem"]
+    if odd == "repeats and nulls":
+        again = line.where("l_orderkey % 3 = 2").withColumn("l_partkey", F.col("l_partkey") + 1).withColumn("l_quantity", F.lit(50.0))
+        null = line.where("l_orderkey < 40").withColumn("l_suppkey", F.lit(None).cast("bigint"))
+        t["lineitem"] = line.unionAll(again).unionAll(null).unionAll(line.limit(5).withColumn("l_orderkey", F.lit(None).cast("bigint"))).unionAll(line.limit(5).withColumn("l_suppkey", F.lit(10**9)))
+        t["part"] = t["part"].unionAll(t["part"]).unionAll(t["part"].limit(2).withColumn("p_partkey", F.lit(None).cast("bigint")))
+    elif odd == "a part of two brands":
+        t["part"] = t["part"].unionAll(t["part"].withColumn("p_brand", F.lit("Brand#99")))
+    else:
+        t["lineitem"] = line.unionAll(line.where("l_orderkey = 8").withColumn("l_linenumber", -F.col("l_linenumber")))
+    d = str(tmp_path)
+    for n, df in t.items():
+        df.write.parquet(f"{d}/{n}.parquet")
+    got = sorted((r.id, r.depth) for r in plans.QUERIES["impact_d2"](spark, d).collect())
+    built = any(k[1] == d for k in star._graphs)
+    assert built == (odd != "repeats and nulls")
+    g = CodeGraph(*star.graph(spark, d))
+    want = sorted((r.id, r.depth) for r in traverse.search(g, spark.createDataFrame([(plans.ORDER,)], "id string"), 2, "both").collect())
+    assert got == want and len(got) > 20
