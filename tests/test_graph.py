@@ -97,6 +97,61 @@ def test_pagerank_sends_a_rank_once_to_a_bucket_and_equals_plain_rounds(spark):
     assert np.frombuffer(blocks[blocks["part"] == "strength"]["x"].iat[0])[0] == pytest.approx(1 + 2**0.5)
 
 
+def test_pagerank_of_numbers_takes_rows_of_one_tag_once_and_walks_over_unknown_ends(spark):
+    import numpy as np
+
+    chance, low = random.Random(5), 7 << 3
+    ids = [n << 8 | k << 3 for n in range(40) for k in range(3)]
+    rows = [(chance.choice(ids), chance.choice(ids[:30]), chance.randrange(3)) for _ in range(400)] + [(ids[0], 99 << 8, 0)]
+    w = {}
+    for s, t, _ in {r for r in rows if r[0] != r[1]}:
+        w[s, t] = w[t, s] = w.get((s, t), 0) + 1
+    every = [*ids, 99 << 8]
+    m = np.array([[w.get((a, b), 0) ** 0.5 for b in every] for a in every])
+    p = np.array([3.0, 1.0] + [0] * (len(every) - 2)) / 4
+    out, r = m.sum(1), p
+    for _ in range(20):
+        r = p * (0.15 + 0.85 * r[out == 0].sum()) + 0.85 * (m.T @ np.divide(r, out, out=np.zeros(len(r)), where=out > 0))
+    nodes = spark.createDataFrame([(n,) for n in ids + ids[:20]], "id bigint")
+    edges = spark.createDataFrame(rows + rows[:100], "source_id bigint, target_id bigint, tag bigint")
+    got = rank.pagerank(nodes, edges, spark.createDataFrame([(ids[0], 3.0), (ids[1], 1.0)], "id bigint, mass double"), near=low).collect()
+    assert len(got) == len(ids) and {x.id: x.score for x in got} == pytest.approx(dict(zip(ids, r)))
+    assert len(set(rank._bucket(np.array([5 << 8, 5 << 8 | 16, 5 << 8 | 40]), 1000, low))) == 1
+
+
+def test_pagerank_sends_a_number_a_hub_and_not_one_an_edge(spark):
+    import numpy as np
+    import pandas as pd
+
+    by_bucket = {b: [n for n in range(5000) if rank._bucket(np.array([n]), 2, 0)[0] == b] for b in (0, 1)}
+    hub, leaves = by_bucket[0][0], by_bucket[1][:500]
+    edges = pd.DataFrame({"s": [hub] * 500, "t": leaves, "tag": 0})
+    rows = pd.concat(rank._deal_edges(2, 0)(iter([edges])))
+    parts = {b: rank._laid(rows[rows["b"] == b], 2, 0, False) for b in (0, 1)}
+    none = pd.DataFrame([], columns=rank._SENT_COLUMNS)
+    seed = pd.DataFrame([(0, 0, "seed", b"", np.zeros(1, np.int32).tobytes(), np.ones(1).tobytes())], columns=rank._COLUMNS)
+    there = rank._step(1.0, 0.85)(pd.concat([parts[0], seed]), none)
+    assert [(r.b, r.sums, list(np.frombuffer(r.x))) for r in there.itertuples()] == [(1, False, [1 / 500])]
+    back = rank._step(0.15, 0.85)(parts[1], there)
+    assert [(r.b, r.sums) for r in back.itertuples()] == [(0, True)] and list(np.frombuffer(back["x"].iat[0])) == pytest.approx([0.85])
+    assert sum(len(p[p["part"] == "edges"]) for p in parts.values()) == 1  # each edge is kept by one of its ends
+
+
+def test_exchanges_go_with_the_query_that_is_stored(spark):
+    from graphloom.sources.storage import bucketed, stored
+
+    def files():
+        held = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {held.apply(n).getName() for n in range(held.size()) if held.apply(n).getName().startswith("shuffle_")}
+
+    rows, before = spark.range(1000).select((F.col("id") % 7).alias("k")), files()
+    some = stored(rows.groupBy("k").count(), "some")
+    assert not files() - before and some.count() == 7
+    before = files()
+    with bucketed(rows, "some", "k") as dealt:
+        assert not files() - before and dealt.count() == 1000
+
+
 def test_dead_tiers(spark):
     nodes = [("p.Ctrl", "CONTROLLER", "src/main/a.java"), ("sql:t", "SQL_TABLE", "db/a.sql"), ("p.T", "CLASS", "src/test/a.java"), ("p.Only", "CLASS", "src/main/b.java"), ("p.S", "SERVICE", "src/main/c.java"),
              ("p.E", "ENTITY", "src/main/d.java"), ("p.Impl", "CLASS", "src/main/e.java"), ("p.I", "INTERFACE", "src/main/f.java"), ("p.Conf", "CONFIGURATION", "src/main/g.java"), ("p.Use", "SERVICE", "src/main/h.java")]
