@@ -380,3 +380,33 @@ def test_a_segment_is_sorted_runs_and_moves_no_posting(spark):
     run = textindex.sorted_segment(made.coalesce(1))
     assert [r.token for r in run.collect()] == ["alpha", "alpha", "beta", "große", "zeta"]
     assert len(run.inputFiles()) == 1
+
+
+@pytest.mark.parametrize("tested", [False, True])
+def test_context_of_numbers_with_repeated_rows_equals_that_of_texts(spark, tested):
+    chance, low = random.Random(11), 255
+    types = [(n << 8, f"p.T{n}", chance.choice(["SERVICE", "CONTROLLER", "LIBRARY"]), f"src/{chance.choice(['main', 'main', 'test'])}/T{n}.java", chance.choice(["red widget", "blue", "caf\u00e9 r\u00e9d"])) for n in range(30)]
+    methods = [(t[0] | k, f"{t[1]}#m{k}()", "METHOD", "src/test/x.java" if tested and k == 2 else "src/main/x.java", "") for t in types for k in (1, 2)]
+    every = [*types, *methods]
+    nodes = [(n, i, kind, i.split(".")[-1], i, path, code) for n, i, kind, path, code in every]
+    edges = [("CALLS_METHOD", chance.choice(methods), chance.choice(types)) for _ in range(150)] + [("INJECTS", chance.choice(types), chance.choice(types)) for _ in range(40)] + [("DECLARES_METHOD", t, m) for t in types for m in methods if m[0] - t[0] in (1, 2)]
+    numbered = [(k, a[0], b[0], (k == "INJECTS") | (a[0] & low) << 1 | (b[0] & low) << 9) for k, a, b in edges] + [("INJECTS", 99 << 8, types[0][0], 1)]
+    shape = "type string, name string, qualified_name string, file_path string, code_snippet string"
+    g = CodeGraph(spark.createDataFrame([x[1:] for x in nodes], f"id string, {shape}"), spark.createDataFrame({(k, a[1], b[1]) for k, a, b in edges}, "type string, source_id string, target_id string"))
+    n = CodeGraph(spark.createDataFrame([(x[0], *x[2:]) for x in nodes + nodes[30:50]], f"id bigint, {shape}"), spark.createDataFrame(numbered + numbered[:60], "type string, source_id bigint, target_id bigint, tag bigint"))
+    columns = ["id", "type", "file_path", "keywords_matched", "typed_matched", "score"]
+    want = search.context(g, "red widgets", 8, index=TextIndex.build(g.nodes)).select(columns).collect()
+    got = search.context(n, "red widgets", 8, owner_of=lambda c: c.bitwiseAND(F.lit(~low)), calls="CALLS_METHOD", shown="qualified_name", near=low).select(columns).collect()
+    assert want and sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_the_ranked_queries_write_neither_the_graph_nor_an_index_of_it(spark, monkeypatch):
+    from graphloom.plans import queries
+    from graphloom.sources import star
+
+    d = "/root/testdata/sf0.001"
+    want = sorted(map(tuple, search.context(CodeGraph(*star.graph(spark, d)), queries.TASK, index=star.text_index(spark, d)).collect()))
+    for name in ("graph", "text_index"):
+        monkeypatch.setattr(star, name, lambda *_: pytest.fail("stored"))
+    assert sorted(map(tuple, queries.context_files(spark, d).collect())) == want
+    assert queries.ppr_20(spark, d).count() == star.nodes(spark, d).count()
