@@ -747,6 +747,19 @@ def test_a_stored_katz_model_scores_other_texts(spark, tmp_path, monkeypatch):
     check_katz(got, other, held, brute_katz(other, held, katz.ORDER, known))
 
 
+def test_katz_sends_a_batch_a_block_however_many_parts_there_are():
+    import pandas as pd
+
+    words = np.unique(np.random.default_rng(3).integers(0, 2**63, 500, dtype=np.uint64))
+    row = {"block": 7, "words": katz.packed_rising(words), "tokens": katz.packed(np.arange(len(words), dtype=np.uint32)), "lens": katz.packed(np.array([len(words)], np.int32)), "held": [False]}
+    batches = list(katz.sent_words(iter([pd.DataFrame([row, row | {"block": 8}])]), 90, True))
+    assert [set(b["block"]) for b in batches] == [{7}, {8}]  # a batch a message took most of the time of a corpus with many parts
+    sent = batches[0]
+    part = katz.mixed(words) % np.uint64(90)
+    assert sorted(sent["part"]) == sorted(set(part.tolist())) and sum(len(katz.unpacked(x, "<u4")) for x in sent["n"]) == len(words)
+    assert all((katz.unpacked_rising(r.words) == words[part == r.part]).all() for r in sent.itertuples())
+
+
 def test_katz_of_an_empty_table(spark, empty):
     assert katz.fit_and_score(empty, F.lit(False)).count() == 0
 
